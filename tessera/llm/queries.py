@@ -5,8 +5,9 @@ from __future__ import annotations
 from tessera.llm.decontaminate import op2_benchmark_decontamination
 from tessera.llm.licenses import op9_license_scans
 from tessera.llm.media import op3_media_columns
+from tessera.llm.quality import op6_quality_classifier
 from tessera.llm.tokencount import op7_token_counts
 from tessera.llm.tokenfile import op5_token_id_output
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_media_columns, op5_token_id_output, op7_token_counts, op9_license_scans)}
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op3_media_columns, op5_token_id_output, op6_quality_classifier, op7_token_counts, op9_license_scans)}
 SQL: dict[str, str] = {}
