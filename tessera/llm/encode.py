@@ -6,6 +6,7 @@ reused. Texts with white space other than blanks and line feeds are encoded whol
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -14,11 +15,21 @@ import public_tokenizers
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
-LIMIT = 500_000
+LIMIT = 250_000
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"  # without U+0130, whose lower case ends in a mark
-CHUNK = re.compile(rf"[ \n]*[{_LETTERS}]+(?=[ \n.,!?|*%$#&;:()]|$)|[ \n]*[^ \n]+|[ \n]+")
-_PLAIN = re.compile(rf"[ \n]*[{_LETTERS}]+").fullmatch
+CHUNK = re.compile(rf"\n(?=[^ \n])|[ \n]*[{_LETTERS}]+(?=[ \n.,!?|*%$#&;:()]|$)|[ \n]*[^ \n]+|[ \n]+")
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+").fullmatch
+
+
+def _byte_letters() -> list[str]:
+    """The letter by which byte-level BPE files write each byte: printable Latin-1 as itself, the others from U+0100 up."""
+    itself = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in itself else chr(next(others)) for b in range(256)]
+
+
+_WRITTEN = {b: c for b, c in enumerate(_byte_letters())}
 
 
 class _Codes(dict):
@@ -39,7 +50,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.limit = limit
-        self.bar = self.direct("|")
+        state = lambda part: json.loads(part.__getstate__()) if part else {}
+        before, cut = state(self.tokenizer.normalizer), json.dumps(state(self.tokenizer.pre_tokenizer))
+        kinds = {n["type"] for n in before.get("normalizers", [before] if before else [])}
+        self.words = type(self.tokenizer.model).__name__ == "BPE" and "ByteLevel" in cut and kinds <= {"NFC", "Replace", "Lowercase"}  # runs of letters can go to the model itself
+        self.lower, self.drop = "Lowercase" in kinds, "Removed" in cut
         self._clear()
 
     def _clear(self) -> None:
@@ -57,20 +72,24 @@ class Encoder:
         if len(self.codes) > len(self.start):
             more = np.zeros(len(self.codes) * 2, np.int64)
             self.start, self.size = (np.concatenate([x, more]) for x in (self.start, self.size))
-        plain = [k for k, c in enumerate(new) if _PLAIN(c)] if len(self.bar) == 1 else []
+        plain = [k for k, c in enumerate(new) if _PLAIN(c)] if self.words else []
         rest = sorted(set(range(len(new))) - set(plain))
-        for at in range(0, len(plain), 4096):  # many runs of letters in one call, parted by bars
-            some = plain[at : at + 4096]
-            ids = np.array(self.direct("|".join(new[k] for k in some)), np.uint32)
-            bars = np.flatnonzero(ids == self.bar[0])
-            if len(bars) != len(some) - 1:
-                rest += some
-                continue
-            self._keep(ids[ids != self.bar[0]], first + np.array(some), np.diff(np.concatenate([[-1], bars, [len(ids)]])) - 1)
+        if plain:
+            tokenize = self.tokenizer.model.tokenize
+            ids = [[t.id for t in tokenize(self._written(new[k]))] for k in plain]
+            self._keep(np.array([i for x in ids for i in x], np.uint32), first + np.array(plain), np.array([len(x) for x in ids]))
         for at in range(0, len(rest), 4096):
             ids = [e.ids for e in self.tokenizer.encode_batch([new[k] for k in rest[at : at + 4096]], add_special_tokens=False)]
             self._keep(np.array([i for x in ids for i in x], np.uint32), first + np.array(rest[at : at + 4096]), np.array([len(x) for x in ids]))
 
+    def _written(self, word: str) -> str:
+        """A run of letters as the model sees it (these letters are their own NFC)."""
+        if self.lower:
+            word = word.lower()
+        if word[0] == " ":
+            word = word[1:] if self.drop else _WRITTEN[32] + word[1:].encode().decode("latin-1").translate(_WRITTEN)
+        return word if word.isascii() or word[0] == _WRITTEN[32] else word.encode().decode("latin-1").translate(_WRITTEN)
+
     def _keep(self, ids: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
