@@ -1,18 +1,20 @@
 """Token counts that follow edits.
 
-Each document has a segment tree over its pre-token chunks: leaves hold runs of chunks, nodes the sums of characters and tokens below. An edit
-replaces characters start to stop. The tree is descended to the chunks that the edit touches; these and one chunk of context on each side are cut and
-encoded anew, and the sums on the way to the root are updated. Chunks are cut before white space only, where no token can lie across, so one chunk of
-context is enough on either side.
+Each document has a segment tree over its pre-tokens: a leaf holds a stretch of about LEAF of them, a node the sums of characters and tokens below. An edit
+replaces characters start to stop. The tree is descended to the leaves that the edit touches; there, the words that it touches and one word of
+context on each side are encoded as they were and as they are now, and the difference goes into the sums on the way to the root. Leaves and regions begin
+before white space that follows other characters, where no token can lie across, so one word of context is enough on either side.
 
 Cases: null texts are empty; edits that are null or outside the text are clipped to it; a null replacement deletes; edits apply one after another, each to
-the text the former left; texts with white space other than blanks and line feeds (or edits that bring some) are encoded whole, as one chunk;
+the text the former left; texts with white space other than blanks and line feeds (or edits that bring some) are encoded whole, as one leaf;
 repeated rows are counted each; other columns are ignored."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,34 +29,33 @@ RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
 class Tree:
-    """The chunks of a text in leaves; sums[0] has characters and sums[1] tokens, node 1 is the root, leaves begin at `base`."""
+    """A text in leaves; sums[0] has characters and sums[1] tokens, node 1 is the root, leaves begin at node `base`."""
 
-    def __init__(self, enc: Encoder, text: str, chunks: list[str] | None = None, counts: list[int] | None = None) -> None:
+    def __init__(self, enc: Encoder, text: str, chunks: list[str] | None = None, counts: np.ndarray | None = None) -> None:
+        """chunks and counts: what CHUNK finds in the text and its numbers of tokens, if they are known."""
         self.enc, self.work = enc, 0
         self.whole = bool(OTHER_SPACE.search(text))
-        chunks = [text] if self.whole else RUN.findall(text) if chunks is None else chunks
-        counts = self._count(chunks) if counts is None or self.whole else counts
-        self.leaves = [chunks[k : k + LEAF] for k in range(0, len(chunks), LEAF)] or [[]]
-        self.tokens = [counts[k : k + LEAF] for k in range(0, len(counts), LEAF)] or [[]]
+        if self.whole:
+            ends, chars, tokens = [len(text)], [len(text)], [len(enc.direct(text))]
+        else:
+            if chunks is None:
+                chunks = CHUNK.findall(text)
+                counts = enc.counts(chunks)
+            cuts = [0]
+            for k in range(LEAF, len(chunks), LEAF):
+                while k < len(chunks) and chunks[k][0] not in " \n":
+                    k += 1
+                if cuts[-1] < k < len(chunks):
+                    cuts.append(k)
+            chars = np.add.reduceat(np.fromiter(map(len, chunks), np.int64, len(chunks)), cuts).tolist() if chunks else [0]
+            tokens = np.add.reduceat(counts, cuts).tolist() if chunks else [0]
+            ends = list(accumulate(chars))
+        self.leaves = [text[b - n : b] for b, n in zip(ends, chars, strict=True)]
         self.base = 1 << (len(self.leaves) - 1).bit_length()
-        self.sums = [[0] * (2 * self.base) for _ in range(2)]
-        for k in range(len(self.leaves)):
-            self._leaf(k)
+        self.sums = [[0] * self.base + x + [0] * (self.base - len(x)) for x in (chars, tokens)]
         for node in range(self.base - 1, 0, -1):
             self._up(node)
 
-    def _count(self, chunks: list[str]) -> list[int]:
-        if self.whole:
-            return [len(self.enc.direct(c)) for c in chunks]
-        parts = [CHUNK.findall(c) for c in chunks]
-        n = self.enc.counts([y for p in parts for y in p])
-        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, parts)])]
-        return np.diff(ends).tolist()
-
-    def _leaf(self, k: int) -> None:
-        self.sums[0][self.base + k] = sum(map(len, self.leaves[k]))
-        self.sums[1][self.base + k] = sum(self.tokens[k])
-
     def _up(self, node: int) -> None:
         for s in self.sums:
             s[node] = s[2 * node] + s[2 * node + 1]
@@ -65,32 +66,30 @@ class Tree:
 
     @property
     def text(self) -> str:
-        return "".join(c for leaf in self.leaves for c in leaf)
+        return "".join(self.leaves)
 
-    def _find(self, at: int) -> tuple[int, int, int]:
-        """Leaf and place of the chunk with character `at` (or the last one), and characters before it in the chunk."""
+    def _find(self, at: int) -> tuple[int, int]:
+        """Leaf with character `at` (or the last one with any), and characters before it in that leaf."""
         node = 1
         while node < self.base:
             node *= 2
             if at >= self.sums[0][node] and self.sums[0][node + 1]:
                 at -= self.sums[0][node]
                 node += 1
-        k = node - self.base
-        for j, c in enumerate(self.leaves[k]):
-            if at < len(c) or j == len(self.leaves[k]) - 1:
-                return k, j, min(at, len(c))
-            at -= len(c)
-        return k, 0, 0
-
-    def _step(self, k: int, j: int, by: int) -> tuple[int, int] | None:
-        """The chunk before or after one."""
-        j += by
-        while not 0 <= j < len(self.leaves[k]):
-            k += by
-            if not 0 <= k < len(self.leaves):
-                return None
-            j = 0 if by > 0 else len(self.leaves[k]) - 1
-        return k, j
+        return node - self.base, at
+
+    def _step(self, k: int, by: int) -> int:
+        """The next leaf with characters, or the same if there is none."""
+        at = k + by
+        while 0 <= at < len(self.leaves):
+            if self.leaves[at]:
+                return at
+            at += by
+        return k
+
+    def _count(self, text: str) -> int:
+        self.work += len(text)
+        return int(self.enc.counts(CHUNK.findall(text)).sum())
 
     def edit(self, start: int, stop: int, new: str) -> None:
         n = self.sums[0][1]
@@ -98,38 +97,37 @@ class Tree:
         stop = min(max(start, stop), n)
         if self.whole or OTHER_SPACE.search(new) or not n:
             text = self.text
-            self.__init__(self.enc, text := text[:start] + new + text[stop:])
-            self.work = len(text)
+            work, text = self.work, text[:start] + new + text[stop:]
+            self.__init__(self.enc, text)
+            self.work = work + len(text)
             return
-        a, b = self._find(start), self._find(max(start, stop - 1))
-        left, right = self._step(*a[:2], -1) or a[:2], self._step(*b[:2], 1) or b[:2]
-        at, region, places = left, [], []
-        while True:
-            places.append(at)
-            region.append(self.leaves[at[0]][at[1]])
-            if at == right:
-                break
-            at = self._step(*at, 1)
-        before = len(region[0]) if left != a[:2] else 0
-        old = "".join(region)
-        begin = before + a[2]
-        text = old[:begin] + new + old[begin + stop - start :]
-        chunks = RUN.findall(text)
-        counts = self._count(chunks)
-        self.work += len(text)
-        touched = sorted({k for k, _ in places})
-        head, tail = self.leaves[left[0]][: left[1]], self.leaves[right[0]][right[1] + 1 :]
-        head_n, tail_n = self.tokens[left[0]][: left[1]], self.tokens[right[0]][right[1] + 1 :]
+        (first, a), (last, _) = self._find(start), self._find(max(start, stop - 1))
+        left, right = self._step(first, -1), self._step(last, 1)  # leaves that may hold the context
+        touched = range(left, right + 1)
+        old = "".join(self.leaves[left : right + 1])
+        a += len(self.leaves[left]) if left != first else 0
+        b = a + stop - start
+        lo = hi = 0
+        words = [m.span() for m in RUN.finditer(old)]
+        at = max(0, bisect_right(words, (a, len(old) + 1)) - 1)
+        lo = words[max(0, at - 1)][0]
+        at = max(0, bisect_right(words, (max(a, b - 1), len(old) + 1)) - 1)
+        hi = words[min(len(words) - 1, at + 1)][1]
+        now = old[lo:a] + new + old[b:hi]
+        change = self._count(now) - self._count(old[lo:hi])
+        tokens = sum(self.sums[1][self.base + k] for k in touched) + change
+        if left < right:  # keep the leaves that only gave context
+            if left != first and lo >= (m := len(self.leaves[left])):
+                touched, old, lo, a, b, hi = range(first, right + 1), old[m:], lo - m, a - m, b - m, hi - m
+                tokens -= self.sums[1][self.base + left]
+            if right != last and hi <= len(old) - (m := len(self.leaves[right])):
+                touched, old = range(touched.start, last + 1), old[: len(old) - m]
+                tokens -= self.sums[1][self.base + right]
         for k in touched:
-            self.leaves[k], self.tokens[k] = [], []
-        if left[0] == right[0]:
-            self.leaves[left[0]], self.tokens[left[0]] = head + chunks + tail, head_n + counts + tail_n
-        else:
-            self.leaves[left[0]], self.tokens[left[0]] = head + chunks, head_n + counts
-            self.leaves[right[0]], self.tokens[right[0]] = tail, tail_n
+            self.leaves[k] = old[:lo] + now + old[hi:] if k == touched.start else ""
+            self.sums[0][self.base + k] = len(self.leaves[k])
+            self.sums[1][self.base + k] = tokens if k == touched.start else 0
         nodes = {self.base + k for k in touched}
-        for k in touched:
-            self._leaf(k)
         while nodes := {x // 2 for x in nodes} - {0}:
             for x in nodes:
                 self._up(x)
@@ -146,13 +144,11 @@ def counted(docs: DataFrame, path: str = WORD) -> DataFrame:
         for batch in batches:
             keys, values, edits = batch.column(0), [v or "" for v in batch.column(1).to_pylist()], batch.column(2).to_pylist()
             for a, b in slices(values):
-                plain = [[] if OTHER_SPACE.search(v) else RUN.findall(v) for v in values[a:b]]
-                parts = [CHUNK.findall(c) for p in plain for c in p]
-                n = enc.counts([y for p in parts for y in p])
-                runs = np.diff(np.concatenate([[0], np.cumsum(n)])[np.cumsum([0, *map(len, parts)])]).tolist()
+                parts = [[] if OTHER_SPACE.search(v) else CHUNK.findall(v) for v in values[a:b]]
+                n = enc.counts([c for p in parts for c in p])
                 at, rows = 0, []
-                for k, chunks in zip(range(a, b), plain, strict=True):
-                    tree = Tree(enc, values[k], chunks, runs[at : at + len(chunks)])
+                for k, chunks in zip(range(a, b), parts, strict=True):
+                    tree = Tree(enc, values[k], chunks, n[at : at + len(chunks)])
                     at += len(chunks)
                     before, chars = tree.count, tree.sums[0][1]
                     done = 0
