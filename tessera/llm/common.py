@@ -98,7 +98,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
         for k, step in enumerate((_STEP, _STEP_INVERSE)):
             full = np.full(max(n, 1 << 16), step, np.uint64)
@@ -127,11 +127,11 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     starts, ends = at[0::2], at[1::2]
     if len(cuts):
         starts, ends = np.sort(np.append(starts, cuts)), np.sort(np.append(ends, cuts))
-    power, inverse = _powers(len(low))
+    power, inverse = powers(len(low))
     total = np.empty(len(low) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_BYTE[low] * power, out=total[1:])
-    _powers(len(low) + 1)
+    powers(len(low) + 1)
     h = mix((total[ends] - total[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64))
     return starts, ends, h, np.searchsorted(starts, offsets)
 
@@ -142,3 +142,47 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     for j in range(n):
         out += h[j : len(h) - n + 1 + j] * MIXERS[j]
     return mix(out)
+
+
+def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of each hash, by its upper half."""
+    return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+BLOBS = "key int, kind int, rows long, blob binary"
+_BLOBS = pa.schema([("key", pa.int32()), ("kind", pa.int32()), ("rows", pa.int64()), ("blob", pa.binary())])
+
+
+def blobs(buckets: np.ndarray, columns: list[np.ndarray], keys: list[int], kind: int = 0) -> pa.RecordBatch:
+    """One row for each bucket with entries: its key and the bytes of its part of each column, one column after another."""
+    order = np.argsort(buckets, kind="stable")
+    cuts = np.searchsorted(buckets[order], np.arange(len(keys) + 1))
+    columns = [c[order] for c in columns]
+    full = np.flatnonzero(np.diff(cuts))
+    data = [b"".join(np.ascontiguousarray(c[cuts[b] : cuts[b + 1]]).tobytes() for c in columns) for b in full]
+    return pa.RecordBatch.from_arrays([pa.array([keys[b] for b in full], pa.int32()), pa.array([kind] * len(full), pa.int32()), pa.array(np.diff(cuts)[full]), pa.array(data, pa.binary())], schema=_BLOBS)
+
+
+def unblob(rows: list[tuple[int, bytes]], kinds: list[str]) -> list[np.ndarray]:
+    """The columns of some rows of blobs(), put together."""
+    parts: list[list[np.ndarray]] = [[] for _ in kinds]
+    for n, blob in rows:
+        at = 0
+        for k, kind in enumerate(kinds):
+            parts[k].append(np.frombuffer(blob, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return [np.concatenate(p) if p else np.zeros(0, kind) for p, kind in zip(parts, kinds, strict=True)]
+
+
+def by_key(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, int, bytes]]]]:
+    """Rows of blobs sorted by key: each key with its (kind, rows, blob)."""
+    key, held = None, []
+    for batch in batches:
+        for k, *row in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
+            if k != key and held:
+                yield key, held
+                held = []
+            key = k
+            held.append(tuple(row))
+    if held:
+        yield key, held

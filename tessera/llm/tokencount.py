@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents
-from tessera.llm.encode import CHUNK, OTHER_SPACE, WORD, Encoder, encoder, slices
+from tessera.llm.encode import OTHER_SPACE, WORD, Encoder, encoder, slices
 
 LEAF = 64
 RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -31,25 +31,26 @@ RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 class Tree:
     """A text in leaves; sums[0] has characters and sums[1] tokens, node 1 is the root, leaves begin at node `base`."""
 
-    def __init__(self, enc: Encoder, text: str, chunks: list[str] | None = None, counts: np.ndarray | None = None) -> None:
-        """chunks and counts: what CHUNK finds in the text and its numbers of tokens, if they are known."""
+    def __init__(self, enc: Encoder, text: str, starts: np.ndarray | None = None, counts: np.ndarray | None = None) -> None:
+        """starts and counts: where the encoder's chunks of the text begin and their numbers of tokens, if they are known."""
         self.enc, self.work = enc, 0
         self.whole = bool(OTHER_SPACE.search(text))
         if self.whole:
-            ends, chars, tokens = [len(text)], [len(text)], [len(enc.direct(text))]
+            chars, tokens = [len(text)], [len(enc.direct(text))]
+        elif not text:
+            chars, tokens = [0], [0]
         else:
-            if chunks is None:
-                chunks = CHUNK.findall(text)
-                counts = enc.counts(chunks)
-            cuts = [0]
-            for k in range(LEAF, len(chunks), LEAF):
-                while k < len(chunks) and chunks[k][0] not in " \n":
+            if starts is None:
+                starts, counts, _ = enc.counted([text])
+            cuts, at = [0], starts.tolist()
+            for k in range(LEAF, len(at), LEAF):
+                while k < len(at) and text[at[k]] not in " \n":
                     k += 1
-                if cuts[-1] < k < len(chunks):
+                if cuts[-1] < k < len(at):
                     cuts.append(k)
-            chars = np.add.reduceat(np.fromiter(map(len, chunks), np.int64, len(chunks)), cuts).tolist() if chunks else [0]
-            tokens = np.add.reduceat(counts, cuts).tolist() if chunks else [0]
-            ends = list(accumulate(chars))
+            chars = np.diff(np.append(starts[cuts], len(text))).tolist()
+            tokens = np.add.reduceat(counts, cuts).tolist()
+        ends = list(accumulate(chars))
         self.leaves = [text[b - n : b] for b, n in zip(ends, chars, strict=True)]
         self.base = 1 << (len(self.leaves) - 1).bit_length()
         self.sums = [[0] * self.base + x + [0] * (self.base - len(x)) for x in (chars, tokens)]
@@ -89,7 +90,7 @@ class Tree:
 
     def _count(self, text: str) -> int:
         self.work += len(text)
-        return int(self.enc.counts(CHUNK.findall(text)).sum())
+        return len(self.enc.direct(text)) if len(text) < 1024 else self.enc.count(text)  # a short text isn't worth the cache
 
     def edit(self, start: int, stop: int, new: str) -> None:
         n = self.sums[0][1]
@@ -144,12 +145,13 @@ def counted(docs: DataFrame, path: str = WORD) -> DataFrame:
         for batch in batches:
             keys, values, edits = batch.column(0), [v or "" for v in batch.column(1).to_pylist()], batch.column(2).to_pylist()
             for a, b in slices(values):
-                parts = [[] if OTHER_SPACE.search(v) else CHUNK.findall(v) for v in values[a:b]]
-                n = enc.counts([c for p in parts for c in p])
+                plain = ["" if OTHER_SPACE.search(v) else v for v in values[a:b]]
+                starts, n, first = enc.counted(plain)
                 at, rows = 0, []
-                for k, chunks in zip(range(a, b), parts, strict=True):
-                    tree = Tree(enc, values[k], chunks, n[at : at + len(chunks)])
-                    at += len(chunks)
+                for k, v in zip(range(a, b), plain, strict=True):
+                    own = slice(first[k - a], first[k - a + 1])
+                    tree = Tree(enc, values[k], starts[own] - at, n[own])
+                    at += len(v)
                     before, chars = tree.count, tree.sums[0][1]
                     done = 0
                     for e in edits[k] or ():
