@@ -46,7 +46,15 @@ def discard(*frames: DataFrame) -> None:
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p.getParent(), True)
     if frames:
-        frames[0].sparkSession._jvm.System.gc()
+        gc(frames[0].sparkSession)
+
+
+def gc(spark: SparkSession) -> None:
+    """Let Spark drop the shuffles of frames that are gone."""
+    import gc as python
+
+    python.collect()
+    spark._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.decontaminate import op2_benchmark_decontamination
+from tessera.llm.jaccard import op4_ngram_jaccard_join
 from tessera.llm.licenses import op9_license_scans
 from tessera.llm.linededup import op1_line_dedup
 from tessera.llm.media import op3_media_columns
@@ -12,5 +13,5 @@ from tessera.llm.quality import op6_quality_classifier
 from tessera.llm.tokencount import op7_token_counts
 from tessera.llm.tokenfile import op5_token_id_output
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_media_columns, op5_token_id_output, op6_quality_classifier, op7_token_counts, op8_pii, op9_license_scans, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_media_columns, op4_ngram_jaccard_join, op5_token_id_output, op6_quality_classifier, op7_token_counts, op8_pii, op9_license_scans, op10_best_fit_packing)}
 SQL: dict[str, str] = {}
