@@ -1,3 +1,61 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark, sf_dir): raise NotImplementedError
+"""From raw documents to packed token sequences.
+
+STAGES are applied in order, each to all that its predecessor kept. All but the last return the columns of documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.common import documents, table
+from tessera.llm.decontaminate import contamination, report
+from tessera.llm.jaccard import similar
+from tessera.llm.linededup import dedup
+from tessera.llm.packing import pack, pieces
+from tessera.llm.quality import classify
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    return classify(docs, documents(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less the runs of lines that came earlier; those of which nothing is left go."""
+    out = dedup(docs).where("n_removed = 0 OR length(trim(text)) > 0")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar ones, that with the least doc_id; a row that repeats doc_id and text goes, too."""
+    gone = similar(docs).where("component_id <> doc_id").select("doc_id")
+    kept = docs.join(gone.distinct(), "doc_id", "left_anti")
+    key = kept.withColumn("_text", F.xxhash64("text", F.length("text"))).withColumn("_row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    return key.dropDuplicates(["doc_id", "_text", "_row"]).select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark window."""
+    state = contamination(docs, documents(spark, sf_dir, "benchmark"))
+    hit = report(state).where("contaminated").select("doc_id")
+    return docs.join(table(hit, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' ids in sequences."""
+    return pack(table(pieces(docs).drop("ids"), "pieces"))
+
+
+STAGES = [("quality_classifier", quality), ("line_dedup", line_dedup), ("ngram_jaccard_join", near_duplicates), ("benchmark_decontamination", decontamination), ("best_fit_packing", packing)]
+
+#: Trained models, signatures and a genetic algorithm are beyond SQL; tests/llm compares the stages with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.llm.common import NONSPACE, documents, texts, words
 
@@ -116,7 +117,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], positive: int
     if rest.shape[1] == 1:  # two classes: one number for each feature
         table, bias = (table[:, [positive]] - rest), np.array([bias[positive] - bias[1 - positive], 0.0])
     shared = docs.sparkSession.sparkContext.broadcast((np.append(table, np.zeros((1, table.shape[1])), 0).astype(np.float32), bias))
-    schema = docs.schema.add("score", "double") if "score" not in docs.columns else docs.schema
+    schema = StructType([f for f in docs.schema if f.name != "score"]).add("score", "double")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = shared.value
@@ -136,7 +137,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], positive: int
                 p = e[:, positive] / e.sum(1)
             yield pa.RecordBatch.from_arrays([*(c for c, n in zip(part.columns, part.schema.names, strict=True) if n != "score"), pa.array(p)], [*(n for n in part.schema.names if n != "score"), "score"])
 
-    return docs.select(*[c for c in docs.columns if c != "score"]).mapInArrow(run, type(schema)([f for f in schema if f.name != "score"]).add("score", "double"))
+    return docs.select(*[c for c in docs.columns if c != "score"]).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
