@@ -171,6 +171,10 @@ def blobs(buckets: np.ndarray, columns: list[np.ndarray], keys: list[int], kind:
     return pa.RecordBatch.from_arrays([pa.array([keys[b] for b in full], pa.int32()), pa.array([kind] * len(full), pa.int32()), pa.array(np.diff(cuts)[full]), pa.array(data, pa.binary())], schema=_BLOBS)
 
 
+def blob_row(key: int, rows: int, blob: bytes, kind: int = 1) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([kind], pa.int32()), pa.array([rows], pa.int64()), pa.array([blob], pa.binary())], schema=_BLOBS)
+
+
 def unblob(rows: list[tuple[int, bytes]], kinds: list[str]) -> list[np.ndarray]:
     """The columns of some rows of blobs(), put together."""
     parts: list[list[np.ndarray]] = [[] for _ in kinds]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLOBS, MIXERS, NONSPACE, blobs, bucket_keys, bucket_of, by_key, documents, grams, mix, powers, shuffle_partitions, texts, unblob, words
+from tessera.llm.common import BLOBS, MIXERS, NONSPACE, blob_row, blobs, bucket_keys, bucket_of, by_key, documents, grams, mix, powers, shuffle_partitions, texts, unblob, words
 
 RADIUS, GRAM, WINDOW, WORDS = 2, 3, 2, 16
 FLUSH = 400_000
@@ -83,7 +83,7 @@ def _later(entries: list[np.ndarray], gram: int) -> tuple[np.ndarray, list[np.nd
 
 
 def ranges(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, radius: int = RADIUS) -> DataFrame:
-    """doc_id, tag and ranges (a list of binaries of line ranges) of documents with lines that came earlier."""
+    """doc_id, tag and ranges (pairs of 32-bit first line and end) of documents with lines that came earlier."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     keys = bucket_keys(spark, n)
@@ -122,36 +122,40 @@ def ranges(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, radius: int
             yield from out()
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_key(batches):
+        for key, rows in by_key(batches):
+            for kind, r, b in rows:
+                if kind == 1:  # found within a slice: on to the document
+                    yield blob_row(key, r, b)
             e = unblob([(r, b) for k, r, b in rows if k == 0], ENTRY)
             order = np.lexsort((e[3], e[2], e[1], e[0]))
-            _, found = _later([c[order] for c in e], gram) if len(order) else (None, [np.zeros(0, t) for t in RANGE])
-            old = unblob([(r, b) for k, r, b in rows if k == 1], RANGE)
-            found = [np.concatenate([a.astype(t), b]) for a, b, t in zip(found, old, RANGE, strict=True)]
-            if not len(found[0]):
-                continue
-            order = np.lexsort((found[2], found[1], found[0]))
-            doc, tag, lo, hi = (c[order] for c in found)
-            cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))
+            if len(order) and len((found := _later([c[order] for c in e], gram)[1])[0]):
+                yield blobs(bucket_of(mix(found[0].astype(np.uint64)), n), [c.astype(t) for c, t in zip(found, RANGE, strict=True)], keys, 1)
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in by_key(batches):
+            doc, tag, lo, hi = unblob([(r, b) for _, r, b in rows], RANGE)
+            order = np.lexsort((lo, tag, doc))
+            doc, tag, lo, hi = doc[order], tag[order], lo[order], hi[order]
+            cut = np.append(np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))), len(doc))
             pair = np.stack([lo, hi], 1).astype("u4")
-            data = [pair[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(doc)], strict=True)]
-            for k in range(0, len(cut), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(doc[cut[k : k + 10_000]]), pa.array(tag[cut[k : k + 10_000]].astype(np.int64)), pa.array(data[k : k + 10_000], pa.binary())], ["doc_id", "tag", "ranges"])
+            for k in range(0, len(cut) - 1, 10_000):
+                some = cut[k : k + 10_001]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]]), pa.array(tag[some[:-1]].astype(np.int64)), pa.array([pair[a:b].tobytes() for a, b in zip(some[:-1], some[1:], strict=True)], pa.binary())], ["doc_id", "tag", "ranges"])
 
+    meet = lambda df, f, schema: df.repartition(n, "key").sortWithinPartitions("key").mapInArrow(f, schema)
     entries = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(select, BLOBS)
-    return entries.repartition(n, "key").sortWithinPartitions("key").mapInArrow(join, "doc_id long, tag long, ranges binary")
+    return meet(meet(entries, join, BLOBS), gather, "doc_id long, tag long, ranges binary")
 
 
-def cut(text: str, parts: list[bytes], least: int = WORDS, radius: int = RADIUS) -> tuple[str, int, int, int]:
+def cut(text: str, ranges_: bytes, least: int = WORDS, radius: int = RADIUS) -> tuple[str, int, int, int]:
     """A text without its repeated runs of at least so many words; its number of words, of words deleted, and of runs."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
     at, _, _, starts, _, _ = lines(data, np.array([0, len(data)]), radius)
     depth = np.zeros(len(at) + 1, np.int64)
-    for p in parts:
-        r = np.frombuffer(p, "u4").reshape(-1, 2).astype(np.int64)
-        np.add.at(depth, r[:, 0], 1)
-        np.add.at(depth, np.minimum(r[:, 1], len(at)), -1)
+    r = np.frombuffer(ranges_, "u4").reshape(-1, 2).astype(np.int64)
+    np.add.at(depth, r[:, 0], 1)
+    np.add.at(depth, np.minimum(r[:, 1], len(at)), -1)
     hit = np.cumsum(depth[:-1]) > 0
     edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
     begin = np.append(at, len(starts))
@@ -169,7 +173,7 @@ def cut(text: str, parts: list[bytes], least: int = WORDS, radius: int = RADIUS)
 def dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, window: int = WINDOW, radius: int = RADIUS) -> DataFrame:
     """docs (doc_id, text and others) with text less its repeated runs, and n_words, n_removed (words) and n_runs of the text as it was."""
     keep = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "n_runs")]
-    found = ranges(docs, gram, window, radius).groupBy("doc_id", "tag").agg(F.collect_list("ranges").alias("ranges"))
+    found = ranges(docs, gram, window, radius)
     left = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.col("text").cast("string").alias("text"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("_tag"))
     right = found.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "ranges")
     joined = left.join(right, ["_id", "_tag"], "left").select("row", "text", "ranges")
