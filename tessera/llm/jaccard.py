@@ -6,10 +6,11 @@ hash into more partitions than its sets can differ in, and a set's projections o
 this threshold) are its signatures: similar sets must agree in `need` of them at least. Empty projections say nothing, so a set with fewer
 than `need` projections that aren't empty also takes part under further partitionings.
 
-Signatures meet in buckets by their hash. Groups of at most FEW sets give their pairs. Larger groups (common passages, large families of copies) give links to their most
-central set only, and count against the `need` of their members: a set that has signatures to spare needs none of its frequent ones. For the
-others, once components are known, a second pass over these sets alone pairs those members of a frequent group that still lie in different components. So no group gives
-all its pairs and no link is lost. Candidate pairs are verified by their whole sets. Equal sets are one class throughout and are never paired.
+Signatures meet in buckets by their hash. Groups of at most FEW sets give their pairs. Larger groups (common passages, large families of copies) give none, but count against
+the `need` of their members: a set that has signatures to spare needs none of its frequent ones. The others meet again among themselves, first each with the
+most central set of its groups only (that with the most frequent signatures). Once components are known, those sets
+that lie outside the largest component of their family (sets that share signatures, directly or not) are searched for in the rest of it, block by block, with an index
+of their features. So no large group gives all its pairs and no link is lost. Candidate pairs are verified by their whole sets. Equal sets are one class throughout and are never paired.
 
 Cases: null, empty and wordless texts have no shingles and no links; a text of fewer than five words is one shingle; repeated rows are one class; the least doc_id names a
 component, rows without doc_id take part but never name one; other columns are ignored; an empty table gives no rows."""
@@ -30,6 +31,8 @@ SHINGLE = 5
 FEW = 8
 SEEDS = 6
 FLUSH = 2_000_000
+BLOCK = 2000
+FAR = 1 << 40
 FILTER_BITS = 23
 LOWS = [1]
 while LOWS[-1] < 1 << 40:
@@ -180,14 +183,15 @@ def _rows(a: np.ndarray, b: np.ndarray, need: np.ndarray) -> Iterator[pa.RecordB
     order = np.lexsort((b, a))
     a, b, need = a[order], b[order], need[order]
     cut = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    n = np.diff(np.append(cut, len(a)))
+    times = np.diff(np.append(cut, len(a)))
+    need = need[cut]
     for k in range(0, len(cut), 50_000):
         c = cut[k : k + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(a[c].view(np.int64)), pa.array(b[c].view(np.int64)), pa.array(n[k : k + 50_000]), pa.array(need[c].astype(np.int64))], schema=FOUND)
+        yield pa.RecordBatch.from_arrays([pa.array(a[c].view(np.int64)), pa.array(b[c].view(np.int64)), pa.array(times[k : k + 50_000]), pa.array(need[k : k + 50_000].astype(np.int64))], schema=FOUND)
 
 
 def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket: pairs (a, b) of small groups with n, the signatures they share, and need, what they must share; links to the centres of frequent groups (need 0);
+    """Of each bucket: pairs (a, b) of small groups with n, the signatures they share, and need, what they must share;
     and (a, null, n, need) of sets in frequent groups: n of these, need the signatures they can spare."""
     for _, rows in by_key(batches):
         got = _groups(rows)
@@ -210,22 +214,6 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         swap = cls[a] > cls[b]
         yield from _rows(np.where(swap, cls[b], cls[a]), np.where(swap, cls[a], cls[b]), np.concatenate(need))
         at = np.flatnonzero(many)
-        if not len(at):
-            continue
-        u, inverse = np.unique(cls[at], return_inverse=True)
-        weight = np.zeros(len(u), np.int64)
-        np.add.at(weight, inverse, np.repeat(sizes, sizes)[at])
-        w = weight[inverse] * 2 + own[at]
-        groups = np.flatnonzero(np.append(True, start[at][1:] != start[at][:-1]))
-        best = np.maximum.reduceat(w, groups)
-        length = np.diff(np.append(groups, len(at)))
-        is_best = np.flatnonzero(w == np.repeat(best, length))
-        centre = at[is_best[np.searchsorted(is_best, groups)]]
-        c = np.repeat(centre, length)
-        ok = (cls[c] != cls[at]) & _alike(size[c], size[at])
-        a, b = cls[c][ok], cls[at][ok]
-        swap = a > b
-        yield from _rows(np.where(swap, b, a), np.where(swap, a, b), np.zeros(len(a), np.int64))
         for role in (True, False):  # how often each set is in frequent groups of an instance
             some = at[own[at] == role]
             if len(some):
@@ -233,24 +221,71 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array([None] * len(v), pa.int64()), pa.array(n * 2 + role), pa.array(spare[some[first]].astype(np.int64))], schema=FOUND)
 
 
-def _cross(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket: pairs of a group's members in different components, of which one isn't in the group's largest."""
+def _centres(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket: links of all members of a group to the one with the largest weight (given in place of the component); need is FAR where sizes are too different."""
     for _, rows in by_key(batches):
         got = _groups(rows)
         if got is None:
             continue
-        cls, size, _, comp, own, cut = got
-        for s, e in zip(cut[:-1], cut[1:], strict=True):
-            if e - s <= FEW:
+        cls, size, spare, weight, own, cut = got
+        sizes = np.diff(cut)
+        w = (weight + 1) * own  # in the own band, else it couldn't meet those of the band below
+        best = np.maximum.reduceat(w, cut[:-1])
+        is_best = np.flatnonzero(w == np.repeat(best, sizes))
+        c = np.repeat(is_best[np.searchsorted(is_best, cut[:-1])], sizes)
+        ok = cls[c] != cls
+        need = np.where(_alike(size[c], size), np.maximum(spare[c], spare), FAR)
+        yield from _rows(np.minimum(cls[c], cls)[ok], np.maximum(cls[c], cls)[ok], need[ok])
+
+
+def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links across components between blocks of a family: rows (family, i, j, side, cls, set, comp) sorted, the side of the queries (0) first in each block."""
+    block, queries = None, []
+    tokens = owner = sizes = names = comps = None
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        for family, i, j, side, cls, raw, comp in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if block != (family, i, j):
+                block, queries, tokens = (family, i, j), [], None
+            x = np.frombuffer(raw, np.uint64)
+            if side == 0:
+                queries.append((cls, comp, x))
                 continue
-            u, inverse, n = np.unique(comp[s:e], return_inverse=True, return_counts=True)
-            if len(u) < 2:
+            if not queries:
                 continue
-            main = np.argmax(n)
-            for x in np.flatnonzero(inverse != main):
-                y = np.flatnonzero((inverse != inverse[x]) & ((inverse == main) | (np.arange(e - s) > x)) & (own[s:e] | own[s + x]) & _alike(size[s:e], size[s + x]))
-                a, b = np.full(len(y), cls[s + x]), cls[s:e][y]
-                yield from _rows(np.minimum(a, b), np.maximum(a, b), np.zeros(len(y), np.int64))
+            if tokens is None:
+                names, comps, sizes = (np.array(c, np.int64) for c in ([q[0] for q in queries], [q[1] for q in queries], [len(q[2]) for q in queries]))
+                tokens, owner = np.concatenate([q[2] for q in queries]), np.repeat(np.arange(len(queries)), sizes)
+                order = np.argsort(tokens)
+                tokens, owner = tokens[order], owner[order]
+            lo, hi = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+            n = hi - lo
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], minlength=len(queries))
+            for k in np.flatnonzero((100 * both >= 75 * (sizes + len(x) - both)) & (comps != comp)):
+                found.append((min(cls, int(names[k])), max(cls, int(names[k]))))
+        if found:
+            pairs = np.array(sorted(set(found)), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _rest(marked: DataFrame) -> DataFrame:
+    """Links between the sets of a family (cls, set, comp, family) that are in different components.
+
+    Those outside the family's largest component are queries against all its sets, in blocks of at most about BLOCK sets on either side, so that neither pairs nor
+    a family ever gather in one place."""
+    count = marked.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    total = count.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("sets"), (F.sum("n") - F.max("n")).alias("queries")).where("queries > 0")
+    total = table(total.select("family", "main", F.ceil(F.col("sets") / BLOCK).alias("ni"), F.ceil(F.col("queries") / BLOCK).alias("nj")), "families")
+    rows = marked.join(total, "family")
+    h = F.xxhash64("cls")
+    own = {"i": F.pmod(h, "ni"), "j": F.pmod(h, "nj")}
+    asked = rows.where("comp <> main").withColumns({"j": own["j"], "side": F.lit(0), "i": F.explode(F.sequence(F.lit(0), F.col("ni") - 1))})
+    all_ = rows.withColumns({"i": own["i"], "side": F.lit(1), "j": F.explode(F.sequence(F.lit(0), F.col("nj") - 1))})
+    columns = ["family", F.col("i").cast("long"), F.col("j").cast("long"), "side", "cls", "set", "comp"]
+    grid = asked.select(*columns).union(all_.select(*columns))
+    n = shuffle_partitions(marked.sparkSession)
+    return grid.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j", "side").mapInArrow(_search, "a long, b long")
 
 
 def _enter(keys: list[int]):
@@ -329,16 +364,12 @@ def _wanted(classes_: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _links(docs: DataFrame, pairs: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links among candidate pairs (a, b), and the sets of their classes."""
-    spark = docs.sparkSession
-    nodes = table(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "nodes")
-    shared = spark.sparkContext.broadcast(_wanted(nodes))
-    sets = docs.select("text").mapInArrow(lambda b: _set_rows(b, shared.value, n), "cls long, set binary").join(nodes, "cls", "left_semi")
-    sets = table(sets.groupBy("cls").agg(F.first("set").alias("set")), "sets")
-    links = _verified(pairs, sets)
-    discard(nodes)
-    return links, sets
+def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """The sets of some classes."""
+    nodes = table(nodes.distinct(), "nodes")
+    shared = docs.sparkSession.sparkContext.broadcast(_wanted(nodes))
+    found = docs.select("text").mapInArrow(lambda b: _set_rows(b, shared.value, n), "cls long, set binary").join(nodes, "cls", "left_semi")
+    return table(found.groupBy("cls").agg(F.first("set").alias("set")), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -379,18 +410,15 @@ def similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     # a set that is in frequent groups may share these as well
     frequent = found.where("b IS NULL").select(F.col("a").alias("cls"), (F.col("n") % 2).alias("role"), F.expr("n div 2").alias("n"), "need").groupBy("cls", "role").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     frequent = table(frequent, "frequent")
-    common = frequent.groupBy("cls").agg(F.max("n").alias("frequent"))
-    pairs_ = found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.min("need").alias("least"))
-    pairs_ = table(pairs_, "pairs")
-    sure = pairs_.where("least <= 0 OR n >= need").select("a", "b")
-    rest = pairs_.where("NOT (least <= 0 OR n >= need)").join(common.withColumnRenamed("cls", "a"), "a").select("a", "b", "n", "need", "frequent")
-    pairs = table(sure.union(rest.where("n + frequent >= need").select("a", "b")), "candidates")
+    common = frequent.groupBy("cls").agg(F.max("n").alias("n"))
+    tied = table(frequent.where("n >= need").groupBy("cls").agg(F.sum("n").alias("weight")), "tied")
+    pairs_ = table(found.where("b IS NOT NULL").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need")), "pairs")
+    likely = pairs_.where("n < need").join(common.withColumnsRenamed({"cls": "a", "n": "na"}), "a").join(common.withColumnsRenamed({"cls": "b", "n": "nb"}), "b").where("n + least(na, nb) >= need")
+    pairs = table(pairs_.where("n >= need").select("a", "b").union(likely.select("a", "b")), "candidates")
     discard(found, pairs_)
-    links, sets = _links(docs, pairs, shingle)
-    tied = frequent.where("n >= need").select("cls").distinct()
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(tied.select("cls")), shingle)
+    links = _verified(pairs, sets)
     if tied.limit(1).count():
-        label = components(links)
-        some = sets.join(tied, "cls", "left_semi").join(label.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "set", F.coalesce("label", "cls").alias("comp"))
 
         def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def stream():
@@ -402,17 +430,22 @@ def similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
             yield from _enter(keys)(stream())
 
-        more = meet(some.mapInArrow(again, BLOBS), _cross).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = table(more, "cross")
-        if more.limit(1).count():
-            links = table(links.union(_verified(more, sets)), "links")
+        some = table(sets.join(tied, "cls").select("cls", "set", "weight"), "tied_sets")
+        central = meet(some.mapInArrow(again, BLOBS), _centres).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+        central = table(central, "centres")
+        tried = central.where("2 * n >= need").select("a", "b").join(pairs, ["a", "b"], "left_anti")  # a choice for speed only
+        links = table(links.union(_verified(table(tried, "tried"), sets)), "links")
+        known = lambda df, name: df.select(F.col("node").alias("cls"), F.col("label").alias(name))
+        marked = some.select("cls", "set").join(known(components(links), "comp"), "cls", "left").join(known(components(central), "family"), "cls", "left")
+        marked = table(marked.select("cls", "set", F.coalesce("comp", "cls").alias("comp"), F.coalesce("family", "cls").alias("family")), "marked")
+        links = table(links.union(_rest(marked).distinct()), "links")
     label = components(links)
     ids = label.join(reps.withColumnRenamed("cls", "node"), "node").select(F.col("label").alias("cls"), "rep").union(reps)
     least = ids.join(label.select("label").distinct().withColumnRenamed("label", "cls"), "cls", "left_semi").groupBy("cls").agg(F.min("rep").alias("component"))
     of = label.join(least.withColumnRenamed("cls", "label"), "label").select(F.col("node").alias("cls"), "component").union(least)
     degree = links.distinct().select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     info = table(reps.join(of, "cls", "left").join(degree, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "info")
-    discard(sets, pairs, frequent)
+    discard(sets, pairs, frequent, tied)
     return named.join(info, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
