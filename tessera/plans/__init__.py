@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one for each operator."""
 
-from tessera.plans import customer
+from tessera.plans import customer, governance
 from tessera.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "customer"]
+__all__ = ["QUERIES", "SQL", "customer", "governance"]
