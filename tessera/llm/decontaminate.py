@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ALNUM, LOWER, discard, documents, grams, table, texts, words
+from tessera.llm.common import ALNUM, LOWER, discard, documents, grams, lean, table, texts, words
 
 WINDOW, SHINGLE, BLOCK = 10, 3, 200_000
-STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("ranges", pa.binary()), ("items", pa.list_(pa.string()))])
+STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("ranges", pa.binary()), ("items", pa.list_(pa.string())), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 _SPACED = bytes(int(LOWER[i]) if ALNUM[LOWER[i]] else 32 for i in range(256))
 
 
@@ -43,7 +43,7 @@ def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["item_id", "place", "words"])
 
-    return items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).mapInArrow(run, "item_id string, place long, words string")
+    return items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).mapInArrow(lean(run), "item_id string, place long, words string")
 
 
 class Index:
@@ -111,7 +111,7 @@ def frequencies(docs: DataFrame, index) -> DataFrame:
         k = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(counts[k])], ["shingle", "n"])
 
-    return docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
 def _match(state: DataFrame, index, fields: pa.Schema = STATE) -> DataFrame:
@@ -142,13 +142,16 @@ def _match(state: DataFrame, index, fields: pa.Schema = STATE) -> DataFrame:
             for doc, hits in found.items():
                 ranges[doc] = (ranges[doc] or b"") + np.array([y[:2] for y in hits], np.int64).tobytes()
                 items[doc] = sorted({*(items[doc] or ()), *(i for y in hits for i in x.items[y[2]])})
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(ranges, pa.binary()), pa.array(items, pa.list_(pa.string()))], schema=fields)
+            n = np.diff(first)
+            hit = [int(covered(int(k), r).sum()) if r else 0 for k, r in zip(n, ranges, strict=True)]
+            sha = [hashlib.sha256(",".join(i or ()).encode()).hexdigest() for i in items]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(ranges, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(hit, pa.int64()), pa.array([len(i or ()) for i in items], pa.int64()), pa.array(sha, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], schema=fields)
 
-    return state.mapInArrow(run, "doc_id long, text string, n_words long, ranges binary, items array<string>")
+    return state.mapInArrow(lean(run), "doc_id long, text string, n_words long, ranges binary, items array<string>, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """docs (doc_id, text) with n_words, ranges (pairs of 64-bit first word and length of each hit, words from 0) and items (sorted ids, null for none)."""
+    """docs (doc_id, text) with n_words, ranges (pairs of 64-bit first word and length of each hit, words from 0), items (sorted ids, null for none) and counts of these."""
     spark = docs.sparkSession
     grid = table(windows(items, window).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.count("*").alias("n")), "windows")
     total = grid.count()
@@ -175,17 +178,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
 
 def report(state: DataFrame) -> DataFrame:
     """The counts of each document."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit, n_items, sha = [], [], []
-            for n, ranges, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                hit.append(int(covered(n, ranges).sum()))
-                n_items.append(len(items or ()))
-                sha.append(hashlib.sha256(",".join(items or ()).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array([h > 0 for h in hit], pa.bool_()), batch.column(3)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
-
-    return state.select("doc_id", "n_words", "ranges", "items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    return state.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items")
 
 
 def covered(n: int, ranges: bytes | None) -> np.ndarray:
