@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, table
+from tessera.llm.common import discard, lean, table
 
 
 def forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +39,7 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node and label, the least node of its component, of all nodes but the least ones, from links (a, b)."""
-    edges = table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").mapInArrow(forest, "a long, b long"), "edges")
+    edges = table(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").mapInArrow(lean(forest), "a long, b long"), "edges")
     state = _state(edges)
     for _ in range(rounds):
         if not state[0]:

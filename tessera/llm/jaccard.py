@@ -24,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLOBS, MIXERS, NONSPACE, bucket_keys, bucket_of, by_key, discard, documents, gc, grams, mix, shuffle_partitions, table, texts, words
+from tessera.llm.common import BLOBS, MIXERS, NONSPACE, bucket_keys, bucket_of, by_key, discard, documents, gc, grams, lean, mix, shuffle_partitions, table, texts, words
 from tessera.llm.graph import components
 
 SHINGLE = 5
 FEW = 8
 SEEDS = 6
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 BLOCK = 2000
 FAR = 1 << 40
 FILTER_BITS = 23
@@ -130,31 +130,35 @@ def _pack(sig: np.ndarray, owner: np.ndarray, own: np.ndarray, info: list[np.nda
     return pa.RecordBatch.from_arrays([pa.array([keys[b] for b in full], pa.int32()), pa.array([0] * len(full), pa.int32()), pa.array(np.diff(cuts)[full]), pa.array(data, pa.binary())], ["key", "kind", "rows", "blob"])
 
 
-def _unpack(rows: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
-    """Signature, class, size, spares, component and whether in the own band, of all entries of a bucket."""
-    parts: list[list[np.ndarray]] = []
+def _unpack(rows: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of all entries of a bucket: lower halves of the signatures, and their sets' numbers doubled, plus 1 for the next band; and of the sets: class, size, spares, component."""
+    sigs, refs, infos, base = [], [], [], 0
     for _, n, blob in rows:
         m, width = np.frombuffer(blob, "u4", 2).tolist()
         at, info = 8, []
         for t, w in _SETS:
             info.append(np.frombuffer(blob, t, m, at))
             at += m * w
-        sig = np.frombuffer(blob, "u4", n, at)
-        ref = np.frombuffer(blob, f"u{width}", n, at + 4 * n)
-        parts.append([sig, *(c[ref >> 1] for c in info), ref & 1 == 0])
-    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+        sigs.append(np.frombuffer(blob, "u4", n, at))
+        refs.append(np.frombuffer(blob, f"u{width}", n, at + 4 * n).astype(np.int64) + 2 * base)
+        infos.append(info)
+        base += m
+    return np.concatenate(sigs), np.concatenate(refs), [np.concatenate(c) for c in zip(*infos, strict=True)]
 
 
 def _groups(rows: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...] | None:
     """Entries of the signatures that several classes share, sorted by signature, own band first, each class once; and where each group begins (with an end)."""
-    sig, cls, size, near, far, comp, own = _unpack(rows)
+    sig, ref, (cls, size, near, far, comp) = _unpack(rows)
     order = np.argsort(sig)
     s = sig[order]
     same = s[1:] == s[:-1]
     keep = order[np.append(False, same) | np.append(same, False)]
     if not len(keep):
         return None
-    keep = keep[np.lexsort((cls[keep], ~own[keep], sig[keep]))]
+    sig, ref = sig[keep], ref[keep]  # few of all
+    sets, own = ref >> 1, ref & 1 == 0
+    cls, size, near, far, comp = (c[sets] for c in (cls, size, near, far, comp))
+    keep = np.lexsort((cls, ~own, sig))
     new = np.append(True, (sig[keep][1:] != sig[keep][:-1]) | (cls[keep][1:] != cls[keep][:-1]))
     keep = keep[new]
     cut = np.append(np.flatnonzero(np.append(True, sig[keep][1:] != sig[keep][:-1])), len(keep))
@@ -285,7 +289,7 @@ def _rest(marked: DataFrame) -> DataFrame:
     columns = ["family", F.col("i").cast("long"), F.col("j").cast("long"), "side", "cls", "set", "comp"]
     grid = asked.select(*columns).union(all_.select(*columns))
     n = shuffle_partitions(marked.sparkSession)
-    return grid.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j", "side").mapInArrow(_search, "a long, b long")
+    return grid.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j", "side").mapInArrow(lean(_search), "a long, b long")
 
 
 def _enter(keys: list[int]):
@@ -368,18 +372,18 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """The sets of some classes."""
     nodes = table(nodes.distinct(), "nodes")
     shared = docs.sparkSession.sparkContext.broadcast(_wanted(nodes))
-    found = docs.select("text").mapInArrow(lambda b: _set_rows(b, shared.value, n), "cls long, set binary").join(nodes, "cls", "left_semi")
+    found = docs.select("text").mapInArrow(lean(lambda b: _set_rows(b, shared.value, n)), "cls long, set binary").join(nodes, "cls", "left_semi")
     return table(found.groupBy("cls").agg(F.first("set").alias("set")), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("x")), "a")
     two = one.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    return table(two.mapInArrow(_verify, "a long, b long"), "links")
+    return table(two.mapInArrow(lean(_verify), "a long, b long"), "links")
 
 
 def similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, class, n_links (of the class, to other classes that were verified) and component_id of docs (doc_id, text)."""
+    """doc_id, n_shingles, class, n_links (verified links of the class to other classes; in large families enough to connect them, not all) and component_id of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = shuffle_partitions(spark)
@@ -390,7 +394,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             sets, sizes = shingles(data, offsets, shingle)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(classes(sets, sizes).view(np.int64))], ["doc_id", "n_shingles", "cls"])
 
-    named = table(docs.mapInArrow(name, "doc_id long, n_shingles long, cls long"), "named")
+    named = table(docs.mapInArrow(lean(name), "doc_id long, n_shingles long, cls long"), "named")
     reps = table(named.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
 
     def enter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -402,9 +406,9 @@ def similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         yield from _enter(keys)(stream())
 
     def meet(blobs_: DataFrame, f) -> DataFrame:
-        return blobs_.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(f, _FOUND)
+        return blobs_.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lean(f), _FOUND)
 
-    found = meet(docs.mapInArrow(enter, BLOBS), _meet)
+    found = meet(docs.mapInArrow(lean(enter), BLOBS), _meet)
     found = table(found, "found")
     gc(spark)  # Spark may drop the signatures' shuffle
     # a set that is in frequent groups may share these as well
@@ -431,7 +435,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield from _enter(keys)(stream())
 
         some = table(sets.join(tied, "cls").select("cls", "set", "weight"), "tied_sets")
-        central = meet(some.mapInArrow(again, BLOBS), _centres).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+        central = meet(some.mapInArrow(lean(again), BLOBS), _centres).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
         central = table(central, "centres")
         tried = central.where("2 * n >= need").select("a", "b").join(pairs, ["a", "b"], "left_anti")  # a choice for speed only
         links = table(links.union(_verified(table(tried, "tried"), sets)), "links")
@@ -450,4 +454,4 @@ def similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(documents(spark, sf_dir))
+    return similar(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ALNUM, documents, texts, words
+from tessera.llm.common import ALNUM, documents, lean, texts, words
 from tessera.llm.decontaminate import split
 
 #: Base phrases and their labels.
@@ -170,7 +170,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
                 ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, FIELDS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(lean(run), FIELDS)
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLOBS, MIXERS, NONSPACE, blob_row, blobs, bucket_keys, bucket_of, by_key, documents, grams, mix, powers, shuffle_partitions, texts, unblob, words
+from tessera.llm.common import BLOBS, MIXERS, NONSPACE, blob_row, blobs, bucket_keys, bucket_of, by_key, documents, grams, lean, mix, powers, shuffle_partitions, texts, unblob, words
 
 RADIUS, GRAM, WINDOW, WORDS = 2, 3, 2, 16
 FLUSH = 400_000
@@ -142,8 +142,8 @@ def ranges(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, radius: int
                 some = cut[k : k + 10_001]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]]), pa.array(tag[some[:-1]].astype(np.int64)), pa.array([pair[a:b].tobytes() for a, b in zip(some[:-1], some[1:], strict=True)], pa.binary())], ["doc_id", "tag", "ranges"])
 
-    meet = lambda df, f, schema: df.repartition(n, "key").sortWithinPartitions("key").mapInArrow(f, schema)
-    entries = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(select, BLOBS)
+    meet = lambda df, f, schema: df.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(f), schema)
+    entries = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(lean(select), BLOBS)
     return meet(meet(entries, join, BLOBS), gather, "doc_id long, tag long, ranges binary")
 
 
@@ -179,12 +179,12 @@ def dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, window: int = W
     joined = left.join(right, ["_id", "_tag"], "left").select("row", "text", "ranges")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             done = [cut(t, r, words, radius) if r and t else (t, len((t or "").encode().split()), 0, 0) for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True))], ["row", "text", "n_words", "n_removed", "n_runs"])
 
     row = joined.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(run, f"row {row}, text string, n_words long, n_removed long, n_runs long")
+    out = joined.mapInArrow(lean(run), f"row {row}, text string, n_words long, n_removed long, n_runs long")
     return out.select(*(F.col("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns if c not in ("n_words", "n_removed", "n_runs")), "n_words", "n_removed", "n_runs")
 
 

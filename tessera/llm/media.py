@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, table
+from tessera.llm.common import documents, lean, table
 
 #: Fixed values of ISO/IEC 14496-12: boxes that hold boxes, with the bytes before the first of them.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"dinf": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"meta": 4}
@@ -146,7 +146,7 @@ def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                     yield pa.RecordBatch.from_arrays([keys[at : k + 1], pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
                     at, held, sizes, files = k + 1, 0, [], []
 
-    return table(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
+    return table(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary"), "media")
 
 
 def describe(stored: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def describe(stored: DataFrame) -> DataFrame:
                 rows.append((key, n, sum(map(len, payload)), sha.hexdigest(), zlib.crc32(tail), len(view), hashlib.sha256(view).hexdigest(), feature(tracks)))
             yield pa.RecordBatch.from_pylist([dict(zip(FIELDS.names, r, strict=True)) for r in rows], FIELDS)
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 FIELDS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])

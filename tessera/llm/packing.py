@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, table
+from tessera.llm.common import documents, lean, table
 from tessera.llm.encode import BYTE, encoder, slices
 from tessera.llm.tokenfile import crc32
 
@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, path: str = BYTE, size: int = SIZE, end: int | None
                     rows += [(keys[a + j], k, p, q - p, crc32(own[p:q]), np.ascontiguousarray(own[p:q], "<u4").tobytes()) for k, (p, q) in enumerate(zip(cuts, cuts[1:], strict=False)) if q > p]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 _ISLAND = "shard long, island int, sizes array<int>, bins array<array<int>>"
@@ -176,7 +176,7 @@ def pack(cut: DataFrame, size: int = SIZE, shard: int = SHARD, islands: int = IS
     world = world.withColumn("island", F.explode(F.array(*[F.lit(k) for k in range(islands)])))
     world = world.withColumn("bins", F.lit(None).cast("array<array<int>>")).withColumn("other", F.lit(None).cast("array<array<int>>"))
     for k in range(epochs):
-        world = table(world.select("shard", "island", "sizes", "bins", "other").repartition(parts, "shard", "island").mapInArrow(_epoch(k, size, generations, population), _ISLAND), "islands")
+        world = table(world.select("shard", "island", "sizes", "bins", "other").repartition(parts, "shard", "island").mapInArrow(lean(_epoch(k, size, generations, population)), _ISLAND), "islands")
         elite = world.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("bins").alias("other"))
         world = world.join(elite, ["shard", "island"])  # the elite of the island before
     best = world.groupBy("shard").agg(F.min_by("bins", F.struct(F.size("bins"), "island")).alias("bins"))
@@ -197,7 +197,7 @@ def pack(cut: DataFrame, size: int = SIZE, shard: int = SHARD, islands: int = IS
                 yield pa.RecordBatch.from_arrays([*(taken.field(c) for c in columns), pa.array(number), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
     schema = f"{', '.join(f'{c} {t}' for c, t in cut.dtypes)}, sequence_id long, offset long"
-    packed = grouped.join(best, "shard").select("shard", "items", "bins").mapInArrow(place, schema)
+    packed = grouped.join(best, "shard").select("shard", "items", "bins").mapInArrow(lean(place), schema)
     full = cut.where(F.col("length") == size).withColumn("sequence_id", 2 * F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     return full.unionByName(packed)
 

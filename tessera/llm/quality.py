@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import NONSPACE, documents, texts, words
+from tessera.llm.common import NONSPACE, documents, lean, texts, words
 
 BITS, DIM, ROWS, EPOCHS, BATCH, RATE, SEED = 16, 12, 4000, 6, 16, 4.0, 7
 KINDS = 3  # words, 3-grams, 4-grams; then the repeat feature
@@ -101,7 +101,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS) ->
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(d, 1), part.column(1).slice(d, 1), pa.array([ids.tobytes()]), pa.array([w.tobytes()])], ["doc_id", "label", "ids", "w"])
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most `rows` rows are sent
-    got = joined.mapInArrow(run, "doc_id long, label int, ids binary, w binary").limit(2 * rows).collect()
+    got = joined.mapInArrow(lean(run), "doc_id long, label int, ids binary, w binary").limit(2 * rows).collect()
     got.sort(key=lambda r: (r.doc_id, r.label, bytes(r.ids)))
     return [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.w, np.float32)) for r in got], np.array([r.label for r in got], np.int64)
 
@@ -137,7 +137,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], positive: int
                 p = e[:, positive] / e.sum(1)
             yield pa.RecordBatch.from_arrays([*(c for c, n in zip(part.columns, part.schema.names, strict=True) if n != "score"), pa.array(p)], [*(n for n in part.schema.names if n != "score"), "score"])
 
-    return docs.select(*[c for c in docs.columns if c != "score"]).mapInArrow(run, schema)
+    return docs.select(*[c for c in docs.columns if c != "score"]).mapInArrow(lean(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents
+from tessera.llm.common import documents, lean
 from tessera.llm.encode import OTHER_SPACE, WORD, Encoder, encoder, slices
 
 LEAF = 64
@@ -161,7 +161,7 @@ def counted(docs: DataFrame, path: str = WORD) -> DataFrame:
                     rows.append((before, tree.count, done, chars, tree.work))
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], ["doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_chars", "n_encoded_again"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("edits").cast(EDITS).alias("edits")).mapInArrow(run, "doc_id long, n_tokens long, n_tokens_after long, n_edits long, n_chars long, n_encoded_again long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("edits").cast(EDITS).alias("edits")).mapInArrow(lean(run), "doc_id long, n_tokens long, n_tokens_after long, n_edits long, n_chars long, n_encoded_again long")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, shuffle_partitions, table
+from tessera.llm.common import documents, lean, shuffle_partitions, table
 from tessera.llm.encode import WORD, encoder, slices
 
 BLOCK, PART, END, LEVEL = 1 << 16, 1 << 20, 1, 1
@@ -115,7 +115,7 @@ def write(docs: DataFrame, path: str = WORD, end: int | None = END, bits: int =
 
     n = shuffle_partitions(docs.sparkSession)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return table(dealt.mapInArrow(run, "section long, part long, before long, n_ids long, data binary"), "tokens")
+    return table(dealt.mapInArrow(lean(run), "section long, part long, before long, n_ids long, data binary"), "tokens")
 
 
 def read(parts: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def read(parts: DataFrame) -> DataFrame:
                 raw = ids.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at[:-1] + ahead[section] + before), pa.array(sizes), pa.array([raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
-    return parts.select("section", "before", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return parts.select("section", "before", "data").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op5_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
