@@ -192,4 +192,4 @@ def covered(n: int, ranges: bytes | None) -> np.ndarray:
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark")))
+    return report(contamination(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))).drop("items")

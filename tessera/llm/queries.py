@@ -13,5 +13,28 @@ from tessera.llm.quality import op6_quality_classifier
 from tessera.llm.tokencount import op7_token_counts
 from tessera.llm.tokenfile import op5_token_id_output
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_benchmark_decontamination, op3_media_columns, op4_ngram_jaccard_join, op5_token_id_output, op6_quality_classifier, op7_token_counts, op8_pii, op9_license_scans, op10_best_fit_packing)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_benchmark_decontamination, op3_media_columns, op4_ngram_jaccard_join, op5_token_id_output, op6_quality_classifier, op7_token_counts, op8_pii, op9_license_scans, op10_best_fit_packing)
+}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PIECES = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
+#: Others train models, encode by a library or hash binary files; tests/llm compares them with brute force.
+SQL = {
+    "op2_benchmark_decontamination": f"""WITH it AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, n, array_to_string(w[k + 1 : k + n], ' ') AS x FROM (SELECT item, w, least(10, len(w)) AS n, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS k FROM it WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS k FROM d),
+l AS (SELECT doc_id, k, list(word) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ws FROM p),
+hits AS (SELECT doc_id, k, n, item FROM (SELECT doc_id, k, ns.n, array_to_string(ws[1 : ns.n], ' ') AS x FROM l, (SELECT DISTINCT n FROM win) ns WHERE len(ws) >= ns.n) JOIN win USING (n, x)),
+cov AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS spot FROM hits) GROUP BY doc_id), its AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op4_ngram_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, {_PIECES} AS w FROM documents), p AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS k FROM d),
+l AS (SELECT doc_id, list(word) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS ws FROM p),
+sh AS (SELECT DISTINCT doc_id, ws AS s FROM l WHERE len(ws) = 5 UNION SELECT doc_id, w FROM d WHERE len(w) BETWEEN 1 AND 4), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL), e AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, e2.b FROM r JOIN e2 ON r.o = e2.a)
+SELECT doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+}
