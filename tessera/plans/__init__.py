@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one for each operator."""
 
-from tessera.plans import customer, governance, language
+from tessera.plans import customer, governance, insights, language
 from tessera.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "customer", "governance", "language"]
+__all__ = ["QUERIES", "SQL", "customer", "governance", "insights", "language"]
