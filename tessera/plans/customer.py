@@ -140,7 +140,7 @@ def revenue_outliers(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(ALL + WHOLE + """SELECT customer, CASE WHEN open_cases > 0 THEN 'RESOLVE_OPEN_CASE' WHEN band IN ('HIGH','CRITICAL') AND coalesce(days_since_last_order, 9999) >= 120 THEN 'RETENTION_OFFER_15_PCT' WHEN band IN ('HIGH','CRITICAL') THEN 'PROACTIVE_SERVICE_CALL' WHEN tier_rank = 0 THEN 'DOUBLE_POINTS_MONTH' ELSE 'NO_ACTION' END AS action,
-  CASE WHEN open_cases > 0 THEN 'HIGH' WHEN band IN ('HIGH','CRITICAL') AND coalesce(days_since_last_order, 9999) >= 120 THEN 'HIGH' WHEN band IN ('HIGH','CRITICAL') THEN 'MEDIUM' ELSE 'LOW' END AS priority, segment = 'BUILDING' OR value_tier = 'HIGH' AS vip FROM c360 LEFT JOIN osum USING (customer)""".replace("SELECT customer, CASE", "SELECT customer, CASE"))
+  CASE WHEN open_cases > 0 THEN 'HIGH' WHEN band IN ('HIGH','CRITICAL') AND coalesce(days_since_last_order, 9999) >= 120 THEN 'HIGH' WHEN band IN ('HIGH','CRITICAL') THEN 'MEDIUM' ELSE 'LOW' END AS priority, segment = 'BUILDING' OR value_tier = 'HIGH' AS vip FROM c360 LEFT JOIN osum USING (customer)""")
 def next_best_action(s: SparkSession, d: str) -> DataFrame:
     return V.next_best_action(_whole(s, d).join(_orders(s, d).select("customer", "days_since_last_order"), "customer", "left"), premium="BUILDING")
 
