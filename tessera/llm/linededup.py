@@ -1,16 +1,17 @@
-"""Line dedup by winnowing over line hashes.
+"""Dedup of repeated runs of words, within lines or across them.
 
-Lines are wrapped: beside line feeds, a line also ends after a word whose hash is no more than those of RADIUS words on either side. So a passage gives
-the same lines wherever it stands; lines of less than RADIUS + 1 words come from line feeds and repeated words only. Over the hashes of GRAM successive lines, windows of
-WINDOW select their minima: each run of GRAM + WINDOW - 1 equal lines shares a selected fingerprint. Positions with equal fingerprints are joined, the
-first by (doc_id, place) keeps its text, the others extend both ways by the lines that match the first's, and as successive fingerprints of
-a run overlap, their lines add up to the whole run. Runs of at least `words` words that came earlier in the corpus are deleted.
+A place is the start of `words` successive words (a run). Each run that stood at an earlier place of the corpus, by (doc_id, place), is deleted, so of any passage of at
+least so many words the first place keeps its text and every word of the others goes, whichever earlier place has it and wherever it stands in its line.
 
-A fingerprint that stands in very many documents is first joined within each slice of a task, and only the slice's first place goes on, so a hot passage makes
-one entry for a slice and no task gets all its places.
+Runs travel under their least hash of GRAM words (a minimizer: equal runs have the same one, and successive runs mostly share it), as one entry for each stretch
+of successive runs with the same one: its hash, place and length, and 40 bits of each run's own hash. Runs with equal hashes meet in a bucket; all but the first place give
+ranges of words, which add up to the passages.
 
-Cases: null and empty texts have no lines and stay; rows that repeat doc_id and text are one document and keep the same text; rows without doc_id come first; ties go to
-the smaller checksum of the text; case (A-Z) and the kind of white space don't matter; empty tables give no rows; other columns stay as they are."""
+Entries are first joined within each slice of a task, and only those that have a run new to the slice go on, so a hot passage makes few entries for a slice.
+
+Cases: null and empty texts have no words and stay; rows that repeat doc_id and text are one document and keep the same text; rows without doc_id come first; ties go to
+the smaller checksum of the text; case (A-Z) and the kind of white space don't matter; runs may overlap the place they repeat (of one word over and over, the first stays);
+empty tables give no rows; other columns stay as they are."""
 
 from __future__ import annotations
 
@@ -22,99 +23,142 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLOBS, MIXERS, NONSPACE, blob_row, blobs, bucket_keys, bucket_of, by_key, documents, grams, lean, mix, powers, shuffle_partitions, texts, unblob, words
+from tessera.llm.common import BLOBS, MIXERS, NONSPACE, blob_row, blobs, bucket_keys, bucket_of, by_key, documents, gc, grams, lean, mix, powers, shuffle_partitions, table, texts, unblob, words
 
-RADIUS, GRAM, WINDOW, WORDS = 2, 3, 2, 16
-FLUSH = 400_000
+GRAM, WORDS = 6, 16
+FLUSH = 2_500_000  # runs
+MOST = 4_000_000  # runs compared at once
+LENGTH = 255
 NO_ID = -(1 << 63)
-ENTRY = ["u8", "i8", "u4", "u4", "u4", "u4"]  # fingerprint, doc_id, checksum of the text, line, line before, line after the gram
-RANGE = ["i8", "u4", "u4", "u4"]  # doc_id, checksum, first line, end
-
-
-def lines(data: np.ndarray, offsets: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the wrapped lines of some texts: first word and hash; each text's first line (with an end); and words' starts, ends, and each text's first word."""
-    starts, ends, h, first = words(data, offsets, NONSPACE)
-    n = len(h)
-    begin = np.zeros(n, bool)
-    begin[first[:-1][first[:-1] < n]] = True
-    feeds = np.concatenate([[0], np.cumsum(data == 10)])
-    begin[1:] |= feeds[starts[1:]] != feeds[ends[:-1]]
-    least = np.ones(n, bool)
-    for d in range(1, radius + 1):
-        least[d:] &= h[d:] <= h[:-d]
-        least[:-d] &= h[:-d] <= h[d:]
-    begin[1:] |= least[:-1]
-    at = np.flatnonzero(begin)
-    end = np.append(at[1:], n)
-    power, inverse = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * power[:n], out=total[1:])
-    own = mix((total[end] - total[at]) * inverse[at] * MIXERS[60] + (end - at).astype(np.uint64)) if n else np.zeros(0, np.uint64)
-    return at, own, np.searchsorted(at, first), starts, ends, first
-
-
-def fingerprints(own: np.ndarray, bounds: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Selected lines (those that begin a selected gram) and the gram hashes of all; texts with fewer lines than a window have each gram selected."""
-    g = grams(own, gram)
-    doc = np.searchsorted(bounds, np.arange(len(own)), "right") - 1
-    whole = doc[: len(g)] == doc[gram - 1 :] if len(g) else np.zeros(0, bool)
-    pick = np.zeros(len(g), bool)
-    if len(g) >= window:
-        some = np.stack([g[j : len(g) - window + 1 + j] for j in range(window)])
-        least = window - 1 - np.argmin(some[::-1], axis=0)  # the last of equal minima
-        inside = whole[: len(g) - window + 1] & whole[window - 1 :] & (doc[: len(g) - window + 1] == doc[window - 1 : len(g)])
-        pick[(np.arange(len(least)) + least)[inside]] = True
-    sizes = np.diff(bounds)
-    few = (sizes >= gram) & (sizes < gram + window - 1)
-    pick |= whole & few[doc[: len(g)]] if len(g) else False
-    return np.flatnonzero(pick), g
-
-
-def _later(entries: list[np.ndarray], gram: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which entries (sorted by fingerprint and place) are the first of their fingerprint, and the ranges of the others, extended by lines equal to the first's."""
-    f, doc, tag, at, left, right = entries
-    new = np.append(True, f[1:] != f[:-1])
-    lead = np.maximum.accumulate(np.where(new, np.arange(len(f)), 0))
-    again = ~new & ~((doc == doc[lead]) & (tag == tag[lead]) & (at == at[lead]))  # a repeated row is no later place
-    k, g = np.flatnonzero(again), lead[again]
-    before = (left[k] == left[g]) & (left[k] != 0)
-    after = (right[k] == right[g]) & (right[k] != 0)
-    return new, [doc[k], tag[k], at[k] - before, at[k] + gram + after]
-
-
-def ranges(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, radius: int = RADIUS) -> DataFrame:
-    """doc_id, tag and ranges (pairs of 32-bit first line and end) of documents with lines that came earlier."""
+TEXT = ["i8", "u4", "u4"]  # doc_id, checksum of the text, number of entries
+ENTRY = ["u8", "u4", "u1"]  # least hash, first run, number of runs
+RUN = ["u4", "u1"]  # 40 bits of the hash
+RANGE = ["i8", "u4", "u4", "u4"]  # doc_id, checksum, first word, end
+
+
+def lowest(g: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n successive values."""
+    if len(g) < n:
+        return g[:0]
+    span = 1
+    while 2 * span <= n:
+        g, span = np.minimum(g[:-span], g[span:]), 2 * span
+    return np.minimum(g[: len(g) - n + span], g[n - span :]) if span < n else g
+
+
+def runs(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of runs of n words with the same least hash in some texts' words: the hash, the first run's word, the number of runs; and the hashes of all the runs."""
+    if len(h) < n:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), none, none, np.zeros(0, np.uint64)
+    gram = min(GRAM, n)
+    least = lowest(grams(h, gram), n - gram + 1)
+    power, inverse = powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * power[: len(h)], out=total[1:])
+    own = mix((total[n:] - total[:-n]) * inverse[: len(h) - n + 1])
+    room = np.repeat(first[1:], np.diff(first))[: len(own)] - np.arange(len(own))  # words up to the text's end
+    at = np.flatnonzero(room >= n)
+    new = np.append(True, (at[1:] != at[:-1] + 1) | (least[at[1:]] != least[at[:-1]]))[: len(at)]
+    begin = np.flatnonzero(new)
+    place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
+    begin = np.flatnonzero(place % LENGTH == 0)
+    return least[at[begin]], at[begin], np.diff(np.append(begin, len(at))), own[at]
+
+
+def spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 and so on, as many as sizes says, of each."""
+    return np.arange(sizes.sum()) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _sorted(e: list[np.ndarray], own: list[np.ndarray], order: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Some entries and their runs in an order."""
+    sizes = e[4].astype(np.int64)
+    at = spread((np.cumsum(sizes) - sizes)[order], sizes[order])
+    return [c[order] for c in e], [c[at] for c in own]
+
+
+def _later(e: list[np.ndarray], own: list[np.ndarray], n: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which entries (sorted by place) have a run that is the first of its hash, and the ranges of words of the runs at later places."""
+    least, doc, tag, start, sizes = e
+    sizes = sizes.astype(np.int64)
+    entry, at = np.repeat(np.arange(len(sizes)), sizes), spread(start.astype(np.int64), sizes)
+    key = mix(least[entry] + (own[0].astype(np.uint64) | (own[1].astype(np.uint64) << np.uint64(32))) * MIXERS[61])
+    order = np.argsort(key)
+    key = key[order]
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    lead = np.empty(len(key), np.int64)
+    lead[order] = np.repeat(np.minimum.reduceat(order, begin), np.diff(np.append(begin, len(key)))) if len(key) else 0
+    new = lead == np.arange(len(lead))
+    fresh = np.bincount(entry[new], minlength=len(sizes)) > 0
+    k = np.flatnonzero(~new)
+    x, y = entry[k], entry[lead[k]]
+    k = k[~((doc[x] == doc[y]) & (tag[x] == tag[y]) & (at[k] == at[lead[k]]))]  # a repeated row is no later place
+    x = entry[k]
+    cuts = np.flatnonzero(np.append(True, (k[1:] != k[:-1] + 1) | (x[1:] != x[:-1]))[: len(k)])
+    ends = k[np.append(cuts[1:], len(k))[: len(cuts)] - 1]
+    return fresh, [doc[x[cuts]], tag[x[cuts]], at[k[cuts]], at[ends] + n]
+
+
+def _pack(e: list[np.ndarray], own: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
+    """One row of kind 0 for each bucket: the number of its texts, these, their entries and the entries' runs (entries are sorted by place)."""
+    buckets = bucket_of(mix(e[0]), len(keys))
+    e, own = _sorted(e, own, order := np.argsort(buckets, kind="stable"))
+    cuts = np.searchsorted(buckets[order], np.arange(len(keys) + 1))
+    at = np.append(0, np.cumsum(e[4].astype(np.int64)))[cuts]
+    for b in np.flatnonzero(np.diff(cuts)):
+        least, doc, tag, start, sizes = (c[cuts[b] : cuts[b + 1]] for c in e)
+        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))
+        columns = [doc[first], tag[first], np.diff(np.append(first, len(doc))), least, start, sizes, *(c[at[b] : at[b + 1]] for c in own)]
+        yield blob_row(keys[b], len(doc), b"".join([len(first).to_bytes(8, "little"), *(c.astype(t).tobytes() for c, t in zip(columns, TEXT + ENTRY + RUN, strict=True))]), 0)
+
+
+def _unpack(rows: list[tuple[int, bytes]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    width = lambda kinds: sum(np.dtype(t).itemsize for t in kinds)
+    heads, bodies, tails = [], [], []
+    for n, blob in rows:
+        k = int.from_bytes(blob[:8], "little")
+        a = 8 + k * width(TEXT)
+        b = a + n * width(ENTRY)
+        heads.append((k, memoryview(blob)[8:a]))
+        bodies.append((n, memoryview(blob)[a:b]))
+        tails.append(((len(blob) - b) // width(RUN), memoryview(blob)[b:]))
+    doc, tag, n = unblob(heads, TEXT)
+    least, start, sizes = unblob(bodies, ENTRY)
+    return [least, np.repeat(doc, n), np.repeat(tag, n), start, sizes], unblob(tails, RUN)
+
+
+def ranges(docs: DataFrame, least: int = WORDS) -> DataFrame:
+    """doc_id, tag and ranges (pairs of 32-bit first word and end) of documents with runs that came earlier."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     keys = bucket_keys(spark, n)
 
+    def later(found: list[np.ndarray]) -> pa.RecordBatch:
+        return blobs(bucket_of(mix(found[0].astype(np.uint64)), n), [c.astype(t) for c, t in zip(found, RANGE, strict=True)], keys, 1)
+
     def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            e = [np.concatenate(c) for c in zip(*held, strict=True)]
-            order = np.lexsort((e[3], e[2], e[1], e[0]))
-            e = [c[order] for c in e]
-            new, again = _later(e, gram)
+            c = [np.concatenate(x) for x in zip(*held, strict=True)]
+            e, own = _sorted(c[:5], c[5:], np.lexsort((c[3], c[2], c[1])))
+            fresh, again = _later(e, own, least)
             if len(again[0]):
-                yield blobs(bucket_of(mix(again[0].astype(np.uint64)), n), [c.astype(t) for c, t in zip(again, RANGE, strict=True)], keys, 1)
-            e = [c[new] for c in e]
-            yield blobs(bucket_of(e[0], n), [c.astype(t) for c, t in zip(e, ENTRY, strict=True)], keys, 0)
+                yield later(again)
+            yield from _pack(*_sorted(e, own, np.flatnonzero(fresh)), keys)
 
         for part, data, offsets in texts(batches):
-            _, own, bounds, *_ = lines(data, offsets, radius)
-            at, g = fingerprints(own, bounds, gram, window)
+            _, _, h, first = words(data, offsets, NONSPACE)
+            low, at, sizes, own = runs(h, first, least)
             if not len(at):
                 continue
-            doc = np.searchsorted(bounds, at, "right") - 1
-            near = ((own >> np.uint64(32)) | np.uint64(1)).astype(np.uint32)
-            left = np.where(at > bounds[doc], near[np.maximum(at - 1, 0)], 0)
-            right = np.where(at + gram < bounds[doc + 1], near[np.minimum(at + gram, len(near) - 1)], 0)
+            doc = np.searchsorted(first, at, "right") - 1
             ids = part.column(0).fill_null(NO_ID).to_numpy()
             tags = np.array([zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], np.uint32)
-            held.append([g[at], ids[doc], tags[doc], (at - bounds[doc]).astype(np.uint32), left.astype(np.uint32), right.astype(np.uint32)])
-            size += len(at)
+            held.append([low, ids[doc], tags[doc], (at - first[doc]).astype(np.uint32), sizes.astype(np.uint8), own.astype(np.uint32), (own >> np.uint64(32)).astype(np.uint8)])
+            size += len(own)
             if size >= FLUSH:
                 yield from out()
                 held, size = [], 0
@@ -126,16 +170,25 @@ def ranges(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, radius: int
             for kind, r, b in rows:
                 if kind == 1:  # found within a slice: on to the document
                     yield blob_row(key, r, b)
-            e = unblob([(r, b) for k, r, b in rows if k == 0], ENTRY)
-            order = np.lexsort((e[3], e[2], e[1], e[0]))
-            if len(order) and len((found := _later([c[order] for c in e], gram)[1])[0]):
-                yield blobs(bucket_of(mix(found[0].astype(np.uint64)), n), [c.astype(t) for c, t in zip(found, RANGE, strict=True)], keys, 1)
+            e, own = _unpack([(r, b) for k, r, b in rows if k == 0])
+            parts = -(-len(own[0]) // MOST)
+            which = mix(e[0] + MIXERS[62]) % np.uint64(max(1, parts))
+            for p in range(parts):
+                some = np.flatnonzero(which == p)
+                found = _later(*_sorted(e, own, some[np.lexsort((e[3][some], e[2][some], e[1][some]))]), least)[1]
+                if len(found[0]):
+                    yield later(found)
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_key(batches):
             doc, tag, lo, hi = unblob([(r, b) for _, r, b in rows], RANGE)
             order = np.lexsort((lo, tag, doc))
             doc, tag, lo, hi = doc[order], tag[order], lo[order], hi[order]
+            text = np.cumsum(np.append(False, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))[: len(doc)]
+            reach = np.maximum.accumulate((text << 32) | hi)
+            new = np.flatnonzero(np.append(True, ((text[1:] << 32) | lo[1:]) > reach[:-1])[: len(doc)])  # ranges that touch are one
+            hi = (reach[np.append(new[1:], len(doc))[: len(new)] - 1] & 0xFFFFFFFF).astype(np.uint32)
+            doc, tag, lo = doc[new], tag[new], lo[new]
             cut = np.append(np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1]))), len(doc))
             pair = np.stack([lo, hi], 1).astype("u4")
             for k in range(0, len(cut) - 1, 10_000):
@@ -144,43 +197,41 @@ def ranges(docs: DataFrame, gram: int = GRAM, window: int = WINDOW, radius: int
 
     meet = lambda df, f, schema: df.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(f), schema)
     entries = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(lean(select), BLOBS)
-    return meet(meet(entries, join, BLOBS), gather, "doc_id long, tag long, ranges binary")
+    found = table(meet(entries, join, BLOBS), "ranges")
+    spark.range(1).count()  # until the next event, the listener bus holds the last execution
+    gc(spark)  # Spark may drop the entries' shuffle
+    return meet(found, gather, "doc_id long, tag long, ranges binary")
 
 
-def cut(text: str, ranges_: bytes, least: int = WORDS, radius: int = RADIUS) -> tuple[str, int, int, int]:
-    """A text without its repeated runs of at least so many words; its number of words, of words deleted, and of runs."""
+def cut(text: str, ranges_: bytes) -> tuple[str, int, int, int]:
+    """A text without the words in its ranges; its number of words, of words deleted, and of passages these make."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
-    at, _, _, starts, _, _ = lines(data, np.array([0, len(data)]), radius)
-    depth = np.zeros(len(at) + 1, np.int64)
+    starts, _, _, _ = words(data, np.array([0, len(data)]), NONSPACE)
+    depth = np.zeros(len(starts) + 1, np.int64)
     r = np.frombuffer(ranges_, "u4").reshape(-1, 2).astype(np.int64)
     np.add.at(depth, r[:, 0], 1)
-    np.add.at(depth, np.minimum(r[:, 1], len(at)), -1)
-    hit = np.cumsum(depth[:-1]) > 0
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
-    begin = np.append(at, len(starts))
-    out, last, gone, runs = [], 0, 0, 0
+    np.add.at(depth, r[:, 1], -1)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(depth[:-1]) > 0, [False]])))
+    out, last, gone = [], 0, 0
     for a, b in zip(edge[0::2], edge[1::2], strict=True):
-        if (n := int(begin[b] - begin[a])) >= least:
-            out.append(raw[last : starts[begin[a]]])
-            last = int(starts[begin[b]]) if begin[b] < len(starts) else len(raw)
-            gone, runs = gone + n, runs + 1
-    if not runs:
-        return text, len(starts), 0, 0
-    return b"".join([*out, raw[last:]]).decode().rstrip(), len(starts), gone, runs
+        out.append(raw[last : starts[a]])
+        last = int(starts[b]) if b < len(starts) else len(raw)
+        gone += int(b - a)
+    return b"".join([*out, raw[last:]]).decode().rstrip(), len(starts), gone, len(edge) // 2
 
 
-def dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM, window: int = WINDOW, radius: int = RADIUS) -> DataFrame:
-    """docs (doc_id, text and others) with text less its repeated runs, and n_words, n_removed (words) and n_runs of the text as it was."""
+def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """docs (doc_id, text and others) with text less its repeated runs of at least so many words, and n_words, n_removed (words) and n_runs of the text as it was."""
     keep = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "n_runs")]
-    found = ranges(docs, gram, window, radius)
+    found = ranges(docs, words)
     left = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.col("text").cast("string").alias("text"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("_tag"))
     right = found.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "ranges")
     joined = left.join(right, ["_id", "_tag"], "left").select("row", "text", "ranges")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
-            done = [cut(t, r, words, radius) if r and t else (t, len((t or "").encode().split()), 0, 0) for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            done = [cut(t, r) if r and t else (t, len((t or "").encode().split()), 0, 0) for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True))], ["row", "text", "n_words", "n_removed", "n_runs"])
 
     row = joined.schema["row"].dataType.simpleString()

@@ -272,6 +272,58 @@ def test_line_dedup(spark):
     assert out[6].text is None and out[7].text == ""
 
 
+def less_repeats(docs, n):
+    """Texts without the words of runs of n words that came earlier, words deleted, and passages."""
+    seen, out = set(), {}
+    for key, text in sorted(docs):
+        spans = [m.span() for m in re.finditer(r"[^ \t-\r]+", text)]
+        w = low(text)
+        w = [w[a:b] for a, b in spans]
+        gone = [False] * len(w) + [False]
+        for k in range(len(w) - n + 1):
+            run = tuple(w[k : k + n])
+            if run in seen:
+                gone[k : k + n] = [True] * n
+            seen.add(run)
+        starts = [a for a, _ in spans] + [len(text)]
+        kept = "".join(text[starts[k] : starts[k + 1]] for k in range(len(w)) if not gone[k])
+        kept = text[: starts[0]] + kept if w else text
+        n_runs = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(w)))
+        out[key] = (kept.rstrip() if n_runs else text, sum(gone), n_runs)
+    return out
+
+
+@pytest.mark.parametrize("flush, most", [(linededup.FLUSH, linededup.MOST), (500, 700)])
+def test_line_dedup_by_brute_force(spark, monkeypatch, flush, most):
+    """Passages of each length from 15 words up, within otherwise different lines and as lines, in any case; some first stood at several places over a part of their length only."""
+    monkeypatch.setattr(linededup, "FLUSH", flush)
+    monkeypatch.setattr(linededup, "MOST", most)
+    rng = random.Random(7)
+    run = lambda n: [str(rng.randrange(10**6)) + rng.choice("abc") for _ in range(n)]
+    texts, planted = [], []
+    for n in [*range(15, 34), 60, 300] * 3:
+        p = run(n)
+        if n % 3 == 0:  # its first half stood in an earlier text, with other words after it
+            texts.append(" ".join(run(9) + p[: n // 2] + run(9)))
+        sep = "\n" if n % 2 else " "
+        texts.append(" ".join(run(rng.randrange(40))) + sep + " ".join(p) + sep + " ".join(run(rng.randrange(40))))
+        texts.append("  ".join(run(rng.randrange(1, 40))) + sep + "\t".join(p).upper() + sep + " ".join(run(rng.randrange(1, 40))))
+        planted.append((len(texts) - 1, n))
+    texts += ["again " * 600, "Again\n" * 20, texts[1] + " " + texts[1]]
+    docs = list(enumerate(texts))
+    want = less_repeats(docs, linededup.WORDS)
+    assert all(want[k][1] == (n if n >= linededup.WORDS else 0) for k, n in planted)
+    made = spark.createDataFrame(docs + [docs[3]], "doc_id long, text string").repartition(3)
+    out = {r.doc_id: (r.text, r.n_removed, r.n_runs) for r in linededup.dedup(made).collect()}
+    assert out == want
+
+
+def test_line_dedup_of_documents(spark, small):
+    docs = sorted(rows(spark, small))
+    out = {r.doc_id: (r.text or "", r.n_removed, r.n_runs) for r in linededup.dedup(common.documents(spark, small)).collect()}
+    assert len(out) == len(docs) and out == less_repeats(docs, linededup.WORDS)
+
+
 def test_license_templates(spark):
     docs = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0."), (2, "the apache licenses"), (3, "SPDX-License-Identifier: MIT"), (4, "GNU General Public License as published by the Free Software Foundation, either version 3 of the License"), (5, "licensed under cc by-sa 4.0; MIT license, mit license"), (6, "Copyright (c) 2020 Some Body Inc. All rights reserved")], "doc_id long, text string")
     out = {r.doc_id: r for r in licenses.scan(docs).collect()}
