@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, table
-from tessera.llm.decontaminate import contamination, report
+from tessera.llm.decontaminate import contamination
 from tessera.llm.jaccard import similar
 from tessera.llm.linededup import dedup
 from tessera.llm.packing import pack, pieces
@@ -28,19 +28,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows with a doc_id (null, too) and text of gone (doc_id, text_hash)."""
+    g = gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return docs.join(g, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash")), "left_anti")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones, that with the least doc_id; a row that repeats doc_id and text goes, too."""
-    gone = similar(docs).where("component_id <> doc_id").select("doc_id")
-    kept = docs.join(gone.distinct(), "doc_id", "left_anti")
-    key = kept.withColumn("_text", F.xxhash64("text", F.length("text"))).withColumn("_row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    """One document of each group of similar ones, that with the least doc_id (rows without doc_id count last; ties by the text's hash); a row that repeats doc_id and text goes, too.
+
+    Each text of a doc_id is a document of its own. Rows with neither doc_id nor words all stay."""
+    found = table(similar(docs).where("family IS NOT NULL").select("family", "doc_id", "text_hash").distinct(), "families")
+    first = found.groupBy("family").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first"))
+    gone = found.join(first, "family").where("NOT (doc_id <=> first.doc_id AND text_hash = first.text_hash)")
+    kept = _without(docs, gone)
+    key = kept.withColumn("_text", F.xxhash64("text", F.length("text"))).withColumn("_row", F.when(F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False)), F.monotonically_increasing_id()))
     return key.dropDuplicates(["doc_id", "_text", "_row"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window; each row goes by its own text, with or without doc_id."""
     state = contamination(docs, documents(spark, sf_dir, "benchmark"))
-    hit = report(state).where("contaminated").select("doc_id")
-    return docs.join(table(hit, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    hit = state.where("contaminated").select("doc_id", F.xxhash64("text").alias("text_hash"))
+    return _without(docs, table(hit, "contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -383,18 +383,18 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, class, n_links (verified links of the class to other classes; in large families enough to connect them, not all) and component_id of docs (doc_id, text)."""
+    """doc_id, n_shingles, class, n_links (verified links of the class to other classes; in large families enough to connect them, not all), component_id, text_hash and family (a class of the component, that of rows without doc_id, too; null without shingles) of docs (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     parts = shuffle_partitions(spark)
     keys = bucket_keys(spark, parts)
 
     def name(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in texts(batches):
             sets, sizes = shingles(data, offsets, shingle)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(classes(sets, sizes).view(np.int64))], ["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(classes(sets, sizes).view(np.int64)), part.column(2)], ["doc_id", "n_shingles", "cls", "text_hash"])
 
-    named = table(docs.mapInArrow(lean(name), "doc_id long, n_shingles long, cls long"), "named")
+    named = table(docs.mapInArrow(lean(name), "doc_id long, n_shingles long, cls long, text_hash long"), "named")
     reps = table(named.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep")), "reps")
 
     def enter(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,11 +446,11 @@ def similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     label = components(links)
     ids = label.join(reps.withColumnRenamed("cls", "node"), "node").select(F.col("label").alias("cls"), "rep").union(reps)
     least = ids.join(label.select("label").distinct().withColumnRenamed("label", "cls"), "cls", "left_semi").groupBy("cls").agg(F.min("rep").alias("component"))
-    of = label.join(least.withColumnRenamed("cls", "label"), "label").select(F.col("node").alias("cls"), "component").union(least)
+    of = label.join(least.withColumnRenamed("cls", "label"), "label").select(F.col("node").alias("cls"), "component", "label").union(least.select("cls", "component", "cls"))
     degree = links.distinct().select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
-    info = table(reps.join(of, "cls", "left").join(degree, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "info")
+    info = table(reps.join(of, "cls", "left").join(degree, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"), F.coalesce("label", "cls").alias("family"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "info")
     discard(sets, pairs, frequent, tied)
-    return named.join(info, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "doc_id").alias("component_id"))
+    return named.join(info, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "doc_id").alias("component_id"), "text_hash", "family")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

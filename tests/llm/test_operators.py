@@ -391,6 +391,27 @@ def test_quality_on_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out.values())
 
 
+def test_pipeline_rows_without_doc_id(spark, tmp_path):
+    """Decisions of the pipeline's stages go back to rows with null and repeated doc_ids."""
+    import corpus_pipeline as P
+
+    rng = random.Random(5)
+    run = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    a, b, c, d, leak = run(80), run(80), run(80), run(80), run(14)
+    near = lambda x: x + " " + run(2)
+    rows_ = [(1, a), (None, a), (None, near(a)), (None, b), (None, b), (None, near(b)), (2, c), (2, d), (3, d), (4, near(a)), (None, None), (None, " "), (5, ""), (5, "")]
+    made = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    kept = [(r.doc_id, r.text) for r in P.near_duplicates(spark, made, "").collect()]
+    of_b = [x for x in kept if x[0] is None and x[1] and x[1].startswith(b)]
+    assert len(of_b) == 1
+    assert Counter(x for x in kept if x not in of_b) == Counter([(1, a), (2, c), (2, d), (None, None), (None, " "), (5, "")])
+
+    spark.createDataFrame([("i", leak)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows_ = [(None, a + " " + leak), (None, a), (1, b), (1, b + " " + leak), (2, leak), (None, None)]
+    made = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    assert Counter((r.doc_id, r.text) for r in P.decontamination(spark, made, str(tmp_path)).collect()) == Counter([(None, a), (1, b), (None, None)])
+
+
 def test_pipeline_stages(spark, small):
     import corpus_pipeline as P
 
