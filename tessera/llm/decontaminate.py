@@ -7,7 +7,8 @@ fewer words than a window are one window of their own length.
 
 The benchmark is taken in blocks of at most BLOCK windows; only one block is broadcast at a time, and every block meets all documents.
 
-Cases: null and wordless texts have no words and no hits; null or wordless items have no windows; repeated rows and repeated items are
+Cases: null and wordless texts have no words and no hits; null or wordless items have no windows; windows of items without
+item_id count for n_hit and contaminated, and not for the items; repeated rows and repeated items are
 kept as they are (equal windows of several items count for each); empty tables give empty results or documents without hits; other
 columns are ignored. Ties in rarity go to the earlier shingle."""
 
@@ -41,7 +42,7 @@ def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                 w = [x.decode() for x in split(text)]
                 out = [(item, k, " ".join(w[k : k + window])) for k in range(max(1, len(w) - window + 1))] if w else []
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["item_id", "place", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], ["item_id", "place", "words"])
 
     return items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).mapInArrow(lean(run), "item_id string, place long, words string")
 
@@ -49,10 +50,10 @@ def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 class Index:
     """The windows of a block: distinct texts with their items, word hashes and shingles."""
 
-    def __init__(self, rows: list[tuple[str, str]]) -> None:
+    def __init__(self, rows: list[tuple[str | None, str]]) -> None:
         by: dict[str, set[str]] = {}
         for item, text in rows:
-            by.setdefault(text, set()).add(item)
+            by.setdefault(text, set()).update([] if item is None else [item])
         self.texts = [t.encode() for t in sorted(by)]
         self.items = [sorted(by[t.decode()]) for t in self.texts]
         self.length = np.array([t.count(b" ") + 1 for t in self.texts])
@@ -141,7 +142,7 @@ def _match(state: DataFrame, index, fields: pa.Schema = STATE) -> DataFrame:
             ranges, items = part.column(3).to_pylist(), part.column(4).to_pylist()
             for doc, hits in found.items():
                 ranges[doc] = (ranges[doc] or b"") + np.array([y[:2] for y in hits], np.int64).tobytes()
-                items[doc] = sorted({*(items[doc] or ()), *(i for y in hits for i in x.items[y[2]])})
+                items[doc] = sorted({*(items[doc] or ()), *(i for y in hits for i in x.items[y[2]])}) or None
             n = np.diff(first)
             hit = [int(covered(int(k), r).sum()) if r else 0 for k, r in zip(n, ranges, strict=True)]
             sha = [hashlib.sha256(",".join(i or ()).encode()).hexdigest() for i in items]
@@ -156,7 +157,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     grid = table(windows(items, window).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.count("*").alias("n")), "windows")
     total = grid.count()
     blocks = max(1, -(-total // block))
-    grid = grid.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks))).select("block", "words", F.explode("items").alias("item"))
+    grid = grid.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks))).select("block", "words", F.explode_outer("items").alias("item"))
     state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("ranges"), F.lit(None).cast("array<string>").alias("items"))
     previous = None
     for k in range(blocks):

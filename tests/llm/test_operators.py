@@ -154,6 +154,14 @@ def test_decontamination_by_brute_force(spark, small, block):
     assert hits
 
 
+def test_items_without_id(spark):
+    a, b = "one two three four five six seven eight nine ten", "un deux trois quatre cinq six sept huit neuf dix"
+    items = spark.createDataFrame([(None, a), (None, b), ("i", b)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"so {a} there"), (2, f"so {b} there"), (3, f"{a} {b}"), (4, "none here")], "doc_id long, text string")
+    out = {r.doc_id: (r.n_hit, r.n_items, r["items"], r.contaminated) for r in decontaminate.report(decontaminate.contamination(docs, items)).collect()}
+    assert out == {1: (10, 0, None, True), 2: (10, 1, ["i"], True), 3: (20, 1, ["i"], True), 4: (0, 0, None, False)}
+
+
 def test_short_items(spark):
     docs = spark.createDataFrame([(1, "One two, three"), (2, "two"), (3, None)], "doc_id long, text string")
     items = spark.createDataFrame([("a", "TWO"), ("b", "one two three four"), ("c", "two three")], "item_id string, text string")
