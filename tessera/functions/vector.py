@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +28,22 @@ MOST_QUERIES = 10_000
 
 
 def search(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, k: int = 3, floor: float = 0.15) -> DataFrame:
-    """The k most similar vectors of each query with at least a similarity of `floor`. Queries are a small stated set (at most MOST_QUERIES, else an error); each task of the
-    vectors keeps its own k best before the shuffle."""
+    """The k most similar vectors of each query with at least a similarity of `floor`. Queries are taken in blocks of at most MOST_QUERIES rows (or the rows of one query, where
+    these are more), each of which meets all vectors; each task of the vectors keeps its own k best before the shuffle."""
     few = queries.select(F.col(query), F.col(vector).alias("_q"))
-    if few.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError("too many queries for one search; split them into blocks")
+    if few.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        return _best(vectors, few, key, vector, query, k, floor)
+    sizes = few.groupBy(query).agg(F.count("*").alias("n"))
+    total, largest = sizes.agg(F.sum("n"), F.max("n")).first()
+    blocks = -(-total // MOST_QUERIES)
+    block = lambda: F.pmod(F.xxhash64(query), F.lit(blocks))
+    while sizes.groupBy(block()).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > max(MOST_QUERIES, largest):
+        blocks *= 2
+    found = [_best(vectors, few.where(block() == b), key, vector, query, k, floor) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _best(vectors: DataFrame, few: DataFrame, key: str, vector: str, query: str, k: int, floor: float) -> DataFrame:
     scored = vectors.join(F.broadcast(few)).select(query, key, F.round(cosine(F.col("_q"), F.col(vector)), 6).alias("score")).where(F.col("score") >= floor)
     w = Window.partitionBy(query).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

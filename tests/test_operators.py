@@ -132,6 +132,15 @@ def test_vector_search(spark):
     assert [(r.id, r.score) for r in V.search(v, q, "id", "e", "q").orderBy("rank").collect()] == [(1, 1.0), (3, 0.707107)]
 
 
+def test_vector_search_in_blocks(spark, monkeypatch):
+    v = spark.range(30).selectExpr("id", "array(cos(id), sin(id)) AS e")
+    q = spark.range(11).selectExpr("id AS q", "array(sin(id), cos(id)) AS e")
+    found = lambda: sorted(map(tuple, V.search(v, q, "id", "e", "q").collect()))
+    whole = found()
+    monkeypatch.setattr(V, "MOST_QUERIES", 4)
+    assert len(whole) == 33 and found() == whole
+
+
 def test_statement_guard(spark):
     spark.range(5).createOrReplaceTempView("five")
     assert serving.statement(spark, "SELECT * FROM five WHERE id > ? AND id < ?;", {"2": 4, "1": 1}).count() == 2
