@@ -12,23 +12,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK: list[str] = []
-
-
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names; one of our own only where none is set."""
+    """A new path in the shared folder that the session names. Where none is set, a session on one machine gets a folder of its own; a cluster has no such folder, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        if not _FALLBACK:
-            _FALLBACK.append(tempfile.mkdtemp(prefix="tessera-"))
-        base = _FALLBACK[0]
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex[:12]}/{name}"
 
 
+def named(column: str):
+    """A column by its whole name, dots and back quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores before it until no column has it (Spark compares names without case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def table(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor loses nothing."""
     spark = df.sparkSession

@@ -1,17 +1,19 @@
-"""Dedup of repeated runs of words, within lines or across them.
+"""Line dedup by winnowing: repeated lines and runs of words that stood earlier in the corpus go.
 
-A place is the start of `words` successive words (a run). Each run that stood at an earlier place of the corpus, by (doc_id, place), is deleted, so of any passage of at
-least so many words the first place keeps its text and every word of the others goes, whichever earlier place has it and wherever it stands in its line.
+Two units are fingerprinted. A line (what stands between line feeds) of LINE to WORDS - 1 words is one fingerprint by its own hash. Longer stretches are covered by runs of WORDS successive
+words, within lines or across them: the fingerprint of a run is its window minimum, the least hash of the GRAM-word grams in it, so equal runs are sure to have the same one, and
+successive runs mostly share it. A stretch of runs with one fingerprint travels as one entry: the fingerprint, its place and length, and 40 bits of the hash of each of its runs.
 
-Runs travel under their least hash of GRAM words (a minimizer: equal runs have the same one, and successive runs mostly share it), as one entry for each stretch
-of successive runs with the same one: its hash, place and length, and 40 bits of each run's own hash. Runs with equal hashes meet in a bucket; all but the first place give
-ranges of words, which add up to the passages.
+Positions are joined on the fingerprint. A match is extended both ways from it, word by word, to the first that differs: by the runs' hashes within the entry, by the entries that adjoin it
+beyond; each run is compared with all earlier places of its fingerprint, not with the first only. All but the first place give ranges of words, which add up to the passages that are deleted. So of any
+line of at least LINE words, and any passage of at least WORDS, the first place keeps its text, by (doc_id, place), and all others lose theirs. A repeated line of fewer words than LINE stays: so
+short a line is often equal by chance.
 
-Entries are first joined within each slice of a task, and only those that have a run new to the slice go on, so a hot passage makes few entries for a slice.
+Entries are first joined within each slice of a task, and only those that have a run new to the slice go on, so a hot line or passage makes few entries for a slice.
 
 Cases: null and empty texts have no words and stay; rows that repeat doc_id and text are one document and keep the same text; rows without doc_id come first; ties go to
-the smaller checksum of the text; case (A-Z) and the kind of white space don't matter; runs may overlap the place they repeat (of one word over and over, the first stays);
-empty tables give no rows; other columns stay as they are."""
+the smaller checksum of the text; case (A-Z) doesn't matter, nor the kind of white space within a line; runs may overlap the place they repeat (of one word over and over, the first stays);
+empty tables give no rows; other columns stay as they are, whatever their names (columns named n_words, n_removed or n_runs are replaced by the operator's own)."""
 
 from __future__ import annotations
 
@@ -23,16 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLOBS, MIXERS, NONSPACE, blob_row, blobs, bucket_keys, bucket_of, by_key, documents, gc, grams, lean, mix, powers, shuffle_partitions, table, texts, unblob, words
+from tessera.llm.common import BLOBS, MIXERS, NONSPACE, blob_row, blobs, bucket_keys, bucket_of, by_key, documents, gc, grams, lean, mix, named, powers, shuffle_partitions, table, texts, unblob, words
 
-GRAM, WORDS = 6, 16
+GRAM, WORDS, LINE = 6, 16, 5
 FLUSH = 2_500_000  # runs
 MOST = 4_000_000  # runs compared at once
 LENGTH = 255
 NO_ID = -(1 << 63)
 TEXT = ["i8", "u4", "u4"]  # doc_id, checksum of the text, number of entries
-ENTRY = ["u8", "u4", "u1"]  # least hash, first run, number of runs
-RUN = ["u4", "u1"]  # 40 bits of the hash
+ENTRY = ["u8", "u4", "u1"]  # fingerprint (odd for a line), first run, number of runs
+RUN = ["u4", "u1"]  # 40 bits of the hash; of a line its number of words
 RANGE = ["i8", "u4", "u4", "u4"]  # doc_id, checksum, first word, end
 
 
@@ -63,7 +65,19 @@ def runs(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     begin = np.flatnonzero(new)
     place = np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))
     begin = np.flatnonzero(place % LENGTH == 0)
-    return least[at[begin]], at[begin], np.diff(np.append(begin, len(at))), own[at]
+    return least[at[begin]] & ~np.uint64(1), at[begin], np.diff(np.append(begin, len(at))), own[at]
+
+
+def lines(data: np.ndarray, starts: np.ndarray, h: np.ndarray, first: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of least to most words of some texts: the hash (odd), the first word and the number of words."""
+    cuts = np.unique(np.concatenate([first, np.searchsorted(starts, np.flatnonzero(data == 10))]))
+    begin, n = cuts[:-1], np.diff(cuts)
+    ok = (n >= least) & (n <= most)
+    begin, n = begin[ok], n[ok]
+    power, inverse = powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * power[: len(h)], out=total[1:])
+    return mix((total[begin + n] - total[begin]) * inverse[begin] + n.astype(np.uint64) * MIXERS[60]) | np.uint64(1), begin, n
 
 
 def spread(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -97,7 +111,8 @@ def _later(e: list[np.ndarray], own: list[np.ndarray], n: int) -> tuple[np.ndarr
     x = entry[k]
     cuts = np.flatnonzero(np.append(True, (k[1:] != k[:-1] + 1) | (x[1:] != x[:-1]))[: len(k)])
     ends = k[np.append(cuts[1:], len(k))[: len(cuts)] - 1]
-    return fresh, [doc[x[cuts]], tag[x[cuts]], at[k[cuts]], at[ends] + n]
+    length = np.where(least[x[cuts]] & np.uint64(1), own[0][k[cuts]].astype(np.int64), n)
+    return fresh, [doc[x[cuts]], tag[x[cuts]], at[k[cuts]], at[ends] + length]
 
 
 def _pack(e: list[np.ndarray], own: list[np.ndarray], keys: list[int]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +143,7 @@ def _unpack(rows: list[tuple[int, bytes]]) -> tuple[list[np.ndarray], list[np.nd
     return [least, np.repeat(doc, n), np.repeat(tag, n), start, sizes], unblob(tails, RUN)
 
 
-def ranges(docs: DataFrame, least: int = WORDS) -> DataFrame:
+def ranges(docs: DataFrame, least: int = WORDS, line: int = LINE) -> DataFrame:
     """doc_id, tag and ranges (pairs of 32-bit first word and end) of documents with runs that came earlier."""
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
@@ -150,8 +165,10 @@ def ranges(docs: DataFrame, least: int = WORDS) -> DataFrame:
             yield from _pack(*_sorted(e, own, np.flatnonzero(fresh)), keys)
 
         for part, data, offsets in texts(batches):
-            _, _, h, first = words(data, offsets, NONSPACE)
+            starts, _, h, first = words(data, offsets, NONSPACE)
             low, at, sizes, own = runs(h, first, least)
+            short, place, n_ = lines(data, starts, h, first, line, least - 1)
+            low, at, sizes, own = np.append(low, short), np.append(at, place), np.append(sizes, np.ones(len(short), np.int64)), np.append(own, n_.astype(np.uint64))
             if not len(at):
                 continue
             doc = np.searchsorted(first, at, "right") - 1
@@ -221,11 +238,11 @@ def cut(text: str, ranges_: bytes) -> tuple[str, int, int, int]:
     return b"".join([*out, raw[last:]]).decode().rstrip(), len(starts), gone, len(edge) // 2
 
 
-def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """docs (doc_id, text and others) with text less its repeated runs of at least so many words, and n_words, n_removed (words) and n_runs of the text as it was."""
+def dedup(docs: DataFrame, words: int = WORDS, line: int = LINE) -> DataFrame:
+    """docs (doc_id, text and others) with text less its repeated runs of at least `words` words and lines of at least `line`, and n_words, n_removed (words) and n_runs of the text as it was."""
     keep = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "n_runs")]
-    found = ranges(docs, words)
-    left = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.col("text").cast("string").alias("text"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("_tag"))
+    found = ranges(docs, words, line)
+    left = docs.select(F.struct(*(named(c).alias(f"c{k}") for k, c in enumerate(keep))).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.col("text").cast("string").alias("text"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("_tag"))
     right = found.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "ranges")
     joined = left.join(right, ["_id", "_tag"], "left").select("row", "text", "ranges")
 
@@ -236,7 +253,7 @@ def dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     row = joined.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(lean(run), f"row {row}, text string, n_words long, n_removed long, n_runs long")
-    return out.select(*(F.col("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns if c not in ("n_words", "n_removed", "n_runs")), "n_words", "n_removed", "n_runs")
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.c{keep.index(c)}").alias(c) for c in docs.columns if c not in ("n_words", "n_removed", "n_runs")), "n_words", "n_removed", "n_runs")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
