@@ -1,12 +1,13 @@
 """Quality classifier: supervised subword embeddings.
 
-A document's features are hashed words, hashed character (byte) 3- and 4-grams, and one for a word that repeats the word before it. Each feature has a learned
-vector; a document is the sum of the means of its vectors over each kind, and a softmax layer gives the classes. All is trained by plain
-stochastic gradient descent in numpy on at most `rows` labelled documents, chosen by a hash of doc_id. As the layer is linear, vectors and
-softmax weights fold into one table of class scores for each feature, which is what executors get (its size is fixed).
+A document's features are hashed words, hashed pairs of successive words and hashed character (byte) 3- and 4-grams. Each feature has a learned vector; a document is the average of
+the vectors of all its features, and a softmax layer gives the classes. All is trained by plain stochastic gradient descent in numpy on a bounded sample of labelled documents: the first `rows`
+by a hash of doc_id, and of these as many as have at most `size` bytes of features. As the layer is linear, vectors and softmax weights fold into one table of class scores for each
+feature, which is what executors get (its size is fixed). A pair's hash is that of the difference of its words' hashes.
 
-Cases: null and empty texts, which have no features, get the score of the bias alone; labels that are null are left out; a doc_id with several labels is
-taken with each; without any label of a class the score is that of the prior; repeated rows are scored each; other columns are ignored."""
+Cases: null and empty texts, which have no features, get the score of the bias alone; labels that are null are left out; a doc_id with several labels or texts is
+taken with each; ties in the hash go by doc_id, label and text; without any label of a class the score is that of the prior; repeated rows are scored each and count once in the sample; an
+empty table gives no rows; other columns stay as they are, but for those that have the names of the outputs, which are replaced."""
 
 from __future__ import annotations
 
@@ -14,15 +15,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.llm.common import NONSPACE, documents, lean, texts, words
+from tessera.llm.common import NONSPACE, discard, documents, lean, mix, named, table, texts, words
 
 BITS, DIM, ROWS, EPOCHS, BATCH, RATE, SEED = 16, 12, 4000, 6, 16, 4.0, 7
-KINDS = 3  # words, 3-grams, 4-grams; then the repeat feature
-SIZE = KINDS * (1 << BITS) + 1
+SAMPLE_BYTES, STEPS = 128 << 20, 600
+KINDS = 4  # words, pairs of words, 3-grams, 4-grams
+SIZE = KINDS * (1 << BITS)
 THRESHOLD, FOLDS = 0.3, 5
 
 
@@ -30,6 +32,8 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
     """For each kind: the feature at each place, and each text's first place and end (two rows)."""
     _, _, h, first = words(data, offsets, NONSPACE)
     out = [((h >> np.uint64(64 - BITS)).astype(np.int32), np.stack([first[:-1], first[1:]]))]
+    pair = mix(h[1:] - h[:-1]) >> np.uint64(64 - BITS)
+    out.append((pair.astype(np.int32) + (1 << BITS), np.stack([first[:-1], np.maximum(first[:-1], first[1:] - 1)])))
     wide = np.zeros(len(data) + 4, np.uint32)
     wide[: len(data)] = data
     code = wide[:-4] | wide[1:-3] << np.uint32(8) | wide[2:-2] << np.uint32(16)
@@ -37,25 +41,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np
         if k == 4:
             code |= wide[3:-1] << np.uint32(24)
         g = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-        out.append((g.astype(np.int32) + (k - 2 << BITS), np.stack([offsets[:-1], np.maximum(offsets[:-1], offsets[1:] - k + 1)])))
-    same = np.zeros(len(h), bool)
-    same[1:] = h[1:] == h[:-1]
-    same[first[:-1][first[:-1] < len(h)]] = False
-    out.append((np.where(same, SIZE - 1, -1).astype(np.int32), out[0][1]))
+        out.append((g.astype(np.int32) + (k - 1 << BITS), np.stack([offsets[:-1], np.maximum(offsets[:-1], offsets[1:] - k + 1)])))
     return out
 
 
 def counted(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct features of each text and their weights: the share among the places of their kind."""
+    """Distinct features of each text and their weights: the share among all its features."""
     kinds = features(data, offsets)
     for d in range(len(offsets) - 1):
-        ids, weights = [], []
-        for f, at in kinds:
-            own = f[at[0, d] : at[1, d]]
-            u, n = np.unique(own[own >= 0], return_counts=True)
-            ids.append(u)
-            weights.append(n / max(1, len(own)))
-        yield np.concatenate(ids).astype(np.int32), np.concatenate(weights).astype(np.float32)
+        u, n = np.unique(np.concatenate([f[at[0, d] : at[1, d]] for f, at in kinds]), return_counts=True)
+        yield u.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
 
 
 def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int = 2, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +61,7 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int =
     share = np.bincount(y, minlength=classes) + 1.0
     bias = np.log(share / share.sum()).astype(np.float32)
     out += rng.normal(0, 0.5, out.shape).astype(np.float32)
+    epochs = max(epochs, -(-STEPS * BATCH // max(1, len(y)))) if len(y) else 0  # small samples are seen more often
     steps, done = epochs * max(1, -(-len(y) // BATCH)), 0
     for _ in range(epochs):
         order = rng.permutation(len(y))
@@ -91,18 +87,26 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int =
     return vectors @ out, bias
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Features and labels of at most `rows` labelled documents outside the held-out fold, the first by a hash of doc_id."""
-    chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, size: int = SAMPLE_BYTES) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Features and labels of the sample: labelled documents outside the held-out fold in the order of a hash of doc_id, at most `rows` of them and `size` bytes of their features."""
+    wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).distinct()
+    wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)  # no more labels can be used
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in texts(batches):
             for d, (ids, w) in enumerate(counted(data, offsets)):
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(d, 1), part.column(1).slice(d, 1), pa.array([ids.tobytes()]), pa.array([w.tobytes()])], ["doc_id", "label", "ids", "w"])
-
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most `rows` rows are sent
-    got = joined.mapInArrow(lean(run), "doc_id long, label int, ids binary, w binary").limit(2 * rows).collect()
-    got.sort(key=lambda r: (r.doc_id, r.label, bytes(r.ids)))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).slice(d, 1) for k in (0, 1, 3)), pa.array([ids.tobytes()]), pa.array([w.tobytes()]), pa.array([ids.nbytes + w.nbytes])], ["doc_id", "label", "hash", "ids", "w", "size"])
+
+    # at most `rows` rows are broadcast
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").select("doc_id", "label", "text", F.xxhash64("text").alias("hash"))
+    made = table(joined.mapInArrow(lean(run), "doc_id long, label int, hash long, ids binary, w binary, size long"), "sample")
+    order = [F.xxhash64("doc_id"), "doc_id", "label", "hash"]
+    keys = made.groupBy("doc_id", "label", "hash").agg(F.first("size").alias("size")).orderBy(*order).limit(rows)
+    keys = keys.withColumn("total", F.sum("size").over(Window.orderBy(*order)))  # over at most `rows` small rows
+    chosen = keys.where(F.col("total") <= size).select("doc_id", "label", "hash")
+    got = made.join(F.broadcast(chosen), ["doc_id", "label", "hash"]).dropDuplicates(["doc_id", "label", "hash"]).collect()
+    discard(made)
+    got.sort(key=lambda r: (r.doc_id, r.label, r.hash))
     return [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.w, np.float32)) for r in got], np.array([r.label for r in got], np.int64)
 
 
@@ -110,34 +114,38 @@ def held_out(key):
     return F.crc32(key.cast("string").cast("binary")) % FOLDS == 0
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], positive: int = 1) -> DataFrame:
-    """All columns of docs (with text) and score, the probability of a class."""
-    table, bias = model
-    rest = np.delete(table, positive, 1)
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], positive: int = 1, output: str = "score") -> DataFrame:
+    """All columns of docs (with text) and the probability of a class."""
+    table_, bias = model
+    rest = np.delete(table_, positive, 1)
     if rest.shape[1] == 1:  # two classes: one number for each feature
-        table, bias = (table[:, [positive]] - rest), np.array([bias[positive] - bias[1 - positive], 0.0])
-    shared = docs.sparkSession.sparkContext.broadcast((np.append(table, np.zeros((1, table.shape[1])), 0).astype(np.float32), bias))
-    schema = StructType([f for f in docs.schema if f.name != "score"]).add("score", "double")
+        table_, bias = (table_[:, [positive]] - rest), np.array([bias[positive] - bias[1 - positive]])
+    shared = docs.sparkSession.sparkContext.broadcast((table_.astype(np.float32), bias))
+    keep = [c for c in docs.columns if c != output]
+    inner = docs.select(F.col("text").cast("string").alias("text"), *(named(c).alias(f"c{k}") for k, c in enumerate(keep)))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, bias = shared.value
+        table_, bias = shared.value
         for part, data, offsets in texts(batches):
             kinds = features(data, offsets)
-            z = np.zeros((len(offsets) - 1, len(bias)))
-            z += bias
-            for k in range(table.shape[1]):
-                column = table[:, k]
+            z = np.zeros((len(offsets) - 1, table_.shape[1]))
+            n = np.maximum(1, sum(at[1] - at[0] for _, at in kinds))
+            for k in range(table_.shape[1]):
+                column = table_[:, k]
                 for f, at in kinds:
                     total = np.concatenate([[0.0], np.cumsum(column[f], dtype=np.float64)])
-                    z[:, k] += (total[at[1]] - total[at[0]]) / np.maximum(1, at[1] - at[0])
-            if table.shape[1] == 1:
+                    z[:, k] += total[at[1]] - total[at[0]]
+            z = z / n[:, None] + bias
+            if table_.shape[1] == 1:
                 p = 1 / (1 + np.exp(-np.clip(z[:, 0], -500, 500)))
             else:
                 e = np.exp(z - z.max(1, keepdims=True))
                 p = e[:, positive] / e.sum(1)
-            yield pa.RecordBatch.from_arrays([*(c for c, n in zip(part.columns, part.schema.names, strict=True) if n != "score"), pa.array(p)], [*(n for n in part.schema.names if n != "score"), "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(p)], [*part.schema.names[1:], "score"])
 
-    return docs.select(*[c for c in docs.columns if c != "score"]).mapInArrow(lean(run), schema)
+    schema = StructType(inner.schema.fields[1:]).add("score", "double")
+    out = inner.mapInArrow(lean(run), schema)
+    return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(keep)), F.col("score").alias(output))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
