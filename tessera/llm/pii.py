@@ -6,8 +6,8 @@ each labeler is for each kind, and its posteriors train a logistic classifier of
 reach the driver: their number is bounded by votes, features and kinds, whatever the corpus. Spans that match a base rule stay whatever
 the classifier says; others are added where it says so.
 
-Cases: null texts are empty and have no spans; a document without candidates has empty strings of spans; matches of one kind never overlap, those of
-different kinds may; repeated rows are scanned each; other columns are ignored; an empty table gives no rows. All texts are read whole; positions are found by sums in blocks,
+Cases: null texts are empty and have no spans; a document without candidates has empty strings of spans; spans of one kind never overlap (a base span keeps its place, and a
+base pattern's match that fails its rule is no span), those of different kinds may; repeated rows are scanned each; other columns are ignored; an empty table gives no rows. All texts are read whole; positions are found by sums in blocks,
 so a text with very many matches takes time in proportion to them."""
 
 from __future__ import annotations
@@ -192,13 +192,16 @@ def _joined(spans: str) -> Column:
 
 
 def found(spans: DataFrame, weights: list[float], threshold: float = 0.5) -> DataFrame:
-    """doc_id, the base counts and digest, and all spans."""
+    """doc_id, the base counts and digest, all spans and their number."""
     width = 1 + len(FEATURES)
     z = " + ".join([f"w[s.kind * {width}]", *(f"if(substring(s.feats, {j + 1}, 1) = '1', w[s.kind * {width} + {j + 1}], 0D)" for j in range(len(FEATURES)))])
     w = "array(" + ", ".join(f"{x!r}D" for x in weights) + ")"
-    kept = spans.withColumn("w", F.expr(w)).withColumn("kept", F.expr(f"filter(spans, s -> s.base OR {z} >= {math.log(threshold / (1 - threshold))!r}D AND s.kind >= 3)")).withColumn("base", F.expr("filter(spans, s -> s.base)"))
+    # sorted by kind and place, a span can overlap none of its kind but the one before it: local numbers hold no plus, and base numbers have too few digits for two of them
+    free = "NOT coalesce(get(spans, i - 1).base AND get(spans, i - 1).kind = s.kind AND get(spans, i - 1).end > s.start, false)"
+    added = f"s.kind >= {ORDER['phone']} AND (s.kind > {ORDER['phone']} OR startswith(s.votes, '1')) AND {z} >= {math.log(threshold / (1 - threshold))!r}D AND {free}"
+    kept = spans.withColumn("w", F.expr(w)).withColumn("spans", F.array_sort("spans")).withColumn("kept", F.expr(f"filter(spans, (s, i) -> s.base OR {added})")).withColumn("base", F.expr("filter(spans, s -> s.base)"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {order})) AS bigint)").alias(f"n_{kind}") for kind, _, _, order, base in KINDS if base]
-    return kept.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("kept").alias("spans"))
+    return kept.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("kept").alias("spans"), F.size("kept").cast("long").alias("n_spans"))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
