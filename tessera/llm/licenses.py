@@ -2,11 +2,11 @@
 
 A template is licence wording with optional regions, <<beginOptional>>...<<endOptional>>, and replaceable ones, <<var;match="...">>. It is
 compiled into an automaton over words: mandatory words must stand as they are, optional regions may be left out, and a replaceable region
-takes one to eight words that match its pattern. A text has the template's label where the automaton accepts a run of its words. Beside
+takes one word or more, each of which matches its pattern. A text has the template's label where the automaton accepts a run of its words; all places are tried in one pass over the words. Beside
 these labels, the base phrases are counted at every place where their words stand consecutively.
 
 Cases: null and empty texts have no words, no labels (an empty string) and score 0; ties between templates give all their labels; other
-columns are ignored; a word that holds a base phrase's word only in part doesn't match."""
+columns are ignored; a template without a mandatory word would match nothing in particular and is an error; a word that holds a base phrase's word only in part doesn't match."""
 
 from __future__ import annotations
 
@@ -20,30 +20,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ALNUM, documents, lean, texts, words
 from tessera.llm.decontaminate import split
+from tessera.llm.license_texts import TEMPLATES
 
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Label and marked-up wording.
-TEMPLATES = [
-    ("apache-2.0", 'Licensed under the Apache License, Version 2.0<<beginOptional>> (the "License")<<endOptional>>'),
-    ("apache-2.0", "<<beginOptional>>under the terms of the <<endOptional>>Apache License<<beginOptional>>,<<endOptional>> 2.0"),
-    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software<<beginOptional>> and associated documentation files (the \"Software\")<<endOptional>>, to deal in the Software without restriction"),
-    ("mit-notice", "<<beginOptional>>This software is <<endOptional>><<beginOptional>>Released <<endOptional>>under the MIT License"),
-    ("gpl-3.0", 'GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>><<beginOptional>>, either<<endOptional>> version 3<<beginOptional>> of the License<<endOptional>>'),
-    ("gpl-2.0", 'GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>><<beginOptional>>, either<<endOptional>> version 2<<beginOptional>> of the License<<endOptional>>'),
-    ("cc-by-nc-4.0", "CC BY-NC<<beginOptional>>-<<endOptional>> 4.0"),
-    ("cc-by-sa-4.0", "CC BY-SA 4.0"),
-    ("cc-by-4.0", "CC BY 4.0"),
-    ("cc-by-nc-4.0", 'Creative Commons Attribution<<beginOptional>>-<<endOptional>>NonCommercial 4.0<<beginOptional>> International<<endOptional>><<beginOptional>> License<<endOptional>>'),
-    ("bsd", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met'),
-    ("spdx", 'SPDX-License-Identifier: <<var;name="id";match="[a-z0-9]+">>'),
-    ("copyright", 'Copyright <<beginOptional>>(c) <<endOptional>><<var;name="year";match="[12][0-9]{3}">> <<var;name="holder";match="[^0-9]+">> All rights reserved'),
-    ("all-rights-reserved", "All rights reserved"),
-]
-LONGEST_VAR = 8
-
-
 class Automaton:
     """States 0 to n; moves[s]: word -> states; wild[s]: (pattern, state); skips: states reached without a word."""
 
@@ -60,16 +41,10 @@ class Automaton:
                 self.skip[stack.pop()].add(at)
             elif piece.startswith("<<var"):
                 pattern = re.compile(re.search(r'match="([^"]*)"', piece)[1].encode())
-                last = at
-                ends = []
-                for _ in range(LONGEST_VAR):
-                    new = self._state()
-                    self.wild[last].append((pattern, new))
-                    last = new
-                    ends.append(new)
-                at = self._state()
-                for e in ends:
-                    self.skip[e].add(at)
+                new = self._state()
+                self.wild[at].append((pattern, new))
+                self.wild[new].append((pattern, new))
+                at = new
                 mandatory += not stack
             else:
                 for w in split(piece):
@@ -79,6 +54,8 @@ class Automaton:
                         self.needed.append(w)
                         mandatory += 1
                     at = new
+        if not self.needed:
+            raise ValueError("a template needs a mandatory word")
         self.end, self.words = at, mandatory
         self.first = {w for s in self._closure({0}) for w in self.moves[s]}
         self.open = any(self.wild[s] for s in self._closure({0}))
@@ -97,27 +74,29 @@ class Automaton:
             todo += new
         return done
 
-    def accepts(self, w: list[bytes], at: int) -> int:
-        """End of the longest run of words from a place that the template accepts, 0 if none."""
-        states, best = self._closure({0}), 0
-        while states:
-            if self.end in states:
-                best = at
-            if at == len(w):
-                break
-            x = w[at]
-            new: set[int] = set()
-            for s in states:
-                new |= self.moves[s].get(x, set())
-                new.update(t for p, t in self.wild[s] if p.fullmatch(x))
-            states, at = self._closure(new), at + 1
-        return best
-
     def find(self, w: list[bytes]) -> tuple[int, int] | None:
-        """The first run of words that is accepted."""
+        """The run of words that is accepted first: where it begins, at the earliest, and ends."""
+        begin, live = self._closure({0}), {}  # state -> where its run began
+        known: dict[tuple[re.Pattern, bytes], bool] = {}
         for k, x in enumerate(w):
-            if (x in self.first or self.open) and (end := self.accepts(w, k)):
-                return k, end
+            if x in self.first or self.open:
+                for s in begin:
+                    live.setdefault(s, k)
+            new: dict[int, int] = {}
+            for s, at in live.items():
+                for t in self.moves[s].get(x, ()):
+                    new[t] = min(at, new.get(t, at))
+                for p, t in self.wild[s]:
+                    if (p, x) not in known:
+                        known[p, x] = bool(p.fullmatch(x))
+                    if known[p, x]:
+                        new[t] = min(at, new.get(t, at))
+            live = {}
+            for s in sorted(new, key=new.get):
+                for t in self._closure({s}):
+                    live.setdefault(t, new[s])
+            if self.end in live:
+                return live[self.end], k + 1
         return None
 
 
