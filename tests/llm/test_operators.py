@@ -443,3 +443,36 @@ def test_pipeline_stages(spark, small):
     assert not decontaminate.report(decontaminate.contamination(docs, common.documents(spark, small, "benchmark"))).where("contaminated").count()
     assert all(k == c for k, c in again.items())
     assert P.run(spark, small).select("doc_id").distinct().count() == n[-1]
+
+
+def test_genetic_packing_beats_best_fit():
+    """Triplets that fill bins exactly are hard for best fit decreasing."""
+    rng = random.Random(1)
+    sizes = []
+    for _ in range(60):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, (1000 - a) // 2)
+        sizes += [a, b, 1000 - a - b]
+    greedy = packing.refill([], [], list(range(180)), sizes, 1000)
+    best = None
+    for k in range(4):
+        best = packing.evolve(sizes, 1000, k, [best] if best else [], 30, 8)
+        assert sorted(i for b in best[0] for i in b) == list(range(180))
+        assert best[1] == [1000 - sum(sizes[i] for i in b) for b in best[0]] and min(best[1]) >= 0
+    assert len(best[0]) <= 63 < len(greedy[0])
+
+
+def test_packing_over_many_shards(spark):
+    """Equal rows spread over shards, every row is packed once, and what small shards lose is made good across them."""
+    rng = random.Random(3)
+    rows_ = [(None, 0, 100, 7)] * 300 + [(k, 0, rng.randint(40, 900), k) for k in range(500)]
+    cut = common.table(spark.createDataFrame(rows_, "doc_id long, piece int, length long, ids_crc32 long").repartition(3), "cut")
+    out = packing.pack(cut, shard=100, worst=6).collect()
+    assert sorted((str(r.doc_id), r.length) for r in out) == sorted((str(r[0]), r[2]) for r in rows_)
+    bins = {}
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == bins.get(r.sequence_id, 0)
+        bins[r.sequence_id] = r.offset + r.length
+    assert max(bins.values()) <= 1024
+    assert len(bins) <= len(packing.pack(cut, shard=100, worst=0).select("sequence_id").distinct().collect())
+    assert len(bins) <= -(-sum(r[2] for r in rows_) // 1024) + 3
