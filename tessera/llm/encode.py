@@ -2,7 +2,7 @@
 
 A text is cut where no token of the public byte-level and word-level BPE files can lie across: before white space that follows other characters, after a single
 line feed, and between letters and ASCII punctuation. Chunks are found and looked up by 64-bit hashes, all at once for a slice of texts; the library encodes those
-that aren't in the cache. Texts with white space other than blanks and line feeds are encoded whole. Special tokens' strings are
+that aren't in the cache. No cut touches white space other than blanks and line feeds. Special tokens' strings are
 ordinary text."""
 
 from __future__ import annotations
@@ -21,7 +21,10 @@ WORD = public_tokenizers.path("word_bpe_49k.json")
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 SLOTS, WIDTH = 1 << 19, 10  # of the cache; chunks of more ids are encoded again in each slice
 LONGEST = 1 << 21
-OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: White space, or what some call so, besides blanks and line feeds.
+OTHERS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Before white space that follows other characters, where no token can lie across.
+BREAK = re.compile(f"(?<=[^ \n{OTHERS}])[ \n]")
 #: Classes of code points: letters whose lower case and NFC are letters (none from U+0250 up, and not U+0130), ASCII punctuation without apostrophes and hyphens, white space.
 LETTER, POINT, BLANK, FEED = 1, 2, 3, 4
 _CLASS = np.zeros(0x251, np.uint8)
@@ -31,7 +34,9 @@ for _c in ".,!?|*%$#&;:()":
     _CLASS[ord(_c)] = POINT
 _CLASS[0x20], _CLASS[0x0A] = BLANK, FEED
 _CODE = np.random.Generator(np.random.PCG64(77)).integers(0, 2**64, 0x251, np.uint64)
-_SAFE_CUT = re.compile(r"(?<=[^ \n])[ \n]")
+_OTHER = np.zeros(0x251, bool)
+_OTHER[[ord(c) for c in OTHERS if ord(c) < 0x250]] = True
+_FAR_OTHER = np.array([ord(c) for c in OTHERS if ord(c) >= 0x250], np.uint32)
 
 
 def _byte_letters() -> list[str]:
@@ -94,16 +99,20 @@ class Encoder:
         low = np.minimum(code, 0x250)
         kind = _CLASS[low]
         blank = kind >= BLANK
+        other = _OTHER[low]
+        far = np.flatnonzero(code >= 0x250)
+        other[far[np.isin(code[far], _FAR_OTHER)]] = True
+        space = blank | other
         cut = np.zeros(n + 1, bool)
-        cut[1:-1] = blank[1:] & ~blank[:-1]  # before white space
+        cut[1:-1] = blank[1:] & ~space[:-1]  # before white space
         cut[1:-1] |= ((kind[:-1] == LETTER) & (kind[1:] == POINT)) | ((kind[:-1] == POINT) & (kind[1:] == LETTER))
-        cut[2:-1] |= (kind[1:-1] == FEED) & ~blank[2:] & ~blank[:-2]  # after a single line feed
+        cut[2:-1] |= (kind[1:-1] == FEED) & ~space[2:] & ~space[:-2]  # after a single line feed
         cut[offsets] = True
         cut[n] = False
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
         value = _CODE[low]
-        if (far := np.flatnonzero(code >= 0x250)).size:
+        if len(far):
             value[far] = mix(code[far].astype(np.uint64) * MIXERS[0])
         power, inverse = powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
@@ -141,23 +150,22 @@ class Encoder:
     _later = None
 
     def counted(self, values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each chunk of some texts begins among their characters, its number of ids, and each text's first chunk (with an end). Not for texts with other white space."""
+        """Where each chunk of some texts begins among their characters, its number of ids, and each text's first chunk (with an end)."""
         start, _, sizes, first = self.chunks(values)
         self._remember()
         return start, sizes, first
 
     def count(self, text: str) -> int:
         """Number of ids of a text."""
-        return len(self.direct(text)) if OTHER_SPACE.search(text) else int(self.counted([text])[1].sum())
+        return int(self.counted([text])[1].sum())
 
     def encode(self, values: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after another, and where each text begins (with an end)."""
-        odd = {k: np.array(self.direct(v), np.uint32) for k, v in enumerate(values) if v and OTHER_SPACE.search(v)}
         parts: list[list[str]] = [[]]
         ends = np.zeros(len(values) + 1, np.int64)  # texts' ends among the parts
         held, n = 0, 0
         for k, v in enumerate(values):
-            for x in _pieces(v) if v and k not in odd else ():
+            for x in _pieces(v) if v else ():
                 if held + len(x) > LONGEST and parts[-1]:
                     parts.append([])
                     held = 0
@@ -171,17 +179,13 @@ class Encoder:
             out.append(self.flat[np.repeat(begin - before[:-1], sizes) + np.arange(before[-1])])
             at += (before[first[1:]] + at[-1]).tolist()
             self._remember()
-        ids, at = np.concatenate(out), np.array(at)[ends]
-        if odd:
-            parts_ = [odd.get(k, ids[at[k] : at[k + 1]]) for k in range(len(values))]
-            return np.concatenate(parts_), np.concatenate([[0], np.cumsum([len(p) for p in parts_])])
-        return ids, at
+        return np.concatenate(out), np.array(at)[ends]
 
 
 def _pieces(text: str) -> list[str]:
     """A very long text cut before white space, into pieces that can be encoded alone."""
     out, at = [], 0
-    while len(text) - at > LONGEST and (m := _SAFE_CUT.search(text, at + LONGEST // 2)):
+    while len(text) - at > LONGEST and (m := BREAK.search(text, at + LONGEST // 2)):
         out.append(text[at : m.start()])
         at = m.start()
     return [*out, text[at:]]

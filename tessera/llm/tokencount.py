@@ -1,17 +1,17 @@
 """Token counts that follow edits.
 
-Each document has a segment tree over its pre-tokens: a leaf holds a stretch of about LEAF of them, a node the sums of characters and tokens below. An edit
+trees() keeps a segment tree for each document as a row of a table: a leaf holds a stretch of about LEAF pre-tokens, a node the sums of characters and tokens below (two arrays in heap order, node 1 is the root). edited() applies
+edits to such rows without the documents' texts, and can give the trees as they are then, for the next edits. An edit
 replaces characters start to stop. The tree is descended to the leaves that the edit touches; there, the words that it touches and one word of
 context on each side are encoded as they were and as they are now, and the difference goes into the sums on the way to the root. Leaves and regions begin
 before white space that follows other characters, where no token can lie across, so one word of context is enough on either side.
 
 Cases: null texts are empty; edits that are null or outside the text are clipped to it; a null replacement deletes; edits apply one after another, each to
-the text the former left; texts with white space other than blanks and line feeds (or edits that bring some) are encoded whole, as one leaf;
+the text the former left; a document without edits keeps its tree; an empty table gives no rows;
 repeated rows are counted each; other columns are ignored."""
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
@@ -21,11 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents, lean
-from tessera.llm.encode import OTHER_SPACE, WORD, Encoder, encoder, slices
+from tessera.llm.common import documents, lean, table
+from tessera.llm.encode import BREAK, WORD, Encoder, encoder, slices
 
 LEAF = 64
-RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
 class Tree:
@@ -34,10 +33,7 @@ class Tree:
     def __init__(self, enc: Encoder, text: str, starts: np.ndarray | None = None, counts: np.ndarray | None = None) -> None:
         """starts and counts: where the encoder's chunks of the text begin and their numbers of tokens, if they are known."""
         self.enc, self.work = enc, 0
-        self.whole = bool(OTHER_SPACE.search(text))
-        if self.whole:
-            chars, tokens = [len(text)], [len(enc.direct(text))]
-        elif not text:
+        if not text:
             chars, tokens = [0], [0]
         else:
             if starts is None:
@@ -57,6 +53,13 @@ class Tree:
         for node in range(self.base - 1, 0, -1):
             self._up(node)
 
+    @classmethod
+    def stored(cls, enc: Encoder, leaves: list[str], chars: list[int], tokens: list[int]) -> Tree:
+        """A tree from a row of trees()."""
+        self = cls.__new__(cls)
+        self.enc, self.work, self.leaves, self.base, self.sums = enc, 0, leaves, len(chars) // 2, [chars, tokens]
+        return self
+
     def _up(self, node: int) -> None:
         for s in self.sums:
             s[node] = s[2 * node] + s[2 * node + 1]
@@ -96,7 +99,7 @@ class Tree:
         n = self.sums[0][1]
         start = min(max(0, start), n)
         stop = min(max(start, stop), n)
-        if self.whole or OTHER_SPACE.search(new) or not n:
+        if not n:
             text = self.text
             work, text = self.work, text[:start] + new + text[stop:]
             self.__init__(self.enc, text)
@@ -109,7 +112,8 @@ class Tree:
         a += len(self.leaves[left]) if left != first else 0
         b = a + stop - start
         lo = hi = 0
-        words = [m.span() for m in RUN.finditer(old)]
+        cuts = [0, *(m.start() for m in BREAK.finditer(old)), len(old)]
+        words = list(zip(cuts, cuts[1:], strict=False))
         at = max(0, bisect_right(words, (a, len(old) + 1)) - 1)
         lo = words[max(0, at - 1)][0]
         at = max(0, bisect_right(words, (max(a, b - 1), len(old) + 1)) - 1)
@@ -137,37 +141,63 @@ class Tree:
 EDITS = "array<struct<start: bigint, stop: bigint, text: string>>"
 
 
-def counted(docs: DataFrame, path: str = WORD) -> DataFrame:
-    """docs (doc_id, text, edits: EDITS): n_tokens before and n_tokens_after all edits, n_edits, n_chars, and n_encoded_again, the characters encoded for the edits."""
+TREE = "doc_id long, leaves array<string>, chars array<bigint>, tokens array<bigint>"
+_TREE = pa.schema([("doc_id", pa.int64()), ("leaves", pa.list_(pa.string())), ("chars", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
+_COUNTS = ["n_tokens", "n_tokens_after", "n_edits", "n_chars", "n_encoded_again"]
+
+
+def trees(docs: DataFrame, path: str = WORD) -> DataFrame:
+    """A tree for each row of docs (doc_id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            keys, values, edits = batch.column(0), [v or "" for v in batch.column(1).to_pylist()], batch.column(2).to_pylist()
+            values = [v or "" for v in batch.column(1).to_pylist()]
             for a, b in slices(values):
-                plain = ["" if OTHER_SPACE.search(v) else v for v in values[a:b]]
-                starts, n, first = enc.counted(plain)
+                starts, n, first = enc.counted(values[a:b])
                 at, rows = 0, []
-                for k, v in zip(range(a, b), plain, strict=True):
+                for k in range(a, b):
                     own = slice(first[k - a], first[k - a + 1])
                     tree = Tree(enc, values[k], starts[own] - at, n[own])
-                    at += len(v)
-                    before, chars = tree.count, tree.sums[0][1]
-                    done = 0
-                    for e in edits[k] or ():
-                        if e:
-                            tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
-                            done += 1
-                    rows.append((before, tree.count, done, chars, tree.work))
-                yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], ["doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_chars", "n_encoded_again"])
+                    at += len(values[k])
+                    rows.append((tree.leaves, *tree.sums))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), list(_TREE)[1:], strict=True))], schema=_TREE)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), TREE)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.col("edits").cast(EDITS).alias("edits")).mapInArrow(lean(run), "doc_id long, n_tokens long, n_tokens_after long, n_edits long, n_chars long, n_encoded_again long")
+
+def edited(rows: DataFrame, path: str = WORD, keep: bool = True) -> DataFrame:
+    """Rows of trees() with edits (EDITS): n_tokens before and n_tokens_after all edits, n_edits, n_chars, and n_encoded_again, the characters encoded for the edits; with keep the trees after the edits, too."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            out, counts = [], []
+            for leaves, chars, tokens, edits in zip(*(batch.column(j).to_pylist() for j in range(1, 5)), strict=True):
+                tree = Tree.stored(enc, leaves, chars, tokens)
+                before, n, done = tree.count, chars[1], 0
+                for e in edits or ():
+                    if e:
+                        tree.edit(e["start"] or 0, e["stop"] or 0, e["text"] or "")
+                        done += 1
+                counts.append((before, tree.count, done, n, tree.work))
+                if keep:
+                    out.append((tree.leaves, *tree.sums))
+            arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*counts, strict=True) if counts else [()] * 5))]
+            if keep:
+                arrays += [pa.array(c, t.type) for c, t in zip(zip(*out, strict=True) if out else [()] * 3, list(_TREE)[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *_COUNTS, *(_TREE.names[1:] if keep else ())])
+
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + (", " + TREE.partition(", ")[2] if keep else "")
+    return rows.select("doc_id", "leaves", "chars", "tokens", F.col("edits").cast(EDITS).alias("edits")).mapInArrow(lean(run), schema)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of all documents before and after three edits of each: a deletion, an insertion and a replacement at places that follow from doc_id."""
-    n = F.greatest(F.length(F.coalesce("text", F.lit(""))), F.lit(1)).cast("long")
+    """Counts of all documents before and after three edits of each, from their stored trees: a deletion, an insertion and a replacement (by the text's first nine characters) at places that follow from doc_id."""
+    kept = table(trees(documents(spark, sf_dir)), "trees")
+    n = F.greatest(F.col("chars")[1], F.lit(1))
     place = lambda k: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(k)), n)
     edit = lambda a, b, t: F.struct(a.alias("start"), b.alias("stop"), t.alias("text"))
-    edits = F.array(edit(place(1), place(1) + 12, F.lit("")), edit(place(2), place(2), F.lit(" inserted words, 42")), edit(place(3), place(3) + 5, F.substring("text", 1, 9)))
-    return counted(documents(spark, sf_dir).select("doc_id", "text", edits.alias("edits")))
+    begin = F.left(F.array_join(F.slice("leaves", 1, 9), ""), F.lit(9))  # a leaf has a character at least
+    edits = F.array(edit(place(1), place(1) + 12, F.lit("")), edit(place(2), place(2), F.lit(" inserted words, 42")), edit(place(3), place(3) + 5, begin))
+    return edited(kept.withColumn("edits", edits), keep=False)

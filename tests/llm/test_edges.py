@@ -27,7 +27,7 @@ OPERATORS = {
     "jaccard": lambda s, d: jaccard.similar(d),
     "tokenfile": lambda s, d: tokenfile.read(tokenfile.write(d)),
     "quality": lambda s, d: quality.classify(d, labels(d)),
-    "tokencount": lambda s, d: tokencount.counted(d.withColumn("edits", F.lit(None).cast(tokencount.EDITS))),
+    "tokencount": lambda s, d: tokencount.edited(tokencount.trees(d).withColumn("edits", F.lit(None).cast(tokencount.EDITS))),
     "pii": lambda s, d: pii_found(d),
     "licenses": lambda s, d: licenses.scan(d),
 }

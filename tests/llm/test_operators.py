@@ -91,11 +91,39 @@ def test_op5_in_order(spark, small):
         start += len(ids)
 
 
+def applied(text, edits):
+    for a, b, new in edits:
+        a = min(max(0, a), len(text))
+        text = text[:a] + new + text[max(a, min(b, len(text))) :]
+    return text
+
+
 def test_op7_counts(spark, small):
+    """Counts before and after the query's edits, by encoding whole texts."""
     tok = Tokenizer.from_file(encode.WORD)
-    texts = dict(rows(spark, small))
-    for r in QUERIES["op7_token_counts"](spark, small).collect():
-        assert r.n_tokens == len(tok.encode(texts[r.doc_id], add_special_tokens=False).ids)
+    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id", "coalesce(text, '') text", *(f"pmod(xxhash64(doc_id, {k}), greatest(length(coalesce(text, '')), 1)) p{k}" for k in (1, 2, 3)))
+    want = {}
+    for r in docs.collect():
+        after = applied(r.text, [(r.p1, r.p1 + 12, ""), (r.p2, r.p2, " inserted words, 42"), (r.p3, r.p3 + 5, r.text[:9])])
+        want[r.doc_id] = tuple(len(tok.encode(t, add_special_tokens=False).ids) for t in (r.text, after))
+    out = QUERIES["op7_token_counts"](spark, small).collect()
+    assert {r.doc_id: (r.n_tokens, r.n_tokens_after) for r in out} == want
+    assert sum(r.n_encoded_again for r in out) < sum(r.n_chars for r in out)
+
+
+def test_trees_are_kept_between_edits(spark):
+    tok = Tokenizer.from_file(encode.WORD)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab é.,\n\t\xa0'!1") for _ in range(n)) for n in (0, 1, 40, 3000, 9000)] + [None]
+    now = {k: t or "" for k, t in enumerate(texts)}
+    trees = tokencount.trees(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    for _ in range(3):
+        edits = {k: [(a := rng.randrange(len(t) + 5), a + rng.randrange(30), rng.choice(["", " x", "\ty\n", "longer words, 12 of them "])) for _ in range(rng.randrange(4))] for k, t in now.items()}
+        kept = common.table(trees, "trees")
+        rows_ = spark.createDataFrame([(k, e) for k, e in edits.items()], f"doc_id long, edits {tokencount.EDITS}")
+        trees = common.table(tokencount.edited(kept.join(rows_, "doc_id")), "edited")
+        now = {k: applied(t, edits[k]) for k, t in now.items()}
+        assert {r.doc_id: ("".join(r.leaves), r.n_tokens_after, r.chars[1]) for r in trees.collect()} == {k: (t, len(tok.encode(t, add_special_tokens=False).ids), len(t)) for k, t in now.items()}
 
 
 def test_op10_packs_all(spark, small):
