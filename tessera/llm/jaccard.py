@@ -1,16 +1,17 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A document's set holds the hashes of its distinct 5-word shingles. Sizes fall into bands [l, 4l/3], so that sets with a Jaccard similarity of 3/4 lie in one band or in
-neighbours; instance j covers bands j-1 and j, and two sets of one instance differ in at most (s + t) / 7 elements. Each instance partitions the feature domain by a
-hash into more partitions than its sets can differ in, and a set's projections on single partitions (subsets of one, which take the fewest signatures at
-this threshold) are its signatures: similar sets must agree in `need` of them at least. Empty projections say nothing, so a set with fewer
+neighbours; instance j covers bands j-1 and j, and two sets of one instance differ in at most d = (s + t) / 7 elements. Each instance partitions the feature domain by a
+hash into n > d / 2 partitions, so similar sets differ in one element at most in some of them; each partition has PARTS parts, and every subset of all of its parts but one is
+enumerated: a set's projection on the subset, salted with its place, is a signature. Sets that differ in one element of a partition agree in the subset without that element's part, in none they agree in all. So similar sets share
+one signature at least, and `need` = max(3n - 2d, 2n - d) of them in all: n has a margin so that this is more than one. Empty projections say nothing, so a set with fewer
 than `need` projections that aren't empty also takes part under further partitionings.
 
 Signatures meet in buckets by their hash. Groups of at most FEW sets give their pairs. Larger groups (common passages, large families of copies) give none, but count against
 the `need` of their members: a set that has signatures to spare needs none of its frequent ones. The others meet again among themselves, first each with the
 most central set of its groups only (that with the most frequent signatures). Once components are known, those sets
 that lie outside the largest component of their family (sets that share signatures, directly or not) are searched for in the rest of it, block by block, with an index
-of their features. So no large group gives all its pairs and no link is lost. Candidate pairs are verified by their whole sets. Equal sets are one class throughout and are never paired.
+of their features. So no large group gives all its pairs and no document is parted from its group. Candidate pairs are verified by their whole sets. Equal sets are one class throughout and are never paired.
 
 Cases: null, empty and wordless texts have no shingles and no links; a text of fewer than five words is one shingle; repeated rows are one class; the least doc_id names a
 component, rows without doc_id take part but never name one; other columns are ignored; an empty table gives no rows."""
@@ -28,6 +29,7 @@ from tessera.llm.common import BLOBS, MIXERS, NONSPACE, bucket_keys, bucket_of,
 from tessera.llm.graph import components
 
 SHINGLE = 5
+PARTS = 3
 FEW = 8
 SEEDS = 6
 FLUSH = 1_000_000
@@ -68,9 +70,14 @@ def classes(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def partitions(high: np.ndarray) -> np.ndarray:
-    """Partitions of an instance, by the largest size in it: more than its sets can differ in, by a margin for empty and frequent projections."""
-    k = 2 * high // 7
-    return k + 1 + np.where(k > 0, k * 15 // 100 + 1, 0)
+    """Partitions of an instance, by the largest size in it: as many as make similar sets share about a seventh of the differences they can have, and two more, as a margin for empty and frequent projections."""
+    d = 2 * high // 7
+    return np.where(d > 0, (d + 3 + d * 15 // 100) // 2, 1)
+
+
+def needed(n: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Signatures that two sets share at least which differ in d elements: of n partitions each without a difference gives three and each with one gives one."""
+    return np.maximum(3 * n - 2 * d, 2 * n - d)
 
 
 def signatures(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,19 +90,21 @@ def signatures(sets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     for role in (0, 1):  # the own band, then the next
         instance = band + role
         n = partitions(HIGHS[instance])
-        most = (sizes + np.minimum(sizes * 4 // 3, HIGHS[instance])) // 7
-        need = n - most
+        need = needed(n, (sizes + np.minimum(sizes * 4 // 3, HIGHS[instance])) // 7)
         todo = sizes > 0
         for seed in range(SEEDS + 1):
-            base = np.cumsum(np.where(todo, n, 0)) - np.where(todo, n, 0)
+            some = np.where(todo, n * PARTS, 0)
+            base = np.cumsum(some) - some
             pick = todo[doc]
             d, x = doc[pick], sets[pick]
-            at = base[d] + (((mix(x ^ MIXERS[10 + seed]) >> np.uint64(32)) * n[d].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
-            count = int(np.where(todo, n, 0).sum())
-            total = np.zeros(count, np.uint64)
-            np.add.at(total, at, value[pick])
-            full = np.bincount(at, minlength=count) > 0
-            owner = np.repeat(np.arange(len(sizes)), np.where(todo, n, 0))
+            at = base[d] + (((mix(x ^ MIXERS[10 + seed]) >> np.uint64(32)) * (n[d] * PARTS).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+            count = int(some.sum())
+            part = np.zeros(count, np.uint64)
+            np.add.at(part, at, value[pick])
+            held = np.bincount(at, minlength=count)
+            whole, held_in = (np.repeat(c.reshape(-1, PARTS).sum(1), PARTS) for c in (part, held))
+            total, full = whole - part, held_in > held  # of each subset: all parts of the partition but one
+            owner = np.repeat(np.arange(len(sizes)), some)
             place = np.arange(count) - base[owner]
             empty = np.bincount(owner[~full], minlength=len(sizes))
             if seed == 0:
@@ -273,11 +282,13 @@ def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
-def _rest(marked: DataFrame) -> DataFrame:
-    """Links between the sets of a family (cls, set, comp, family) that are in different components.
+def _rest(marked: DataFrame, links: bool = False) -> DataFrame:
+    """Links between the sets of a family (cls, set, comp, family) that are in different components; with links, all links of the family.
 
     Those outside the family's largest component are queries against all its sets, in blocks of at most about BLOCK sets on either side, so that neither pairs nor
     a family ever gather in one place."""
+    if links:  # each set is a component of its own, so all but one are queries
+        marked = marked.withColumn("comp", F.col("cls"))
     count = marked.groupBy("family", "comp").agg(F.count("*").alias("n"))
     total = count.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("sets"), (F.sum("n") - F.max("n")).alias("queries")).where("queries > 0")
     total = table(total.select("family", "main", F.ceil(F.col("sets") / BLOCK).alias("ni"), F.ceil(F.col("queries") / BLOCK).alias("nj")), "families")
@@ -382,8 +393,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return table(two.mapInArrow(lean(_verify), "a long, b long"), "links")
 
 
-def similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, class, n_links (verified links of the class to other classes; in large families enough to connect them, not all), component_id, text_hash and family (a class of the component, that of rows without doc_id, too; null without shingles) of docs (doc_id, text)."""
+def similar(docs: DataFrame, shingle: int = SHINGLE, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, class, component_id, text_hash and family (a class of the component, that of rows without doc_id, too; null without shingles) of docs (doc_id, text).
+
+    With links, n_links too: the number of other classes (different sets) that are similar to the document's, all of them; large families then search each member in all the others."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     parts = shuffle_partitions(spark)
@@ -421,7 +434,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     pairs = table(pairs_.where("n >= need").select("a", "b").union(likely.select("a", "b")), "candidates")
     discard(found, pairs_)
     sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(tied.select("cls")), shingle)
-    links = _verified(pairs, sets)
+    found_links = _verified(pairs, sets)
     if tied.limit(1).count():
 
         def again(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,19 +451,22 @@ def similar(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         central = meet(some.mapInArrow(lean(again), BLOBS), _centres).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
         central = table(central, "centres")
         tried = central.where("2 * n >= need").select("a", "b").join(pairs, ["a", "b"], "left_anti")  # a choice for speed only
-        links = table(links.union(_verified(table(tried, "tried"), sets)), "links")
+        found_links = table(found_links.union(_verified(table(tried, "tried"), sets)), "links")
         known = lambda df, name: df.select(F.col("node").alias("cls"), F.col("label").alias(name))
-        marked = some.select("cls", "set").join(known(components(links), "comp"), "cls", "left").join(known(components(central), "family"), "cls", "left")
+        marked = some.select("cls", "set").join(known(components(found_links), "comp"), "cls", "left").join(known(components(central), "family"), "cls", "left")
         marked = table(marked.select("cls", "set", F.coalesce("comp", "cls").alias("comp"), F.coalesce("family", "cls").alias("family")), "marked")
-        links = table(links.union(_rest(marked).distinct()), "links")
-    label = components(links)
+        found_links = table(found_links.union(_rest(marked, links)).distinct(), "links")
+    label = components(found_links)
     ids = label.join(reps.withColumnRenamed("cls", "node"), "node").select(F.col("label").alias("cls"), "rep").union(reps)
     least = ids.join(label.select("label").distinct().withColumnRenamed("label", "cls"), "cls", "left_semi").groupBy("cls").agg(F.min("rep").alias("component"))
     of = label.join(least.withColumnRenamed("cls", "label"), "label").select(F.col("node").alias("cls"), "component", "label").union(least.select("cls", "component", "cls"))
-    degree = links.distinct().select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
-    info = table(reps.join(of, "cls", "left").join(degree, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"), F.coalesce("label", "cls").alias("family"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "info")
+    info = reps.join(of, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"), F.coalesce("label", "cls").alias("family"))
+    if links:
+        degree = found_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+        info = info.join(degree, "cls", "left")
+    info = table(info, "info")
     discard(sets, pairs, frequent, tied)
-    return named.join(info, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "doc_id").alias("component_id"), "text_hash", "family")
+    return named.join(info, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class"), *([F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if links else []), F.coalesce("component", "doc_id").alias("component_id"), "text_hash", "family")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

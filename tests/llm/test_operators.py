@@ -272,6 +272,18 @@ def test_similar_by_brute_force(spark):
     assert max(Counter(c for _, c in expected.values()).values()) > 50  # the family is one component, though the base itself is not there
 
 
+def test_all_links_are_counted(spark):
+    docs = list(enumerate(made_texts()))
+    sets = {}
+    for key, text in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(text))
+        sets[key] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    kinds = set(sets.values())
+    want = {k: sum(x != s and 100 * len(s & x) >= 75 * len(s | x) for x in kinds) if s else 0 for k, s in sets.items()}
+    out = jaccard.similar(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), links=True).collect()
+    assert {r.doc_id: r.n_links for r in out} == want and max(want.values()) > 20
+
+
 def test_similar_sets_share_needed_signatures():
     rng = np.random.default_rng(3)
     for _ in range(60):
