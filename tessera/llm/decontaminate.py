@@ -5,7 +5,8 @@ necessary prefix is its rarest shingle alone: documents are joined with the wind
 would start (the positional bound) and how many words must follow (the length bound); what passes is verified word by word. Items of
 fewer words than a window are one window of their own length.
 
-The benchmark is taken in blocks of at most BLOCK windows; only one block is broadcast at a time, and every block meets all documents.
+The benchmark is taken in blocks of about BLOCK bytes of windows and item ids, dealt by a hash of both, so that a window of a great many items is spread over blocks, too; only one block is
+collected and broadcast at a time, and every block meets all documents. What blocks find for a document adds up.
 
 Cases: null and wordless texts have no words and no hits; null or wordless items have no windows; windows of items without
 item_id count for n_hit and contaminated, and not for the items; repeated rows and repeated items are
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ALNUM, LOWER, discard, documents, grams, lean, table, texts, words
 
-WINDOW, SHINGLE, BLOCK = 10, 3, 200_000
+WINDOW, SHINGLE, BLOCK = 10, 3, 32 << 20
+PAIRS = 2_000_000  # candidates looked at together
 STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("ranges", pa.binary()), ("items", pa.list_(pa.string())), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 _SPACED = bytes(int(LOWER[i]) if ALNUM[LOWER[i]] else 32 for i in range(256))
 
@@ -126,13 +128,16 @@ def _match(state: DataFrame, index, fields: pa.Schema = STATE) -> DataFrame:
             for k in np.unique(x.kind):
                 at, g = x.seen(h, int(k), x.prefix)
                 lo, hi = np.searchsorted(x.prefix, g, "left"), np.searchsorted(x.prefix, g, "right")
-                rows = np.repeat(np.arange(len(at)), hi - lo)
-                p = np.arange(len(rows)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[rows]
-                p, rows = p[ok := x.kind[p] == k], rows[ok]
-                doc = np.searchsorted(first, at[rows], "right") - 1
-                begin = at[rows] - x.offset[p]
-                ok = (begin >= first[doc]) & (begin + lengths[x.window[p]] <= first[np.minimum(doc + 1, len(first) - 1)])
-                pairs.append(np.stack([doc[ok], begin[ok], x.window[p][ok]], 1))
+                which = np.cumsum(hi - lo) // PAIRS
+                for some in np.split(np.arange(len(at)), np.flatnonzero(which[1:] != which[:-1]) + 1):
+                    n = hi[some] - lo[some]
+                    rows = np.repeat(some, n)
+                    p = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) + lo[rows]
+                    p, rows = p[ok := x.kind[p] == k], rows[ok]
+                    doc = np.searchsorted(first, at[rows], "right") - 1
+                    begin = at[rows] - x.offset[p]
+                    ok = (begin >= first[doc]) & (begin + lengths[x.window[p]] <= first[np.minimum(doc + 1, len(first) - 1)])
+                    pairs.append(np.stack([doc[ok], begin[ok], x.window[p][ok]], 1))
             pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 3), np.int64)
             found: dict[int, list[tuple[int, int, int]]] = {}
             for doc, begin, w in pairs.tolist():
@@ -154,14 +159,14 @@ def _match(state: DataFrame, index, fields: pa.Schema = STATE) -> DataFrame:
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """docs (doc_id, text) with n_words, ranges (pairs of 64-bit first word and length of each hit, words from 0), items (sorted ids, null for none) and counts of these."""
     spark = docs.sparkSession
-    grid = table(windows(items, window).groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.count("*").alias("n")), "windows")
-    total = grid.count()
+    grid = table(windows(items, window).select("words", F.col("item_id").alias("item")).distinct(), "windows")
+    total = grid.agg(F.sum(F.octet_length("words") + F.coalesce(F.octet_length("item"), F.lit(0)) + 64)).first()[0] or 0
     blocks = max(1, -(-total // block))
-    grid = grid.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks))).select("block", "words", F.explode_outer("items").alias("item"))
+    grid = grid.withColumn("block", F.pmod(F.xxhash64("words", "item"), F.lit(blocks)))
     state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("ranges"), F.lit(None).cast("array<string>").alias("items"))
     previous = None
     for k in range(blocks):
-        x = Index([(r.item, r.words) for r in grid.where(F.col("block") == k).collect()])  # at most about `block` windows
+        x = Index([(r.item, r.words) for r in grid.where(F.col("block") == k).collect()])  # about `block` bytes
         shared = spark.sparkContext.broadcast(x)
         counts = np.zeros(len(x.shingles), np.int64)
         if len(counts):
