@@ -159,7 +159,7 @@ def test_evolution_keeps_items():
     assert packing.fitness(two) <= packing.fitness(one)
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK, 500])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK, 60_000])
 def test_decontamination_by_brute_force(spark, small, block):
     found = decontaminate.report(decontaminate.contamination(common.documents(spark, small), common.documents(spark, small, "benchmark"), block=block))
     windows = defaultdict(set)
