@@ -1,6 +1,6 @@
 """Queries over the driver's tables, one for each operator."""
 
-from tessera.plans import changes, customer, governance, insights, language
+from tessera.plans import changes, customer, governance, insights, language, warehouse
 from tessera.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "changes", "customer", "governance", "insights", "language"]
+__all__ = ["QUERIES", "SQL", "changes", "customer", "governance", "insights", "language", "warehouse"]

@@ -178,7 +178,7 @@ RULES = [
 
 
 @query(f"WITH {STAGED}, stg_orders AS (SELECT * FROM staged), core_customer AS (SELECT * FROM customer), r AS (" + " UNION ALL ".join(f"SELECT '{r.rule_id}' AS rule_id, '{r.severity}' AS severity, {r.threshold} AS thr, {'-1' if 'no_such' in r.failed else '(' + r.failed + ')'} AS rows_failed, (SELECT count(*) FROM {r.table}) AS rows_evaluated" for r in RULES) + """)
-SELECT rule_id, severity, CAST(rows_failed AS BIGINT) AS rows_failed, rows_evaluated, CASE WHEN rows_failed < 0 THEN NULL ELSE round(CAST(rows_failed AS DOUBLE) * 100 / rows_evaluated, 4) END AS fail_pct,
+SELECT rule_id, severity, CAST(rows_failed AS BIGINT) AS rows_failed, rows_evaluated, CASE WHEN rows_failed < 0 THEN 0.0 ELSE round(CAST(rows_failed AS DOUBLE) * 100 / rows_evaluated, 4) END AS fail_pct,
 CASE WHEN rows_failed < 0 THEN 'FAIL' WHEN rows_failed = 0 OR CAST(rows_failed AS DOUBLE) * 100 / rows_evaluated <= thr THEN 'PASS' WHEN severity = 'BLOCKING' THEN 'FAIL' WHEN severity = 'WARNING' THEN 'WARN' ELSE 'PASS' END AS status FROM r""")
 def dq_run(s: SparkSession, d: str) -> DataFrame:
     return Q.run(s, RULES, {"stg_orders": _staged(s, d), "core_customer": M.load(s, d, "customer")})
