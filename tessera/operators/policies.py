@@ -42,6 +42,35 @@ def api_birth(c: Column) -> Column:
     return F.concat(F.date_format(c, "yyyy"), F.lit("-**-**"))
 
 
+def api_phone(c: Column) -> Column:
+    """Stars and the last four digits; only stars if there are fewer; empty and null stay."""
+    digits = F.regexp_replace(c, "[^0-9]", "")
+    return F.when(c.isNull() | (c == ""), c).when(F.length(digits) >= 4, F.concat(F.lit("***-***-"), F.right(digits, F.lit(4)))).otherwise("***")
+
+
+def api_name(c: Column) -> Column:
+    """The first letter and stars for the rest, two at least."""
+    return F.when(c.isNull() | (c == ""), c).otherwise(F.concat(F.left(c, F.lit(1)), F.repeat(F.lit("*"), F.greatest(F.length(c) - 1, F.lit(2)))))
+
+
+def api_full_name(c: Column) -> Column:
+    """The first name as it is, the others masked."""
+    parts = F.filter(F.split(c, r"\s+"), lambda p: p != "")
+    return F.when(c.isNull() | (F.size(parts) == 0), c).otherwise(F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), api_name)), " "))
+
+
+#: How the API masks each field of a profile.
+API_MASKS = {"email": api_email, "phone": api_phone, "birth_date": lambda c: api_birth(c), "full_name": api_full_name, "first_name": api_name, "last_name": api_name}
+
+
+def api_profile(df: DataFrame, allowed: bool) -> DataFrame:
+    """Profiles as a caller may see them: as they are, or with the fields that they have masked and these named; a field that isn't there isn't invented."""
+    if allowed:
+        return df
+    there = [c for c in df.columns if c in API_MASKS]
+    return df.withColumns({c: API_MASKS[c](F.col(c)) for c in there} | {"masked": F.lit(True), "masked_fields": F.array(*map(F.lit, sorted(there))).cast("array<string>")})
+
+
 def pseudonym(c: Column, prefix: str, salt: str) -> Column:
     """PREFIX_ and the first 12 hexadecimal digits of a salted SHA-256."""
     return F.concat(F.lit(f"{prefix}_"), F.upper(F.substring(F.sha2(F.concat(F.lit(f"{salt}:"), c.cast("string")), 256), 1, 12)))

@@ -64,3 +64,47 @@ def documents(whole: DataFrame, orders: DataFrame, k: int, degraded: tuple[str,
     top = orders.groupBy("customer").agg(last.alias("orders"))
     doc = whole.join(top, "customer", "left").select("customer", F.struct(*(F.col(c).alias(camel(c)) for c in whole.columns), F.coalesce("orders", F.array().cast(top.schema["orders"].dataType)).alias("orders"), F.array(*map(F.lit, degraded)).cast("array<string>").alias("degradedFields")).alias("d"))
     return doc.select("customer", F.to_json("d").alias("document"))
+
+
+#: Where the columns of the full view stand in a nested document.
+BLOCKS = {
+    "profile": ["full_name", "email", "phone", "birth_date", "segment", "preferred_channel", "marketing_opt_in", "customer_status", "customer_since", "tenure_days", "city", "state", "country"],
+    "loyalty": ["loyalty_account", "loyalty_tier", "loyalty_status", "loyalty_points_balance", "loyalty_enrolled_at"],
+    "analytics": ["customer_lifetime_value", "predicted_clv_12m", "value_tier", "engagement_score", "total_orders", "total_net_revenue", "avg_order_value", "return_rate", "open_cases", "avg_csat"],
+}
+
+
+def nested(whole: DataFrame, orders: DataFrame | None, cases: DataFrame | None, churn: DataFrame | None, drivers: DataFrame | None, k: int = 10) -> DataFrame:
+    """customer and a document (struct) of the full view in blocks, with the k latest orders (customer, order_date, order_id and more), the k latest cases (customer, opened_at, case_id and more),
+    the score (customer, probability, band) with its drivers (customer, rank, driver, contribution) and the sources as an array.
+
+    A branch that is None couldn't be read: it gets its default (an empty array or null), and the document is partial and names it. A customer without rows in a branch has the default, too, but that is no outage."""
+    fields = {"orders": orders, "cases": cases, "churn": churn}
+    degraded = sorted(n for n, df in fields.items() if df is None)
+    out = whole
+
+    def latest(df: DataFrame | None, name: str, at: str, key: str) -> None:
+        nonlocal out
+        if df is None:
+            out = out.withColumn(f"_{name}", F.array())
+            return
+        row = F.struct(at, key, *(c for c in df.columns if c not in ("customer", at, key)))
+        top = df.groupBy("customer").agg(F.slice(F.sort_array(F.collect_list(row), asc=False), 1, k).alias(f"_{name}"))
+        out = out.join(top, "customer", "left").withColumn(f"_{name}", F.coalesce(f"_{name}", F.array().cast(top.schema[f"_{name}"].dataType)))
+
+    latest(orders, "orders", "order_date", "order_id")
+    latest(cases, "cases", "opened_at", "case_id")
+    if churn is None:
+        out = out.withColumn("_churn", F.lit(None))
+    else:
+        scored = churn.select("customer", "probability", F.col("band").alias("_band"))
+        if drivers is not None:
+            scored = scored.join(drivers.groupBy("customer").agg(F.sort_array(F.collect_list(F.struct("rank", "driver", "contribution"))).alias("_drivers")), "customer", "left")
+        risk = F.struct("probability", F.col("_band").alias("band"), *([F.col("_drivers").alias("drivers")] if drivers is not None else []))
+        out = out.join(scored.select("customer", risk.alias("_churn")), "customer", "left")
+    block = lambda names: F.struct(*(F.col(c).alias(camel(c)) for c in names if c in whole.columns))
+    quality = F.struct(F.col("data_completeness_score").alias("completenessScore"), F.split("contributing_sources", ",").alias("contributingSources"))
+    return out.select("customer", F.struct(
+        F.col("customer").alias("customerId"), *(block(names).alias(n) for n, names in BLOCKS.items()), F.col("_orders").alias("orders"), F.col("_cases").alias("support"), F.col("_churn").alias("churnRisk"), quality.alias("dataQuality"),
+        F.lit(bool(degraded)).alias("partial"), F.array(*map(F.lit, degraded)).cast("array<string>").alias("degradedFields"),
+    ).alias("document"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import EMAIL_VALID, clean
 from tessera.operators import analytics as A
-from tessera.operators import core
+from tessera.operators import core, serving
+from tessera.operators import policies as P
 from tessera.operators import quality as Q
 from tessera.operators.rules import rules
 from tessera.plans import governance as G
@@ -171,3 +172,25 @@ def quarantine_rules(s: SparkSession, d: str) -> DataFrame:
     raw, staged = _raw_customers(s, d).withColumn("row_id", F.col("k").cast("string")), G._staged(s, d)
     kept = Q.survivors(raw.where("customer_id IS NOT NULL"), F.coalesce(F.lower(clean(F.col("email"))), F.col("row_id")), F.col("k"))
     return Q.rejected(raw, staged, kept, M.AS_OF - dt.timedelta(days=30))
+
+
+_LOCAL = "split_part(email, '@', 1)"
+_DIGITS = "regexp_replace(phone, '[^0-9]', '', 'g')"
+
+
+@query(f"""WITH {_RAW}, {_PROFILE.partition("addresses AS")[0].strip().rstrip(",")} SELECT customer, CASE WHEN contains(email, '@') THEN left(email, 1) || repeat('*', greatest(length({_LOCAL}) - 1, 3)) || '@' || split_part(email, '@', 2) END AS email, CASE WHEN phone IS NULL OR phone = '' THEN phone WHEN length({_DIGITS}) >= 4 THEN '***-***-' || right({_DIGITS}, 4) ELSE '***' END AS phone,
+CASE WHEN birth_date IS NOT NULL THEN strftime(birth_date, '%Y') || '-**-**' END AS birth_date, 'Ann ' || left(n, 1) || repeat('*', greatest(length(n) - 1, 2)) AS full_name, true AS masked, 'birth_date,email,full_name,phone' AS masked_fields FROM (SELECT *, CAST(customer AS VARCHAR) AS n FROM profiles)""")
+def mask_profile(s: SparkSession, d: str) -> DataFrame:
+    """Profiles of a caller without the right to see them; addresses without @ don't show."""
+    p = _profiles(s, d).select("customer", F.when(F.contains("email", F.lit("@")), F.col("email")).alias("email"), "phone", "birth_date", F.concat(F.lit("Ann "), F.col("customer").cast("string")).alias("full_name"))
+    return P.api_profile(p, False).withColumn("masked_fields", F.array_join("masked_fields", ","))
+
+
+@query(f"""{WAREHOUSE}, n AS (SELECT customer, count(*) AS n_orders, max(order_date) AS newest FROM sales GROUP BY customer) SELECT customer, least(coalesce(n_orders, 0), 3) AS n_orders, newest, loyalty_tier, probability, r.driver AS first_driver, len(string_split(contributing_sources, ',')) AS n_sources, true AS partial, 'cases' AS degraded
+FROM full360 LEFT JOIN n USING (customer) LEFT JOIN score USING (customer) LEFT JOIN (SELECT customer, driver FROM ranked WHERE rank = 1) r USING (customer)""")
+def customer_document(s: SparkSession, d: str) -> DataFrame:
+    """Nested documents, read back; the branch of cases can't be read."""
+    parts = A.contributions(_features(s, d))
+    doc = serving.nested(_full(s, d), M.sales(s, d), None, A.churn_score(parts), A.drivers(parts), 3)
+    x = F.col("document")
+    return doc.select("customer", F.size(x["orders"]).cast("long").alias("n_orders"), F.get(x["orders"], F.lit(0))["order_date"].alias("newest"), x["loyalty"]["loyaltyTier"].alias("loyalty_tier"), x["churnRisk"]["probability"].alias("probability"), x["churnRisk"]["drivers"][0]["driver"].alias("first_driver"), F.size(x["dataQuality"]["contributingSources"]).cast("long").alias("n_sources"), x["partial"].alias("partial"), F.array_join(x["degradedFields"], ",").alias("degraded"))

@@ -9,7 +9,7 @@ from tessera.functions import text as T
 from tessera.functions import vector as V
 from tessera.operators import policies as P
 from tessera.operators import quality as Q
-from tessera.operators import scd2, serving, staging
+from tessera.operators import core, scd2, serving, staging
 
 
 def one(spark, c):
@@ -187,3 +187,31 @@ def test_statement_guard(spark):
     assert serving.statement(spark, "SELECT 'drop; table' AS x").first().x == "drop; table"
     assert serving.row_types(spark.sql("SELECT 1 AS a, 1.5D AS b, true AS c, 'x' AS d")) == {"a": "FIXED", "b": "REAL", "c": "BOOLEAN", "d": "TEXT"}
     assert serving.camel("TOTAL_NET_REVENUE") == "totalNetRevenue"
+
+
+def test_a_rule_that_fails_while_it_runs_leaves_the_others_alone(spark):
+    df = spark.createDataFrame([("1",), ("x",)], "a string")
+    rules = [Q.Rule("A", "BLOCKING", 0, "t", where="a = 'x'"), Q.Rule("B", "WARNING", 0, "t", where="CAST(a AS INT) = 1"), Q.Rule("C", "INFO", 0, "t", "SELECT count(*) FROM t")]
+    out = {r.rule_id: (r.rows_failed, r.fail_pct, r.status) for r in Q.execute(spark, rules, {"t": df}).collect()}
+    assert out == {"A": (1, 50.0, "FAIL"), "B": (-1, 0.0, "FAIL"), "C": (2, 100.0, "PASS")}
+    assert not [t.name for t in spark.catalog.listTables() if t.isTemporary and t.name == "t"]
+
+
+def test_api_masks(spark):
+    assert [one(spark, P.api_name(F.lit(x))) for x in ("Jo", "J", "")] == ["J**", "J**", ""]
+    assert one(spark, P.api_full_name(F.lit(" Ann  Mary Lee "))) == "Ann M*** L**" and one(spark, P.api_full_name(F.lit("Ann"))) == "Ann"
+    assert [one(spark, P.api_phone(F.lit(x))) for x in ("+1 (402) 55", "12", "")] == ["***-***-0255", "***", ""]
+    row = P.api_profile(spark.createDataFrame([("jo@x.org", 1)], "email string, n int"), False).first()
+    assert (row.email, row.masked, row.masked_fields) == ("j***@x.org", True, ["email"])
+
+
+def test_sla_by_priority(spark):
+    df = spark.createDataFrame([("CRITICAL", 2.0), ("CRITICAL", 2.5), ("LOW", 72.0), ("MEDIUM", None)], "p string, h double")
+    assert [r.b for r in df.select(core.breached(F.col("p"), F.col("h")).alias("b")).collect()] == [False, True, False, True]
+
+
+def test_an_update_that_came_too_late_changes_nothing(spark):
+    dim = spark.createDataFrame([("a", "x", "hx", t("2020-01-05"), t("9999-12-31"), True, 1, "INSERT")], "k string, v string, row_hash string, valid_from timestamp, valid_to timestamp, is_current boolean, version int, change_type string")
+    late = spark.createDataFrame([("a", "w", "hw", t("2020-01-01"), None, "PASS")], "k string, v string, row_hash string, updated_at timestamp, created_at timestamp, dq_status string")
+    out = scd2.apply(dim, late, "k", F.lit("2020-02-01").cast("timestamp")).collect()
+    assert [(r.v, r.is_current, r.valid_to) for r in out] == [("x", True, t("9999-12-31"))]
