@@ -10,7 +10,7 @@ TEMPLATES = [
     (
         "apache-2.0-notice",
         """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
-        <<beginOptional>>http<<beginOptional>>s<<endOptional>>://www.apache.org/licenses/LICENSE-2.0<<endOptional>> Unless required by applicable law or agreed to in writing, software distributed under the
+        <<beginOptional>><<var;name="scheme";match="https?">>://www.apache.org/licenses/LICENSE-2.0<<endOptional>> Unless required by applicable law or agreed to in writing, software distributed under the
         License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
         limitations under the License.""",
     ),
@@ -46,7 +46,7 @@ TEMPLATES = [
     (
         "mpl-2.0",
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
-        http<<beginOptional>>s<<endOptional>>://mozilla.org/MPL/2.0/.""",
+        <<var;name="scheme";match="https?">>://mozilla.org/MPL/2.0/.""",
     ),
     ("cc-by-nc-4.0", "CC BY-NC<<beginOptional>>-<<endOptional>> 4.0"),
     ("cc-by-sa-4.0", "CC BY-SA 4.0"),

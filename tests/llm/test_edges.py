@@ -53,3 +53,22 @@ def test_packing_edges(spark, odd, nothing):
 def test_empty_benchmark(spark, odd):
     none = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.report(decontaminate.contamination(odd, none)).where("contaminated").count() == 0
+
+
+CLASHES = ["score", "predicted", "n_removed", "n_runs", "ranges", "_text", "_id", "_hash", "a.b", "row", "c0", "class", "family", "key"]
+
+
+def test_stages_keep_user_columns(spark, small):
+    """Rows with ids that are null or repeated, and columns with clashing or dotted names, come out of each stage byte for byte, or not at all."""
+    import corpus_pipeline as P
+
+    texts = [f"plain words number {k} in a row that is like no other row of {k * 7} words, and so on and on" for k in range(12)]
+    made = [(k if k % 3 else None, t, *(f"{c}-{k}" for c in CLASHES)) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, small)
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert set(got) <= set(made) and len(got) == len(set(got))
+        if stage is not P.quality:
+            assert len(got) == len(made)

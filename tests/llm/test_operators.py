@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm import common, decontaminate, encode, graph, jaccard, licenses, linededup, media, packing, pii, tokencount, tokenfile
+from tessera.llm import common, decontaminate, encode, graph, jaccard, license_texts, licenses, linededup, media, packing, pii, quality, tokencount, tokenfile
 from tessera.llm.queries import QUERIES
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -516,3 +516,64 @@ def test_packing_over_many_shards(spark):
     assert max(bins.values()) <= 1024
     assert len(bins) <= len(packing.pack(cut, shard=100, worst=0).select("sequence_id").distinct().collect())
     assert len(bins) <= -(-sum(r[2] for r in rows_) // 1024) + 3
+
+
+def test_whole_licence_notices(spark):
+    """Every template's wording, with and without its optional regions and with long holders, has its label; a mandatory word less and it hasn't."""
+    plain = lambda t: re.sub(r"<<(?:begin|end)Optional>>", "", t)
+    short = lambda t: re.sub(r"<<beginOptional>>(?:(?!<<(?:begin|end)Optional>>).)*<<endOptional>>", " ", t, flags=re.S)
+
+    def without(t):
+        while (s := short(t)) != t:
+            t = s
+        return t
+
+    values = {"year": "2019", "version": "3", "id": "mit", "scheme": "https"}
+    fill = lambda t: re.sub(r'<<var;name="([a-z]+)"[^>]*>>', lambda m: values.get(m[1], "The Regents and Contributors of a University with a Very Long Name"), t)
+    texts = [(2 * k + j, label, "Some words before. " + fill(f(t)) + " And after.") for k, (label, t) in enumerate(license_texts.TEMPLATES) for j, f in enumerate((plain, without))]
+    out = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame([(k, t) for k, _, t in texts], "doc_id long, text string")).collect()}
+    for k, label, text in texts:
+        assert label in out[k], (label, text)
+    broken = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame([(1, fill(plain(dict(license_texts.TEMPLATES)["mit-full"])).replace("MERCHANTABILITY", "merchants"))], "doc_id long, text string")).collect()}
+    assert "mit-full" not in broken[1] and "mit-text" in broken[1]
+    with pytest.raises(ValueError):
+        licenses.Automaton('<<beginOptional>>maybe<<endOptional>><<var;name="x";match=".+">>')
+
+
+def test_secrets_and_numbers_are_found_once(spark, small):
+    """All planted secrets are among the spans, and no span lies in another of its kind."""
+    path = small.replace("0.001", "0.01")
+    texts = dict(rows(spark, path))
+    planted = {k: [m.span(1) for m in re.finditer(r'(?:token|key|secret) = "([0-9a-f]{32,})"', t)] for k, t in texts.items()}
+    hit = total = 0
+    for r in QUERIES["op8_pii"](spark, path).collect():
+        spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert r.n_spans == len(spans)
+        for p, q in zip(sorted(spans), sorted(spans)[1:], strict=False):
+            assert p[0] != q[0] or p[2] <= q[1]
+        total += len(planted[r.doc_id])
+        hit += sum(any(k == "secret" and a <= x and y <= b for k, a, b in spans) for x, y in planted[r.doc_id])
+    assert total > 5 and hit >= 0.9 * total
+
+
+def test_scores_are_the_average_of_vectors(spark):
+    """The classifier's scores by a plain loop over each text's features."""
+    rng = np.random.default_rng(1)
+    table, bias = rng.normal(0, 1, (quality.SIZE, 2)), np.array([0.2, -0.1])
+    texts = ["a few words words words here", "", None, "é漢 x", "one"]
+    out = {r.doc_id: r.score for r in quality.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), (table, bias)).collect()}
+    for k, t in enumerate(texts):
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        (ids, w), = quality.counted(data, np.array([0, len(data)]))
+        z = bias + sum((table[i] * x for i, x in zip(ids, w, strict=True)), np.zeros(2))
+        assert abs(out[k] - 1 / (1 + np.exp(z[0] - z[1]))) < 1e-4
+
+
+def test_sample_is_bounded_and_alike(spark):
+    docs = spark.createDataFrame([(k % 40, f"text {k % 60} " * 20) for k in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(3, None), (None, 1)], "doc_id long, quality int")
+    x, y = quality.sample(docs.repartition(3), labels, "quality", rows=25)
+    a, b = quality.sample(docs.repartition(5), labels, "quality", rows=25)
+    assert len(x) == len(a) == 25 and y.tolist() == b.tolist() and all((p[0] == q[0]).all() for p, q in zip(x, a, strict=True))
+    some, _ = quality.sample(docs, labels, "quality", rows=25, size=sum(p.nbytes + q.nbytes for p, q in x) // 2)
+    assert 0 < len(some) < 25
