@@ -18,12 +18,13 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the session names. Where none is set, a session on one machine gets a folder of its own; a cluster has no such folder, so that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        sc.setCheckpointDir(base)  # the setting itself can't be changed while a session runs
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex[:12]}/{name}"
 
 

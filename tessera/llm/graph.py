@@ -56,4 +56,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    out._tessera_path = edges._tessera_path  # for discard()
+    return out

@@ -34,6 +34,7 @@ FEW = 8
 SEEDS = 6
 FLUSH = 1_000_000
 BLOCK = 2000
+BLOCK_BYTES = 64 << 20  # of the queries of a block, which a task holds
 FAR = 1 << 40
 FILTER_BITS = 23
 LOWS = [1]
@@ -285,13 +286,14 @@ def _search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rest(marked: DataFrame, links: bool = False) -> DataFrame:
     """Links between the sets of a family (cls, set, comp, family) that are in different components; with links, all links of the family.
 
-    Those outside the family's largest component are queries against all its sets, in blocks of at most about BLOCK sets on either side, so that neither pairs nor
-    a family ever gather in one place."""
+    Those outside the family's largest component are queries against all its sets, in blocks of at most about BLOCK sets on either side and BLOCK_BYTES of queries,
+    so that neither pairs nor a family ever gather in one place. A task holds the queries of its block; the other side streams past them."""
     if links:  # each set is a component of its own, so all but one are queries
         marked = marked.withColumn("comp", F.col("cls"))
-    count = marked.groupBy("family", "comp").agg(F.count("*").alias("n"))
-    total = count.groupBy("family").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("sets"), (F.sum("n") - F.max("n")).alias("queries")).where("queries > 0")
-    total = table(total.select("family", "main", F.ceil(F.col("sets") / BLOCK).alias("ni"), F.ceil(F.col("queries") / BLOCK).alias("nj")), "families")
+    count = marked.groupBy("family", "comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("bytes"))
+    main = F.max(F.struct("n", "comp", "bytes"))
+    total = count.groupBy("family").agg(main.alias("main"), F.sum("n").alias("sets"), (F.sum("n") - main["n"]).alias("queries"), (F.sum("bytes") - main["bytes"]).alias("bytes")).where("queries > 0")
+    total = table(total.select("family", F.col("main.comp").alias("main"), F.ceil(F.col("sets") / BLOCK).alias("ni"), F.ceil(F.greatest(F.col("queries") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("nj")), "families")
     rows = marked.join(total, "family")
     h = F.xxhash64("cls")
     own = {"i": F.pmod(h, "ni"), "j": F.pmod(h, "nj")}
@@ -300,7 +302,9 @@ def _rest(marked: DataFrame, links: bool = False) -> DataFrame:
     columns = ["family", F.col("i").cast("long"), F.col("j").cast("long"), "side", "cls", "set", "comp"]
     grid = asked.select(*columns).union(all_.select(*columns))
     n = shuffle_partitions(marked.sparkSession)
-    return grid.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j", "side").mapInArrow(lean(_search), "a long, b long")
+    out = table(grid.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j", "side").mapInArrow(lean(_search), "a long, b long"), "rest")
+    discard(total)
+    return out
 
 
 def _enter(keys: list[int]):
@@ -384,7 +388,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     nodes = table(nodes.distinct(), "nodes")
     shared = docs.sparkSession.sparkContext.broadcast(_wanted(nodes))
     found = docs.select("text").mapInArrow(lean(lambda b: _set_rows(b, shared.value, n)), "cls long, set binary").join(nodes, "cls", "left_semi")
-    return table(found.groupBy("cls").agg(F.first("set").alias("set")), "sets")
+    out = table(found.groupBy("cls").agg(F.first("set").alias("set")), "sets")
+    shared.unpersist()
+    discard(nodes)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -450,12 +457,16 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, links: bool = False) -> Dat
         some = table(sets.join(tied, "cls").select("cls", "set", "weight"), "tied_sets")
         central = meet(some.mapInArrow(lean(again), BLOBS), _centres).groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
         central = table(central, "centres")
-        tried = central.where("2 * n >= need").select("a", "b").join(pairs, ["a", "b"], "left_anti")  # a choice for speed only
-        found_links = table(found_links.union(_verified(table(tried, "tried"), sets)), "links")
+        tried = table(central.where("2 * n >= need").select("a", "b").join(pairs, ["a", "b"], "left_anti"), "tried")  # a choice for speed only
+        parts_ = [found_links, _verified(tried, sets)]
+        found_links = table(parts_[0].union(parts_[1]), "links")
         known = lambda df, name: df.select(F.col("node").alias("cls"), F.col("label").alias(name))
-        marked = some.select("cls", "set").join(known(components(found_links), "comp"), "cls", "left").join(known(components(central), "family"), "cls", "left")
+        comps, families = components(found_links), components(central)
+        marked = some.select("cls", "set").join(known(comps, "comp"), "cls", "left").join(known(families, "family"), "cls", "left")
         marked = table(marked.select("cls", "set", F.coalesce("comp", "cls").alias("comp"), F.coalesce("family", "cls").alias("family")), "marked")
-        found_links = table(found_links.union(_rest(marked, links)).distinct(), "links")
+        parts_ += [found_links, _rest(marked, links)]
+        found_links = table(parts_[2].union(parts_[3]).distinct(), "links")
+        discard(some, central, tried, comps, families, marked, *parts_)
     label = components(found_links)
     ids = label.join(reps.withColumnRenamed("cls", "node"), "node").select(F.col("label").alias("cls"), "rep").union(reps)
     least = ids.join(label.select("label").distinct().withColumnRenamed("label", "cls"), "cls", "left_semi").groupBy("cls").agg(F.min("rep").alias("component"))
@@ -465,7 +476,7 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, links: bool = False) -> Dat
         degree = found_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
         info = info.join(degree, "cls", "left")
     info = table(info, "info")
-    discard(sets, pairs, frequent, tied)
+    discard(sets, pairs, frequent, tied, found_links, label, reps)  # only `named` and `info` are read from here on
     return named.join(info, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class"), *([F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if links else []), F.coalesce("component", "doc_id").alias("component_id"), "text_hash", "family")
 
 

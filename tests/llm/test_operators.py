@@ -1,10 +1,12 @@
 """The operators against brute force, round trips and held-out labels."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -284,6 +286,35 @@ def test_all_links_are_counted(spark):
     assert {r.doc_id: r.n_links for r in out} == want and max(want.values()) > 20
 
 
+def test_similar_in_blocks_of_few_bytes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    docs = list(enumerate(made_texts()))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == similar_by_brute_force(docs)
+
+
+def test_similar_leaves_only_the_tables_of_its_result(spark, tmp_path, monkeypatch):
+    number = itertools.count()
+    monkeypatch.setattr(common, "scratch", lambda _, name: f"{tmp_path}/tessera-{next(number)}/{name}")
+    out = jaccard.similar(spark.createDataFrame(list(enumerate(made_texts())), "doc_id long, text string").repartition(3))
+    left = sorted(p.name for p in tmp_path.glob("tessera-*/*"))
+    assert left == ["info", "named"] and out.count() == len(made_texts())
+
+
+def test_scratch_without_a_named_folder():
+    """A session that names no folder makes its own on one machine, the same one for all tables; one on a cluster is an error."""
+    made = []
+    sc = SimpleNamespace(master="local[2]", getConf=lambda: {}, getCheckpointDir=lambda: made[0] if made else None, setCheckpointDir=made.append)
+    session = SimpleNamespace(conf={}, sparkContext=sc)
+    a, b = common.scratch(session, "x"), common.scratch(session, "y")
+    assert len(made) == 1 and a.startswith(made[0]) and b.startswith(made[0]) and a != b
+    made.clear()
+    sc.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        common.scratch(session, "x")
+
+
 def test_similar_sets_share_needed_signatures():
     rng = np.random.default_rng(3)
     for _ in range(60):
