@@ -56,5 +56,35 @@ def ratio(a: Column, b: Column, digits: int = 4) -> Column:
     return F.round(a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0)), digits)
 
 
+def last_part(c: Column, by: str) -> Column:
+    """What follows the last separator, all of it without one."""
+    return F.split_part(c, F.lit(by), F.lit(-1))
+
+
+def numbered(prefix: Column, n: Column, width: int = 3) -> Column:
+    """A prefix and a number with leading zeros."""
+    return F.concat_ws("-", prefix, F.lpad(n.cast("string"), width, "0"))
+
+
+def minutes_between(a: Column, b: Column) -> Column:
+    """Full minutes of the clock from a to b: seconds don't count."""
+    minute = lambda c: F.unix_seconds(F.date_trunc("minute", c))
+    return ((minute(b) - minute(a)) / 60).cast("long")
+
+
+def finite(c: Column, digits: int = 4) -> tuple[Column, Column]:
+    """A double rounded, NULL where it is NaN or infinite, and whether it is a whole number."""
+    v = c.cast("double")
+    ok = F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
+    return F.round(ok, digits), ok == F.floor(ok)
+
+
+def flattened(c: Column, fields: dict[str, str]) -> Column:
+    """Rows of a JSON array of objects: a struct of the fields (by their names there) as text; an array that can't be read gives none."""
+    element = "struct<" + ",".join(f"`{k}`:string" for k in fields) + ">"
+    renamed = F.transform(F.from_json(c, f"array<{element}>"), lambda x: F.struct(*(x[k].alias(n) for k, n in fields.items())))
+    return F.explode(renamed)
+
+
 def money(c: Column) -> Column:
     return c.cast("decimal(18,2)")

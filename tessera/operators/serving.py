@@ -52,6 +52,35 @@ def row_types(df: DataFrame) -> dict[str, str]:
     return {f.name: name(f.dataType) for f in df.schema}
 
 
+def rendered(df: DataFrame) -> DataFrame:
+    """All values as text, as the API returns them: true and false, dates and times in ISO form (fractions of a second only where there are any), arrays in brackets with null for missing elements."""
+
+    def text(f: T.StructField):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.TimestampType | T.TimestampNTZType):
+            return F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+        if isinstance(f.dataType, T.ArrayType):
+            return F.when(c.isNotNull(), F.concat(F.lit("["), F.array_join(c.cast("array<string>"), ",", "null"), F.lit("]")))
+        return c.cast("string")
+
+    return df.select(*(text(f).alias(f.name) for f in df.schema))
+
+
+def coerced(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Text as the row types say: FIXED (the whole part), REAL and BOOLEAN (true, 1 and t in any case, else false); other types stay text. A number that can't be read is NULL."""
+
+    def value(name: str):
+        c = F.col(f"`{name}`")
+        kind = types.get(name)
+        if kind == "FIXED":
+            return F.coalesce(c.try_cast("bigint"), c.try_cast("double").try_cast("bigint"))
+        if kind == "REAL":
+            return c.try_cast("double")
+        return F.lower(c).isin("true", "1", "t") if kind == "BOOLEAN" else c
+
+    return df.select(*(value(n).alias(n) for n in df.columns))
+
+
 def camel(name: str) -> str:
     """snake_case as camelCase."""
     head, *rest = name.lower().split("_")

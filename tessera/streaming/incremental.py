@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,32 +24,59 @@ def windowed_counts(stream: DataFrame, at: str, by: str, width: str = "1 day", d
     return stream.withWatermark(at, delay).groupBy(F.window(at, width), by).agg(F.count("*").alias("n"))
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+def _versions(spark: SparkSession, path: str) -> dict[int, dict[int, str]]:
+    """The folders of each bucket by the batch that wrote them, whole batches only."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    p = hadoop(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[int, dict[int, str]] = {}
     if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    done = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(done)
-
-
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The dimension after the last whole batch."""
-    done = _versions(spark, path)
-    return spark.read.parquet(f"{path}/batch={done[-1]}") if done else None
-
-
-def load_dimension(stream: DataFrame, path: str, checkpoint: str, key: str, empty: DataFrame, prepare):
-    """Apply each batch of a stream to the dimension under path. prepare(batch) gives staged rows, the latest of each key. A batch writes a folder of its own that counts once it is whole,
+        return out
+    number = lambda name: int(name.partition("=")[2])
+    for batch in (s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=")):
+        if fs.exists(hadoop(batch, "_SUCCESS")):
+            for b in (s.getPath() for s in fs.listStatus(batch) if s.getPath().getName().startswith("bucket=")):
+                out.setdefault(number(b.getName()), {})[number(batch.getName())] = b.toString()
+    return out
+
+
+def current(spark: SparkSession, path: str, before: int | None = None, buckets: set[int] | None = None) -> DataFrame | None:
+    """The dimension after the last whole batch (or the last one before a number): the newest folder of each bucket, or of some of them; None if there are none."""
+    newest = []
+    for bucket, by_batch in _versions(spark, path).items():
+        done = [n for n in by_batch if before is None or n < before]
+        if done and (buckets is None or bucket in buckets):
+            newest.append(by_batch[max(done)])
+    return spark.read.parquet(*newest) if newest else None
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 3) -> None:
+    """Delete folders of buckets but for the newest `keep` of each."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for by_batch in _versions(spark, path).values():
+        for n in sorted(by_batch)[:-keep]:
+            fs.delete(hadoop(by_batch[n]), True)
+
+
+def load_dimension(stream: DataFrame, path: str, checkpoint: str, key: str, empty: DataFrame, prepare, now: Column | None = None, buckets: int = 64):
+    """Apply each batch of a stream to the dimension under path. prepare(batch) gives staged rows, the latest of each key; now stands in for times that these lack (the clock if None).
+
+    Keys are dealt into buckets by hash, their number fixed for a path. A batch reads and writes only the buckets of its keys, into a folder of its own that counts once it is whole,
     so a batch that is run again after a failure starts from the same version and changes nothing twice; an empty batch does nothing."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [v for v in _versions(spark, path) if v < number]
-        if batch.isEmpty():
-            return
-        dim = spark.read.parquet(f"{path}/batch={before[-1]}") if before else empty
-        scd2.apply(dim, prepare(batch), key, F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        staged = prepare(batch).persist()
+        try:
+            touched = {r.b for r in staged.select(bucket.alias("b")).distinct().collect()}  # at most `buckets` rows
+            if touched:
+                before = current(spark, path, number, touched)
+                after = scd2.apply(empty if before is None else before, staged, key, F.current_timestamp() if now is None else now)
+                after.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
+                vacuum(spark, path)
+        finally:
+            staged.unpersist()
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

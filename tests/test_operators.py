@@ -215,3 +215,21 @@ def test_an_update_that_came_too_late_changes_nothing(spark):
     late = spark.createDataFrame([("a", "w", "hw", t("2020-01-01"), None, "PASS")], "k string, v string, row_hash string, updated_at timestamp, created_at timestamp, dq_status string")
     out = scd2.apply(dim, late, "k", F.lit("2020-02-01").cast("timestamp")).collect()
     assert [(r.v, r.is_current, r.valid_to) for r in out] == [("x", True, t("9999-12-31"))]
+
+
+def test_values_as_text_and_back(spark):
+    rows = [(1, 2.5, True, "x", dt.datetime(2024, 1, 2, 3, 4, 5, 600), [1, None]), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "n long, v double, b boolean, s string, at timestamp_ntz, a array<long>")
+    out = [tuple(r) for r in serving.rendered(df).collect()]
+    assert out == [("1", "2.5", "true", "x", "2024-01-02T03:04:05.000600", "[1,null]"), (None,) * 6]
+    back = serving.coerced(serving.rendered(df), serving.row_types(df))
+    assert [tuple(r)[:4] for r in back.collect()] == [r[:4] for r in rows]
+    odd = spark.createDataFrame([("2.9", "x", "T"), ("x", "1e2", "no")], "n string, v string, b string")
+    assert [tuple(r) for r in serving.coerced(odd, {"n": "FIXED", "v": "REAL", "b": "BOOLEAN"}).collect()] == [(2, None, True), (None, 100.0, False)]
+
+
+def test_overlapping_keys(spark):
+    rows = [("a", 1, 1, 9), ("a", 2, 2, 3), ("a", 3, 9, 12), ("b", 1, 1, 2), ("b", 2, 2, 2), ("b", 3, 2, 5), ("c", 1, 1, 4), ("c", 2, 2, 2)]
+    dim = spark.createDataFrame(rows, "k string, version int, valid_from int, valid_to int")
+    assert sorted(r.k for r in scd2.overlapping(dim, "k").collect()) == ["a", "c"]
+    assert sorted(tuple(r) for r in scd2.overlaps(dim, "k").collect()) == [("a", 1, 2), ("a", 2, 1), ("c", 1, 2), ("c", 2, 1)]

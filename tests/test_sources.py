@@ -72,3 +72,7 @@ def test_stream_into_dimension(spark, tmp_path):
     rows(("a", "y", at + dt.timedelta(days=1)))
     run()
     assert sorted((r.k, r.v, r.version, r.is_current) for r in I.current(spark, dim).collect()) == [("a", "x", 1, False), ("a", "y", 2, True), ("b", "x", 1, True)]
+    before = {b: sorted(v) for b, v in I._versions(spark, dim).items()}
+    assert sum(len(v) for v in before.values()) == 3  # the second load wrote the bucket of its one key only
+    I.vacuum(spark, dim, keep=1)
+    assert sum(len(v) for v in I._versions(spark, dim).values()) == 2 and I.current(spark, dim).count() == 3
