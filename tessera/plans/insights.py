@@ -10,7 +10,22 @@ from tessera.plans import customer as C
 from tessera.plans.mapping import load
 from tessera.plans.registry import query
 
-_TABLES = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "documents": ["doc_id", "text", "lang", "source", "n_chars"], "events": ["event_id", "ts", "user_id", "event_type", "value", "props"]}
+_TABLES = {
+    "region": "r_regionkey r_name".split(),
+    "nation": "n_nationkey n_name n_regionkey".split(),
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment".split(),
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal".split(),
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice".split(),
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split(),
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split(),
+    "events": "event_id ts user_id event_type value props".split(),
+    "documents": "doc_id text lang source n_chars".split(),
+    "embeddings": "vec_id embedding label".split(),
+    "pages": "page_id url html".split(),
+    "benchmark": "item_id text".split(),
+    "labels": "doc_id quality toxic".split(),
+    "conversations": "conv_id turn role text".split(),
+}
 _COLUMNS = [(t, c) for t, cs in _TABLES.items() for c in cs]
 _DESCRIBED = [("customer", "c_custkey"), ("customer", "c_name"), ("events", "ts")]
 _VALUES = ", ".join(f"('{t}', '{c}')" for t, c in _COLUMNS)
