@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, jaccard, licenses, linededup, media, packing, pii, quality, tokencount, tokenfile
+from tessera.llm import decontaminate, importance, jaccard, licenses, linededup, media, packing, pii, quality, secrets, tokencount, tokenfile, variants
 from tessera.llm.common import table
 
 
@@ -30,6 +30,8 @@ OPERATORS = {
     "tokencount": lambda s, d: tokencount.edited(tokencount.trees(d).withColumn("edits", F.lit(None).cast(tokencount.EDITS))),
     "pii": lambda s, d: pii_found(d),
     "licenses": lambda s, d: licenses.scan(d),
+    "secrets": lambda s, d: secrets.secrets(d),
+    "importance": lambda s, d: importance.resampled(d, bench(s)),
 }
 
 
@@ -50,6 +52,11 @@ def test_packing_edges(spark, odd, nothing):
     assert packing.pack(table(packing.pieces(nothing).drop("ids"), "p")).count() == 0
 
 
+def test_variants_edges(spark, odd, nothing):
+    assert {r.word for r in variants.grouped(table(variants.vocabulary(odd, 4), "v")).collect()} == {"word"}
+    assert variants.grouped(table(variants.vocabulary(nothing), "v")).count() == 0
+
+
 def test_empty_benchmark(spark, odd):
     none = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.report(decontaminate.contamination(odd, none)).where("contaminated").count() == 0
