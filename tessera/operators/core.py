@@ -77,15 +77,11 @@ def main_address(addresses: DataFrame) -> DataFrame:
     return latest(addresses, ["customer"], F.when(F.col("is_primary"), 0).otherwise(1), F.col("address_type"), F.col("city")).select("customer", "city", "state", "country")
 
 
-def dated_features(features: DataFrame, profiles: DataFrame, sales: DataFrame, as_of: dt.date) -> DataFrame:
-    """features with the day, the tenure, the trend of revenue (a day's revenue in the last 90 days against that in the 275 before) and the version of the set."""
-    day, rev = F.lit(as_of), F.col("status").isin(*REVENUE)
-    near = F.col("order_date") >= F.date_sub(day, 90)
-    prior = (F.col("order_date") < F.date_sub(day, 90)) & (F.col("order_date") >= F.date_sub(day, 365))
-    money = sales.where("customer IS NOT NULL").groupBy("customer").agg(*(F.coalesce(F.sum(F.when(c & rev, F.col("net"))), F.lit(0)).cast("double").alias(n) for c, n in ((near, "_near"), (prior, "_prior"))))
-    out = features.join(profiles.select("customer", F.datediff(day, F.to_date("created_at")).alias("tenure_days")), "customer").join(money, "customer", "left")
-    trend = F.coalesce(F.round((F.col("_near") / 90.0) / F.nullif(F.col("_prior") / 275.0, F.lit(0.0)), 4), F.lit(0.0))
-    return out.select("customer", day.alias("feature_date"), *features.columns[1:], "tenure_days", trend.alias("revenue_trend_ratio"), F.lit(FEATURE_SET).alias("feature_set_version"))
+def dated_features(all_of: DataFrame, as_of: dt.date) -> DataFrame:
+    """Features of combined rows (with created_at) with the day, the tenure, the trend of revenue (a day's revenue in the last 90 days against that in the 275 before) and the version of the set."""
+    day = F.lit(as_of)
+    trend = F.coalesce(F.round((F.col("revenue_last_90d") / 90.0) / F.nullif(F.col("revenue_prior") / 275.0, F.lit(0.0)), 4), F.lit(0.0))
+    return all_of.select("customer", day.alias("feature_date"), "features.*", F.datediff(day, F.to_date("created_at")).alias("tenure_days"), trend.alias("revenue_trend_ratio"), F.lit(FEATURE_SET).alias("feature_set_version"))
 
 
 def scored_features(features: DataFrame, scores: DataFrame) -> DataFrame:
@@ -93,18 +89,15 @@ def scored_features(features: DataFrame, scores: DataFrame) -> DataFrame:
     return features.join(scores.withColumnRenamed("score_date", "feature_date"), ["customer", "feature_date"])
 
 
-def full_view(profiles: DataFrame, addresses: DataFrame, orders: DataFrame, support: DataFrame, engagement: DataFrame, loyalty: DataFrame, scores: DataFrame, as_of: dt.date, at: dt.datetime) -> DataFrame:
-    """The unified view of each current customer, all columns. orders, support and engagement are the summaries, scores the latest of each customer; loyalty has one account for each."""
-    here = lambda df, name: df.withColumn(name, F.lit(True))
-    out = profiles
-    for part in (here(orders, "_o"), here(support, "_s"), here(engagement, "_e"), here(loyalty, "_l"), main_address(addresses), scores.select("customer", "probability", "band")):
-        out = out.join(part, "customer", "left")
+def full_view(all_of: DataFrame, addresses: DataFrame, as_of: dt.date, at: dt.datetime) -> DataFrame:
+    """The unified view of each current customer, all columns, from combined rows of whole profiles and loyalty accounts; addresses may have several for each."""
+    out = all_of.join(main_address(addresses), "customer", "left")
     c, day = F.col, F.lit(as_of)
     zero = lambda n, x=0: F.coalesce(c(n), F.lit(x))
     since = F.least(F.to_date("created_at"), F.coalesce("first_order_date", F.to_date("created_at")))
     revenue = zero("total_net_revenue", 0.0)
-    known = [c("email").isNotNull(), F.coalesce(c("phone") != "", F.lit(False)), c("birth_date").isNotNull(), c("city").isNotNull(), c("segment").isNotNull(), c("_o").isNotNull(), c("_l").isNotNull(), c("_s").isNotNull()]
-    came = [F.when(c(n).isNotNull(), f",{name}").otherwise("") for n, name in (("_o", "OMS"), ("_s", "SUPPORT"), ("_l", "LOYALTY"), ("_e", "ENGAGEMENT"))]
+    known = [c("email").isNotNull(), F.coalesce(c("phone") != "", F.lit(False)), c("birth_date").isNotNull(), c("city").isNotNull(), c("segment").isNotNull(), c("_orders").isNotNull(), c("_loyalty").isNotNull(), c("_support").isNotNull()]
+    came = [F.when(c(n).isNotNull(), f",{name}").otherwise("") for n, name in (("_orders", "OMS"), ("_support", "SUPPORT"), ("_loyalty", "LOYALTY"))]
     return out.select(
         "customer", "customer_sk", "master_customer_id", "full_name", "email", "phone", "birth_date", "segment", "preferred_channel", "marketing_opt_in", c("status").alias("customer_status"),
         since.alias("customer_since"), F.datediff(day, since).alias("tenure_days"), "city", "state", "country",
@@ -113,7 +106,7 @@ def full_view(profiles: DataFrame, addresses: DataFrame, orders: DataFrame, supp
         zero("total_cases").alias("total_cases"), zero("open_cases").alias("open_cases"), zero("cases_last_90d").alias("cases_last_90d"), "avg_csat", "avg_resolution_hours", "top_case_type",
         "loyalty_account", zero("tier", "NONE").alias("loyalty_tier"), zero("loyalty_status", "NOT_ENROLLED").alias("loyalty_status"), zero("points_balance").alias("loyalty_points_balance"), "loyalty_enrolled_at", F.datediff(day, c("last_activity_at")).alias("days_since_loyalty_activity"),
         zero("interactions_last_90d").alias("interactions_last_90d"), zero("negative_signals_90d").alias("negative_signals_90d"), zero("engagement_score", 0.0).alias("engagement_score"),
-        F.round(revenue, 2).alias("customer_lifetime_value"), F.round(zero("avg_order_value", 0.0) * zero("order_frequency_per_year", 0.0) * (1 - zero("probability", 0.25)), 2).alias("predicted_clv_12m"),
-        F.when(revenue >= 2000, "HIGH").when(revenue >= 500, "MEDIUM").otherwise("LOW").alias("value_tier"), "band",
-        F.round(100 * sum((k.cast("int") for k in known[1:]), known[0].cast("int")) / F.lit(len(known)), 2).alias("data_completeness_score"), F.concat(F.lit("CRM"), *came).alias("contributing_sources"), F.lit(at).alias("as_of_timestamp"),
+        F.round(revenue, 2).alias("customer_lifetime_value"), F.round(zero("avg_order_value", 0.0) * zero("order_frequency_per_year", 0.0) * (1 - zero("churn.probability", 0.25)), 2).alias("predicted_clv_12m"),
+        F.when(revenue >= 2000, "HIGH").when(revenue >= 500, "MEDIUM").otherwise("LOW").alias("value_tier"), "churn.band",
+        F.round(100 * sum((k.cast("int") for k in known[1:]), known[0].cast("int")) / F.lit(len(known)), 2).alias("data_completeness_score"), F.concat(F.lit("CRM"), *came, F.lit(",ENGAGEMENT")).alias("contributing_sources"), F.lit(at).alias("as_of_timestamp"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.exprs import most_common
 from tessera.operators import analytics as A
 from tessera.operators import serving as V
 from tessera.plans import mapping as M
@@ -75,17 +76,13 @@ def _support(s: SparkSession, d: str) -> DataFrame:
     return A.support_summary(M.cases(s, d), M.EVENT_AS_OF)
 
 
-def _engagement(s: SparkSession, d: str) -> DataFrame:
-    return A.engagement_summary(M.customers(s, d), M.touches(s, d), _orders(s, d), _support(s, d), M.loyalty(s, d), M.EVENT_AS_OF)
-
-
-def _features(s: SparkSession, d: str) -> DataFrame:
-    return A.features(M.customers(s, d), _orders(s, d), _support(s, d), _engagement(s, d), M.loyalty(s, d))
+def _combined(s: SparkSession, d: str) -> DataFrame:
+    return A.combined(M.customers(s, d), _orders(s, d), _support(s, d), M.touches(s, d), M.loyalty(s, d), M.EVENT_AS_OF)
 
 
 @query(WITH + ORDERS + "SELECT * FROM osum")
 def order_summary(s: SparkSession, d: str) -> DataFrame:
-    return _orders(s, d)
+    return _orders(s, d).drop("revenue_prior")
 
 
 @query(WITH + SUPPORT + "SELECT * FROM ssum")
@@ -95,31 +92,31 @@ def support_summary(s: SparkSession, d: str) -> DataFrame:
 
 @query(WITH + ORDERS + SUPPORT + ENGAGEMENT + "SELECT * FROM esum")
 def engagement_score(s: SparkSession, d: str) -> DataFrame:
-    return _engagement(s, d)
+    return A.engagement_summary(_combined(s, d))
 
 
 @query(WITH + ORDERS + SUPPORT + ENGAGEMENT + FEATURES + "SELECT * FROM feat")
 def features_trend(s: SparkSession, d: str) -> DataFrame:
-    return _features(s, d)
+    return A.features(_combined(s, d))
 
 
 @query(ALL + "SELECT * FROM parts")
 def churn_contributions(s: SparkSession, d: str) -> DataFrame:
-    return A.contributions(_features(s, d))
+    return _combined(s, d).select("customer", "parts.*")
 
 
 @query(ALL + "SELECT customer, CAST(rank AS INT) AS rank, driver, contribution FROM ranked WHERE rank <= 3")
 def churn_drivers_unpivot(s: SparkSession, d: str) -> DataFrame:
-    return A.drivers(A.contributions(_features(s, d)))
+    return A.drivers(_combined(s, d).select("customer", "parts.*"))
 
 
 @query(ALL + "SELECT * FROM score")
 def churn_score(s: SparkSession, d: str) -> DataFrame:
-    return A.churn_score(A.contributions(_features(s, d)))
+    return _combined(s, d).select("customer", "churn.*")
 
 
 def _whole(s: SparkSession, d: str) -> DataFrame:
-    return A.customer_360(M.customers(s, d), _orders(s, d), _support(s, d), _engagement(s, d), M.loyalty(s, d), A.churn_score(A.contributions(_features(s, d))))
+    return A.customer_360(_combined(s, d))
 
 
 @query(ALL + WHOLE + "SELECT * FROM c360")
@@ -142,7 +139,7 @@ def revenue_outliers(s: SparkSession, d: str) -> DataFrame:
 @query(ALL + WHOLE + """SELECT customer, CASE WHEN open_cases > 0 THEN 'RESOLVE_OPEN_CASE' WHEN band IN ('HIGH','CRITICAL') AND coalesce(days_since_last_order, 9999) >= 120 THEN 'RETENTION_OFFER_15_PCT' WHEN band IN ('HIGH','CRITICAL') THEN 'PROACTIVE_SERVICE_CALL' WHEN tier_rank = 0 THEN 'DOUBLE_POINTS_MONTH' ELSE 'NO_ACTION' END AS action,
   CASE WHEN open_cases > 0 THEN 'HIGH' WHEN band IN ('HIGH','CRITICAL') AND coalesce(days_since_last_order, 9999) >= 120 THEN 'HIGH' WHEN band IN ('HIGH','CRITICAL') THEN 'MEDIUM' ELSE 'LOW' END AS priority, segment = 'BUILDING' OR value_tier = 'HIGH' AS vip FROM c360 LEFT JOIN osum USING (customer)""")
 def next_best_action(s: SparkSession, d: str) -> DataFrame:
-    return V.next_best_action(_whole(s, d).join(_orders(s, d).select("customer", "days_since_last_order"), "customer", "left"), premium="BUILDING")
+    return V.next_best_action(A.customer_360(_combined(s, d), "days_since_last_order"), premium="BUILDING")
 
 
 @query(WITH + "SELECT customer, count(DISTINCT category) AS distinct_categories FROM sales JOIN items USING (order_id) JOIN products USING (product) GROUP BY customer")
@@ -152,4 +149,4 @@ def star_join_categories(s: SparkSession, d: str) -> DataFrame:
 
 @query(WITH + "SELECT customer, channel AS primary_channel FROM (SELECT customer, channel, row_number() OVER (PARTITION BY customer ORDER BY count(*) DESC, channel) AS r FROM sales GROUP BY customer, channel) WHERE r = 1")
 def primary_channel_mode(s: SparkSession, d: str) -> DataFrame:
-    return A.most_common(M.sales(s, d), "customer", "channel", "primary_channel")
+    return most_common(M.sales(s, d), "customer", "channel", "primary_channel")

@@ -15,7 +15,7 @@ from tessera.operators import quality as Q
 from tessera.operators.rules import rules
 from tessera.plans import governance as G
 from tessera.plans import mapping as M
-from tessera.plans.customer import ALL, DAY, _engagement, _features, _orders, _support
+from tessera.plans.customer import ALL, DAY, _combined, _orders, _support
 from tessera.plans.registry import query
 
 AT = dt.datetime(2001, 8, 1)
@@ -76,7 +76,7 @@ def _versions(s: SparkSession, d: str) -> DataFrame:
 def _accounts(s: SparkSession, d: str) -> DataFrame:
     k, rank = F.col("customer"), F.col("tier_rank")
     tier = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for name, n in core.TIER_RANK.items() for x in (n, name))), rank), F.lit("NONE"))
-    return M.loyalty(s, d).select(k, F.concat(F.lit("L"), k.cast("string")).alias("loyalty_account"), tier.alias("tier"), F.when(k % 6 == 0, "LAPSED").otherwise("ACTIVE").alias("loyalty_status"), (k * 10).alias("points_balance"), F.date_add(F.lit(dt.date(1995, 1, 1)), (k % 700).cast("int")).alias("loyalty_enrolled_at"), F.date_add(F.lit(dt.date(2001, 1, 1)), (k % 200).cast("int")).alias("last_activity_at"))
+    return M.loyalty(s, d).select("*", F.concat(F.lit("L"), k.cast("string")).alias("loyalty_account"), tier.alias("tier"), F.when(k % 6 == 0, "LAPSED").otherwise("ACTIVE").alias("loyalty_status"), (k * 10).alias("points_balance"), F.date_add(F.lit(dt.date(1995, 1, 1)), (k % 700).cast("int")).alias("loyalty_enrolled_at"), F.date_add(F.lit(dt.date(2001, 1, 1)), (k % 200).cast("int")).alias("last_activity_at"))
 
 
 def _addresses(s: SparkSession, d: str) -> DataFrame:
@@ -85,32 +85,29 @@ def _addresses(s: SparkSession, d: str) -> DataFrame:
     return a.select(k.alias("customer"), "address_type", ((kind == "WORK") & (k % 2 == 0)).alias("is_primary"), F.concat(F.lit("City"), (k % 100).cast("string"), kind).alias("city"), F.concat(F.lit("S"), (k % 7).cast("string")).alias("state"), F.lit("US").alias("country"))
 
 
-def _scores(s: SparkSession, d: str) -> DataFrame:
-    return A.churn_score(A.contributions(_features(s, d)))
+def _all(s: SparkSession, d: str) -> DataFrame:
+    return A.combined(_profiles(s, d), _orders(s, d), _support(s, d), M.touches(s, d), _accounts(s, d), M.EVENT_AS_OF)
 
 
-def _full(s: SparkSession, d: str) -> DataFrame:
-    return core.full_view(_profiles(s, d), _addresses(s, d), _orders(s, d), _support(s, d), _engagement(s, d), _accounts(s, d), _scores(s, d), M.AS_OF, AT)
-
-
-def _dated(s: SparkSession, d: str) -> DataFrame:
-    return core.dated_features(_features(s, d), _profiles(s, d), M.sales(s, d), M.AS_OF)
+def _scores(all_of: DataFrame) -> DataFrame:
+    """Scores, of which every second is of the day before."""
+    return all_of.select("customer", "churn.*", F.date_sub(F.lit(M.AS_OF), (F.col("customer") % 2).cast("int")).alias("score_date"))
 
 
 @query(f"{WAREHOUSE} SELECT * EXCLUDE as_of_timestamp FROM full360")
 def customer_360_full(s: SparkSession, d: str) -> DataFrame:
-    return _full(s, d).drop("as_of_timestamp")
+    return core.full_view(_all(s, d), _addresses(s, d), M.AS_OF, AT).drop("as_of_timestamp")
 
 
 @query(f"{WAREHOUSE} SELECT * FROM dated")
 def features_dated(s: SparkSession, d: str) -> DataFrame:
-    return _dated(s, d)
+    return core.dated_features(_all(s, d), M.AS_OF)
 
 
 @query(f"{WAREHOUSE} SELECT customer, feature_date, tenure_days, recency_days, probability, band FROM dated JOIN (SELECT customer, {DAY} - CAST(customer % 2 AS INT) AS feature_date, probability, band FROM score) USING (customer, feature_date)")
 def feature_score_join(s: SparkSession, d: str) -> DataFrame:
-    scores = _scores(s, d).withColumn("score_date", F.date_sub(F.lit(M.AS_OF), (F.col("customer") % 2).cast("int")))
-    return core.scored_features(_dated(s, d), scores).select("customer", "feature_date", "tenure_days", "recency_days", "probability", "band")
+    rows = _all(s, d)
+    return core.scored_features(core.dated_features(rows, M.AS_OF), _scores(rows)).select("customer", "feature_date", "tenure_days", "recency_days", "probability", "band")
 
 
 @query(f"WITH {G.STAGED}, {_VERSIONS} SELECT md5(order_id) AS sk, order_id, s.customer, customer_sk, order_date, status, amount, status IN ('COMPLETED','SHIPPED') AS is_revenue_recognised FROM staged s LEFT JOIN core_customer c ON c.customer = s.customer AND CAST(order_date AS TIMESTAMP) >= valid_from AND CAST(order_date AS TIMESTAMP) < valid_to WHERE dq_status <> 'FAIL'")
@@ -132,7 +129,7 @@ _RESULTS = (
 
 
 def _tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    raw = _raw_customers(s, d)
+    raw, rows = _raw_customers(s, d), _all(s, d)
     email = F.lower(clean(F.col("email")))
     staged = G._staged(s, d)
     k, i, price = F.col("c_custkey"), F.col("event_id"), F.col("l_extendedprice").cast("decimal(18,2)")
@@ -144,8 +141,8 @@ def _tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
         "stg_product": M.load(s, d, "part").select(F.col("p_partkey").alias("product")),
         "stg_case": M.load(s, d, "events").where("event_type = 'error'").select(F.col("ts").alias("opened_at"), F.when(i % 90 == 0, F.col("ts") - hour).when(i % 2 == 0, F.col("ts") + hour).alias("resolved_at"), (i % 7).alias("csat")),
         "stg_loyalty": M.load(s, d, "customer").select((k % 100 * 10).alias("earned"), F.when(k % 45 == 0, k % 100 * 10 + 5).otherwise(0).alias("redeemed")),
-        "core_customer": _versions(s, d), "customer_360": _full(s, d).select(F.col("customer").cast("string").alias("customer"), "total_net_revenue", "as_of_timestamp"), "features": _dated(s, d).select("customer", "feature_date"),
-        "churn_score": _scores(s, d).select("customer", "probability", F.date_sub(F.lit(M.AS_OF), (F.col("customer") % 2).cast("int")).alias("score_date")),
+        "core_customer": _versions(s, d), "customer_360": core.full_view(rows, _addresses(s, d), M.AS_OF, AT).select(F.col("customer").cast("string").alias("customer"), "total_net_revenue", "as_of_timestamp"),
+        "features": core.dated_features(rows, M.AS_OF).select("customer", "feature_date"), "churn_score": _scores(rows).select("customer", "probability", "score_date"),
     }
 
 
@@ -190,7 +187,7 @@ def mask_profile(s: SparkSession, d: str) -> DataFrame:
 FROM full360 LEFT JOIN n USING (customer) LEFT JOIN score USING (customer) LEFT JOIN (SELECT customer, driver FROM ranked WHERE rank = 1) r USING (customer)""")
 def customer_document(s: SparkSession, d: str) -> DataFrame:
     """Nested documents, read back; the branch of cases can't be read."""
-    parts = A.contributions(_features(s, d))
-    doc = serving.nested(_full(s, d), M.sales(s, d), None, A.churn_score(parts), A.drivers(parts), 3)
+    rows = _all(s, d)
+    doc = serving.nested(core.full_view(rows, _addresses(s, d), M.AS_OF, AT), M.sales(s, d), None, rows.select("customer", "churn.*"), A.drivers(rows.select("customer", "parts.*")), 3)
     x = F.col("document")
     return doc.select("customer", F.size(x["orders"]).cast("long").alias("n_orders"), F.get(x["orders"], F.lit(0))["order_date"].alias("newest"), x["loyalty"]["loyaltyTier"].alias("loyalty_tier"), x["churnRisk"]["probability"].alias("probability"), x["churnRisk"]["drivers"][0]["driver"].alias("first_driver"), F.size(x["dataQuality"]["contributingSources"]).cast("long").alias("n_sources"), x["partial"].alias("partial"), F.array_join(x["degradedFields"], ",").alias("degraded"))
