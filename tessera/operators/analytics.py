@@ -169,6 +169,13 @@ def churn_score(parts: DataFrame) -> DataFrame:
     return parts.select("customer", *_score(F.struct(*DRIVERS)))
 
 
+def predicted_value() -> Column:
+    """Value that a combined row's customer is expected to bring in a year, rounded as decimals are."""
+    part = lambda c, x, kind: F.coalesce(F.col(c), F.lit(x)).cast(kind)
+    stays = (1 - F.coalesce("churn.probability", F.lit(0.25))).cast("decimal(6,4)")
+    return F.round(part("avg_order_value", 0.0, "decimal(18,2)") * part("order_frequency_per_year", 0.0, "decimal(10,4)") * stays, 2).cast("double")
+
+
 def customer_360(all_of: DataFrame, *more: str) -> DataFrame:
     """The unified view: one row for each customer, from combined rows (with name and segment), and more of their columns."""
     zero = lambda c, x=0: F.coalesce(F.col(c), F.lit(x))
@@ -177,7 +184,7 @@ def customer_360(all_of: DataFrame, *more: str) -> DataFrame:
     came = {"_orders": "OMS", "_support": "SUPPORT", "_loyalty": "LOYALTY", "last_interaction_date": "ENGAGEMENT"}
     sources = F.concat(F.lit("CRM"), *(F.when(F.col(c).isNotNull(), f",{name}").otherwise("") for c, name in came.items()))
     return all_of.select(
-        "customer", "segment", zero("total_orders").alias("total_orders"), revenue.alias("clv_realised"), F.round(zero("avg_order_value", 0.0) * zero("order_frequency_per_year", 0.0) * (1 - zero("churn.probability", 0.25)), 2).alias("clv_predicted"),
+        "customer", "segment", zero("total_orders").alias("total_orders"), revenue.alias("clv_realised"), predicted_value().alias("clv_predicted"),
         F.when(revenue >= 2000, "HIGH").when(revenue >= 500, "MEDIUM").otherwise("LOW").alias("value_tier"), zero("open_cases").alias("open_cases"), "engagement_score", zero("tier_rank").alias("tier_rank"), "churn.band",
         F.round(100 * sum((k.cast("int") for k in known[1:]), known[0].cast("int")) / F.lit(len(known)), 2).alias("completeness"), sources.alias("contributing_sources"), *more,
     )

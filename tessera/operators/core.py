@@ -6,9 +6,11 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.exprs import latest
-from tessera.operators.scd2 import as_of_join
+from tessera.operators import scd2
+from tessera.operators.analytics import predicted_value
 
 #: Fixed values.
 FEATURE_SET = "v1.2.0"
@@ -37,7 +39,7 @@ def type1(staged: DataFrame, key: str) -> DataFrame:
 def orders(staged: DataFrame, customers: DataFrame) -> DataFrame:
     """Orders with the key of the customer version of their day (null where none held) and whether their revenue is recognised. customers: versions with customer, customer_sk, valid_from and valid_to."""
     facts = type1(staged, "order_id").withColumn("_day", F.col("order_date").cast("timestamp"))
-    return as_of_join(facts, customers, "customer", "_day", ["customer_sk"]).drop("_day").withColumn("is_revenue_recognised", F.col("status").isin(*REVENUE))
+    return scd2.as_of_join(facts, customers, "customer", "_day", ["customer_sk"]).drop("_day").withColumn("is_revenue_recognised", F.col("status").isin(*REVENUE))
 
 
 def order_items(staged: DataFrame, core_orders: DataFrame) -> DataFrame:
@@ -45,12 +47,25 @@ def order_items(staged: DataFrame, core_orders: DataFrame) -> DataFrame:
     return type1(staged, "item_id").join(core_orders.select("order_id"), "order_id", "left_semi")
 
 
-def breached(priority: Column, hours: Column) -> Column:
-    """Whether a case took longer than its priority allows; open ones do."""
+def allowed_hours(priority: Column) -> Column:
+    """How long a case of a priority may take."""
     allowed = F.lit(OTHER_SLA_HOURS)
     for name, most in SLA_HOURS.items():
         allowed = F.when(priority == name, most).otherwise(allowed)
-    return F.coalesce(hours, F.lit(UNRESOLVED_HOURS)) > allowed
+    return allowed
+
+
+def breached(priority: Column, hours: Column) -> Column:
+    """Whether a case took longer than its priority allows; open ones do."""
+    return F.coalesce(hours, F.lit(UNRESOLVED_HOURS)) > allowed_hours(priority)
+
+
+def customers(staged: DataFrame, now: dt.datetime) -> DataFrame:
+    """The Type-2 dimension after its first load of staged customers, with a key for each version."""
+    attributes = [f for f in staged.schema if f.name not in ("row_hash", "updated_at", "created_at", "dq_status")]
+    spans = "row_hash string, valid_from timestamp, valid_to timestamp, is_current boolean, version int, change_type string"
+    empty = staged.sparkSession.createDataFrame([], T.StructType([*attributes, *T._parse_datatype_string(spans).fields]))
+    return scd2.apply(empty, staged, "customer", F.lit(now)).withColumn("customer_sk", surrogate(F.col("customer"), F.col("valid_from")))
 
 
 def cases(staged: DataFrame) -> DataFrame:
@@ -106,7 +121,7 @@ def full_view(all_of: DataFrame, addresses: DataFrame, as_of: dt.date, at: dt.da
         zero("total_cases").alias("total_cases"), zero("open_cases").alias("open_cases"), zero("cases_last_90d").alias("cases_last_90d"), "avg_csat", "avg_resolution_hours", "top_case_type",
         "loyalty_account", zero("tier", "NONE").alias("loyalty_tier"), zero("loyalty_status", "NOT_ENROLLED").alias("loyalty_status"), zero("points_balance").alias("loyalty_points_balance"), "loyalty_enrolled_at", F.datediff(day, c("last_activity_at")).alias("days_since_loyalty_activity"),
         zero("interactions_last_90d").alias("interactions_last_90d"), zero("negative_signals_90d").alias("negative_signals_90d"), zero("engagement_score", 0.0).alias("engagement_score"),
-        F.round(revenue, 2).alias("customer_lifetime_value"), F.round(zero("avg_order_value", 0.0) * zero("order_frequency_per_year", 0.0) * (1 - zero("churn.probability", 0.25)), 2).alias("predicted_clv_12m"),
+        F.round(revenue, 2).alias("customer_lifetime_value"), predicted_value().alias("predicted_clv_12m"),
         F.when(revenue >= 2000, "HIGH").when(revenue >= 500, "MEDIUM").otherwise("LOW").alias("value_tier"), "churn.band",
         F.round(100 * sum((k.cast("int") for k in known[1:]), known[0].cast("int")) / F.lit(len(known)), 2).alias("data_completeness_score"), F.concat(F.lit("CRM"), *came, F.lit(",ENGAGEMENT")).alias("contributing_sources"), F.lit(at).alias("as_of_timestamp"),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,10 +35,13 @@ def verdict(failed: Column, evaluated: Column, threshold: Column, severity: Colu
 
 def run(spark: SparkSession, rules: list[Rule], tables: dict[str, DataFrame]) -> DataFrame:
     """Results of all rules over named tables, as one job: conditions on rows and row counts are one aggregate for each table, other rules one subquery each. A rule that can't be analysed counts
-    as -1 failed rows and FAIL, and leaves the others alone."""
-    before = {t.name for t in spark.catalog.listTables() if t.isTemporary}
+    as -1 failed rows and FAIL, and leaves the others alone. Tables that several rules read are planned for each, so give tables that are written (operators.build), not long plans.
+
+    Rules see the tables under their names; the caller's views keep theirs, as the tables are registered under names of this call alone."""
+    own_name = f"rules_{uuid.uuid4().hex[:12]}_{{}}".format
     for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+        df.createOrReplaceTempView(own_name(name))
+    named = lambda sql: ", ".join(f"`{n}` AS (SELECT * FROM {own_name(n)})" for n in tables if re.search(rf"\b{re.escape(n)}\b", sql))
     error = spark.range(1).select(F.lit(-1).cast("long").alias("failed"))
     parts = []
     try:
@@ -56,7 +61,7 @@ def run(spark: SparkSession, rules: list[Rule], tables: dict[str, DataFrame]) ->
             others = None
             for r in (x for x in own if not x.where):
                 try:
-                    failed = spark.sql(f"SELECT CAST(({r.failed}) AS BIGINT) AS failed")
+                    failed = spark.sql(f"{f'WITH {those} ' if (those := named(r.failed)) else ''}SELECT CAST(({r.failed}) AS BIGINT) AS failed")
                 except Exception:  # noqa: BLE001
                     failed = error
                 one = failed.select(F.lit(r.rule_id).alias("rule_id"), F.col("failed").alias("sql_failed"))
@@ -65,8 +70,8 @@ def run(spark: SparkSession, rules: list[Rule], tables: dict[str, DataFrame]) ->
                 base = base.join(F.broadcast(others), "rule_id", "left").withColumn("failed", F.coalesce("failed", "sql_failed")).drop("sql_failed")
             parts.append(base.select("rule_id", "severity", "threshold", "failed", "evaluated"))
     finally:
-        for name in set(tables) - before:
-            spark.catalog.dropTempView(name)
+        for name in tables:
+            spark.catalog.dropTempView(own_name(name))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

@@ -60,7 +60,7 @@ score AS (SELECT p.customer, greatest(0.01, least(0.99, round(t, 4))) AS probabi
 """
 ALL = WITH + ORDERS + SUPPORT + ENGAGEMENT + FEATURES + PARTS
 WHOLE = """
-, c360 AS (SELECT c.customer, c.segment, coalesce(total_orders, 0) AS total_orders, coalesce(total_net_revenue, 0.0) AS clv_realised, round(coalesce(avg_order_value, 0.0) * coalesce(order_frequency_per_year, 0.0) * (1 - coalesce(probability, 0.25)), 2) AS clv_predicted,
+, c360 AS (SELECT c.customer, c.segment, coalesce(total_orders, 0) AS total_orders, coalesce(total_net_revenue, 0.0) AS clv_realised, CAST(round(CAST(coalesce(avg_order_value, 0.0) AS DECIMAL(18,2)) * CAST(coalesce(order_frequency_per_year, 0.0) AS DECIMAL(10,4)) * CAST(1 - coalesce(probability, 0.25) AS DECIMAL(6,4)), 2) AS DOUBLE) AS clv_predicted,
   CASE WHEN coalesce(total_net_revenue, 0) >= 2000 THEN 'HIGH' WHEN coalesce(total_net_revenue, 0) >= 500 THEN 'MEDIUM' ELSE 'LOW' END AS value_tier, coalesce(open_cases, 0) AS open_cases, engagement_score, coalesce(tier_rank, 0) AS tier_rank, band,
   round(CAST(100 * (CAST(name IS NOT NULL AS INT) + CAST(segment IS NOT NULL AS INT) + CAST(total_orders IS NOT NULL AS INT) + CAST(total_cases IS NOT NULL AS INT) + CAST(tier_rank IS NOT NULL AS INT)) AS DOUBLE) / 5, 2) AS completeness,
   'CRM' || CASE WHEN total_orders IS NOT NULL THEN ',OMS' ELSE '' END || CASE WHEN total_cases IS NOT NULL THEN ',SUPPORT' ELSE '' END || CASE WHEN tier_rank IS NOT NULL THEN ',LOYALTY' ELSE '' END || CASE WHEN last_interaction_date IS NOT NULL THEN ',ENGAGEMENT' ELSE '' END AS contributing_sources

@@ -29,25 +29,25 @@ def _raw_orders(s: SparkSession, d: str) -> DataFrame:
     copies = F.explode(F.when(k % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     o = M.load(s, d, "orders").withColumn("copy", copies)
     status = F.when(F.col("o_orderstatus") == "F", " completed").when(F.col("o_orderstatus") == "O", "SHIPPED ").otherwise("lost")
-    return o.select(F.col("o_orderkey").cast("string").alias("order_id"), F.col("o_custkey").cast("string").alias("customer"), F.to_date("o_orderdate").cast("string").alias("order_date"), status.alias("status"), amount.alias("amount"), F.lit("1.005").alias("discount"), F.date_add(F.to_date("o_orderdate"), F.col("copy")).cast("string").alias("updated_at"))
+    return o.select(F.col("o_orderkey").cast("string").alias("order_id"), F.col("o_custkey").cast("string").alias("customer"), F.to_date("o_orderdate").cast("string").alias("order_date"), status.alias("status"), F.lower("o_orderpriority").alias("channel"), F.when(k % 60 == 0, "chf").when(k % 4 != 0, "usd").alias("currency"), amount.alias("amount"), F.lit("1.005").alias("discount"), F.date_add(F.to_date("o_orderdate"), F.col("copy")).cast("string").alias("updated_at"))
 
 
-RAW_ORDERS = """raw AS (SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS customer, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS order_date, CASE o_orderstatus WHEN 'F' THEN ' completed' WHEN 'O' THEN 'SHIPPED ' ELSE 'lost' END AS status,
+RAW_ORDERS = """raw AS (SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS customer, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS order_date, CASE o_orderstatus WHEN 'F' THEN ' completed' WHEN 'O' THEN 'SHIPPED ' ELSE 'lost' END AS status, lower(o_orderpriority) AS channel, CASE WHEN o_orderkey % 60 = 0 THEN 'chf' WHEN o_orderkey % 4 <> 0 THEN 'usd' END AS currency,
   CASE WHEN o_orderkey % 50 = 0 THEN 'n/a' WHEN o_orderkey % 70 = 0 THEN '-1.00' ELSE ' ' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS amount, '1.005' AS discount, CAST(CAST(o_orderdate AS DATE) + copy AS VARCHAR) AS updated_at
   FROM orders, (VALUES (0), (1)) c(copy) WHERE copy = 0 OR o_orderkey % 10 = 0)"""
-STAGED = f"""{RAW_ORDERS}, typed AS (SELECT trim(order_id) AS order_id, trim(customer) AS customer, try_cast(order_date AS DATE) AS order_date, upper(trim(status)) AS status, try_cast(amount AS DECIMAL(18,2)) AS amount, coalesce(try_cast(discount AS DECIMAL(18,2)), 0) AS discount, try_cast(updated_at AS TIMESTAMP) AS updated_at FROM raw),
-flags AS (SELECT *, coalesce(amount IS NULL OR amount < 0, false) AS f2, coalesce(order_date IS NULL OR order_date > {DAY}, false) AS f3, coalesce(status NOT IN ('COMPLETED','SHIPPED','CANCELLED','RETURNED','PENDING'), false) AS w4 FROM typed),
-staged AS (SELECT order_id, customer, order_date, status, CAST(amount AS DOUBLE) AS amount, CAST(amount - discount AS DOUBLE) AS net, CASE WHEN f2 OR f3 THEN 'FAIL' WHEN w4 THEN 'WARN' ELSE 'PASS' END AS dq_status,
-  nullif(concat_ws(' ', CASE WHEN f2 THEN 'O-002' END, CASE WHEN f3 THEN 'O-003' END, CASE WHEN w4 THEN 'O-004' END), '') AS dq_failed_rules FROM flags QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY updated_at DESC NULLS LAST) = 1)"""
+STAGED = f"""{RAW_ORDERS}, typed AS (SELECT trim(order_id) AS order_id, trim(customer) AS customer, try_cast(order_date AS DATE) AS order_date, upper(trim(status)) AS status, upper(trim(channel)) AS channel, upper(coalesce(currency, 'USD')) AS currency, try_cast(amount AS DECIMAL(18,2)) AS amount, coalesce(try_cast(discount AS DECIMAL(18,2)), 0) AS discount, try_cast(updated_at AS TIMESTAMP) AS updated_at FROM raw),
+flags AS (SELECT *, coalesce(amount IS NULL OR amount < 0, false) AS f2, coalesce(order_date IS NULL OR order_date > {DAY}, false) AS f3, coalesce(status NOT IN ('COMPLETED','SHIPPED','CANCELLED','RETURNED','PENDING'), false) AS w4, currency NOT IN ('USD','EUR','GBP','CAD') AS w5 FROM typed),
+staged AS (SELECT order_id, customer, order_date, status, channel, currency, CAST(amount AS DOUBLE) AS amount, CAST(coalesce(amount, 0) - discount AS DOUBLE) AS net, coalesce(amount, 0) - discount AS exact, CASE WHEN f2 OR f3 THEN 'FAIL' WHEN w4 OR w5 THEN 'WARN' ELSE 'PASS' END AS dq_status,
+  nullif(concat_ws(' ', CASE WHEN f2 THEN 'DQ-O-002' END, CASE WHEN f3 THEN 'DQ-O-003' END, CASE WHEN w4 THEN 'DQ-O-004' END, CASE WHEN w5 THEN 'DQ-O-005' END), '') AS dq_failed_rules FROM flags QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY updated_at DESC NULLS LAST) = 1)"""
 
 
 def _staged(s: SparkSession, d: str) -> DataFrame:
     return staging.stage(_raw_orders(s, d), staging.orders_spec(M.AS_OF))
 
 
-@query(f"WITH {STAGED} SELECT * FROM staged")
+@query(f"WITH {STAGED} SELECT * EXCLUDE exact FROM staged")
 def dq_flags(s: SparkSession, d: str) -> DataFrame:
-    return _staged(s, d).select("order_id", "customer", "order_date", "status", F.col("amount").cast("double").alias("amount"), F.col("net").cast("double").alias("net"), "dq_status", "dq_failed_rules")
+    return _staged(s, d).select("order_id", "customer", "order_date", "status", "channel", "currency", F.col("amount").cast("double").alias("amount"), F.col("net").cast("double").alias("net"), "dq_status", "dq_failed_rules")
 
 
 @query(f"WITH {RAW_ORDERS} SELECT order_id, try_cast(order_date AS DATE) AS order_date, CAST(try_cast(amount AS DECIMAL(18,2)) AS DOUBLE) AS amount, try_cast(status AS INT) AS status_number FROM raw")
@@ -166,11 +166,11 @@ def dq_rowcounts(s: SparkSession, d: str) -> DataFrame:
 
 
 RULES = [
-    Q.Rule("O-002", "BLOCKING", 0, "stg_orders", "SELECT count(*) FROM stg_orders WHERE amount IS NULL OR amount < 0"),
-    Q.Rule("O-003", "BLOCKING", 0, "stg_orders", f"SELECT count(*) FROM stg_orders WHERE order_date IS NULL OR order_date > {DAY}"),
-    Q.Rule("O-004", "WARNING", 5, "stg_orders", "SELECT count(*) FROM stg_orders WHERE status NOT IN ('COMPLETED','SHIPPED','CANCELLED','RETURNED','PENDING')"),
-    Q.Rule("O-006", "WARNING", 0, "stg_orders", "SELECT count(*) FROM stg_orders o WHERE NOT EXISTS (SELECT 1 FROM core_customer c WHERE CAST(c.c_custkey AS STRING) = o.customer)"),
-    Q.Rule("C-005", "WARNING", 1, "core_customer", "SELECT count(*) FROM (SELECT lower(trim(c_name)) FROM core_customer GROUP BY 1 HAVING count(DISTINCT c_custkey) > 1)"),
+    Q.Rule("DQ-O-002", "BLOCKING", 0, "stg_orders", "SELECT count(*) FROM stg_orders WHERE amount IS NULL OR amount < 0"),
+    Q.Rule("DQ-O-003", "BLOCKING", 0, "stg_orders", f"SELECT count(*) FROM stg_orders WHERE order_date IS NULL OR order_date > {DAY}"),
+    Q.Rule("DQ-O-004", "WARNING", 5, "stg_orders", "SELECT count(*) FROM stg_orders WHERE status NOT IN ('COMPLETED','SHIPPED','CANCELLED','RETURNED','PENDING')"),
+    Q.Rule("DQ-O-006", "WARNING", 0, "stg_orders", "SELECT count(*) FROM stg_orders o WHERE NOT EXISTS (SELECT 1 FROM core_customer c WHERE CAST(c.c_custkey AS STRING) = o.customer)"),
+    Q.Rule("DQ-C-005", "WARNING", 1, "core_customer", "SELECT count(*) FROM (SELECT lower(trim(c_name)) FROM core_customer GROUP BY 1 HAVING count(DISTINCT c_custkey) > 1)"),
     Q.Rule("X-002", "BLOCKING", 0, "core_customer", "SELECT count(*) FROM (SELECT c_custkey FROM core_customer GROUP BY c_custkey HAVING count(*) > 1)"),
     Q.Rule("X-004", "INFO", 5, "core_customer", "SELECT count(*) FROM core_customer, (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS sd FROM core_customer) WHERE c_acctbal > m + 3 * sd"),
     Q.Rule("Z-999", "BLOCKING", 0, "core_customer", "SELECT count(*) FROM core_customer WHERE no_such_column = 1"),
@@ -184,10 +184,10 @@ def dq_run(s: SparkSession, d: str) -> DataFrame:
     return Q.run(s, RULES, {"stg_orders": _staged(s, d), "core_customer": M.load(s, d, "customer")})
 
 
-@query(f"WITH {STAGED} SELECT 'O-002' AS rule_id, order_id FROM staged WHERE amount IS NULL OR amount < 0 UNION ALL SELECT 'O-003', order_id FROM staged WHERE order_date IS NULL OR order_date > {DAY}")
+@query(f"WITH {STAGED} SELECT 'DQ-O-002' AS rule_id, order_id FROM staged WHERE amount IS NULL OR amount < 0 UNION ALL SELECT 'DQ-O-003', order_id FROM staged WHERE order_date IS NULL OR order_date > {DAY}")
 def quarantine(s: SparkSession, d: str) -> DataFrame:
     o = _staged(s, d)
-    bad = Q.quarantine({"O-002": (o, F.col("amount").isNull() | (F.col("amount") < 0)), "O-003": (o, F.col("order_date").isNull() | (F.col("order_date") > F.lit(M.AS_OF)))})
+    bad = Q.quarantine({"DQ-O-002": (o, F.col("amount").isNull() | (F.col("amount") < 0)), "DQ-O-003": (o, F.col("order_date").isNull() | (F.col("order_date") > F.lit(M.AS_OF)))})
     return bad.select("rule_id", F.get_json_object("payload", "$.order_id").alias("order_id"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import EMAIL_VALID, clean
 from tessera.operators import analytics as A
-from tessera.operators import core, serving
+from tessera.operators import build, core, serving
 from tessera.operators import policies as P
 from tessera.operators import quality as Q
 from tessera.operators.rules import rules
@@ -17,6 +17,7 @@ from tessera.plans import governance as G
 from tessera.plans import mapping as M
 from tessera.plans.customer import ALL, DAY, _combined, _orders, _support
 from tessera.plans.registry import query
+from tessera.sources.store import Store, scratch
 
 AT = dt.datetime(2001, 8, 1)
 RULES = rules(DAY, "TIMESTAMP '2001-08-02 06:00:00'")
@@ -36,14 +37,15 @@ address AS (SELECT customer, city, state, country FROM addresses QUALIFY row_num
 account AS (SELECT customer, 'L' || customer AS loyalty_account, CASE tier_rank WHEN 4 THEN 'PLATINUM' WHEN 3 THEN 'GOLD' WHEN 2 THEN 'SILVER' WHEN 1 THEN 'BRONZE' ELSE 'NONE' END AS tier, CASE WHEN customer % 6 = 0 THEN 'LAPSED' ELSE 'ACTIVE' END AS loyalty_status, CAST(customer * 10 AS BIGINT) AS points_balance,
   DATE '1995-01-01' + CAST(customer % 700 AS INT) AS loyalty_enrolled_at, DATE '2001-01-01' + CAST(customer % 200 AS INT) AS last_activity_at FROM loyalty)"""
 _SINCE = "least(p.created_at, coalesce(o.first_order_date, p.created_at))"
-_FULL = f"""full360 AS (SELECT p.customer, p.customer_sk, p.master_customer_id, p.full_name, p.email, p.phone, p.birth_date, p.segment, p.preferred_channel, p.marketing_opt_in, p.status AS customer_status, {_SINCE} AS customer_since, CAST(date_diff('day', {_SINCE}, {DAY}) AS INT) AS tenure_days, a.city, a.state, a.country,
+FULL_COLUMNS = f"""SELECT p.customer, p.customer_sk, p.master_customer_id, p.full_name, p.email, p.phone, p.birth_date, p.segment, p.preferred_channel, p.marketing_opt_in, p.status AS customer_status, {_SINCE} AS customer_since, CAST(date_diff('day', {_SINCE}, {DAY}) AS INT) AS tenure_days, a.city, a.state, a.country,
   coalesce(o.total_orders, 0) AS total_orders, coalesce(o.total_net_revenue, 0.0) AS total_net_revenue, coalesce(o.avg_order_value, 0.0) AS avg_order_value, coalesce(o.order_frequency_per_year, 0.0) AS order_frequency_per_year, o.last_order_date, o.days_since_last_order, coalesce(o.revenue_last_365d, 0.0) AS revenue_last_365d, coalesce(o.return_rate, 0.0) AS return_rate, o.primary_channel AS primary_order_channel,
   coalesce(s.total_cases, 0) AS total_cases, coalesce(s.open_cases, 0) AS open_cases, coalesce(s.cases_last_90d, 0) AS cases_last_90d, s.avg_csat, s.avg_resolution_hours, s.top_case_type, l.loyalty_account, coalesce(l.tier, 'NONE') AS loyalty_tier, coalesce(l.loyalty_status, 'NOT_ENROLLED') AS loyalty_status, coalesce(l.points_balance, 0) AS loyalty_points_balance, l.loyalty_enrolled_at,
   CAST(date_diff('day', l.last_activity_at, {DAY}) AS INT) AS days_since_loyalty_activity, coalesce(e.interactions_last_90d, 0) AS interactions_last_90d, coalesce(e.negative_signals_90d, 0) AS negative_signals_90d, coalesce(e.engagement_score, 0.0) AS engagement_score, round(coalesce(o.total_net_revenue, 0.0), 2) AS customer_lifetime_value,
-  round(coalesce(o.avg_order_value, 0.0) * coalesce(o.order_frequency_per_year, 0.0) * (1 - coalesce(c.probability, 0.25)), 2) AS predicted_clv_12m, CASE WHEN coalesce(o.total_net_revenue, 0) >= 2000 THEN 'HIGH' WHEN coalesce(o.total_net_revenue, 0) >= 500 THEN 'MEDIUM' ELSE 'LOW' END AS value_tier, c.band,
+  CAST(round(CAST(coalesce(o.avg_order_value, 0.0) AS DECIMAL(18,2)) * CAST(coalesce(o.order_frequency_per_year, 0.0) AS DECIMAL(10,4)) * CAST(1 - coalesce(c.probability, 0.25) AS DECIMAL(6,4)), 2) AS DOUBLE) AS predicted_clv_12m, CASE WHEN coalesce(o.total_net_revenue, 0) >= 2000 THEN 'HIGH' WHEN coalesce(o.total_net_revenue, 0) >= 500 THEN 'MEDIUM' ELSE 'LOW' END AS value_tier, c.band,
   round(CAST(100 * (CAST(p.email IS NOT NULL AS INT) + CAST(coalesce(p.phone <> '', false) AS INT) + CAST(p.birth_date IS NOT NULL AS INT) + CAST(a.city IS NOT NULL AS INT) + CAST(p.segment IS NOT NULL AS INT) + CAST(o.customer IS NOT NULL AS INT) + CAST(l.customer IS NOT NULL AS INT) + CAST(s.customer IS NOT NULL AS INT)) AS DOUBLE) / 8, 2) AS data_completeness_score,
   'CRM' || CASE WHEN o.customer IS NOT NULL THEN ',OMS' ELSE '' END || CASE WHEN s.customer IS NOT NULL THEN ',SUPPORT' ELSE '' END || CASE WHEN l.customer IS NOT NULL THEN ',LOYALTY' ELSE '' END || CASE WHEN e.customer IS NOT NULL THEN ',ENGAGEMENT' ELSE '' END AS contributing_sources, TIMESTAMP '2001-08-01 00:00:00' AS as_of_timestamp
-  FROM profiles p LEFT JOIN osum o USING (customer) LEFT JOIN ssum s USING (customer) LEFT JOIN esum e USING (customer) LEFT JOIN account l USING (customer) LEFT JOIN address a USING (customer) LEFT JOIN score c USING (customer))"""
+  FROM profiles p LEFT JOIN osum o USING (customer) LEFT JOIN ssum s USING (customer) LEFT JOIN esum e USING (customer) LEFT JOIN account l USING (customer) LEFT JOIN address a USING (customer) LEFT JOIN score c USING (customer)"""
+_FULL = f"full360 AS ({FULL_COLUMNS})"
 _DATED = f"""dated AS (SELECT f.customer, {DAY} AS feature_date, f.* EXCLUDE customer, CAST(date_diff('day', p.created_at, {DAY}) AS INT) AS tenure_days, coalesce(round((near / 90) / nullif(prior / 275, 0), 4), 0.0) AS revenue_trend_ratio, '{core.FEATURE_SET}' AS feature_set_version FROM feat f JOIN profiles p USING (customer)
   LEFT JOIN (SELECT customer, CAST(coalesce(sum(net) FILTER (order_date >= {DAY} - 90 AND status IN ('COMPLETED','SHIPPED')), 0) AS DOUBLE) AS near, CAST(coalesce(sum(net) FILTER (order_date < {DAY} - 90 AND order_date >= {DAY} - 365 AND status IN ('COMPLETED','SHIPPED')), 0) AS DOUBLE) AS prior FROM sales GROUP BY customer) USING (customer))"""
 WAREHOUSE = f"{ALL}, {_RAW}, {_VERSIONS}, {_PROFILE}, {_FULL}, {_DATED}"
@@ -128,33 +130,46 @@ _RESULTS = (
 )
 
 
-def _tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    raw, rows = _raw_customers(s, d), _all(s, d)
+def rule_steps(s: SparkSession, d: str) -> list[build.Step]:
+    """The tables that rules read, each computed once."""
     email = F.lower(clean(F.col("email")))
-    staged = G._staged(s, d)
     k, i, price = F.col("c_custkey"), F.col("event_id"), F.col("l_extendedprice").cast("decimal(18,2)")
     hour = F.expr("INTERVAL 1 HOUR")
-    return {
-        "raw_customer": raw, "stg_customer": raw.where("customer_id IS NOT NULL").select(F.col("customer_id").alias("customer"), email.alias("email"), email.rlike(EMAIL_VALID).alias("email_is_valid"), "birth_date", "status"),
-        "raw_order": M.load(s, d, "orders").select(F.when(F.col("o_orderkey") % 333 != 0, F.col("o_orderkey")).alias("order_id")), "stg_order": staged, "core_order": staged.where("dq_status <> 'FAIL'"),
-        "stg_order_item": M.load(s, d, "lineitem").select(F.when(F.col("l_orderkey") % 400 == 1, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("product"), F.when(F.col("l_orderkey") % 150 == 0, 2).otherwise(1).alias("quantity"), price.alias("unit_price"), price.alias("line_amount")),
-        "stg_product": M.load(s, d, "part").select(F.col("p_partkey").alias("product")),
-        "stg_case": M.load(s, d, "events").where("event_type = 'error'").select(F.col("ts").alias("opened_at"), F.when(i % 90 == 0, F.col("ts") - hour).when(i % 2 == 0, F.col("ts") + hour).alias("resolved_at"), (i % 7).alias("csat")),
-        "stg_loyalty": M.load(s, d, "customer").select((k % 100 * 10).alias("earned"), F.when(k % 45 == 0, k % 100 * 10 + 5).otherwise(0).alias("redeemed")),
-        "core_customer": _versions(s, d), "customer_360": core.full_view(rows, _addresses(s, d), M.AS_OF, AT).select(F.col("customer").cast("string").alias("customer"), "total_net_revenue", "as_of_timestamp"),
-        "features": core.dated_features(rows, M.AS_OF).select("customer", "feature_date"), "churn_score": _scores(rows).select("customer", "probability", "score_date"),
-    }
+    step = build.Step
+    return [
+        step("raw_customer", lambda: _raw_customers(s, d)),
+        step("stg_customer", lambda raw: raw.where("customer_id IS NOT NULL").select(F.col("customer_id").alias("customer"), email.alias("email"), email.rlike(EMAIL_VALID).alias("email_is_valid"), "birth_date", "status"), ("raw_customer",)),
+        step("raw_order", lambda: M.load(s, d, "orders").select(F.when(F.col("o_orderkey") % 333 != 0, F.col("o_orderkey")).alias("order_id"))),
+        step("stg_order", lambda: G._staged(s, d)),
+        step("core_order", lambda staged: staged.where("dq_status <> 'FAIL'"), ("stg_order",)),
+        step("stg_order_item", lambda: M.load(s, d, "lineitem").select(F.when(F.col("l_orderkey") % 400 == 1, -F.col("l_partkey")).otherwise(F.col("l_partkey")).alias("product"), F.when(F.col("l_orderkey") % 150 == 0, 2).otherwise(1).alias("quantity"), price.alias("unit_price"), price.alias("line_amount"))),
+        step("stg_product", lambda: M.load(s, d, "part").select(F.col("p_partkey").alias("product"))),
+        step("stg_case", lambda: M.load(s, d, "events").where("event_type = 'error'").select(F.col("ts").alias("opened_at"), F.when(i % 90 == 0, F.col("ts") - hour).when(i % 2 == 0, F.col("ts") + hour).alias("resolved_at"), (i % 7).alias("csat"))),
+        step("stg_loyalty", lambda: M.load(s, d, "customer").select((k % 100 * 10).alias("earned"), F.when(k % 45 == 0, k % 100 * 10 + 5).otherwise(0).alias("redeemed"))),
+        step("core_customer", lambda: _versions(s, d)),
+        step("combined", lambda: _all(s, d)),
+        step("customer_360", lambda rows: core.full_view(rows, _addresses(s, d), M.AS_OF, AT).select(F.col("customer").cast("string").alias("customer"), "total_net_revenue", "as_of_timestamp"), ("combined",)),
+        step("features", lambda rows: core.dated_features(rows, M.AS_OF).select("customer", "feature_date"), ("combined",)),
+        step("churn_score", lambda rows: _scores(rows).select("customer", "probability", "score_date"), ("combined",)),
+    ]
+
+
+def _ruled(s: SparkSession, d: str) -> DataFrame:
+    """Results of all rules over tables that are written first."""
+    store = Store(s, scratch(s, "ruled"))
+    build.run(store, rule_steps(s, d), "all")
+    return Q.execute(s, RULES, {n: store.read(n) for n in store.head().tables})
 
 
 @query(f"{_RESULTS} SELECT * FROM results")
 def dq_catalogue(s: SparkSession, d: str) -> DataFrame:
-    """All rules, as one job."""
-    return Q.run(s, RULES, _tables(s, d))
+    """All rules."""
+    return _ruled(s, d)
 
 
 @query(f"{_RESULTS}, r AS (VALUES " + ", ".join(f"('{r.rule_id}', '{r.name}', '{r.dimension}', '{r.table}')" for r in RULES) + ") SELECT rule_id, rule_name, dimension, target_table, severity, rows_failed, rows_evaluated, fail_pct, status FROM r t(rule_id, rule_name, dimension, target_table) JOIN results USING (rule_id)")
 def dq_scorecard(s: SparkSession, d: str) -> DataFrame:
-    return Q.scorecard(Q.catalogue(s, RULES), Q.run(s, RULES, _tables(s, d)))
+    return Q.scorecard(Q.catalogue(s, RULES), _ruled(s, d))
 
 
 _DUPLICATE = "row_number() OVER (PARTITION BY lower(trim(email)) ORDER BY k) > 1 AND email IS NOT NULL"

@@ -124,3 +124,47 @@ def test_graphs_that_make_no_sense(spark, store):
     for steps in ([Step("a", None, ("b",))], [Step("a", None), Step("a", None)], [Step("a", None, ("b",)), Step("b", None, ("a",))]):
         with pytest.raises(ValueError):
             run(store, steps, "x")
+
+
+def test_the_whole_build(spark, store, small, monkeypatch):
+    """Every table of the build is computed once, from at most one scan of a given table in each step; a killed build goes on; readers see all tables of one run."""
+    from tessera.plans import pipeline as L
+
+    steps = L.steps(spark, small)
+    broken = [Step(x.name, (lambda *t: 1 / 0) if x.name == "combined" else x.make, x.needs) for x in steps]
+    with pytest.raises(BuildError) as e:
+        run(store, broken, "night")
+    states = {o.name: o.state for o in e.value.outcomes}
+    assert states.pop("combined") == "failed" and [n for n, x in states.items() if x == "skipped"] == ["customer_360", "features", "churn_score"]
+    assert store.head().version == 0
+    plans = {}
+
+    def seen(x):
+        def make(*tables):
+            df = x.make(*tables)
+            plans[x.name] = df._jdf.queryExecution().executedPlan().toString()
+            return df
+
+        return Step(x.name, make, x.needs)
+
+    again = {o.name: o.state for o in run(store, [seen(x) for x in steps], "night")}
+    assert set(plans) == {"combined", "customer_360", "features", "churn_score"} and {n for n, x in again.items() if x == "done"} == set(plans)
+    for x in steps:
+        plan = plans.get(x.name) or x.make(*(store.read(n) for n in x.needs))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(small) <= 1, x.name
+        assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan, x.name
+        if x.needs and not x.name.startswith("order_summary"):  # the star join reads orders for their lines once more
+            assert plan.count("FileScan") <= len(x.needs) + 1, (x.name, plan.count("FileScan"))
+    assert {n for n in store.head().tables} == {x.name for x in steps}
+    assert store.read("customer_360").count() == store.read("features").count() == store.read("combined").count()
+
+
+def test_rules_leave_views_alone(spark):
+    from tessera.operators import quality as Q
+
+    spark.range(3).createOrReplaceTempView("orders")
+    rules = [Q.Rule("A", "WARNING", 0, "orders", "SELECT count(*) FROM orders o WHERE EXISTS (SELECT 1 FROM others x WHERE x.id = o.id)"), Q.Rule("B", "WARNING", 0, "orders", where="id > 7")]
+    out = {r.rule_id: (r.rows_failed, r.rows_evaluated) for r in Q.run(spark, rules, {"orders": spark.range(9), "others": spark.range(2)}).collect()}
+    assert out == {"A": (2, 9), "B": (1, 9)} and spark.table("orders").count() == 3
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("rules_") or t.name == "others"]
+    spark.catalog.dropTempView("orders")

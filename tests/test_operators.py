@@ -37,23 +37,23 @@ def test_customers_two_stage(spark):
         ("1", "Ann", "Lee", "ANN@x.org ", "+1-402", "1990-01-01", "y", "active", "2020-01-02", "2020-01-02"), ("1", "Ann", "Lee", "ann@x.org", "+1-402", "1990-01-01", "n", "active", "2020-01-02", "2021-01-02"),
         ("9", "ann", "lee", " ann@X.org", None, "1990-01-01", "?", "active", "2022-01-02", "2022-01-02"), (" ", "No", "Key", "a@b.co", None, None, None, None, None, None), ("2", "Bo", "Ek", "bad", "1 2", "bad", "no", "odd", "2020-01-01", None),
     ]
-    raw = spark.createDataFrame(rows, "customer string, first_name string, last_name string, email string, phone string, birth_date string, opt_in string, status string, created_at string, updated_at string")
+    raw = spark.createDataFrame(rows, "customer string, first_name string, last_name string, email string, phone string, birth_date string, opt_in string, status string, created_at string, updated_at string").selectExpr("*", "null segment", "null channel")
     out = {r.customer: r for r in staging.stage_customers(raw, dt.date(2023, 1, 1)).collect()}
     assert set(out) == {"1", "2"}
     assert out["1"].opt_in is False and out["1"].phone == "+1402"
-    assert (out["2"].dq_status, out["2"].dq_failed_rules, out["2"].birth_date) == ("WARN", "C-002 C-004", None)
+    assert (out["2"].dq_status, out["2"].dq_failed_rules, out["2"].birth_date) == ("WARN", "DQ-C-002 DQ-C-004", None)
 
 
 def test_item_product_case_and_loyalty_specs(spark):
-    items = spark.createDataFrame([("1", "o", "p", "2", "1.50", "3.00"), ("2", "o", "p", "0", "1", "0"), ("3", "o", "p", "1", "1", "2"), (None, "o", "p", "1", "1", "1")], "item_id string, order_id string, product string, quantity string, unit_price string, line_amount string")
+    items = spark.createDataFrame([("1", "o", "p", "2", "1.50", "3.00"), ("2", "o", "p", "0", "1", "0"), ("3", "o", "p", "1", "1", "2"), (None, "o", "p", "1", "1", "1")], "item_id string, order_id string, product string, quantity string, unit_price string, line_amount string").selectExpr("*", "null sku", "null currency")
     assert {r.item_id: r.dq_status for r in staging.stage(items, staging.items_spec()).collect()} == {"1": "PASS", "2": "FAIL", "3": "WARN"}
-    products = spark.createDataFrame([("1", "a", "c", "1", "maybe")], "product string, name string, category string, unit_price string, is_active string")
+    products = spark.createDataFrame([("1", "a", "c", "1", "maybe")], "product string, name string, category string, unit_price string, is_active string").selectExpr("*", "null sku", "null brand")
     assert staging.stage(products, staging.products_spec()).first().is_active is False
-    cases = spark.createDataFrame([("1", "c", "2024-01-02 00:00:00", "2024-01-01 00:00:00", "3"), ("2", "c", "2024-01-01 00:00:00", "2024-01-01 01:30:00", "9")], "case_id string, customer string, opened_at string, resolved_at string, csat string")
+    cases = spark.createDataFrame([("1", "c", "2024-01-02 00:00:00", "2024-01-01 00:00:00", "3"), ("2", "c", "2024-01-01 00:00:00", "2024-01-01 01:30:00", "9")], "case_id string, customer string, opened_at string, resolved_at string, csat string").selectExpr("*", "null case_type", "null priority", "null status", "null reopens")
     out = {r.case_id: r for r in staging.stage(cases, staging.cases_spec()).collect()}
     assert (out["1"].dq_status, out["2"].dq_status, out["2"].resolution_hours) == ("FAIL", "WARN", 1.5)
-    loyalty = spark.createDataFrame([("1", "c", "gold", "5", "9")], "account_id string, customer string, tier string, earned string, redeemed string")
-    assert staging.stage(loyalty, staging.loyalty_spec()).first().dq_failed_rules == "L-003"
+    loyalty = spark.createDataFrame([("1", "c", "gold", "5", "9")], "account_id string, customer string, tier string, earned string, redeemed string").selectExpr("*", "null balance", "null enrolled_at", "null last_activity_at", "null status")
+    assert staging.stage(loyalty, staging.loyalty_spec()).first().dq_failed_rules == "DQ-L-003"
 
 
 def dimension(spark):
