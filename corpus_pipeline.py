@@ -15,9 +15,6 @@ from tessera.llm.linededup import dedup
 from tessera.llm.packing import pack, pieces
 from tessera.llm.quality import classify
 
-#: A document of which line dedup deletes at least this share of the words is a copy of earlier text with some words changed: what is left of it are the edges of its cuts.
-COPIED = 0.75
-
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, list]:
     """docs with doc_id, text and all other columns under numbers, and the columns that give these their names back."""
@@ -32,11 +29,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines and runs that came earlier; those of which nothing is left, or less than a quarter of the words, go whole.
+    """Documents less the lines and runs that came earlier; those of which nothing is left go. No other document goes, so every word that is cut stands at its first place in what this stage returns.
 
     Null and empty texts lose nothing and stay; rows that repeat doc_id and text are one document and all stay."""
     plain, back = _plain(docs)
-    out = dedup(plain).where(f"n_removed = 0 OR length(trim(text)) > 0 AND n_removed < {COPIED} * n_words").select(*back)
+    out = dedup(plain).where("n_removed = 0 OR n_removed < n_words").select(*back)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
