@@ -221,7 +221,7 @@ def ranges(docs: DataFrame, least: int = WORDS, line: int = LINE) -> DataFrame:
 
 
 def cut(text: str, ranges_: bytes) -> tuple[str, int, int, int]:
-    """A text without the words in its ranges; its number of words, of words deleted, and of passages these make."""
+    """A text without the words in its ranges; its number of words, of words deleted, and of passages these make. White space before a passage at the end goes with it."""
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
     starts, _, _, _ = words(data, np.array([0, len(data)]), NONSPACE)
@@ -235,7 +235,8 @@ def cut(text: str, ranges_: bytes) -> tuple[str, int, int, int]:
         out.append(raw[last : starts[a]])
         last = int(starts[b]) if b < len(starts) else len(raw)
         gone += int(b - a)
-    return b"".join([*out, raw[last:]]).decode().rstrip(), len(starts), gone, len(edge) // 2
+    left = b"".join([*out, raw[last:]])
+    return (left.rstrip(b" \t\n\v\f\r") if last == len(raw) else left).decode(), len(starts), gone, len(edge) // 2
 
 
 def dedup(docs: DataFrame, words: int = WORDS, line: int = LINE) -> DataFrame:
