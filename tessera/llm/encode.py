@@ -1,7 +1,7 @@
 """Token ids of whole texts by a tokenizers file, through a bounded cache of chunks.
 
 A text is cut where no token of the public byte-level and word-level BPE files can lie across: before white space that follows other characters, after a single
-line feed, and between letters and ASCII punctuation. Chunks are found and looked up by 64-bit hashes, all at once for a slice of texts; the library encodes those
+line feed, between letters and ASCII punctuation, and between Chinese characters and their punctuation. Chunks are found and looked up by 64-bit hashes, all at once for a slice of texts; the library encodes those
 that aren't in the cache. No cut touches white space other than blanks and line feeds. Special tokens' strings are
 ordinary text."""
 
@@ -23,6 +23,9 @@ SLOTS, WIDTH = 1 << 19, 10  # of the cache; chunks of more ids are encoded again
 LONGEST = 1 << 21
 #: White space, or what some call so, besides blanks and line feeds.
 OTHERS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Chinese characters that every version of the character tables has as letters, and the punctuation between them: none changes in lower case or NFC.
+HAN, HAN_POINTS = ("\u4e00", "\u9fa5"), "\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f\u300c\u300d\u300e\u300f\u300a\u300b\uff08\uff09"
+_HAN_POINTS = np.array([ord(c) for c in HAN_POINTS], np.uint32)
 #: Before white space that follows other characters, where no token can lie across.
 BREAK = re.compile(f"(?<=[^ \n{OTHERS}])[ \n]")
 #: Classes of code points: letters whose lower case and NFC are letters (none from U+0250 up, and not U+0130), ASCII punctuation without apostrophes and hyphens, white space.
@@ -107,6 +110,11 @@ class Encoder:
         cut[1:-1] = blank[1:] & ~space[:-1]  # before white space
         cut[1:-1] |= ((kind[:-1] == LETTER) & (kind[1:] == POINT)) | ((kind[:-1] == POINT) & (kind[1:] == LETTER))
         cut[2:-1] |= (kind[1:-1] == FEED) & ~space[2:] & ~space[:-2]  # after a single line feed
+        if len(far):
+            han = (code >= ord(HAN[0])) & (code <= ord(HAN[1]))
+            point = np.zeros(n, bool)
+            point[far] = np.isin(code[far], _HAN_POINTS)
+            cut[1:-1] |= (han[:-1] & point[1:]) | (point[:-1] & han[1:])
         cut[offsets] = True
         cut[n] = False
         start = np.flatnonzero(cut)

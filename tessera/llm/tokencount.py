@@ -1,10 +1,13 @@
 """Token counts that follow edits.
 
-trees() keeps a segment tree for each document as a row of a table: a leaf holds a stretch of about LEAF pre-tokens, a node the sums of characters and tokens below (two arrays in heap order, node 1 is the root). edited() applies
-edits to such rows without the documents' texts, and can give the trees as they are then, for the next edits. An edit
+trees() keeps a segment tree for each document as a row of a table: a leaf holds a stretch of about LEAF pre-tokens, a node the sums of characters and tokens below (two arrays in heap order, node 1 is the root).
+edited() applies edits to such rows without the documents' texts, and can give the trees as they are then, for the next edits. An edit
 replaces characters start to stop. The tree is descended to the leaves that the edit touches; there, the words that it touches and one word of
 context on each side are encoded as they were and as they are now, and the difference goes into the sums on the way to the root. Leaves and regions begin
-before white space that follows other characters, where no token can lie across, so one word of context is enough on either side.
+at borders where no token can lie across (before white space that follows other characters, and between Chinese characters and their punctuation), so one word of context is enough on either side.
+
+Leaves stay within bounds: what an edit leaves of the leaves that it touches is parted where it has more than MOST characters, and joined with a neighbour where it has fewer than LEAST, so a tree after many edits
+is like a fresh one, and an edit encodes a bounded number of characters beside what it inserts. Only a stretch without any border (one word of thousands of letters) is a leaf of its own length.
 
 Cases: null texts are empty; edits that are null or outside the text are clipped to it; a null replacement deletes; edits apply one after another, each to
 the text the former left; a document without edits keeps its tree; an empty table gives no rows;
@@ -12,6 +15,7 @@ repeated rows are counted each; other columns are ignored."""
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
@@ -22,9 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, lean, table
-from tessera.llm.encode import BREAK, WORD, Encoder, encoder, slices
+from tessera.llm.encode import BREAK, HAN, HAN_POINTS, WORD, Encoder, encoder, slices
 
 LEAF = 64
+#: Characters of a leaf: within these bounds after an edit, if its text has borders.
+LEAST, MOST = 64, 1024
+_HAN, _POINTS = "[" + "-".join(HAN) + "]", "[" + HAN_POINTS + "]"
+BORDER = re.compile(f"{BREAK.pattern}|(?<={_HAN})(?={_POINTS})|(?<={_POINTS})(?={_HAN})")
 
 
 class Tree:
@@ -40,16 +48,20 @@ class Tree:
                 starts, counts, _ = enc.counted([text])
             cuts, at = [0], starts.tolist()
             for k in range(LEAF, len(at), LEAF):
-                while k < len(at) and text[at[k]] not in " \n":
+                while k < len(at) and not BORDER.match(text, at[k]):
                     k += 1
                 if cuts[-1] < k < len(at):
                     cuts.append(k)
             chars = np.diff(np.append(starts[cuts], len(text))).tolist()
             tokens = np.add.reduceat(counts, cuts).tolist()
         ends = list(accumulate(chars))
-        self.leaves = [text[b - n : b] for b, n in zip(ends, chars, strict=True)]
-        self.base = 1 << (len(self.leaves) - 1).bit_length()
-        self.sums = [[0] * self.base + x + [0] * (self.base - len(x)) for x in (chars, tokens)]
+        self._grow([text[b - n : b] for b, n in zip(ends, chars, strict=True)], tokens)
+
+    def _grow(self, leaves: list[str], tokens: list[int]) -> None:
+        """The tree over some leaves and their counts."""
+        self.leaves = leaves
+        self.base = 1 << (len(leaves) - 1).bit_length()
+        self.sums = [[0] * self.base + x + [0] * (self.base - len(x)) for x in (list(map(len, leaves)), tokens)]
         for node in range(self.base - 1, 0, -1):
             self._up(node)
 
@@ -82,15 +94,6 @@ class Tree:
                 node += 1
         return node - self.base, at
 
-    def _step(self, k: int, by: int) -> int:
-        """The next leaf with characters, or the same if there is none."""
-        at = k + by
-        while 0 <= at < len(self.leaves):
-            if self.leaves[at]:
-                return at
-            at += by
-        return k
-
     def _count(self, text: str) -> int:
         self.work += len(text)
         return len(self.enc.direct(text)) if len(text) < 1024 else self.enc.count(text)  # a short text isn't worth the cache
@@ -106,13 +109,13 @@ class Tree:
             self.work = work + len(text)
             return
         (first, a), (last, _) = self._find(start), self._find(max(start, stop - 1))
-        left, right = self._step(first, -1), self._step(last, 1)  # leaves that may hold the context
+        left, right = max(0, first - 1), min(len(self.leaves) - 1, last + 1)  # leaves that may hold the context
         touched = range(left, right + 1)
         old = "".join(self.leaves[left : right + 1])
         a += len(self.leaves[left]) if left != first else 0
         b = a + stop - start
         lo = hi = 0
-        cuts = [0, *(m.start() for m in BREAK.finditer(old)), len(old)]
+        cuts = [0, *(m.start() for m in BORDER.finditer(old) if m.start()), len(old)]
         words = list(zip(cuts, cuts[1:], strict=False))
         at = max(0, bisect_right(words, (a, len(old) + 1)) - 1)
         lo = words[max(0, at - 1)][0]
@@ -128,14 +131,36 @@ class Tree:
             if right != last and hi <= len(old) - (m := len(self.leaves[right])):
                 touched, old = range(touched.start, last + 1), old[: len(old) - m]
                 tokens -= self.sums[1][self.base + right]
-        for k in touched:
-            self.leaves[k] = old[:lo] + now + old[hi:] if k == touched.start else ""
-            self.sums[0][self.base + k] = len(self.leaves[k])
-            self.sums[1][self.base + k] = tokens if k == touched.start else 0
-        nodes = {self.base + k for k in touched}
-        while nodes := {x // 2 for x in nodes} - {0}:
-            for x in nodes:
-                self._up(x)
+        self._put(touched, old[:lo] + now + old[hi:], tokens)
+
+    def _put(self, touched: range, text: str, tokens: int) -> None:
+        """Put a text with so many tokens in the place of some leaves, within the bounds of a leaf."""
+        if len(text) < LEAST and len(self.leaves) > len(touched):  # too little: join a neighbour
+            k = touched.stop if touched.stop < len(self.leaves) else touched.start - 1
+            text = text + self.leaves[k] if k == touched.stop else self.leaves[k] + text
+            tokens += self.sums[1][self.base + k]
+            touched = range(min(k, touched.start), max(k + 1, touched.stop))
+        pieces, counts = [text], [tokens]
+        if len(text) > MOST:
+            borders, pieces, at = [m.start() for m in BORDER.finditer(text) if m.start()], [], 0
+            for k, b in enumerate(borders):
+                if b - at >= MOST // 2 and len(text) - b >= LEAST and (k + 1 == len(borders) or borders[k + 1] - at > MOST // 2):
+                    pieces.append(text[at:b])
+                    at = b
+            pieces.append(text[at:])
+            counts = [self._count(p) for p in pieces[:-1]]
+            counts.append(tokens - sum(counts))
+        if len(touched) == len(pieces):
+            for k, piece, n in zip(touched, pieces, counts, strict=True):
+                self.leaves[k], self.sums[0][self.base + k], self.sums[1][self.base + k] = piece, len(piece), n
+            nodes = {self.base + k for k in touched}
+            while nodes := {x // 2 for x in nodes} - {0}:
+                for x in nodes:
+                    self._up(x)
+        else:
+            own = self.sums[1][self.base : self.base + len(self.leaves)]
+            own[touched.start : touched.stop] = counts
+            self._grow([*self.leaves[: touched.start], *pieces, *self.leaves[touched.stop :]], own)
 
 
 EDITS = "array<struct<start: bigint, stop: bigint, text: string>>"

@@ -67,6 +67,37 @@ def test_edits_count_like_the_edited_text(text, edits):
         assert (tree.text, tree.count) == (text, len(enc.direct(text)))
 
 
+def within_bounds(tree):
+    for k, leaf in enumerate(tree.leaves):
+        borders = [0, *(m.start() for m in tokencount.BORDER.finditer(leaf) if m.start()), len(leaf)]
+        assert len(leaf) >= tokencount.LEAST or k == len(tree.leaves) - 1, (k, len(leaf))  # what is left over at a text's end
+        assert len(leaf) <= tokencount.MOST + max(b - a for a, b in zip(borders, borders[1:])), (k, len(leaf))
+
+
+@pytest.mark.parametrize("kind", ["words", "han"])
+def test_trees_do_not_decay(kind):
+    """After a large insertion and a thousand edits leaves are within bounds, counts are right, and an edit encodes no more than in a fresh tree."""
+    enc, rng = encode.Encoder(encode.WORD), random.Random(4)
+    words = (lambda n: " ".join(rng.choice(["alpha", "be", "gamma,", "delta.", "x1"]) for _ in range(n))) if kind == "words" else (lambda n: "".join("".join(rng.choice("天地玄黃宇宙洪荒日月") for _ in range(rng.randint(2, 9))) + rng.choice("。，、") for _ in range(n)))
+    text = words(50)
+    tree = tokencount.Tree(enc, text)
+    big = words(20_000)
+    tree.edit(7, 9, big)
+    text = text[:7] + big + text[9:]
+    assert len(tree.leaves) > 60 and tree.count == len(enc.direct(text))
+    within_bounds(tree)
+    tree.work = 0
+    for _ in range(1000):
+        a = rng.randrange(len(text) + 1)
+        b, new = min(len(text), a + rng.choice([0, 1, 5, 40])), words(rng.choice([0, 1, 3, 9]))
+        tree.edit(a, b, new)
+        text = text[:a] + new + text[b:]
+    assert tree.text == text and tree.count == len(enc.direct(text)) and tree.work / 1000 < 1500
+    within_bounds(tree)
+    tree.edit(0, len(text) - 3, "")
+    assert tree.text == text[-3:] and len(tree.leaves) <= 2 and tree.count == len(enc.direct(text[-3:]))
+
+
 def test_edits_touch_little(spark):
     enc = encode.Encoder(encode.WORD)
     text = "plain words in a row, again and again. " * 2000
@@ -377,7 +408,7 @@ def less_repeats(docs, n, line=linededup.LINE):
         kept = "".join(text[starts[k] : starts[k + 1]] for k in range(len(w)) if not gone[k])
         kept = text[: starts[0]] + kept if w else text
         n_runs = sum(gone[k] and not (k and gone[k - 1]) for k in range(len(w)))
-        out[key] = (kept.rstrip() if n_runs else text, sum(gone), n_runs)
+        out[key] = (kept.rstrip(" \t\n\v\f\r") if w and gone[len(w) - 1] else kept, sum(gone), n_runs)
     return out
 
 
@@ -397,6 +428,7 @@ def test_line_dedup_by_brute_force(spark, monkeypatch, flush, most):
         texts.append(" ".join(run(rng.randrange(40))) + sep + " ".join(p) + sep + " ".join(run(rng.randrange(40))))
         texts.append("  ".join(run(rng.randrange(1, 40))) + sep + "\t".join(p).upper() + sep + " ".join(run(rng.randrange(1, 40))))
         planted.append((len(texts) - 1, n))
+    texts += [" ".join(run(5)) + " odd\u2003", " ".join(run(20)) + "\u2003 \n", texts[1] + " its own end\u2003", texts[2] + "\u2003 \n"]  # spaces that are letters, and spaces at the end
     texts += ["again " * 600, "Again\n" * 20, texts[1] + " " + texts[1]]
     docs = list(enumerate(texts))
     want = less_repeats(docs, linededup.WORDS)
@@ -412,6 +444,15 @@ def test_line_dedup_of_documents(spark, small):
     assert len(out) == len(docs) and out == less_repeats(docs, linededup.WORDS)
 
 
+def test_short_lines_go_if_asked_to(spark, small):
+    """With line=1 every repeated line goes, however short; with the default, lines of up to four words stay."""
+    docs = sorted(rows(spark, small))
+    docs += [(900, "Cookie policy accepted here\n" * 3 + "one"), (901, "two\nCookie policy accepted here\nCookie policy accepted here"), (902, "one")]
+    made = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r.doc_id: (r.text or "", r.n_removed, r.n_runs) for r in linededup.dedup(made, line=1).collect()}
+    assert out == less_repeats(docs, linededup.WORDS, 1) and out[901] == ("two", 8, 1) and out[902] == ("", 1, 1)
+
+
 def test_license_templates(spark):
     docs = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0."), (2, "the apache licenses"), (3, "SPDX-License-Identifier: MIT"), (4, "GNU General Public License as published by the Free Software Foundation, either version 3 of the License"), (5, "licensed under cc by-sa 4.0; MIT license, mit license"), (6, "Copyright (c) 2020 Some Body Inc. All rights reserved")], "doc_id long, text string")
     out = {r.doc_id: r for r in licenses.scan(docs).collect()}
@@ -608,3 +649,28 @@ def test_sample_is_bounded_and_alike(spark):
     assert len(x) == len(a) == 25 and y.tolist() == b.tolist() and all((p[0] == q[0]).all() for p, q in zip(x, a, strict=True))
     some, _ = quality.sample(docs, labels, "quality", rows=25, size=sum(p.nbytes + q.nbytes for p, q in x) // 2)
     assert 0 < len(some) < 25
+
+
+def test_pipeline_loses_no_text(spark, small):
+    """Line dedup cuts only what stands at its first place in what it returns, also where most of a document is repeated; no near copies are left in the end."""
+    import corpus_pipeline as P
+
+    rng = random.Random(3)
+    run = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    x, y, z = run(60), run(20), run(60)
+    docs = spark.createDataFrame([(1, x), (2, f"{x} {y}"), (3, f"{y} {z}"), (4, x), (5, f"{x}\n{y}")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in P.line_dedup(spark, docs, small).collect()}
+    assert set(out) == {1, 2, 3} and all(w in " ".join(out.values()).split() for w in f"{x} {y} {z}".split())
+    cut = lambda t: {w for w in re.split(r"[ \t-\r]+", low(t)) if w}
+    docs = common.documents(spark, small)
+    stages = dict(P.STAGES)
+    after = common.table(stages["line_dedup"](spark, docs, small), "lines")
+    assert set().union(*(cut(r.text) for r in docs.collect())) == set().union(*(cut(r.text) for r in after.collect()))
+    left = common.table(stages["ngram_jaccard_join"](spark, after, small), "near").collect()
+    sets = {r.doc_id: set(zip(*(w[k:] for k in range(5)))) if len(w := re.findall(r"[^ \t-\r]+", low(r.text))) >= 5 else {tuple(w)} - {()} for r in left}
+    by = defaultdict(set)
+    for k, s in sets.items():
+        for g in s:
+            by[g].add(k)
+    pairs = Counter(p for ks in by.values() for p in itertools.combinations(sorted(ks), 2))
+    assert not [p for p, n in pairs.items() if 100 * n >= 75 * len(sets[p[0]] | sets[p[1]])]
