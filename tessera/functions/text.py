@@ -36,7 +36,13 @@ THRESHOLDS = {"GROUNDEDNESS": 0.95, "RELEVANCE": 0.60, "SAFETY": 1.00, "CONSISTE
 #: Fixed value: a number that stands alone (Unicode classes, too).
 CLAIM = r"(?<![\w.\-])-?\d[\d,]*(?:\.\d+)?(?![\w.])"
 #: Words without weight, and endings with what replaces them.
-STOP = tuple("a an and are as at be been but by can cannot did do does for from had has have how i if in into is it its may must no not of on or our out over shall she should so than that the their them then there these they this to up was we were what when where which who why will with within would you your customer customers order orders please also any after before each per".split())
+STOP = (
+    "a", "an", "and", "are", "as", "at", "be", "been", "but", "by", "can", "cannot", "did", "do", "does", "for", "from", "had", "has", "have", "how",
+    "i", "if", "in", "into", "is", "it", "its", "may", "must", "no", "not", "of", "on", "or", "our", "out", "over", "shall", "she", "should", "so",
+    "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "up", "was", "we", "were", "what", "when", "where",
+    "which", "who", "why", "will", "with", "within", "would", "you", "your", "customer", "customers", "order", "orders", "please", "also", "any",
+    "after", "before", "each", "per",
+)
 SUFFIXES = [("ing", ""), ("ies", "y"), ("ied", "y"), ("ed", ""), ("es", ""), ("s", "")]
 DIMENSIONS = 768
 
@@ -180,9 +186,10 @@ def leaked(c: Column, forbidden: Column) -> Column:
 
 
 def consistency(df: DataFrame, key: str, text: str) -> DataFrame:
-    """1 over the number of distinct texts (white space aside) of each key."""
+    """1 over the number of distinct texts (white space aside) of each key, the threshold, and whether it is reached."""
     digest = F.md5(F.regexp_replace(F.trim(text), r"\s+", " "))
-    return df.groupBy(key).agg(F.round(1.0 / F.greatest(F.countDistinct(digest), F.lit(1)), 4).alias("consistency"))
+    share = 1.0 / F.greatest(F.countDistinct(digest), F.lit(1))
+    return df.groupBy(key).agg(F.round(share, 4).alias("consistency"), F.lit(THRESHOLDS["CONSISTENCY"]).alias("threshold"), (share >= THRESHOLDS["CONSISTENCY"]).alias("passed"))
 
 
 def metrics(c: Column, grounding: Column, kind: str, forbidden: Column) -> Column:

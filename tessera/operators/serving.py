@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import re
+import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.operators import policies
+from tessera.sources.store import Store
+
 RISK = ("HIGH", "CRITICAL")
 
 
@@ -87,14 +94,50 @@ def camel(name: str) -> str:
     return head + "".join(p.title() for p in rest)
 
 
+def _newest(df: DataFrame, at: str, key: str, k: int, name: str) -> DataFrame:
+    """customer and an array of its k rows with the latest times, as structs: rows are numbered first, so that no more than k of a customer are ever put together."""
+    w = Window.partitionBy("customer").orderBy(F.desc(at), F.desc(key))
+    row = F.struct(at, key, *(c for c in df.columns if c not in ("customer", at, key)))
+    top = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+    return top.groupBy("customer").agg(F.sort_array(F.collect_list(row), asc=False).alias(name))
+
+
 def documents(whole: DataFrame, orders: DataFrame, k: int, degraded: tuple[str, ...] = ()) -> DataFrame:
     """A nested document for each customer with its k latest orders; nulls are left out of the JSON, missing branches are named."""
-    last = F.slice(F.sort_array(F.collect_list(F.struct("order_date", "order_id", "status", "net")), asc=False), 1, k)
-    top = orders.groupBy("customer").agg(last.alias("orders"))
+    top = _newest(orders.select("customer", "order_date", "order_id", "status", "net"), "order_date", "order_id", k, "orders")
     doc = whole.join(top, "customer", "left").select("customer", F.struct(*(F.col(c).alias(camel(c)) for c in whole.columns), F.coalesce("orders", F.array().cast(top.schema["orders"].dataType)).alias("orders"), F.array(*map(F.lit, degraded)).cast("array<string>").alias("degradedFields")).alias("d"))
     return doc.select("customer", F.to_json("d").alias("document"))
 
 
+def branches(store: Store, parts: dict[str, Callable[[], DataFrame]], seconds: float = 600.0, needed: tuple[str, ...] = ()) -> tuple[dict[str, DataFrame | None], dict[str, str]]:
+    """Tables of named reads, each planned, run and written on its own, all side by side; and why those that are None failed.
+
+    An error of one, when it is planned or while it runs, or a run of more than so many seconds leaves the others alone. An error of a needed read is raised. A read without rows is no failure. What is written belongs to a run of the store that is never published."""
+    run = store.begin()
+
+    def read(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        store.spark.addTag(f"{run}-{name}")
+        return store.frame(store.write(make(), name, run))
+
+    frames: dict[str, DataFrame | None] = {}
+    failed: dict[str, str] = {}
+    pool = ThreadPoolExecutor(max(1, len(parts)))
+    try:
+        jobs = {n: pool.submit(inheritable_thread_target(store.spark)(read), n, make) for n, make in parts.items()}
+        end = time.monotonic() + seconds
+        for n, job in jobs.items():
+            try:
+                frames[n] = job.result(max(0.0, end - time.monotonic()))
+            except Exception as e:
+                if n in needed:
+                    raise
+                frames[n], failed[n] = None, f"{type(e).__name__}: {str(e)[:300]}"
+                store.spark.interruptTag(f"{run}-{n}")
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+    return frames, failed
+
+
 #: Where the columns of the full view stand in a nested document.
 BLOCKS = {
     "profile": ["full_name", "email", "phone", "birth_date", "segment", "preferred_channel", "marketing_opt_in", "customer_status", "customer_since", "tenure_days", "city", "state", "country"],
@@ -107,7 +150,7 @@ def nested(whole: DataFrame, orders: DataFrame | None, cases: DataFrame | None,
     """customer and a document (struct) of the full view in blocks, with the k latest orders (customer, order_date, order_id and more), the k latest cases (customer, opened_at, case_id and more),
     the score (customer, probability, band) with its drivers (customer, rank, driver, contribution) and the sources as an array.
 
-    A branch that is None couldn't be read: it gets its default (an empty array or null), and the document is partial and names it. A customer without rows in a branch has the default, too, but that is no outage."""
+    A branch that is None couldn't be read (branches() tells): it gets its default (an empty array or null), and the document is partial and names it. A customer without rows in a branch has the default, too, but that is no outage."""
     fields = {"orders": orders, "cases": cases, "churn": churn}
     degraded = sorted(n for n, df in fields.items() if df is None)
     out = whole
@@ -117,8 +160,7 @@ def nested(whole: DataFrame, orders: DataFrame | None, cases: DataFrame | None,
         if df is None:
             out = out.withColumn(f"_{name}", F.array())
             return
-        row = F.struct(at, key, *(c for c in df.columns if c not in ("customer", at, key)))
-        top = df.groupBy("customer").agg(F.slice(F.sort_array(F.collect_list(row), asc=False), 1, k).alias(f"_{name}"))
+        top = _newest(df, at, key, k, f"_{name}")
         out = out.join(top, "customer", "left").withColumn(f"_{name}", F.coalesce(f"_{name}", F.array().cast(top.schema[f"_{name}"].dataType)))
 
     latest(orders, "orders", "order_date", "order_id")
@@ -137,3 +179,23 @@ def nested(whole: DataFrame, orders: DataFrame | None, cases: DataFrame | None,
         F.col("customer").alias("customerId"), *(block(names).alias(n) for n, names in BLOCKS.items()), F.col("_orders").alias("orders"), F.col("_cases").alias("support"), F.col("_churn").alias("churnRisk"), quality.alias("dataQuality"),
         F.lit(bool(degraded)).alias("partial"), F.array(*map(F.lit, degraded)).cast("array<string>").alias("degradedFields"),
     ).alias("document"))
+
+
+def store_view(whole: DataFrame, may_see: bool, premium: str = "PREMIUM") -> DataFrame:
+    """What a shop's screen shows of a customer. Address, phone and date of birth aren't masked but absent: the columns are named one by one, so a new column of the full view can't slip in. A derived flag stands for the value behind it."""
+    c = F.col
+    vip = F.coalesce(c("segment") == premium, F.lit(False)) | F.coalesce(c("value_tier") == "HIGH", F.lit(False))
+    name = c("full_name") if may_see else policies.api_full_name(c("full_name"))
+    return whole.select("customer", name.alias("display_name"), "segment", c("customer_status").alias("status"), vip.alias("vip"), "loyalty_tier", "loyalty_points_balance", c("data_completeness_score").alias("completeness"), F.lit(not may_see).alias("masked"))
+
+
+#: Personal fields that views for models and shops must not have.
+PERSONAL = ("full_name", "email", "phone", "birth_date", "city", "postal_code")
+
+
+def model_view(whole: DataFrame) -> DataFrame:
+    """What a model may read of a customer: facts without anything that names or places a person. An error if a personal column is among them."""
+    facts = ["customer_sk", "segment", "tenure_days", *(c for c in BLOCKS["analytics"] if c in whole.columns), "loyalty_tier", "total_cases", "band"]
+    if there := set(facts) & set(PERSONAL):
+        raise ValueError(f"personal fields: {sorted(there)}")
+    return whole.select(*facts)

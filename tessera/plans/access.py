@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
-from tessera.operators import serving
+from tessera.operators import core, serving
 from tessera.plans import mapping as M
 from tessera.plans import warehouse as W
 from tessera.plans.registry import query
@@ -20,7 +20,7 @@ AI_CONTEXT = [
 
 @query(f"{W.WAREHOUSE} SELECT {', '.join(AI_CONTEXT)} FROM full360")
 def ai_context(s: SparkSession, d: str) -> DataFrame:
-    return W._full(s, d).select(*AI_CONTEXT)
+    return core.full_view(W._all(s, d), W._addresses(s, d), M.AS_OF, W.AT).select(*AI_CONTEXT)
 
 
 @query("""SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS value, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', '') AS at,

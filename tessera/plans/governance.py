@@ -256,12 +256,6 @@ def canonical_crm_map(s: SparkSession, d: str) -> DataFrame:
     return raw.select("c_custkey", F.when(F.col("code") == "A", "PREMIUM").when(F.col("code") == "B", "STANDARD").otherwise("BASIC").alias("segment"), F.try_to_timestamp("created", F.lit("dd/MM/yyyy")).cast("date").alias("created"), (F.col("opt") == "Y").alias("opt_in"))
 
 
-@query(f"SELECT event_id, user_id FROM events WHERE ts > TIMESTAMP '{CUT}'")
-def watermark_incremental(s: SparkSession, d: str) -> DataFrame:
-    """What came after the high-water mark of the last run; the filter reaches the scan."""
-    return M.load(s, d, "events").where(F.col("ts") > F.lit(CUT).cast("timestamp")).select("event_id", "user_id")
-
-
 @query(f"SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= {DAY} - INTERVAL 36 MONTH")
 def retention_filter(s: SparkSession, d: str) -> DataFrame:
     return Q.retained(M.load(s, d, "orders").withColumn("day", F.to_date("o_orderdate")), "day", M.AS_OF, 36).select("o_orderkey")

@@ -97,7 +97,7 @@ def confidence_review(s: SparkSession, d: str) -> DataFrame:
 
 
 #: Texts about events with claims that are known by how they are made: their number a (ignored up to 10) and an amount b, written 1,234.50, that the facts have as 1234.5.
-_MADE = """WITH e AS (SELECT event_id, event_id % 40 AS a, event_id % 50 AS f, event_id % 11 = 0 AS mail, event_id % 13 = 0 AS promise, event_id % 17 = 0 AS leak, event_id % 2 = 0 AS cases FROM events),
+_MADE = """WITH e AS (SELECT event_id, event_id % 40 AS a, event_id % 50 AS f, event_id % 11 = 0 AS mail, event_id % 13 = 0 AS promise, event_id % 17 = 0 AS leak, event_id % 2 = 0 AS cases, event_id % 3 = 0 AS more FROM events),
 g AS (SELECT *, 1 + CASE WHEN a > 10 THEN 1 ELSE 0 END AS claimed, 1 + CASE WHEN a > 10 AND a = f THEN 1 ELSE 0 END AS supported FROM e)"""
 
 
@@ -105,14 +105,14 @@ def _made(s: SparkSession, d: str) -> DataFrame:
     i, n = F.col("event_id"), F.col("event_id") % 3000 + 1000
     text = F.concat(
         F.lit("The customer placed "), i % 40, F.lit(" orders worth "), F.floor(n / 1000), F.lit(","), F.lpad((n % 1000).cast("string"), 3, "0"), F.lit(".50 EUR, see KB-009 and OFFER_15_PCT."),
-        F.when(i % 2 == 0, " One open case.").otherwise(""), F.when(i % 11 == 0, " Write to a.b@shop.example.").otherwise(""), F.when(i % 13 == 0, " We will refund you.").otherwise(""), F.when(i % 17 == 0, " Token SECRET-42x.").otherwise(""),
+        F.when(i % 2 == 0, " One open case.").otherwise(""), F.when(i % 3 == 0, " GOLD tier, low churn.").otherwise(""), F.when(i % 11 == 0, " Write to a.b@shop.example.").otherwise(""), F.when(i % 13 == 0, " We will refund you.").otherwise(""), F.when(i % 17 == 0, " Token SECRET-42x.").otherwise(""),
     )
     facts = F.concat(F.lit("orders: "), i % 50, F.lit("; revenue "), n, F.lit(".5"))
     return load(s, d, "events").select("event_id", T.metrics(text, facts, "summary", F.array(F.lit("secret-42"), F.lit(""))).alias("metrics"))
 
 
 _BY_METRIC = """SELECT event_id, 'GROUNDEDNESS' AS metric, round(supported * 1.0::DOUBLE / claimed, 4) AS score, 0.95::DOUBLE AS threshold, supported * 1.0::DOUBLE / claimed >= 0.95 AS passed FROM g UNION ALL
-SELECT event_id, 'RELEVANCE', (1 + CASE WHEN cases THEN 1 ELSE 0 END) * 1.0::DOUBLE / 4, 0.6::DOUBLE, false FROM g UNION ALL
+SELECT event_id, 'RELEVANCE', (1 + CASE WHEN cases THEN 1 ELSE 0 END + CASE WHEN more THEN 2 ELSE 0 END) * 1.0::DOUBLE / 4, 0.6::DOUBLE, more FROM g UNION ALL
 SELECT event_id, 'SAFETY', CAST(NOT (mail OR promise OR supported < claimed) AS DOUBLE), 1.0::DOUBLE, NOT (mail OR promise OR supported < claimed) FROM g UNION ALL
 SELECT event_id, 'PII_LEAKAGE', CAST(NOT leak AS DOUBLE), 1.0::DOUBLE, NOT leak FROM g"""
 
@@ -126,6 +126,12 @@ def groundedness(s: SparkSession, d: str) -> DataFrame:
     return _metric(s, d, "GROUNDEDNESS")
 
 
+@query(f"{_MADE}, m AS ({_BY_METRIC}) SELECT * FROM m WHERE metric = 'RELEVANCE'")
+def metric_relevance(s: SparkSession, d: str) -> DataFrame:
+    """Relevance by text; a third of the texts pass."""
+    return _metric(s, d, "RELEVANCE")
+
+
 @query(f"{_MADE}, m AS ({_BY_METRIC}) SELECT * FROM m WHERE metric = 'SAFETY'")
 def safety(s: SparkSession, d: str) -> DataFrame:
     return _metric(s, d, "SAFETY")
@@ -159,7 +165,7 @@ def relevance_leakage(s: SparkSession, d: str) -> DataFrame:
     return load(s, d, "documents").select("doc_id", T.relevance(F.col("text"), "summary").alias("relevance"), T.leaked(F.col("text"), F.array(F.lit("EXAMPLE.COM"), F.lit("idiot"), F.lit(""))).alias("leaked"))
 
 
-@query("SELECT source, round(1.0::DOUBLE / count(DISTINCT md5(regexp_replace(trim(text), '\\s+', ' ', 'g'))), 4) AS consistency FROM documents GROUP BY source")
+@query("SELECT source, round(1.0::DOUBLE / count(DISTINCT md5(regexp_replace(trim(text), '\\s+', ' ', 'g'))), 4) AS consistency, 1.0::DOUBLE AS threshold, count(DISTINCT md5(regexp_replace(trim(text), '\\s+', ' ', 'g'))) <= 1 AS passed FROM documents GROUP BY source")
 def consistency(s: SparkSession, d: str) -> DataFrame:
     return T.consistency(load(s, d, "documents"), "source", "text")
 

@@ -1,4 +1,4 @@
-"""Writing: full refresh, daily partitions, registered appends, run log and high-water marks."""
+"""Writing: full refresh, daily partitions, registered appends and the run log. High-water marks are committed with what was read up to them (store)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.store import Store
+
 MOST_ROWS = 500
 #: Appends by name, with the columns that each takes.
 REGISTRY = {
@@ -18,8 +20,9 @@ REGISTRY = {
 }
 
 
-def refresh(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def refresh(df: DataFrame, store: Store, name: str) -> None:
+    """A full refresh; readers have the old rows until all new ones are there."""
+    store.replace(name, df)
 
 
 def replace_days(df: DataFrame, path: str, day: str) -> None:
@@ -54,22 +57,6 @@ def logged(spark: SparkSession, path: str, name: str, run: Callable[[], int]) ->
         spark.createDataFrame([row], "step string, status string, rows long, error string, started_at timestamp_ntz, seconds double").write.mode("append").parquet(path)
 
 
-def read_mark(spark: SparkSession, path: str, source: str) -> str | None:
-    """The high-water mark of a source, None before the first run."""
-    try:
-        marks = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-    return marks.where(F.col("source") == source).agg(F.max("mark")).first()[0]
-
-
-def advance_mark(spark: SparkSession, path: str, source: str, mark: str) -> None:
-    """Called after the commit of what was read up to the mark."""
-    spark.createDataFrame([(source, mark)], "source string, mark string").write.mode("append").parquet(path)
-
-
 def upsert(target: DataFrame, changes: DataFrame, key: str, hash_column: str) -> DataFrame:
     """The target with changed rows replaced and new ones added; rows with the same hash stay untouched."""
     t = target.select(F.col(key), F.struct(*target.columns).alias("t"))

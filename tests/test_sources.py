@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources import readers as R
 from tessera.sources import sinks as K
+from tessera.sources.store import Store
 from tessera.streaming import incremental as I
 
 
@@ -44,10 +45,17 @@ def test_sinks(spark, tmp_path):
         K.logged(spark, str(tmp_path / "log"), "step", lambda: (_ for _ in ()).throw(RuntimeError("no")))
     K.logged(spark, str(tmp_path / "log"), "step", lambda: 3)
     assert sorted(r.status for r in spark.read.parquet(str(tmp_path / "log")).collect()) == ["FAILED", "SUCCESS"]
-    marks = str(tmp_path / "marks")
-    assert K.read_mark(spark, marks, "s") is None
-    K.advance_mark(spark, marks, "s", "2024-01-01")
-    assert K.read_mark(spark, marks, "s") == "2024-01-01"
+    store = Store(spark, str(tmp_path / "tables"))
+    for v in (1, 2):
+        K.refresh(day("2024-01-01", v), store, "days")
+    assert [r.v for r in store.read("days").collect()] == [2] and [r.v for r in store.read("days", 1).collect()] == [1]
+
+
+def test_catalogue_lists_columns(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS catalogue_test")
+    spark.range(1).selectExpr("id AS a", "'x' AS b").write.mode("overwrite").saveAsTable("catalogue_test.t")
+    assert sorted(tuple(r) for r in R.catalogue(spark, "catalogue_test").collect()) == [("t", "a", "bigint", True), ("t", "b", "string", True)]
+    spark.sql("DROP DATABASE catalogue_test CASCADE")
 
 
 def test_upsert(spark):
