@@ -88,8 +88,8 @@ def consented(df: DataFrame, opt_in: str) -> DataFrame:
 
 
 def subject_extract(key: str, value, tables: dict[str, DataFrame]) -> DataFrame:
-    """All rows of a subject in all tables, as JSON arrays."""
-    parts = [df.where(F.col(key) == value).agg(F.to_json(F.sort_array(F.collect_list(F.to_json(F.struct(*df.columns))))).alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, df in tables.items()]
+    """All rows of a subject in all tables, a line each: the table and the row as JSON with its columns in order. However many rows a subject has, none are put together in one task; write the lines partitioned by table_name for a file of each."""
+    parts = [df.where(F.col(key) == value).select(F.lit(n).alias("table_name"), F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("row")) for n, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

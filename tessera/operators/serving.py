@@ -191,11 +191,15 @@ def store_view(whole: DataFrame, may_see: bool, premium: str = "PREMIUM") -> Dat
 
 #: Personal fields that views for models and shops must not have.
 PERSONAL = ("full_name", "email", "phone", "birth_date", "city", "postal_code")
+#: What a model may see of a customer: behaviour only. Names, addresses, phones and birth dates are absent because nothing here names them.
+MODEL_CONTEXT = [
+    "customer", "segment", "value_tier", "tenure_days", "total_orders", "total_net_revenue", "avg_order_value", "order_frequency_per_year", "days_since_last_order", "total_cases", "open_cases", "cases_last_90d", "avg_csat", "top_case_type",
+    "loyalty_tier", "loyalty_status", "loyalty_points_balance", "interactions_last_90d", "negative_signals_90d", "engagement_score",
+]
 
 
-def model_view(whole: DataFrame) -> DataFrame:
-    """What a model may read of a customer: facts without anything that names or places a person. An error if a personal column is among them."""
-    facts = ["customer_sk", "segment", "tenure_days", *(c for c in BLOCKS["analytics"] if c in whole.columns), "loyalty_tier", "total_cases", "band"]
+def model_view(whole: DataFrame, facts: list[str] = MODEL_CONTEXT) -> DataFrame:
+    """What a model may read of a customer: the named facts and nothing else. An error if a personal field is among them."""
     if there := set(facts) & set(PERSONAL):
         raise ValueError(f"personal fields: {sorted(there)}")
     return whole.select(*facts)

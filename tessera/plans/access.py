@@ -6,21 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
-from tessera.operators import core, serving
+from tessera.operators import canonical, core, serving
 from tessera.plans import mapping as M
 from tessera.plans import warehouse as W
 from tessera.plans.registry import query
 
-#: What a model may see of a customer: behaviour only. Names, addresses, phones and birth dates are absent because nothing here names them.
-AI_CONTEXT = [
-    "customer", "segment", "value_tier", "tenure_days", "total_orders", "total_net_revenue", "avg_order_value", "order_frequency_per_year", "days_since_last_order", "total_cases", "open_cases", "cases_last_90d", "avg_csat", "top_case_type",
-    "loyalty_tier", "loyalty_status", "loyalty_points_balance", "interactions_last_90d", "negative_signals_90d", "engagement_score",
-]
-
-
-@query(f"{W.WAREHOUSE} SELECT {', '.join(AI_CONTEXT)} FROM full360")
+@query(f"{W.WAREHOUSE} SELECT {', '.join(serving.MODEL_CONTEXT)} FROM full360")
 def ai_context(s: SparkSession, d: str) -> DataFrame:
-    return core.full_view(W._all(s, d), W._addresses(s, d), M.AS_OF, W.AT).select(*AI_CONTEXT)
+    return serving.model_view(core.full_view(W._all(s, d), W._addresses(s, d), M.AS_OF, W.AT))
 
 
 @query("""SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) AS value, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', '') AS at,
@@ -39,11 +32,7 @@ FROM (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS amount, CAST(CASE WHEN o_
 def canonical_oms_map(s: SparkSession, d: str) -> DataFrame:
     """Orders of the order system under canonical names; a missing discount is 0, the net amount is the rest."""
     k = F.col("o_orderkey")
-    raw = M.load(s, d, "orders").withColumns({"amount": X.money(F.col("o_totalprice")), "discount": F.when(k % 4 == 0, X.money((k % 900) / 100))})
-    return raw.select(
-        k.alias("order_id"), F.to_date("o_orderdate").alias("order_date"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("channel"), F.col("amount").cast("double").alias("gross_amount"),
-        F.coalesce("discount", F.lit(0)).cast("double").alias("discount_amount"), F.round(F.col("amount") - F.coalesce("discount", F.lit(0)), 2).cast("double").alias("net_amount"),
-    )
+    return canonical.orders(M.load(s, d, "orders").select(k.alias("order_id"), F.col("o_orderdate").alias("order_date"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("channel"), F.col("o_totalprice").alias("amount"), F.when(k % 4 == 0, (k % 900) / 100).alias("discount")))
 
 
 @query("SELECT event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_load, date_diff('minute', max(ts), TIMESTAMP '2024-02-01 00:00:30') AS minutes_since FROM events GROUP BY event_type")

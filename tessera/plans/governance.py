@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
+from tessera.operators import canonical
 from tessera.operators import policies as P
 from tessera.operators import quality as Q
 from tessera.operators import scd2, serving, staging
@@ -119,9 +120,9 @@ def scd2_overlap_check(s: SparkSession, d: str) -> DataFrame:
     return scd2.overlaps(h.withColumn("valid_to", F.col("valid_to") + F.expr("INTERVAL 1 HOUR")), "customer")
 
 
-@query(f"WITH {HISTORY} SELECT e.event_id, e.user_id AS customer, h.version AS version, h.event_type AS state FROM (SELECT *, ts - INTERVAL 36 HOUR AS at FROM events WHERE event_type = 'purchase') e LEFT JOIN (SELECT customer, CAST(version AS INT) AS version, event_type, valid_from, valid_to FROM hist) h ON h.customer = e.user_id AND e.at >= h.valid_from AND e.at < h.valid_to")
+@query(f"WITH {HISTORY} SELECT e.event_id, e.user_id AS customer, h.version AS version, h.event_type AS state FROM (SELECT *, ts - INTERVAL 36 HOUR AS at FROM events) e LEFT JOIN (SELECT customer, CAST(version AS INT) AS version, event_type, valid_from, valid_to FROM hist) h ON h.customer = e.user_id AND e.at >= h.valid_from AND e.at < h.valid_to")
 def pit_join(s: SparkSession, d: str) -> DataFrame:
-    facts = M.load(s, d, "events").where("event_type = 'purchase'").select("event_id", F.col("user_id").alias("customer"), (F.col("ts") - F.expr("INTERVAL 36 HOURS")).alias("at"))
+    facts = M.load(s, d, "events").select("event_id", F.col("user_id").alias("customer"), (F.col("ts") - F.expr("INTERVAL 36 HOURS")).alias("at"))
     dim = _history(s, d).withColumnRenamed("event_type", "state")
     return scd2.as_of_join(facts, dim, "customer", "at", ["version", "state"]).select("event_id", "customer", "version", "state")
 
@@ -253,7 +254,7 @@ def json_path_projection(s: SparkSession, d: str) -> DataFrame:
 def canonical_crm_map(s: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     raw = M.load(s, d, "customer").select("c_custkey", F.substring("c_mktsegment", 1, 1).alias("code"), F.date_format(F.date_add(F.lit(dt.date(1995, 1, 1)), (k % 2000).cast("int")), "dd/MM/yyyy").alias("created"), F.when(k % 2 == 0, "Y").otherwise("N").alias("opt"))
-    return raw.select("c_custkey", F.when(F.col("code") == "A", "PREMIUM").when(F.col("code") == "B", "STANDARD").otherwise("BASIC").alias("segment"), F.try_to_timestamp("created", F.lit("dd/MM/yyyy")).cast("date").alias("created"), (F.col("opt") == "Y").alias("opt_in"))
+    return canonical.customers(raw, codes={"segment": ("code", {"A": "PREMIUM", "B": "STANDARD"}, "BASIC")}, dates={"created": "created"}, flags={"opt_in": "opt"}, keep=("c_custkey",))
 
 
 @query(f"SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= {DAY} - INTERVAL 36 MONTH")
@@ -292,9 +293,13 @@ def nested_document(s: SparkSession, d: str) -> DataFrame:
     return serving.documents(M.customers(s, d), M.sales(s, d), 3)
 
 
-@query()
+@query("""SELECT 'orders' AS table_name, '{"customer":7,"order_date":"' || CAST(o_orderdate AS DATE) || '","order_id":' || o_orderkey || ',"status":"' || o_orderstatus || '"}' AS row FROM orders WHERE o_custkey = 7 UNION ALL
+SELECT 'interactions', '{"channel":"' || event_type || '","customer":7,"id":' || event_id || ',"negative":' || CASE WHEN event_type = 'error' THEN 'true' ELSE 'null' END || '}' FROM events WHERE user_id = 7""")
 def subject_extract(s: SparkSession, d: str) -> DataFrame:
-    return P.subject_extract("customer", 7, {"orders": M.sales(s, d), "interactions": M.touches(s, d)})
+    """All that is kept of one customer."""
+    orders = M.load(s, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer"), F.to_date("o_orderdate").alias("order_date"), F.col("o_orderstatus").alias("status"))
+    touches = M.touches(s, d).select("id", "customer", "channel", F.when(F.col("negative"), True).alias("negative"))
+    return P.subject_extract("customer", 7, {"orders": orders, "interactions": touches})
 
 
 @query("SELECT o_orderkey, 'C_' || upper(left(sha256('salt:' || CAST(o_custkey AS VARCHAR)), 12)) AS customer FROM orders WHERE o_custkey % 100 = 7")

@@ -10,27 +10,6 @@ from tessera.plans import customer as C
 from tessera.plans.mapping import load
 from tessera.plans.registry import query
 
-_TABLES = {
-    "region": "r_regionkey r_name".split(),
-    "nation": "n_nationkey n_name n_regionkey".split(),
-    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment".split(),
-    "supplier": "s_suppkey s_name s_nationkey s_acctbal".split(),
-    "part": "p_partkey p_name p_brand p_type p_size p_retailprice".split(),
-    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split(),
-    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate".split(),
-    "events": "event_id ts user_id event_type value props".split(),
-    "documents": "doc_id text lang source n_chars".split(),
-    "embeddings": "vec_id embedding label".split(),
-    "pages": "page_id url html".split(),
-    "benchmark": "item_id text".split(),
-    "labels": "doc_id quality toxic".split(),
-    "conversations": "conv_id turn role text".split(),
-}
-_COLUMNS = [(t, c) for t, cs in _TABLES.items() for c in cs]
-_DESCRIBED = [("customer", "c_custkey"), ("customer", "c_name"), ("events", "ts")]
-_VALUES = ", ".join(f"('{t}', '{c}')" for t, c in _COLUMNS)
-
-
 @query(C.ALL + C.WHOLE + """SELECT customer, 'The customer is in the ' || segment || ' segment. ' || CASE WHEN total_orders > 0 THEN 'They have placed ' || total_orders || ' orders.' ELSE 'They have no recorded purchase history.' END || CASE WHEN open_cases > 0 THEN ' ' || open_cases || ' support cases are open.' ELSE '' END || CASE WHEN band IS NOT NULL THEN ' Churn risk is ' || band || '.' ELSE '' END AS summary FROM c360""")
 def insight_summary(s: SparkSession, d: str) -> DataFrame:
     return insight.summary(C._whole(s, d))
@@ -42,19 +21,6 @@ def sentiment_score(s: SparkSession, d: str) -> DataFrame:
     return C._support(s, d).select("customer", score.alias("score"), label.alias("label"))
 
 
-@query(f"""SELECT table_name, column_name, CASE WHEN regexp_matches(lower(column_name), 'email|phone|name|birth|address') THEN 'DIRECT' WHEN regexp_matches(lower(column_name), 'customer|postal|city|nation|user') THEN 'INDIRECT' WHEN regexp_matches(lower(column_name), 'text|description|note|comment') THEN 'FREE_TEXT' ELSE 'NONE' END AS pii_class FROM (VALUES {_VALUES}) v(table_name, column_name)""")
-def data_dictionary(s: SparkSession, d: str) -> DataFrame:
-    """Columns as the files have them, classified by name."""
-    rows = [(t, c) for t in _TABLES for c in load(s, d, t).columns]
-    return insight.classified(s.createDataFrame(rows, "table_name string, column_name string"))
-
-
-@query(f"SELECT table_name, count(*) AS columns, count(d) AS described, round(100.0::DOUBLE * count(d) / count(*), 2) AS coverage_pct FROM (VALUES {_VALUES}) v(table_name, column_name) LEFT JOIN (SELECT *, 1 AS d FROM (VALUES {', '.join(str(x) for x in _DESCRIBED)}) w(table_name, column_name)) USING (table_name, column_name) GROUP BY table_name")
-def dictionary_coverage(s: SparkSession, d: str) -> DataFrame:
-    rows = s.createDataFrame([(t, c) for t in _TABLES for c in load(s, d, t).columns], "table_name string, column_name string")
-    return insight.coverage(rows, s.createDataFrame(_DESCRIBED, "table_name string, column_name string"))
-
-
 @query("SELECT a.event_id AS request, b.event_id AS produced FROM (SELECT * FROM events WHERE user_id = 7 AND event_type = 'view') a LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id")
 def trace_lookup(s: SparkSession, d: str) -> DataFrame:
     e = load(s, d, "events").withColumn("correlation_id", F.col("user_id").cast("string"))

@@ -204,17 +204,42 @@ _COLUMNS = {
     "customer": {"c_custkey": "NUMBER", "c_name": "text", "c_nationkey": "NUMBER", "c_acctbal": "NUMBER", "c_mktsegment": "text"}, "supplier": {"s_suppkey": "NUMBER", "s_name": "text", "s_nationkey": "NUMBER", "s_acctbal": "NUMBER"},
     "part": {"p_partkey": "NUMBER", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "NUMBER", "p_retailprice": "NUMBER"},
     "orders": {"o_orderkey": "NUMBER", "o_custkey": "NUMBER", "o_orderstatus": "text", "o_totalprice": "NUMBER", "o_orderdate": "TIME", "o_orderpriority": "text"},
+    "lineitem": {c: "NUMBER" for c in "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()} | {"l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "TIME"},
     "events": {"event_id": "NUMBER", "ts": "TIME", "user_id": "NUMBER", "event_type": "text", "value": "NUMBER", "props": "text"}, "documents": {"doc_id": "NUMBER", "text": "text", "lang": "text", "source": "text", "n_chars": "NUMBER"},
     "embeddings": {"vec_id": "NUMBER", "embedding": "VECTOR", "label": "NUMBER"}, "pages": {"page_id": "NUMBER", "url": "text", "html": "text"}, "benchmark": {"item_id": "NUMBER", "text": "text"},
     "labels": {"doc_id": "NUMBER", "quality": "NUMBER", "toxic": "NUMBER"}, "conversations": {"conv_id": "NUMBER", "turn": "NUMBER", "role": "text", "text": "text"},
 }
 
 
-@query(" UNION ALL ".join(map(_kinds, _COLUMNS)))
-def described_columns(s: SparkSession, d: str) -> DataFrame:
-    """What the columns of 13 tables hold, by their values: nulls, distinct values, kind of content."""
+_DESCRIBED = " UNION ALL ".join(map(_kinds, _COLUMNS))
+_BY_NAME = "CASE " + " ".join(f"WHEN regexp_matches(lower(column_name), '{'|'.join(v)}') THEN '{k}'" for k, v in insight.PII_HINTS.items()) + " ELSE 'NONE' END"
+#: Columns that the dictionary describes in words.
+_WORDS = [("customer", "c_custkey"), ("customer", "c_name"), ("events", "ts"), ("lineitem", "l_quantity")]
+
+
+def _described(s: SparkSession, d: str) -> DataFrame:
     out = None
     for name in _COLUMNS:
         one = insight.described(M.load(s, d, name), name)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query(_DESCRIBED)
+def described_columns(s: SparkSession, d: str) -> DataFrame:
+    """What the columns of all tables hold, by their values: nulls, distinct values, kind of content."""
+    return _described(s, d)
+
+
+@query(f"SELECT table_name, column_name, n_rows, content, {_BY_NAME} AS pii_class FROM ({_DESCRIBED})")
+def data_dictionary(s: SparkSession, d: str) -> DataFrame:
+    """All columns with what their values hold and what their names say about persons."""
+    return insight.classified(_described(s, d)).select("table_name", "column_name", "n_rows", "content", "pii_class")
+
+
+@query(f"SELECT table_name, count(*) AS columns, count(w) AS described, round(100.0::DOUBLE * count(w) / count(*), 2) AS coverage_pct, CAST(sum(n_rows) AS BIGINT) AS n_values FROM ({_DESCRIBED}) LEFT JOIN (SELECT *, 1 AS w FROM (VALUES {', '.join(str(x) for x in _WORDS)}) v(table_name, column_name)) USING (table_name, column_name) GROUP BY table_name")
+def dictionary_coverage(s: SparkSession, d: str) -> DataFrame:
+    """Share of each table's columns that the dictionary describes in words, with how many values they have."""
+    columns = _described(s, d)
+    out = insight.coverage(columns, s.createDataFrame(_WORDS, "table_name string, column_name string"))
+    return out.join(columns.groupBy("table_name").agg(F.sum("n_rows").alias("n_values")), "table_name")

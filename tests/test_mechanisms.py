@@ -238,8 +238,10 @@ def test_documents_of_branches(spark):
 def test_views_without_personal_fields(spark):
     row = {"customer": 1, "customer_sk": "s", "full_name": "Ann Lee", "email": "a@b.co", "phone": "1", "birth_date": None, "segment": "PREMIUM", "customer_status": "ACTIVE", "value_tier": "LOW", "loyalty_tier": "GOLD", "loyalty_points_balance": 5, "data_completeness_score": 50.0, "tenure_days": 4, "total_cases": 0, "band": "LOW", "city": "X", "postal_code": "1"}
     whole = spark.createDataFrame([row], ", ".join(f"{k} {'long' if isinstance(v, int) else 'double' if isinstance(v, float) else 'string'}" for k, v in row.items()))
-    shop, model = serving.store_view(whole, False), serving.model_view(whole)
-    assert not set(shop.columns) & {"email", "phone", "birth_date"} and not set(model.columns) & {*serving.PERSONAL, "customer"}
+    shop, model = serving.store_view(whole, False), serving.model_view(whole, ["customer", "segment", "band"])
+    assert not set(shop.columns) & {"email", "phone", "birth_date"} and not set(serving.MODEL_CONTEXT) & set(serving.PERSONAL) and model.columns == ["customer", "segment", "band"]
+    with pytest.raises(ValueError):
+        serving.model_view(whole, ["customer", "email"])
     assert (shop.first().display_name, shop.first().vip, shop.first().masked) == ("Ann L**", True, True)
     assert serving.store_view(whole, True).first().display_name == "Ann Lee"
 
