@@ -24,12 +24,12 @@ def newest(results: DataFrame, state: DataFrame | None) -> DataFrame:
     return rows.groupBy("rule_id").agg(F.max(F.struct("at", "status")).alias("r")).select("rule_id", "r.*")
 
 
-def alert(store: Store, batch: DataFrame, number: int) -> int:
-    """Add a batch's alerts to the store's table "alerts" and keep the rules' last states in "states", both in one commit that bears the batch's number: a batch that comes again changes nothing. The number of alerts added."""
-    run, head = f"alerts-{number}", store.head()
-    if run in head.runs or int(head.marks.get("alerts", "-1")) >= number:
+def alert(store: Store, batch: DataFrame, number: int, source: str = "alerts") -> int:
+    """Add a batch's alerts to the store's table "alerts" and keep the rules' last states in "states", both in one commit with the batch's number of its source: a batch that comes again changes nothing. The number of alerts added."""
+    head = store.head()
+    if int(head.marks.get(source, "-1")) >= number:
         return 0
-    store.begin(run)
+    run = store.begin()
     state = store.frame(head.tables["states"]) if "states" in head.tables else None
     rows = batch.persist()  # read twice
     try:
@@ -38,10 +38,10 @@ def alert(store: Store, batch: DataFrame, number: int) -> int:
     finally:
         rows.unpersist()
     old = head.tables.get("alerts", {"paths": []})["paths"]
-    store.commit(run, {"alerts": added | {"paths": [*old, *added["paths"]]}, "states": states}, {"alerts": str(number)}, head)
+    store.commit(run, {"alerts": added | {"paths": [*old, *added["paths"]]}, "states": states}, {source: str(number)}, head)
     return store.frame(added).count()
 
 
 def watch(stream: DataFrame, store: Store, checkpoint: str):
-    """Alerts of a stream of results."""
-    return stream.writeStream.foreachBatch(lambda batch, number: alert(store, batch, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Alerts of a stream of results. Batches are numbered by checkpoint: results that a stream gives again after its checkpoint is lost are older than the states, and raise nothing."""
+    return stream.writeStream.foreachBatch(lambda batch, number: alert(store, batch, number, f"batch of {checkpoint}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

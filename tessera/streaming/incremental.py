@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tessera.operators import scd2
+from tessera.sources.store import Manifest, Store
 
 
 def arrivals(spark: SparkSession, path: str, schema: StructType, kind: str = "parquet", files: int = 100) -> DataFrame:
@@ -24,58 +27,47 @@ def windowed_counts(stream: DataFrame, at: str, by: str, width: str = "1 day", d
     return stream.withWatermark(at, delay).groupBy(F.window(at, width), by).agg(F.count("*").alias("n"))
 
 
-def _versions(spark: SparkSession, path: str) -> dict[int, dict[int, str]]:
-    """The folders of each bucket by the batch that wrote them, whole batches only."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    p = hadoop(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    out: dict[int, dict[int, str]] = {}
-    if not fs.exists(p):
-        return out
-    number = lambda name: int(name.partition("=")[2])
-    for batch in (s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("batch=")):
-        if fs.exists(hadoop(batch, "_SUCCESS")):
-            for b in (s.getPath() for s in fs.listStatus(batch) if s.getPath().getName().startswith("bucket=")):
-                out.setdefault(number(b.getName()), {})[number(batch.getName())] = b.toString()
-    return out
-
-
-def current(spark: SparkSession, path: str, before: int | None = None, buckets: set[int] | None = None) -> DataFrame | None:
-    """The dimension after the last whole batch (or the last one before a number): the newest folder of each bucket, or of some of them; None if there are none."""
-    newest = []
-    for bucket, by_batch in _versions(spark, path).items():
-        done = [n for n in by_batch if before is None or n < before]
-        if done and (buckets is None or bucket in buckets):
-            newest.append(by_batch[max(done)])
-    return spark.read.parquet(*newest) if newest else None
-
-
-def vacuum(spark: SparkSession, path: str, keep: int = 3) -> None:
-    """Delete folders of buckets but for the newest `keep` of each."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for by_batch in _versions(spark, path).values():
-        for n in sorted(by_batch)[:-keep]:
-            fs.delete(hadoop(by_batch[n]), True)
-
-
-def load_dimension(stream: DataFrame, path: str, checkpoint: str, key: str, empty: DataFrame, prepare, now: Column | None = None, buckets: int = 64):
+PART = "bucket-"
+
+
+def current(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The dimension as of the last load, or of an earlier version that is kept; None before the first."""
+    store = Store(spark, path)
+    manifest = store.head() if version is None else store.manifest(version)
+    return _frame(store, manifest, sorted(manifest.tables))
+
+
+def _frame(store: Store, manifest: Manifest, names: list[str]) -> DataFrame | None:
+    parts = [manifest.tables[n] for n in names if n in manifest.tables]
+    return store.frame(parts[-1] | {"paths": [p for t in parts for p in t["paths"]]}) if parts else None
+
+
+def load_dimension(stream: DataFrame, path: str, checkpoint: str, key: str, empty: DataFrame, prepare, now: Column | None = None, buckets: int = 64, keep: int = 3):
     """Apply each batch of a stream to the dimension under path. prepare(batch) gives staged rows, the latest of each key; now stands in for times that these lack (the clock if None).
 
-    Keys are dealt into buckets by hash, their number fixed for a path. A batch reads and writes only the buckets of its keys, into a folder of its own that counts once it is whole,
-    so a batch that is run again after a failure starts from the same version and changes nothing twice; an empty batch does nothing."""
+    Keys are dealt into buckets by hash, their number fixed for a path. A batch reads and writes only the buckets of its keys; the folders that it wrote and its number are committed together, so a batch that comes again changes nothing,
+    and readers see all of a batch or none. Batches are numbered by checkpoint: a stream that starts anew is applied anew, which leaves history that it repeats as it is. An empty batch does nothing. The newest `keep` versions stay."""
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    mark = f"batch of {checkpoint}"
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        store = Store(batch.sparkSession, path)
+        head = store.head()
+        if int(head.marks.get(mark, "-1")) >= number:
+            return
         staged = prepare(batch).persist()
         try:
-            touched = {r.b for r in staged.select(bucket.alias("b")).distinct().collect()}  # at most `buckets` rows
+            touched = sorted(r.b for r in staged.select(bucket.alias("b")).distinct().collect())  # at most `buckets` rows
             if touched:
-                before = current(spark, path, number, touched)
+                before = _frame(store, head, [f"{PART}{b}" for b in touched])
                 after = scd2.apply(empty if before is None else before, staged, key, F.current_timestamp() if now is None else now)
-                after.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={number}")
-                vacuum(spark, path)
+                name = store.begin()
+                target = f"{store.root}/data/dimension/{name}"
+                after.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(target)
+                written = [int(n.partition("=")[2]) for n in store.files.names(target) if n.startswith("bucket=")]
+                schema = json.dumps(after.schema.jsonValue())
+                store.commit(name, {f"{PART}{b}": {"schema": schema, "paths": [f"{target}/bucket={b}"]} for b in written}, {mark: str(number)}, head)
+                store.vacuum(keep)
         finally:
             staged.unpersist()
 
