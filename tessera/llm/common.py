@@ -202,7 +202,8 @@ def blobs(buckets: np.ndarray, columns: list[np.ndarray], keys: list[int], kind:
     columns = [c[order] for c in columns]
     full = np.flatnonzero(np.diff(cuts))
     data = [b"".join(np.ascontiguousarray(c[cuts[b] : cuts[b + 1]]).tobytes() for c in columns) for b in full]
-    return pa.RecordBatch.from_arrays([pa.array([keys[b] for b in full], pa.int32()), pa.array([kind] * len(full), pa.int32()), pa.array(np.diff(cuts)[full]), pa.array(data, pa.binary())], schema=_BLOBS)
+    return pa.RecordBatch.from_arrays([pa.array([keys[b] for b in full], pa.int32()), pa.array([kind] * len(full), pa.int32()), pa.array(np.diff(cuts)[full]),
+        pa.array(data, pa.binary())], schema=_BLOBS)
 
 
 def blob_row(key: int, rows: int, blob: bytes, kind: int = 1) -> pa.RecordBatch:

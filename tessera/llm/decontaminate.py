@@ -27,7 +27,8 @@ from tessera.llm.common import ALNUM, LOWER, discard, documents, grams, lean, ta
 
 WINDOW, SHINGLE, BLOCK = 10, 3, 32 << 20
 PAIRS = 2_000_000  # candidates looked at together
-STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("ranges", pa.binary()), ("items", pa.list_(pa.string())), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
+STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("ranges", pa.binary()), ("items", pa.list_(pa.string())),
+    ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
 _SPACED = bytes(int(LOWER[i]) if ALNUM[LOWER[i]] else 32 for i in range(256))
 
 
@@ -151,7 +152,9 @@ def _match(state: DataFrame, index, fields: pa.Schema = STATE) -> DataFrame:
             n = np.diff(first)
             hit = [int(covered(int(k), r).sum()) if r else 0 for k, r in zip(n, ranges, strict=True)]
             sha = [hashlib.sha256(",".join(i or ()).encode()).hexdigest() for i in items]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(ranges, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(hit, pa.int64()), pa.array([len(i or ()) for i in items], pa.int64()), pa.array(sha, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], schema=fields)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(ranges, pa.binary()), pa.array(items, pa.list_(pa.string())),
+                pa.array(hit, pa.int64()), pa.array([len(i or ()) for i in items], pa.int64()), pa.array(sha, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())],
+                schema=fields)
 
     return state.mapInArrow(lean(run), "doc_id long, text string, n_words long, ranges binary, items array<string>, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
@@ -163,7 +166,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     total = grid.agg(F.sum(F.octet_length("words") + F.coalesce(F.octet_length("item"), F.lit(0)) + 64)).first()[0] or 0
     blocks = max(1, -(-total // block))
     grid = grid.withColumn("block", F.pmod(F.xxhash64("words", "item"), F.lit(blocks)))
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("ranges"), F.lit(None).cast("array<string>").alias("items"))
+    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.lit(0).cast("long").alias("n_words"),
+        F.lit(None).cast("binary").alias("ranges"), F.lit(None).cast("array<string>").alias("items"))
     previous = None
     for k in range(blocks):
         x = Index([(r.item, r.words) for r in grid.where(F.col("block") == k).collect()])  # about `block` bytes

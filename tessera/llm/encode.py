@@ -1,7 +1,8 @@
 """Token ids of whole texts by a tokenizers file, through a bounded cache of chunks.
 
 A text is cut where no token of the public byte-level and word-level BPE files can lie across: before white space that follows other characters, after a single
-line feed, between letters and ASCII punctuation, and between Chinese characters and their punctuation. Chunks are found and looked up by 64-bit hashes, all at once for a slice of texts; the library encodes those
+line feed, between letters and ASCII punctuation, and between Chinese characters and their punctuation. Chunks are found and looked up by 64-bit hashes, all at once for
+a slice of texts; the library encodes those
 that aren't in the cache. No cut touches white space other than blanks and line feeds. Special tokens' strings are
 ordinary text."""
 

@@ -105,8 +105,10 @@ def features(docs: DataFrame, n_gram: int = N_GRAM, buckets: int = BUCKETS) -> D
             cuts = np.searchsorted(pairs, np.arange(rows + 1) * buckets)
             b, c = (pairs % buckets).astype("<u4"), counts.astype("<u4")
             packed = [b[x:y].tobytes() + c[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pc.cast(part.column(0), pa.int64()), pa.array(np.diff(first), pa.int64()), pa.array(np.bincount(doc, minlength=rows), pa.int64()), pa.array(packed, pa.binary()), pa.nulls(rows, pa.list_(pa.int64()))], schema=_FEATURES)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tolist()], pa.list_(pa.int64()))], schema=_FEATURES)
+            yield pa.RecordBatch.from_arrays([pc.cast(part.column(0), pa.int64()), pa.array(np.diff(first), pa.int64()),
+                pa.array(np.bincount(doc, minlength=rows), pa.int64()), pa.array(packed, pa.binary()), pa.nulls(rows, pa.list_(pa.int64()))], schema=_FEATURES)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()),
+            pa.array([total.tolist()], pa.list_(pa.int64()))], schema=_FEATURES)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return plain.mapInArrow(lean(run), "doc_id long, n_words long, n_features long, buckets binary, totals array<bigint>")

@@ -3,7 +3,8 @@
 A document's set holds the hashes of its distinct 5-word shingles. Sizes fall into bands [l, 4l/3], so that sets with a Jaccard similarity of 3/4 lie in one band or in
 neighbours; instance j covers bands j-1 and j, and two sets of one instance differ in at most d = (s + t) / 7 elements. Each instance partitions the feature domain by a
 hash into n > d / 2 partitions, so similar sets differ in one element at most in some of them; each partition has PARTS parts, and every subset of all of its parts but one is
-enumerated: a set's projection on the subset, salted with its place, is a signature. Sets that differ in one element of a partition agree in the subset without that element's part, in none they agree in all. So similar sets share
+enumerated: a set's projection on the subset, salted with its place, is a signature. Sets that differ in one element of a partition agree in the subset without that
+element's part, in none they agree in all. So similar sets share
 one signature at least, and `need` = max(3n - 2d, 2n - d) of them in all: n has a margin so that this is more than one. Empty projections say nothing, so a set with fewer
 than `need` projections that aren't empty also takes part under further partitionings.
 
@@ -11,7 +12,8 @@ Signatures meet in buckets by their hash. Groups of at most FEW sets give their
 the `need` of their members: a set that has signatures to spare needs none of its frequent ones. The others meet again among themselves, first each with the
 most central set of its groups only (that with the most frequent signatures). Once components are known, those sets
 that lie outside the largest component of their family (sets that share signatures, directly or not) are searched for in the rest of it, block by block, with an index
-of their features. So no large group gives all its pairs and no document is parted from its group. Candidate pairs are verified by their whole sets. Equal sets are one class throughout and are never paired.
+of their features. So no large group gives all its pairs and no document is parted from its group. Candidate pairs are verified by their whole sets. Equal sets are one
+class throughout and are never paired.
 
 Cases: null, empty and wordless texts have no shingles and no links; a text of fewer than five words is one shingle; repeated rows are one class; the least doc_id names a
 component, rows without doc_id take part but never name one; other columns are ignored; an empty table gives no rows."""
@@ -137,7 +139,8 @@ def _pack(sig: np.ndarray, owner: np.ndarray, own: np.ndarray, info: list[np.nda
         sets = owner[s:e][new[s:e]]
         ref = ((number[s:e] - number[s]) * 2 + ~own[s:e]).astype("u4" if len(sets) > 32_000 else "u2")
         data.append(b"".join([np.array([len(sets), ref.itemsize], "u4").tobytes(), *(c[sets].astype(t).tobytes() for c, (t, _) in zip(info, _SETS, strict=True)), low[s:e].tobytes(), ref.tobytes()]))
-    return pa.RecordBatch.from_arrays([pa.array([keys[b] for b in full], pa.int32()), pa.array([0] * len(full), pa.int32()), pa.array(np.diff(cuts)[full]), pa.array(data, pa.binary())], ["key", "kind", "rows", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array([keys[b] for b in full], pa.int32()), pa.array([0] * len(full), pa.int32()), pa.array(np.diff(cuts)[full]),
+        pa.array(data, pa.binary())], ["key", "kind", "rows", "blob"])
 
 
 def _unpack(rows: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -232,7 +235,8 @@ def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             some = at[own[at] == role]
             if len(some):
                 v, first, n = np.unique(cls[some], return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array([None] * len(v), pa.int64()), pa.array(n * 2 + role), pa.array(spare[some[first]].astype(np.int64))], schema=FOUND)
+                yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array([None] * len(v), pa.int64()), pa.array(n * 2 + role),
+                    pa.array(spare[some[first]].astype(np.int64))], schema=FOUND)
 
 
 def _centres(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +297,8 @@ def _rest(marked: DataFrame, links: bool = False) -> DataFrame:
     count = marked.groupBy("family", "comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("set")).alias("bytes"))
     main = F.max(F.struct("n", "comp", "bytes"))
     total = count.groupBy("family").agg(main.alias("main"), F.sum("n").alias("sets"), (F.sum("n") - main["n"]).alias("queries"), (F.sum("bytes") - main["bytes"]).alias("bytes")).where("queries > 0")
-    total = table(total.select("family", F.col("main.comp").alias("main"), F.ceil(F.col("sets") / BLOCK).alias("ni"), F.ceil(F.greatest(F.col("queries") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("nj")), "families")
+    total = table(total.select("family", F.col("main.comp").alias("main"), F.ceil(F.col("sets") / BLOCK).alias("ni"),
+        F.ceil(F.greatest(F.col("queries") / BLOCK, F.col("bytes") / BLOCK_BYTES)).alias("nj")), "families")
     rows = marked.join(total, "family")
     h = F.xxhash64("cls")
     own = {"i": F.pmod(h, "ni"), "j": F.pmod(h, "nj")}
@@ -376,7 +381,8 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _wanted(classes_: DataFrame) -> np.ndarray:
     """A filter of 2**FILTER_BITS bits of the classes, whatever their number; what it lets through in vain is dropped by a join."""
     bit = F.shiftrightunsigned("cls", 64 - FILTER_BITS)
-    rows = classes_.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(cls, {64 - FILTER_BITS}) % 64 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    rows = classes_.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, "
+        f"cast(shiftrightunsigned(cls, {64 - FILTER_BITS}) % 64 AS int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     for r in rows.collect():
         out[r.w] = r.b
@@ -432,7 +438,8 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, links: bool = False) -> Dat
     found = table(found, "found")
     gc(spark)  # Spark may drop the signatures' shuffle
     # a set that is in frequent groups may share these as well
-    frequent = found.where("b IS NULL").select(F.col("a").alias("cls"), (F.col("n") % 2).alias("role"), F.expr("n div 2").alias("n"), "need").groupBy("cls", "role").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
+    frequent = found.where("b IS NULL").select(F.col("a").alias("cls"), (F.col("n") % 2).alias("role"), F.expr("n div 2").alias("n"), "need").groupBy("cls",
+        "role").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
     frequent = table(frequent, "frequent")
     common = frequent.groupBy("cls").agg(F.max("n").alias("n"))
     tied = table(frequent.where("n >= need").groupBy("cls").agg(F.sum("n").alias("weight")), "tied")
@@ -473,11 +480,14 @@ def similar(docs: DataFrame, shingle: int = SHINGLE, links: bool = False) -> Dat
     of = label.join(least.withColumnRenamed("cls", "label"), "label").select(F.col("node").alias("cls"), "component", "label").union(least.select("cls", "component", "cls"))
     info = reps.join(of, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"), F.coalesce("label", "cls").alias("family"))
     if links:
-        degree = found_links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
+        degree = found_links.select(F.least("a", "b").alias("a"),
+            F.greatest("a", "b").alias("b")).distinct().select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
         info = info.join(degree, "cls", "left")
     info = table(info, "info")
     discard(sets, pairs, frequent, tied, found_links, label, reps)  # only `named` and `info` are read from here on
-    return named.join(info, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class"), *([F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if links else []), F.coalesce("component", "doc_id").alias("component_id"), "text_hash", "family")
+    return named.join(info, "cls", "left").select("doc_id", "n_shingles", F.col("cls").alias("class"),
+        *([F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if links else []), F.coalesce("component", "doc_id").alias("component_id"), "text_hash",
+        "family")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

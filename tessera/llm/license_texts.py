@@ -14,7 +14,8 @@ TEMPLATES = [
         License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and
         limitations under the License.""",
     ),
-    ("mit-text", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software<<beginOptional>> and associated documentation files (the "Software")<<endOptional>>, to deal in the Software without restriction'),
+    ("mit-text", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software<<beginOptional>> and associated documentation files (the '
+        '"Software")<<endOptional>>, to deal in the Software without restriction'),
     (
         "mit-full",
         """<<beginOptional>>The MIT License <<beginOptional>>(MIT) <<endOptional>><<endOptional>>"""
@@ -34,8 +35,10 @@ TEMPLATES = [
         OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name="liable";match=".+">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE,
         DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     ),
-    ("gpl-3.0", "GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>><<beginOptional>>, either<<endOptional>> version 3<<beginOptional>> of the License<<endOptional>>"),
-    ("gpl-2.0", "GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>><<beginOptional>>, either<<endOptional>> version 2<<beginOptional>> of the License<<endOptional>>"),
+    ("gpl-3.0", "GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>><<beginOptional>>, either<<endOptional>> version "
+        "3<<beginOptional>> of the License<<endOptional>>"),
+    ("gpl-2.0", "GNU General Public License<<beginOptional>> as published by the Free Software Foundation<<endOptional>><<beginOptional>>, either<<endOptional>> version "
+        "2<<beginOptional>> of the License<<endOptional>>"),
     (
         "gpl-notice",
         """<<var;name="program";match=".+">> is free software<<beginOptional>>:<<endOptional>> you can redistribute it and/or modify it under the terms of the GNU <<beginOptional>>Lesser <<endOptional>>

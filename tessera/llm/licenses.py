@@ -145,7 +145,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tup
                         scores[d] = max(scores[d], 0.5, m.words / (run_[1] - run_[0]) if run_[1] - run_[0] > m.words else 1.0)
             none = n_base == 0
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(np.diff(first)), pa.array(n_base), pa.array(low, mask=none), pa.array(high, mask=none), pa.array([",".join(sorted(x)) for x in labels], pa.string()), pa.array([",".join(sorted(x)) for x in found], pa.string()), pa.array(scores)],
+                [part.column(0), pa.array(np.diff(first)), pa.array(n_base), pa.array(low, mask=none), pa.array(high, mask=none),
+                    pa.array([",".join(sorted(x)) for x in labels], pa.string()), pa.array([",".join(sorted(x)) for x in found], pa.string()), pa.array(scores)],
                 ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
             )
 

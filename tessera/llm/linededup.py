@@ -210,7 +210,8 @@ def ranges(docs: DataFrame, least: int = WORDS, line: int = LINE) -> DataFrame:
             pair = np.stack([lo, hi], 1).astype("u4")
             for k in range(0, len(cut) - 1, 10_000):
                 some = cut[k : k + 10_001]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]]), pa.array(tag[some[:-1]].astype(np.int64)), pa.array([pair[a:b].tobytes() for a, b in zip(some[:-1], some[1:], strict=True)], pa.binary())], ["doc_id", "tag", "ranges"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]]), pa.array(tag[some[:-1]].astype(np.int64)),
+                    pa.array([pair[a:b].tobytes() for a, b in zip(some[:-1], some[1:], strict=True)], pa.binary())], ["doc_id", "tag", "ranges"])
 
     meet = lambda df, f, schema: df.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lean(f), schema)
     entries = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(lean(select), BLOBS)
@@ -243,18 +244,22 @@ def dedup(docs: DataFrame, words: int = WORDS, line: int = LINE) -> DataFrame:
     """docs (doc_id, text and others) with text less its repeated runs of at least `words` words and lines of at least `line`, and n_words, n_removed (words) and n_runs of the text as it was."""
     keep = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "n_runs")]
     found = ranges(docs, words, line)
-    left = docs.select(F.struct(*(named(c).alias(f"c{k}") for k, c in enumerate(keep))).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.col("text").cast("string").alias("text"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("_tag"))
+    left = docs.select(F.struct(*(named(c).alias(f"c{k}") for k, c in enumerate(keep))).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"),
+        F.col("text").cast("string").alias("text"), F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("_tag"))
     right = found.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "ranges")
     joined = left.join(right, ["_id", "_tag"], "left").select("row", "text", "ranges")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             done = [cut(t, r) if r and t else (t, len((t or "").encode().split()), 0, 0) for t, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True))], ["row", "text", "n_words", "n_removed", "n_runs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0),
+                *(pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True))],
+                ["row", "text", "n_words", "n_removed", "n_runs"])
 
     row = joined.schema["row"].dataType.simpleString()
     out = joined.mapInArrow(lean(run), f"row {row}, text string, n_words long, n_removed long, n_runs long")
-    return out.select(*(F.col("text") if c == "text" else F.col(f"row.c{keep.index(c)}").alias(c) for c in docs.columns if c not in ("n_words", "n_removed", "n_runs")), "n_words", "n_removed", "n_runs")
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.c{keep.index(c)}").alias(c) for c in docs.columns if c not in ("n_words", "n_removed", "n_runs")),
+        "n_words", "n_removed", "n_runs")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

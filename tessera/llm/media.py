@@ -48,7 +48,8 @@ def mux(payload: bytes) -> bytes:
     v, num = (1, ">QQIQ") if wide else (0, ">IIII")
     entry = _box(b"ipcm", bytes(6), struct.pack(">H", 1), bytes(8), struct.pack(">HHHHI", 1, 8, 0, 0, TIMESCALE << 16), _full(b"pcmC", b"\x01\x08"))
     stbl = _box(
-        b"stbl", _full(b"stsd", struct.pack(">I", 1), entry), _full(b"stts", struct.pack(">III", 1, n, 1)), _full(b"stsc", struct.pack(">I", len(runs)), *(struct.pack(">III", a, c, 1) for a, c in runs)),
+        b"stbl", _full(b"stsd", struct.pack(">I", 1), entry), _full(b"stts", struct.pack(">III", 1, n, 1)),
+            _full(b"stsc", struct.pack(">I", len(runs)), *(struct.pack(">III", a, c, 1) for a, c in runs)),
         _full(b"stsz", struct.pack(">II", 1, n)), _full(b"co64" if wide else b"stco", struct.pack(">I", len(chunks)), np.asarray(chunks, ">u8" if wide else ">u4").tobytes()),
     )
     minf = _box(b"minf", _full(b"smhd", bytes(4)), _box(b"dinf", _full(b"dref", struct.pack(">I", 1), _full(b"url ", flags=1))), stbl)
@@ -104,7 +105,8 @@ def _track(data: memoryview, found: dict[bytes, tuple[int, int]]) -> dict:
         new = np.append(True, ranges[1:, 0] != ranges[:-1, 1])
         ranges = np.stack([ranges[new, 0], ranges[np.append(np.flatnonzero(new)[1:] - 1, len(ranges) - 1), 1]], 1)
     stts = ints(b"stts", 8).reshape(-1, 2)
-    return {"codec": codec, "timescale": timescale, "duration": duration, "samples": count, "chunks": len(offsets), "media_time": int((stts[:, 0].astype(np.int64) * stts[:, 1]).sum()), "keyframes": syncs, "ranges": ranges}
+    return {"codec": codec, "timescale": timescale, "duration": duration, "samples": count, "chunks": len(offsets),
+        "media_time": int((stts[:, 0].astype(np.int64) * stts[:, 1]).sum()), "keyframes": syncs, "ranges": ranges}
 
 
 def probe(data: bytes) -> list[dict]:
@@ -170,7 +172,8 @@ def describe(stored: DataFrame) -> DataFrame:
     return stored.mapInArrow(lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-FIELDS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+FIELDS = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
+    ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

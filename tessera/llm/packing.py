@@ -3,8 +3,10 @@
 Documents are encoded and cut into pieces of at most `size` ids, the first piece taking what is left over. A full piece is a sequence of its own. All
 others are dealt evenly into shards of about SHARD pieces, so that a task holds a bounded group whatever the corpus. Each shard is packed by ISLANDS islands. An island keeps a population of
 packings: crossover injects whole well-filled bins of one parent into another, drops the bins that hold the same pieces again, and best-fits the pieces that these leave over, swapping them
-with pieces of open bins where that fills a bin better; mutation empties the worst-filled bins. Bins without free space are settled: they stay out of the search, but for a sample of them, so an epoch works on the hard part of a
-shard. After each epoch an island's best packing moves to the next island of its shard, and the best packing of all islands is kept. An island stops once it has as few bins as the pieces' total allows.
+with pieces of open bins where that fills a bin better; mutation empties the worst-filled bins. Bins without free space are settled: they stay out of the search, but for
+a sample of them, so an epoch works on the hard part of a
+shard. After each epoch an island's best packing moves to the next island of its shard, and the best packing of all islands is kept. An island stops once it has as few
+bins as the pieces' total allows.
 
 Then the worst bins of all shards are emptied and their pieces, many times fewer, are dealt into shards and packed again, until they are one shard: what is lost in the end is lost
 once for some thousands of shards, not in each.
@@ -212,7 +214,9 @@ def pieces(docs: DataFrame, path: str = BYTE, size: int = SIZE, end: int | None
                     own = np.concatenate([ids[at[j] : at[j + 1]], tail])
                     cuts = [0, *range(len(own) % size or min(size, len(own)), len(own) + 1, size)]
                     rows += [(keys[a + j], k, p, q - p, crc32(own[p:q]), np.ascontiguousarray(own[p:q], "<u4").tobytes()) for k, (p, q) in enumerate(zip(cuts, cuts[1:], strict=False)) if q > p]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c,
+                    t in zip(zip(*rows, strict=True) if rows else [()] * 6, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
@@ -227,7 +231,8 @@ def _epoch(seed: int, size: int, generations: int, population: int):
                 sizes = r["sizes"]
                 elites = [(e, [size - sum(sizes[i] for i in x) for x in e]) for e in (r["bins"], r["other"]) if e]
                 best = evolve(sizes, size, hash((seed, r["shard"], r["island"])), elites, generations, population)
-                yield pa.RecordBatch.from_pylist([{"shard": r["shard"], "island": r["island"], "sizes": sizes, "bins": best[0]}], pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("sizes", pa.list_(pa.int32())), ("bins", pa.list_(pa.list_(pa.int32())))]))
+                yield pa.RecordBatch.from_pylist([{"shard": r["shard"], "island": r["island"], "sizes": sizes, "bins": best[0]}],
+                    pa.schema([("shard", pa.int64()), ("island", pa.int32()), ("sizes", pa.list_(pa.int32())), ("bins", pa.list_(pa.list_(pa.int32())))]))
 
     return run
 
@@ -244,7 +249,8 @@ def _world(grouped: DataFrame, parts: int, size: int, islands: int, epochs: int,
     return world.groupBy("shard").agg(F.min_by("bins", F.struct(F.size("bins"), "island")).alias("bins"))
 
 
-def pack(cut: DataFrame, size: int = SIZE, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, worst: int = WORST) -> DataFrame:
+def pack(cut: DataFrame, size: int = SIZE, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION,
+    worst: int = WORST) -> DataFrame:
     """cut (doc_id, piece, length and more; a table that can be read again) with sequence_id and offset."""
     columns = cut.columns
     order = ["length", *[c for c in columns if c != "length"]]
@@ -296,7 +302,8 @@ def _place(columns: list[str], size: int, level: int, worst: int):
                 begin = (ends - sizes)[np.cumsum(n) - n] if len(n) else ends
                 loose = np.isin(which, list(again))
                 number = ((np.int64(batch.column(0)[r].as_py()) << np.int64(20)) + which) * 64 + level
-                yield pa.RecordBatch.from_arrays([*(taken.field(c) for c in columns), pa.array(number, mask=loose), pa.array(ends - sizes - np.repeat(begin, n), mask=loose)], [*columns, "sequence_id", "offset"])
+                yield pa.RecordBatch.from_arrays([*(taken.field(c) for c in columns), pa.array(number, mask=loose),
+                    pa.array(ends - sizes - np.repeat(begin, n), mask=loose)], [*columns, "sequence_id", "offset"])
 
     return place
 

@@ -7,7 +7,8 @@ reach the driver: their number is bounded by votes, features and kinds, whatever
 the classifier says; others are added where it says so.
 
 Cases: null texts are empty and have no spans; a document without candidates has empty strings of spans; spans of one kind never overlap (a base span keeps its place, and a
-base pattern's match that fails its rule is no span), those of different kinds may; repeated rows are scanned each; other columns are ignored; an empty table gives no rows. All texts are read whole; positions are found by sums in blocks,
+base pattern's match that fails its rule is no span), those of different kinds may; repeated rows are scanned each; other columns are ignored; an empty table gives no
+rows. All texts are read whole; positions are found by sums in blocks,
 so a text with very many matches takes time in proportion to them."""
 
 from __future__ import annotations
@@ -67,7 +68,8 @@ def _sums(lengths: str) -> str:
     inner = "aggregate(b, named_struct('s', acc.s, 'a', cast(array() AS array<bigint>)), (q, y) -> named_struct('s', q.s + y, 'a', concat(q.a, array(q.s))), q -> q.a)"
     return (
         f"flatten(aggregate(transform(sequence(0, (greatest(size({lengths}), 1) - 1) div {BLOCK}), k -> slice({lengths}, cast(k * {BLOCK} + 1 AS int), {BLOCK})), "
-        f"named_struct('s', 0L, 'a', cast(array() AS array<array<bigint>>)), (acc, b) -> named_struct('s', acc.s + aggregate(b, 0L, (x, y) -> x + y), 'a', concat(acc.a, array({inner}))), acc -> acc.a))"
+        f"named_struct('s', 0L, 'a', cast(array() AS array<array<bigint>>)), (acc, b) -> named_struct('s', acc.s + aggregate(b, 0L, (x, y) -> x + y), 'a', "
+            f"concat(acc.a, array({inner}))), acc -> acc.a))"
     )
 
 
@@ -188,7 +190,8 @@ def fitted(spans: DataFrame) -> list[float]:
 
 def _joined(spans: str) -> Column:
     names = "array(" + ", ".join(f"'{k}'" for k in sorted(ORDER, key=ORDER.get)) + ")"
-    return F.expr(f"array_join(transform(array_sort(transform({spans}, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end))), s -> concat_ws(':', {names}[s.kind], s.start, s.end)), ',')")
+    return F.expr(f"array_join(transform(array_sort(transform({spans}, s -> named_struct('kind', s.kind, 'start', s.start, 'end', s.end))), s -> "
+        f"concat_ws(':', {names}[s.kind], s.start, s.end)), ',')")
 
 
 def found(spans: DataFrame, weights: list[float], threshold: float = 0.5) -> DataFrame:
@@ -199,7 +202,8 @@ def found(spans: DataFrame, weights: list[float], threshold: float = 0.5) -> Dat
     # sorted by kind and place, a span can overlap none of its kind but the one before it: local numbers hold no plus, and base numbers have too few digits for two of them
     free = "NOT coalesce(get(spans, i - 1).base AND get(spans, i - 1).kind = s.kind AND get(spans, i - 1).end > s.start, false)"
     added = f"s.kind >= {ORDER['phone']} AND (s.kind > {ORDER['phone']} OR startswith(s.votes, '1')) AND {z} >= {math.log(threshold / (1 - threshold))!r}D AND {free}"
-    kept = spans.withColumn("w", F.expr(w)).withColumn("spans", F.array_sort("spans")).withColumn("kept", F.expr(f"filter(spans, (s, i) -> s.base OR {added})")).withColumn("base", F.expr("filter(spans, s -> s.base)"))
+    kept = spans.withColumn("w", F.expr(w)).withColumn("spans", F.array_sort("spans")).withColumn("kept",
+        F.expr(f"filter(spans, (s, i) -> s.base OR {added})")).withColumn("base", F.expr("filter(spans, s -> s.base)"))
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = {order})) AS bigint)").alias(f"n_{kind}") for kind, _, _, order, base in KINDS if base]
     return kept.select("doc_id", *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("kept").alias("spans"), F.size("kept").cast("long").alias("n_spans"))
 

@@ -54,7 +54,9 @@ def counted(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 
 def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int = 2, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Folded class scores of each feature, and the bias."""
+    """Folded class scores of each feature, and the bias. Labels that are no class are an error."""
+    if len(y) and not 0 <= y.min() <= y.max() < classes:
+        raise ValueError(f"labels must be 0 to {classes - 1}, but some are {sorted({int(v) for v in y if not 0 <= v < classes})[:5]}")
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-0.5 / DIM, 0.5 / DIM, (SIZE, DIM)).astype(np.float32)
     out = np.zeros((DIM, classes), np.float32)
@@ -89,16 +91,19 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int =
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, size: int = SAMPLE_BYTES) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Features and labels of the sample: labelled documents outside the held-out fold in the order of a hash of doc_id, at most `rows` of them and `size` bytes of their features."""
-    wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).distinct()
+    wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"),
+        F.col(label).cast("int").alias("label")).distinct()
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)  # no more labels can be used
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in texts(batches):
             for d, (ids, w) in enumerate(counted(data, offsets)):
-                yield pa.RecordBatch.from_arrays([*(part.column(k).slice(d, 1) for k in (0, 1, 3)), pa.array([ids.tobytes()]), pa.array([w.tobytes()]), pa.array([ids.nbytes + w.nbytes])], ["doc_id", "label", "hash", "ids", "w", "size"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).slice(d, 1) for k in (0, 1, 3)), pa.array([ids.tobytes()]), pa.array([w.tobytes()]),
+                    pa.array([ids.nbytes + w.nbytes])], ["doc_id", "label", "hash", "ids", "w", "size"])
 
     # at most `rows` rows are broadcast
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").select("doc_id", "label", "text", F.xxhash64("text").alias("hash"))
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id").select("doc_id",
+        "label", "text", F.xxhash64("text").alias("hash"))
     made = table(joined.mapInArrow(lean(run), "doc_id long, label int, hash long, ids binary, w binary, size long"), "sample")
     order = [F.xxhash64("doc_id"), "doc_id", "label", "hash"]
     keys = made.groupBy("doc_id", "label", "hash").agg(F.first("size").alias("size")).orderBy(*order).limit(rows)

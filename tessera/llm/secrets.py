@@ -193,7 +193,8 @@ def cutoffs(found: DataFrame, logs: list[list[float]], false: float = FALSE) ->
     """The least step that counts as a discovery, by encoding and class of length, after Benjamini and Hochberg for e-values."""
     one = found.where("found IS NOT NULL").select(F.explode("found").alias("s"))
     counts: dict[tuple[int, int], dict[int, int]] = {}
-    for r in one.select("s.encoding", F.expr(_CLASS).alias("class"), F.expr(evidence(logs)).alias("step")).groupBy("encoding", "class", "step").count().collect():  # 6 encodings, 6 classes, 4,001 steps at most
+    for r in one.select("s.encoding", F.expr(_CLASS).alias("class"), F.expr(evidence(logs)).alias("step")).groupBy("encoding", "class",
+        "step").count().collect():  # 6 encodings, 6 classes, 4,001 steps at most
         counts.setdefault((r["encoding"], r["class"]), {})[r["step"]] = r["count"]
     out = {}
     for family, steps in counts.items():

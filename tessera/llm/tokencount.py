@@ -1,12 +1,14 @@
 """Token counts that follow edits.
 
-trees() keeps a segment tree for each document as a row of a table: a leaf holds a stretch of about LEAF pre-tokens, a node the sums of characters and tokens below (two arrays in heap order, node 1 is the root).
+trees() keeps a segment tree for each document as a row of a table: a leaf holds a stretch of about LEAF pre-tokens, a node the sums of characters and tokens below (two
+arrays in heap order, node 1 is the root).
 edited() applies edits to such rows without the documents' texts, and can give the trees as they are then, for the next edits. An edit
 replaces characters start to stop. The tree is descended to the leaves that the edit touches; there, the words that it touches and one word of
 context on each side are encoded as they were and as they are now, and the difference goes into the sums on the way to the root. Leaves and regions begin
 at borders where no token can lie across (before white space that follows other characters, and between Chinese characters and their punctuation), so one word of context is enough on either side.
 
-Leaves stay within bounds: what an edit leaves of the leaves that it touches is parted where it has more than MOST characters, and joined with a neighbour where it has fewer than LEAST, so a tree after many edits
+Leaves stay within bounds: what an edit leaves of the leaves that it touches is parted where it has more than MOST characters, and joined with a neighbour where it has
+fewer than LEAST, so a tree after many edits
 is like a fresh one, and an edit encodes a bounded number of characters beside what it inserts. Only a stretch without any border (one word of thousands of letters) is a leaf of its own length.
 
 Cases: null texts are empty; edits that are null or outside the text are clipped to it; a null replacement deletes; edits apply one after another, each to

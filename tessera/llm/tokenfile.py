@@ -130,7 +130,8 @@ def read(parts: DataFrame) -> DataFrame:
                 keys, sizes, ids = unpack(data)
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 raw = ids.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at[:-1] + ahead[section] + before), pa.array(sizes), pa.array([raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(at[:-1] + ahead[section] + before), pa.array(sizes),
+                    pa.array([raw[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     return parts.select("section", "before", "data").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 

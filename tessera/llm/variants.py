@@ -35,7 +35,8 @@ TRIE = 1 << 20
 
 def vocabulary(docs: DataFrame, least_letters: int = LEAST_LETTERS, least_count: int = LEAST_COUNT) -> DataFrame:
     """word and n of the words of docs (doc_id, text) that are long and frequent enough."""
-    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"), F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"{RUN}{{{least_letters},}}+"), F.lit(0))).alias("run"))
+    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc_id"),
+        F.explode(F.regexp_extract_all(F.col("text").cast("string"), F.lit(f"{RUN}{{{least_letters},}}+"), F.lit(0))).alias("run"))
     plain = F.octet_length("run") == F.length("run")  # lower() has a fast path for ASCII
     low = runs.withColumn("run", F.when(plain, F.lower("run")).otherwise(F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     h = low.withColumn("h", F.crc32(F.concat("doc_id", F.lit(":"), "run").cast("binary")))
@@ -201,7 +202,8 @@ def grouped(words: DataFrame, times: int = TIMES, most: int = TRIE) -> DataFrame
     pairs = neighbours(words, most)
     top = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.max("n").alias("top"), F.min_by("near", F.struct(-F.col("n"), F.col("near"))).alias("form"))
     joined = words.join(top, "word", "left").withColumn("is_form", F.coalesce(F.col("top") >= times * F.col("n"), F.lit(False)))
-    found = table(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("is_form"), F.col("form")).alias("form"), F.when(F.col("is_form"), F.col("top")).alias("form_n")), "forms")
+    found = table(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(F.col("is_form"), F.col("form")).alias("form"),
+        F.when(F.col("is_form"), F.col("top")).alias("form_n")), "forms")
     links = table(found.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "links")
     while True:  # each round doubles the steps; a chain has at most as many as its counts can grow fivefold
         step = table(links.join(links.toDF("root", "further"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved")), "links")

@@ -1,7 +1,8 @@
 import pytest
 
 TEXTS = [
-    None, "", " \n\t ", "a", "A b  c", "the quick brown fox jumps over the lazy dog and runs away", "the quick brown fox jumps over the lazy dog and runs away", "Grüße 𝒜 naïve İstanbul 漢字", "x" * 30_000, "word " * 9_000,
+    None, "", " \n\t ", "a", "A b  c", "the quick brown fox jumps over the lazy dog and runs away", "the quick brown fox jumps over the lazy dog and runs away",
+        "Grüße 𝒜 naïve İstanbul 漢字", "x" * 30_000, "word " * 9_000,
     "mail a.b@x.org or +1 (402) 555-1001, 10.0.0.256 10.0.0.1 card 4111 1111 1111 1111", "Released under the MIT License.", "  odd space\r\n",
 ]
 

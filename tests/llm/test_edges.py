@@ -57,6 +57,11 @@ def test_variants_edges(spark, odd, nothing):
     assert variants.grouped(table(variants.vocabulary(nothing), "v")).count() == 0
 
 
+def test_labels_that_are_no_class(spark, odd):
+    with pytest.raises(ValueError, match="labels must be 0 to 1"):
+        quality.classify(odd, odd.select("doc_id", F.lit(7).alias("quality")).where("doc_id < 8"))
+
+
 def test_empty_benchmark(spark, odd):
     none = spark.createDataFrame([], "item_id string, text string")
     assert decontaminate.report(decontaminate.contamination(odd, none)).where("contaminated").count() == 0

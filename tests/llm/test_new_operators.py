@@ -113,7 +113,8 @@ def base(text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(parts=st.lists(st.sampled_from(["token", "SECRET", "api_key", "apikey", "passwd", ":", "=", " ", '"', "'", "AKIA", "AKIAQ", "Z9" * 8, "deadbeef", "0123456789", "é", "漢", "ſecret", "toKen", ".", "short", "=="]), max_size=14))
+@given(parts=st.lists(st.sampled_from(["token", "SECRET", "api_key", "apikey", "passwd", ":", "=", " ", '"', "'", "AKIA", "AKIAQ", "Z9" * 8, "deadbeef", "0123456789",
+    "é", "漢", "ſecret", "toKen", ".", "short", "=="]), max_size=14))
 def test_base_spans_are_as_stated(parts):
     text = "".join(parts)
     point = lambda k: len(text.encode()[:k].decode())
@@ -151,7 +152,9 @@ def test_random_strings_are_secrets_and_text_is_not(spark):
         docs.append((key, "der größte Teil of the plain text is here " + text + " und so weiter, and so on. " + " ".join(sample(rng, LOWER[:9] + "eeeaatt", 5) for _ in range(40))))
     plain = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(5, 9)))
     for key in range(600, 2400):
-        word = [plain, lambda: plain().title() + plain().title(), lambda: "/".join(plain() for _ in range(3)), lambda: plain() + str(rng.randint(1990, 2030)), lambda: plain().upper(), lambda: sample(rng, DIGITS, 20), lambda: "abcdef" * 6 + "A1", lambda: "_".join(plain() for _ in range(3)), lambda: plain() + "-2024-03-" + sample(rng, DIGITS, 6)][key % 9]()
+        word = [plain, lambda: plain().title() + plain().title(), lambda: "/".join(plain() for _ in range(3)), lambda: plain() + str(rng.randint(1990, 2030)),
+            lambda: plain().upper(), lambda: sample(rng, DIGITS, 20), lambda: "abcdef" * 6 + "A1", lambda: "_".join(plain() for _ in range(3)),
+            lambda: plain() + "-2024-03-" + sample(rng, DIGITS, 6)][key % 9]()
         docs.append((key, "a word that is long: " + word + " and the end of it, nothing more"))
     got = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     text = dict(docs)

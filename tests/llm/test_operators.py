@@ -78,7 +78,9 @@ def within_bounds(tree):
 def test_trees_do_not_decay(kind):
     """After a large insertion and a thousand edits leaves are within bounds, counts are right, and an edit encodes no more than in a fresh tree."""
     enc, rng = encode.Encoder(encode.WORD), random.Random(4)
-    words = (lambda n: " ".join(rng.choice(["alpha", "be", "gamma,", "delta.", "x1"]) for _ in range(n))) if kind == "words" else (lambda n: "".join("".join(rng.choice("天地玄黃宇宙洪荒日月") for _ in range(rng.randint(2, 9))) + rng.choice("。，、") for _ in range(n)))
+    words = (lambda n: " ".join(rng.choice(["alpha", "be", "gamma,", "delta.", "x1"])
+        for _ in range(n))) if kind == "words" else (lambda n: "".join("".join(rng.choice("天地玄黃宇宙洪荒日月") for _ in range(rng.randint(2, 9))) + rng.choice("。，、")
+        for _ in range(n)))
     text = words(50)
     tree = tokencount.Tree(enc, text)
     big = words(20_000)
@@ -134,7 +136,8 @@ def applied(text, edits):
 def test_op7_counts(spark, small):
     """Counts before and after the query's edits, by encoding whole texts."""
     tok = Tokenizer.from_file(encode.WORD)
-    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id", "coalesce(text, '') text", *(f"pmod(xxhash64(doc_id, {k}), greatest(length(coalesce(text, '')), 1)) p{k}" for k in (1, 2, 3)))
+    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("doc_id", "coalesce(text, '') text",
+        *(f"pmod(xxhash64(doc_id, {k}), greatest(length(coalesce(text, '')), 1)) p{k}" for k in (1, 2, 3)))
     want = {}
     for r in docs.collect():
         after = applied(r.text, [(r.p1, r.p1 + 12, ""), (r.p2, r.p2, " inserted words, 42"), (r.p3, r.p3 + 5, r.text[:9])])
@@ -250,7 +253,9 @@ def test_media_sync_samples():
     full, box = media._full, media._box
     payload = b"aaabbbbbccd"
     at = 8
-    stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(78))), full(b"stts", struct.pack(">III", 1, 4, 10)), full(b"stsc", struct.pack(">IIIIIII", 2, 1, 3, 1, 2, 1, 1)), full(b"stsz", struct.pack(">II4I", 0, 4, 3, 5, 2, 1)), full(b"stco", struct.pack(">III", 2, at, at + 10)), full(b"stss", struct.pack(">III", 2, 2, 4)))
+    stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(78))), full(b"stts", struct.pack(">III", 1, 4, 10)),
+        full(b"stsc", struct.pack(">IIIIIII", 2, 1, 3, 1, 2, 1, 1)), full(b"stsz", struct.pack(">II4I", 0, 4, 3, 5, 2, 1)),
+        full(b"stco", struct.pack(">III", 2, at, at + 10)), full(b"stss", struct.pack(">III", 2, 2, 4)))
     file = box(b"mdat", payload) + box(b"moov", box(b"trak", box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 600, 40, 0, 0)), box(b"minf", stbl))))
     (t,) = media.probe(file)
     assert (t["codec"], t["timescale"], t["duration"], t["keyframes"]) == ("avc1", 600, 40, 2)
@@ -454,7 +459,9 @@ def test_short_lines_go_if_asked_to(spark, small):
 
 
 def test_license_templates(spark):
-    docs = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0."), (2, "the apache licenses"), (3, "SPDX-License-Identifier: MIT"), (4, "GNU General Public License as published by the Free Software Foundation, either version 3 of the License"), (5, "licensed under cc by-sa 4.0; MIT license, mit license"), (6, "Copyright (c) 2020 Some Body Inc. All rights reserved")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0."), (2, "the apache licenses"), (3, "SPDX-License-Identifier: MIT"),
+        (4, "GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+        (5, "licensed under cc by-sa 4.0; MIT license, mit license"), (6, "Copyright (c) 2020 Some Body Inc. All rights reserved")], "doc_id long, text string")
     out = {r.doc_id: r for r in licenses.scan(docs).collect()}
     assert [out[k].labels for k in range(1, 7)] == ["apache,apache-2.0", "", "spdx", "gpl,gpl-3.0", "cc-by,cc-by-sa-4.0,mit", "all-rights-reserved,copyright"]
     assert (out[5].n_base, out[5].first_word, out[5].last_word, out[5].base_labels) == (3, 2, 9, "cc-by,mit")
@@ -466,7 +473,8 @@ def test_license_base_by_brute_force(spark, small):
     for r in QUERIES["op9_license_scans"](spark, small).collect():
         w = WORDS.findall(low(texts[r.doc_id]))
         places = sorted((k, label) for p, label in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
-        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({x for _, x in places})))
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(places), places[0][0] if places else None, places[-1][0] if places
+            else None, ",".join(sorted({x for _, x in places})))
 
 
 def luhn(digits):
@@ -606,7 +614,8 @@ def test_whole_licence_notices(spark):
     out = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame([(k, t) for k, _, t in texts], "doc_id long, text string")).collect()}
     for k, label, text in texts:
         assert label in out[k], (label, text)
-    broken = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame([(1, fill(plain(dict(license_texts.TEMPLATES)["mit-full"])).replace("MERCHANTABILITY", "merchants"))], "doc_id long, text string")).collect()}
+    broken = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame([(1,
+        fill(plain(dict(license_texts.TEMPLATES)["mit-full"])).replace("MERCHANTABILITY", "merchants"))], "doc_id long, text string")).collect()}
     assert "mit-full" not in broken[1] and "mit-text" in broken[1]
     with pytest.raises(ValueError):
         licenses.Automaton('<<beginOptional>>maybe<<endOptional>><<var;name="x";match=".+">>')
