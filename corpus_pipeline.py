@@ -52,7 +52,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = found.groupBy("family").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("first"))
     gone = found.join(first, "family").where("NOT (doc_id <=> first.doc_id AND text_hash = first.text_hash)")
     kept = _without(docs, gone)
-    key = kept.withColumn("_text", F.xxhash64("text", F.length("text"))).withColumn("_row", F.when(F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False)), F.monotonically_increasing_id()))
+    key = kept.withColumn("_text", F.xxhash64("text", F.length("text"))).withColumn("_row",
+        F.when(F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False)), F.monotonically_increasing_id()))
     return key.dropDuplicates(["doc_id", "_text", "_row"]).select(*back)
 
 
