@@ -115,7 +115,8 @@ def chunks(c: Column, most: int = 450, least: int = 120) -> Column:
 
     def end(acc: Column) -> Column:
         n, last = F.size(acc["done"]), F.element_at(acc["done"], F.lit(-1))
-        joined = F.concat(F.slice(acc["done"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.struct(last["section"].alias("section"), F.concat(last["text"], F.lit("\n\n"), acc["text"]).alias("text"))))
+        joined = F.concat(F.slice(acc["done"], F.lit(1), F.greatest(n - 1, F.lit(0))),
+            F.array(F.struct(last["section"].alias("section"), F.concat(last["text"], F.lit("\n\n"), acc["text"]).alias("text"))))
         return F.when(acc["size"] == 0, acc["done"]).when((F.length(acc["text"]) < least) & (n > 0), joined).otherwise(F.concat(acc["done"], F.array(chunk(acc))))
 
     return F.aggregate(parts, zero, add, end)
@@ -165,7 +166,8 @@ def findings(c: Column, facts: Column) -> Column:
     """What a generated text does wrong, of: empty, email, phone, promise, numbers (above 10 that the facts, an array of numbers as text, don't have)."""
     email, _, phone = (f"(?U){p}" for _, p in REDACT)
     empty = F.trim(F.coalesce(c, F.lit(""))) == ""
-    flags = [F.when(_any(c, [email]), F.lit("email")), F.when(_any(c, [phone]), F.lit("phone")), F.when(_any(c, PROMISES), F.lit("promise")), F.when(F.size(F.array_except(_large(claims(c)), facts)) > 0, F.lit("numbers"))]
+    flags = [F.when(_any(c, [email]), F.lit("email")), F.when(_any(c, [phone]), F.lit("phone")), F.when(_any(c, PROMISES), F.lit("promise")),
+        F.when(F.size(F.array_except(_large(claims(c)), facts)) > 0, F.lit("numbers"))]
     return F.when(empty, F.array(F.lit("empty"))).otherwise(F.filter(F.array(*flags), lambda x: x.isNotNull()))
 
 
@@ -205,5 +207,6 @@ def metrics(c: Column, grounding: Column, kind: str, forbidden: Column) -> Colum
 
 def evaluation_summary(df: DataFrame, column: str = "metrics") -> DataFrame:
     """Number of texts, mean score, number that passed and whether all did, for each metric."""
-    m = df.select(F.explode(column).alias("m")).groupBy("m.metric", "m.threshold").agg(F.count("*").alias("n"), F.round(F.avg("m.score"), 6).alias("mean_score"), F.count(F.when(F.col("m.passed"), 1)).alias("n_passed"))
+    m = df.select(F.explode(column).alias("m")).groupBy("m.metric", "m.threshold").agg(F.count("*").alias("n"), F.round(F.avg("m.score"), 6).alias("mean_score"),
+        F.count(F.when(F.col("m.passed"), 1)).alias("n_passed"))
     return m.withColumn("passed", F.col("n_passed") == F.col("n"))

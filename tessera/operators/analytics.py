@@ -23,7 +23,8 @@ def _mean(total: Column, n: Column, digits: int = 2) -> Column:
 
 def categories(sales: DataFrame, items: DataFrame, products: DataFrame) -> DataFrame:
     """Distinct product categories bought, over all statuses: a star join of facts with a dimension."""
-    return sales.select("customer", "order_id").join(items.select("order_id", "product"), "order_id").join(products.select("product", "category"), "product").groupBy("customer").agg(F.countDistinct("category").alias("distinct_categories"))
+    return sales.select("customer", "order_id").join(items.select("order_id", "product"), "order_id").join(products.select("product", "category"),
+        "product").groupBy("customer").agg(F.countDistinct("category").alias("distinct_categories"))
 
 
 def _rolled_up(by_value: DataFrame, value: str, name: str, **columns: str) -> DataFrame:
@@ -43,13 +44,15 @@ def order_summary(sales: DataFrame, items: DataFrame, products: DataFrame, as_of
     sums = {
         "completed_orders": _count(F.col("status") == "COMPLETED"), "cancelled_orders": _count(F.col("status") == "CANCELLED"), "returned_orders": _count(F.col("status") == "RETURNED"),
         "total_net_revenue": zero(F.sum(F.when(rev, F.col("net")))), "_rev": _count(rev), "orders_last_90d": _count(near(90)), "orders_last_365d": _count(near(365)),
-        "revenue_last_90d": zero(F.sum(F.when(near(90) & rev, F.col("net")))), "revenue_last_365d": zero(F.sum(F.when(near(365) & rev, F.col("net")))), "orders_prior": _count(prior), "revenue_prior": zero(F.sum(F.when(prior & rev, F.col("net")))),
+        "revenue_last_90d": zero(F.sum(F.when(near(90) & rev, F.col("net")))), "revenue_last_365d": zero(F.sum(F.when(near(365) & rev, F.col("net")))),
+            "orders_prior": _count(prior), "revenue_prior": zero(F.sum(F.when(prior & rev, F.col("net")))),
     }
     by_channel = sales.groupBy("customer", "channel").agg(
         F.count("*").alias("_n"), F.min("order_date").alias("first_order_date"), F.max("order_date").alias("last_order_date"),
         zero(F.max(F.when(rev, F.col("net")))).alias("max_order_value"), *(c.alias(n) for n, c in sums.items()),
     )
-    facts = _rolled_up(by_channel, "channel", "primary_channel", first_order_date="min", last_order_date="max", max_order_value="max", **dict.fromkeys(sums, "sum")).withColumnRenamed("_n", "total_orders")
+    facts = _rolled_up(by_channel, "channel", "primary_channel", first_order_date="min", last_order_date="max", max_order_value="max",
+        **dict.fromkeys(sums, "sum")).withColumnRenamed("_n", "total_orders")
     days = F.greatest(F.datediff(day, F.col("first_order_date")), F.lit(30))
     facts = facts.withColumns({
         "days_since_last_order": F.datediff(day, F.col("last_order_date")), "avg_order_value": zero(_mean(F.col("total_net_revenue"), F.col("_rev"))),
@@ -63,13 +66,16 @@ def order_summary(sales: DataFrame, items: DataFrame, products: DataFrame, as_of
 def support_summary(cases: DataFrame, as_of: dt.date) -> DataFrame:
     near = lambda n: F.col("opened_at") >= F.date_sub(F.lit(as_of), n).cast("timestamp")
     sums = {
-        "open_cases": _count(F.col("status") == "OPEN"), "cases_last_90d": _count(near(90)), "cases_last_365d": _count(near(365)), "_csat": F.sum(F.col("csat").cast("decimal(18,2)")), "_rated": F.count("csat"),
+        "open_cases": _count(F.col("status") == "OPEN"), "cases_last_90d": _count(near(90)), "cases_last_365d": _count(near(365)),
+            "_csat": F.sum(F.col("csat").cast("decimal(18,2)")), "_rated": F.count("csat"),
         "_hours": F.sum("hours"), "_resolved": F.count("hours"), "total_reopens": F.sum(F.coalesce("reopens", F.lit(0))), "sla_breaches": _count(F.coalesce("hours", F.lit(999)) > F.col("sla_hours")),
     }
-    by_type = cases.where("customer IS NOT NULL").groupBy("customer", "case_type").agg(F.count("*").alias("_n"), F.min("csat").alias("min_csat"), F.max(F.to_date("opened_at")).alias("last_case_date"), *(c.alias(n) for n, c in sums.items()))
+    by_type = cases.where("customer IS NOT NULL").groupBy("customer", "case_type").agg(F.count("*").alias("_n"), F.min("csat").alias("min_csat"),
+        F.max(F.to_date("opened_at")).alias("last_case_date"), *(c.alias(n) for n, c in sums.items()))
     out = _rolled_up(by_type, "case_type", "top_case_type", min_csat="min", last_case_date="max", **dict.fromkeys(sums, "sum")).withColumnRenamed("_n", "total_cases")
     return out.withColumns({
-        "avg_csat": _mean(F.col("_csat"), F.col("_rated")).cast("double"), "avg_resolution_hours": _mean(F.col("_hours"), F.col("_resolved")).cast("double"), "days_since_last_case": F.datediff(F.lit(as_of), F.col("last_case_date")),
+        "avg_csat": _mean(F.col("_csat"), F.col("_rated")).cast("double"), "avg_resolution_hours": _mean(F.col("_hours"), F.col("_resolved")).cast("double"),
+            "days_since_last_case": F.datediff(F.lit(as_of), F.col("last_case_date")),
     }).drop("_csat", "_rated", "_hours", "_resolved")
 
 
@@ -117,9 +123,12 @@ def _features() -> list[Column]:
     or_ = lambda c, x: F.coalesce(F.col(c), F.lit(x)).alias
     trend = F.coalesce(F.round((F.col("orders_last_90d") / 90.0).cast("double") / F.nullif((F.col("orders_prior") / 275.0).cast("double"), F.lit(0.0)), 4), F.lit(0.0))
     return [
-        or_("days_since_last_order", 9999)("recency_days"), or_("orders_last_365d", 0)("frequency_365d"), or_("revenue_last_365d", 0.0)("monetary_365d"), or_("avg_order_value", 0.0)("avg_order_value"),
-        trend.alias("order_trend_ratio"), or_("cases_last_90d", 0)("cases_90d"), or_("open_cases", 0)("open_cases"), or_("avg_csat", 3.5)("avg_csat"), or_("total_reopens", 0)("reopen_count"), or_("sla_breaches", 0)("sla_breaches"),
-        or_("tier_rank", 0)("loyalty_tier_rank"), or_("inactive_days", 9999)("loyalty_inactive_days"), or_("engagement_score", 0.0)("engagement_score"), or_("negative_signals_90d", 0)("negative_signals_90d"), or_("return_rate", 0.0)("return_rate"),
+        or_("days_since_last_order", 9999)("recency_days"), or_("orders_last_365d", 0)("frequency_365d"), or_("revenue_last_365d", 0.0)("monetary_365d"),
+            or_("avg_order_value", 0.0)("avg_order_value"),
+        trend.alias("order_trend_ratio"), or_("cases_last_90d", 0)("cases_90d"), or_("open_cases", 0)("open_cases"), or_("avg_csat", 3.5)("avg_csat"),
+            or_("total_reopens", 0)("reopen_count"), or_("sla_breaches", 0)("sla_breaches"),
+        or_("tier_rank", 0)("loyalty_tier_rank"), or_("inactive_days", 9999)("loyalty_inactive_days"), or_("engagement_score", 0.0)("engagement_score"),
+            or_("negative_signals_90d", 0)("negative_signals_90d"), or_("return_rate", 0.0)("return_rate"),
     ]
 
 
@@ -139,7 +148,8 @@ def _contributions(f: Column) -> list[Column]:
     low, one, zero = F.least, F.lit(1.0), F.lit(0.0)
     part = {
         "PURCHASE_RECENCY": low(one, d("recency_days") / 240), "DECLINING_ORDER_TREND": F.greatest(zero, 1 - low(one, d("order_trend_ratio"))), "SUPPORT_CASE_VOLUME": low(one, d("cases_90d") / 3),
-        "LOW_SATISFACTION": F.greatest(zero, (4 - low(F.lit(5.0), d("avg_csat"))) / 3), "LOW_ENGAGEMENT": F.greatest(zero, 1 - d("engagement_score") / 100), "LOYALTY_INACTIVITY": low(one, d("loyalty_inactive_days") / 365), "NEGATIVE_SIGNALS": low(one, d("negative_signals_90d") / 2),
+        "LOW_SATISFACTION": F.greatest(zero, (4 - low(F.lit(5.0), d("avg_csat"))) / 3), "LOW_ENGAGEMENT": F.greatest(zero, 1 - d("engagement_score") / 100),
+            "LOYALTY_INACTIVITY": low(one, d("loyalty_inactive_days") / 365), "NEGATIVE_SIGNALS": low(one, d("negative_signals_90d") / 2),
     }
     return [F.round(w * part[n], 6).alias(n) for n, w in DRIVERS.items()]
 
@@ -152,7 +162,8 @@ def contributions(f: DataFrame) -> DataFrame:
 def drivers(parts: DataFrame, k: int = 3) -> DataFrame:
     """The k largest contributions of each customer with their rank: an unpivot within the row, without a shuffle."""
     pairs = F.array(*(F.struct((-F.col(n)).alias("minus"), F.lit(n).alias("driver")) for n in DRIVERS))
-    return parts.select("customer", F.posexplode(F.slice(F.array_sort(pairs), 1, k)).alias("pos", "d")).select("customer", (F.col("pos") + 1).alias("rank"), F.col("d.driver").alias("driver"), (-F.col("d.minus")).alias("contribution"))
+    return parts.select("customer", F.posexplode(F.slice(F.array_sort(pairs), 1, k)).alias("pos", "d")).select("customer", (F.col("pos") + 1).alias("rank"),
+        F.col("d.driver").alias("driver"), (-F.col("d.minus")).alias("contribution"))
 
 
 def _score(p: Column) -> list[Column]:
@@ -185,6 +196,7 @@ def customer_360(all_of: DataFrame, *more: str) -> DataFrame:
     sources = F.concat(F.lit("CRM"), *(F.when(F.col(c).isNotNull(), f",{name}").otherwise("") for c, name in came.items()))
     return all_of.select(
         "customer", "segment", zero("total_orders").alias("total_orders"), revenue.alias("clv_realised"), predicted_value().alias("clv_predicted"),
-        F.when(revenue >= 2000, "HIGH").when(revenue >= 500, "MEDIUM").otherwise("LOW").alias("value_tier"), zero("open_cases").alias("open_cases"), "engagement_score", zero("tier_rank").alias("tier_rank"), "churn.band",
+        F.when(revenue >= 2000, "HIGH").when(revenue >= 500, "MEDIUM").otherwise("LOW").alias("value_tier"), zero("open_cases").alias("open_cases"), "engagement_score",
+            zero("tier_rank").alias("tier_rank"), "churn.band",
         F.round(100 * sum((k.cast("int") for k in known[1:]), known[0].cast("int")) / F.lit(len(known)), 2).alias("completeness"), sources.alias("contributing_sources"), *more,
     )

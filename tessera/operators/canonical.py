@@ -28,5 +28,6 @@ def orders(raw: DataFrame) -> DataFrame:
     """Orders (order_id, order_date, status, channel, amount, discount) with gross, discount and net amounts; a missing discount is 0, the net amount is the rest, to the cent."""
     amount, discount = money(F.col("amount")), F.coalesce(money(F.col("discount")), F.lit(0))
     return raw.select(
-        "order_id", F.to_date("order_date").alias("order_date"), "status", "channel", amount.cast("double").alias("gross_amount"), discount.cast("double").alias("discount_amount"), F.round(amount - discount, 2).cast("double").alias("net_amount")
+        "order_id", F.to_date("order_date").alias("order_date"), "status", "channel", amount.cast("double").alias("gross_amount"),
+            discount.cast("double").alias("discount_amount"), F.round(amount - discount, 2).cast("double").alias("net_amount")
     )

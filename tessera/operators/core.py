@@ -96,7 +96,8 @@ def dated_features(all_of: DataFrame, as_of: dt.date) -> DataFrame:
     """Features of combined rows (with created_at) with the day, the tenure, the trend of revenue (a day's revenue in the last 90 days against that in the 275 before) and the version of the set."""
     day = F.lit(as_of)
     trend = F.coalesce(F.round((F.col("revenue_last_90d") / 90.0) / F.nullif(F.col("revenue_prior") / 275.0, F.lit(0.0)), 4), F.lit(0.0))
-    return all_of.select("customer", day.alias("feature_date"), "features.*", F.datediff(day, F.to_date("created_at")).alias("tenure_days"), trend.alias("revenue_trend_ratio"), F.lit(FEATURE_SET).alias("feature_set_version"))
+    return all_of.select("customer", day.alias("feature_date"), "features.*", F.datediff(day, F.to_date("created_at")).alias("tenure_days"),
+        trend.alias("revenue_trend_ratio"), F.lit(FEATURE_SET).alias("feature_set_version"))
 
 
 def scored_features(features: DataFrame, scores: DataFrame) -> DataFrame:
@@ -111,17 +112,21 @@ def full_view(all_of: DataFrame, addresses: DataFrame, as_of: dt.date, at: dt.da
     zero = lambda n, x=0: F.coalesce(c(n), F.lit(x))
     since = F.least(F.to_date("created_at"), F.coalesce("first_order_date", F.to_date("created_at")))
     revenue = zero("total_net_revenue", 0.0)
-    known = [c("email").isNotNull(), F.coalesce(c("phone") != "", F.lit(False)), c("birth_date").isNotNull(), c("city").isNotNull(), c("segment").isNotNull(), c("_orders").isNotNull(), c("_loyalty").isNotNull(), c("_support").isNotNull()]
+    known = [c("email").isNotNull(), F.coalesce(c("phone") != "", F.lit(False)), c("birth_date").isNotNull(), c("city").isNotNull(), c("segment").isNotNull(),
+        c("_orders").isNotNull(), c("_loyalty").isNotNull(), c("_support").isNotNull()]
     came = [F.when(c(n).isNotNull(), f",{name}").otherwise("") for n, name in (("_orders", "OMS"), ("_support", "SUPPORT"), ("_loyalty", "LOYALTY"))]
     return out.select(
         "customer", "customer_sk", "master_customer_id", "full_name", "email", "phone", "birth_date", "segment", "preferred_channel", "marketing_opt_in", c("status").alias("customer_status"),
         since.alias("customer_since"), F.datediff(day, since).alias("tenure_days"), "city", "state", "country",
-        zero("total_orders").alias("total_orders"), revenue.alias("total_net_revenue"), zero("avg_order_value", 0.0).alias("avg_order_value"), zero("order_frequency_per_year", 0.0).alias("order_frequency_per_year"), "last_order_date", "days_since_last_order",
+        zero("total_orders").alias("total_orders"), revenue.alias("total_net_revenue"), zero("avg_order_value", 0.0).alias("avg_order_value"),
+            zero("order_frequency_per_year", 0.0).alias("order_frequency_per_year"), "last_order_date", "days_since_last_order",
         zero("revenue_last_365d", 0.0).alias("revenue_last_365d"), zero("return_rate", 0.0).alias("return_rate"), c("primary_channel").alias("primary_order_channel"),
         zero("total_cases").alias("total_cases"), zero("open_cases").alias("open_cases"), zero("cases_last_90d").alias("cases_last_90d"), "avg_csat", "avg_resolution_hours", "top_case_type",
-        "loyalty_account", zero("tier", "NONE").alias("loyalty_tier"), zero("loyalty_status", "NOT_ENROLLED").alias("loyalty_status"), zero("points_balance").alias("loyalty_points_balance"), "loyalty_enrolled_at", F.datediff(day, c("last_activity_at")).alias("days_since_loyalty_activity"),
+        "loyalty_account", zero("tier", "NONE").alias("loyalty_tier"), zero("loyalty_status", "NOT_ENROLLED").alias("loyalty_status"),
+            zero("points_balance").alias("loyalty_points_balance"), "loyalty_enrolled_at", F.datediff(day, c("last_activity_at")).alias("days_since_loyalty_activity"),
         zero("interactions_last_90d").alias("interactions_last_90d"), zero("negative_signals_90d").alias("negative_signals_90d"), zero("engagement_score", 0.0).alias("engagement_score"),
         F.round(revenue, 2).alias("customer_lifetime_value"), predicted_value().alias("predicted_clv_12m"),
         F.when(revenue >= 2000, "HIGH").when(revenue >= 500, "MEDIUM").otherwise("LOW").alias("value_tier"), "churn.band",
-        F.round(100 * sum((k.cast("int") for k in known[1:]), known[0].cast("int")) / F.lit(len(known)), 2).alias("data_completeness_score"), F.concat(F.lit("CRM"), *came, F.lit(",ENGAGEMENT")).alias("contributing_sources"), F.lit(at).alias("as_of_timestamp"),
+        F.round(100 * sum((k.cast("int") for k in known[1:]), known[0].cast("int")) / F.lit(len(known)), 2).alias("data_completeness_score"),
+            F.concat(F.lit("CRM"), *came, F.lit(",ENGAGEMENT")).alias("contributing_sources"), F.lit(at).alias("as_of_timestamp"),
     )

@@ -21,7 +21,8 @@ def summary(whole: DataFrame) -> DataFrame:
     orders = F.when(F.col("total_orders") > 0, F.concat(F.lit("They have placed "), number("total_orders"), F.lit(" orders."))).otherwise("They have no recorded purchase history.")
     cases = F.when(F.col("open_cases") > 0, F.concat(F.lit(" "), number("open_cases"), F.lit(" support cases are open.")))
     risk = F.when(F.col("band").isNotNull(), F.concat(F.lit(" Churn risk is "), F.col("band"), F.lit(".")))
-    return whole.select("customer", F.concat(F.lit("The customer is in the "), F.col("segment"), F.lit(" segment. "), orders, F.coalesce(cases, F.lit("")), F.coalesce(risk, F.lit(""))).alias("summary"))
+    return whole.select("customer", F.concat(F.lit("The customer is in the "), F.col("segment"), F.lit(" segment. "), orders, F.coalesce(cases, F.lit("")),
+        F.coalesce(risk, F.lit(""))).alias("summary"))
 
 
 #: What each driver of churn reads like, with the column it quotes and what stands there without one.
@@ -53,7 +54,8 @@ def churn_explanation(rows: DataFrame, drivers: str = "drivers") -> DataFrame:
         return out
 
     some = F.filter(drivers, lambda d: d.isNotNull() & (d != ""))
-    head = F.concat(F.lit("Churn risk is "), F.coalesce("band", F.lit("unclassified")), F.lit(" with a probability of "), F.coalesce(F.col("probability").cast("string"), F.lit(UNKNOWN)), F.lit(". The main reasons are that "))
+    head = F.concat(F.lit("Churn risk is "), F.coalesce("band", F.lit("unclassified")), F.lit(" with a probability of "),
+        F.coalesce(F.col("probability").cast("string"), F.lit(UNKNOWN)), F.lit(". The main reasons are that "))
     text = F.concat(head, F.array_join(F.transform(some, reason), "; "), F.lit("."))
     return rows.select("customer", F.when(F.size(some) > 0, text).otherwise("No churn drivers were supplied, so no explanation can be given.").alias("explanation"))
 
@@ -73,9 +75,11 @@ SURE, WORDY = 0.8, 5.0
 
 
 def described(df: DataFrame, name: str) -> DataFrame:
-    """A row for each column of a table: rows, share of nulls, distinct values, and the kind of content that its values (not its name) suggest: a look that most of them have, FREE_TEXT where they have many blanks, TEXT otherwise; other types by type.
+    """A row for each column of a table: rows, share of nulls, distinct values, and the kind of content that its values (not its name) suggest: a look that most of them
+    have, FREE_TEXT where they have many blanks, TEXT otherwise; other types by type.
 
-    The columns are unpivoted into hashes, counted once by value and then by column: one scan and one pre-aggregated shuffle for any number of columns. Arrays count as whole values; distinct values are told apart by 64-bit hashes of their text."""
+    The columns are unpivoted into hashes, counted once by value and then by column: one scan and one pre-aggregated shuffle for any number of columns. Arrays count as
+    whole values; distinct values are told apart by 64-bit hashes of their text."""
     kind = {f.name: f.dataType.typeName() for f in df.schema}
     text = [c for c, t in kind.items() if t == "string"]
 
@@ -94,8 +98,10 @@ def described(df: DataFrame, name: str) -> DataFrame:
         content = F.when(F.col(k) >= SURE * F.col("n_there"), k).otherwise(content)
     content = F.when(F.col("n_there") == 0, "EMPTY").otherwise(content)
     types = F.create_map(*(F.lit(x) for c, t in kind.items() for x in (c, t)))
-    by_type = F.when(types[F.col("column")] == "string", content).when(types[F.col("column")].isin("timestamp", "timestamp_ntz", "date"), "TIME").when(types[F.col("column")] == "boolean", "FLAG").when(types[F.col("column")] == "array", "VECTOR").otherwise("NUMBER")
-    return out.select(F.lit(name).alias("table_name"), F.col("column").alias("column_name"), "n_rows", F.round(1 - F.col("n_there") / F.greatest("n_rows", F.lit(1)), 6).alias("null_share"), "n_distinct", by_type.alias("content"))
+    by_type = F.when(types[F.col("column")] == "string", content).when(types[F.col("column")].isin("timestamp", "timestamp_ntz", "date"),
+        "TIME").when(types[F.col("column")] == "boolean", "FLAG").when(types[F.col("column")] == "array", "VECTOR").otherwise("NUMBER")
+    return out.select(F.lit(name).alias("table_name"), F.col("column").alias("column_name"), "n_rows",
+        F.round(1 - F.col("n_there") / F.greatest("n_rows", F.lit(1)), 6).alias("null_share"), "n_distinct", by_type.alias("content"))
 
 
 def classified(columns: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from tessera.sources.store import Store, scratch
 def reached(edges: DataFrame, seeds: DataFrame, most: int = 20) -> DataFrame:
     """origin, node, hops and path (an array of nodes) of all nodes that edges (source, target) lead to from seeds (node): of the shortest paths the first in order.
 
-    Semi-naive: each round joins only what the last round found with the edges, and keeps what no earlier round found. So no node comes twice in a path, circles end, and a round that finds nothing is the last;
-    each round is written, so lineage stays short and a lost executor costs one round. Paths of more than `most` edges are an error, not left out. Null nodes are none; edges from a node to itself lead nowhere."""
+    Semi-naive: each round joins only what the last round found with the edges, and keeps what no earlier round found. So no node comes twice in a path, circles end, and
+    a round that finds nothing is the last;
+    each round is written, so lineage stays short and a lost executor costs one round. Paths of more than `most` edges are an error, not left out. Null nodes are none;
+    edges from a node to itself lead nowhere."""
     spark = edges.sparkSession
     store = Store(spark, scratch(spark, "lineage"))
     run = store.begin()

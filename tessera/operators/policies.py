@@ -35,7 +35,8 @@ def mask_text(c: Column, roles: set[str], allowed: frozenset[str] = frozenset({"
 def api_email(c: Column) -> Column:
     """API variant: the first character and stars for the rest of the local part, three at least."""
     local = F.split_part(c, F.lit("@"), F.lit(1))
-    return F.when(c.contains("@"), F.concat(F.left(local, F.lit(1)), F.repeat(F.lit("*"), F.greatest(F.length(local) - 1, F.lit(3))), F.lit("@"), F.split_part(c, F.lit("@"), F.lit(2)))).otherwise(F.lit(None))
+    return F.when(c.contains("@"), F.concat(F.left(local, F.lit(1)), F.repeat(F.lit("*"), F.greatest(F.length(local) - 1, F.lit(3))), F.lit("@"),
+        F.split_part(c, F.lit("@"), F.lit(2)))).otherwise(F.lit(None))
 
 
 def api_birth(c: Column) -> Column:
@@ -56,7 +57,8 @@ def api_name(c: Column) -> Column:
 def api_full_name(c: Column) -> Column:
     """The first name as it is, the others masked."""
     parts = F.filter(F.split(c, r"\s+"), lambda p: p != "")
-    return F.when(c.isNull() | (F.size(parts) == 0), c).otherwise(F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), api_name)), " "))
+    return F.when(c.isNull() | (F.size(parts) == 0), c).otherwise(F.array_join(F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, F.lit(2),
+        F.greatest(F.size(parts) - 1, F.lit(0))), api_name)), " "))
 
 
 #: How the API masks each field of a profile.

@@ -54,7 +54,8 @@ def run(spark: SparkSession, rules: list[Rule], tables: dict[str, DataFrame]) ->
                         counts[r.rule_id] = F.count(F.when(F.expr(r.where), 1))
                     except Exception:  # noqa: BLE001  any error of the rule's own SQL
                         counts[r.rule_id] = F.lit(-1).cast("long")
-            aggregate = tables[table].agg(F.count("*").alias("evaluated"), F.map_from_arrays(F.array(*map(F.lit, counts)), F.array(*counts.values())).alias("counts") if counts else F.lit(None).alias("counts"))
+            aggregate = tables[table].agg(F.count("*").alias("evaluated"), F.map_from_arrays(F.array(*map(F.lit, counts)), F.array(*counts.values())).alias("counts")
+                if counts else F.lit(None).alias("counts"))
             own = [r for r in rules if r.table == table]
             meta = F.explode(F.array(*(F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.threshold).cast("double").alias("threshold")) for r in own)))
             base = aggregate.select("evaluated", "counts", meta.alias("r")).select("r.*", "evaluated", (F.col("counts")[F.col("r.rule_id")] if counts else F.lit(None).cast("long")).alias("failed"))
@@ -103,7 +104,8 @@ def scorecard(rules: DataFrame, results: DataFrame) -> DataFrame:
 def catalogue(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     """The rules as rows."""
     rows = [(r.rule_id, r.name, r.dimension, r.table, r.column, r.severity, float(r.threshold), r.where or r.failed, r.owner, True) for r in rules]
-    return spark.createDataFrame(rows, "rule_id string, rule_name string, dimension string, target_table string, target_column string, severity string, threshold_pct double, rule_sql string, owner string, is_active boolean")
+    return spark.createDataFrame(rows, "rule_id string, rule_name string, dimension string, target_table string, target_column string, severity string, threshold_pct "
+        "double, rule_sql string, owner string, is_active boolean")
 
 
 def quarantine(parts: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
@@ -129,9 +131,11 @@ def rejected(raw: DataFrame, staged: DataFrame, kept: DataFrame, as_of) -> DataF
         return df.select(F.md5(F.concat(F.lit(rule), own)).alias("reject_id"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), key.alias("record_key"), reason.alias("reason"))
 
     c, text = F.col, lambda n: F.coalesce(F.col(n).cast("string"), F.lit("NULL"))
-    out = rows(raw.where("customer_id IS NULL OR trim(customer_id) = ''"), "DQ-C-001", "BLOCKING", F.coalesce("email", "row_id"), F.coalesce(c("email"), F.lit("(no key)")), F.lit("Customer record has no business key and cannot be identified or deduplicated."))
+    out = rows(raw.where("customer_id IS NULL OR trim(customer_id) = ''"), "DQ-C-001", "BLOCKING", F.coalesce("email", "row_id"),
+        F.coalesce(c("email"), F.lit("(no key)")), F.lit("Customer record has no business key and cannot be identified or deduplicated."))
     out = out.union(rows(staged.where("amount IS NULL OR amount < 0"), "DQ-O-002", "BLOCKING", c("order_id"), c("order_id"), F.concat(F.lit("Order amount is null or negative: "), text("amount"))))
-    out = out.union(rows(staged.where(c("order_date").isNull() | (c("order_date") > F.lit(as_of))), "DQ-O-003", "BLOCKING", c("order_id"), c("order_id"), F.concat(F.lit("Order date is in the future: "), text("order_date"))))
+    out = out.union(rows(staged.where(c("order_date").isNull() | (c("order_date") > F.lit(as_of))), "DQ-O-003", "BLOCKING", c("order_id"), c("order_id"),
+        F.concat(F.lit("Order date is in the future: "), text("order_date"))))
     again = raw.where("customer_id IS NOT NULL").join(kept.select("customer_id"), "customer_id", "left_anti")
     return out.union(rows(again, "DQ-C-005", "WARNING", c("customer_id"), c("customer_id"), F.lit("Suppressed as a duplicate of an existing customer with the same e-mail.")))
 

@@ -27,8 +27,10 @@ def next_best_action(whole: DataFrame, premium: str) -> DataFrame:
     """The first action that applies, and whether the customer is a VIP."""
     risk, open_ = F.col("band").isin(*RISK), F.col("open_cases") > 0
     late = F.coalesce("days_since_last_order", F.lit(9999)) >= 120
-    action = F.when(open_, "RESOLVE_OPEN_CASE").when(risk & late, "RETENTION_OFFER_15_PCT").when(risk, "PROACTIVE_SERVICE_CALL").when(F.col("tier_rank") == 0, "DOUBLE_POINTS_MONTH").otherwise("NO_ACTION")
-    return whole.select("customer", action.alias("action"), F.when(open_ | (risk & late), "HIGH").when(risk, "MEDIUM").otherwise("LOW").alias("priority"), ((F.col("segment") == premium) | (F.col("value_tier") == "HIGH")).alias("vip"))
+    action = F.when(open_, "RESOLVE_OPEN_CASE").when(risk & late, "RETENTION_OFFER_15_PCT").when(risk, "PROACTIVE_SERVICE_CALL").when(F.col("tier_rank") == 0,
+        "DOUBLE_POINTS_MONTH").otherwise("NO_ACTION")
+    return whole.select("customer", action.alias("action"), F.when(open_ | (risk & late), "HIGH").when(risk, "MEDIUM").otherwise("LOW").alias("priority"),
+        ((F.col("segment") == premium) | (F.col("value_tier") == "HIGH")).alias("vip"))
 
 
 def page(df: DataFrame, size: int, offset: int, *order) -> DataFrame:
@@ -55,7 +57,8 @@ def statement(spark: SparkSession, text: str, bindings: dict[str, object] | None
 
 def row_types(df: DataFrame) -> dict[str, str]:
     """The row type of each column, as the API calls it."""
-    name = lambda t: "FIXED" if isinstance(t, T.IntegralType | T.DecimalType) else "REAL" if isinstance(t, T.FractionalType) else {T.BooleanType: "BOOLEAN", T.DateType: "DATE", T.TimestampType: "TIMESTAMP_NTZ", T.TimestampNTZType: "TIMESTAMP_NTZ", T.ArrayType: "ARRAY"}.get(type(t), "TEXT")
+    name = lambda t: "FIXED" if isinstance(t, T.IntegralType | T.DecimalType) else "REAL" if isinstance(t, T.FractionalType) else {T.BooleanType: "BOOLEAN",
+        T.DateType: "DATE", T.TimestampType: "TIMESTAMP_NTZ", T.TimestampNTZType: "TIMESTAMP_NTZ", T.ArrayType: "ARRAY"}.get(type(t), "TEXT")
     return {f.name: name(f.dataType) for f in df.schema}
 
 
@@ -105,14 +108,17 @@ def _newest(df: DataFrame, at: str, key: str, k: int, name: str) -> DataFrame:
 def documents(whole: DataFrame, orders: DataFrame, k: int, degraded: tuple[str, ...] = ()) -> DataFrame:
     """A nested document for each customer with its k latest orders; nulls are left out of the JSON, missing branches are named."""
     top = _newest(orders.select("customer", "order_date", "order_id", "status", "net"), "order_date", "order_id", k, "orders")
-    doc = whole.join(top, "customer", "left").select("customer", F.struct(*(F.col(c).alias(camel(c)) for c in whole.columns), F.coalesce("orders", F.array().cast(top.schema["orders"].dataType)).alias("orders"), F.array(*map(F.lit, degraded)).cast("array<string>").alias("degradedFields")).alias("d"))
+    doc = whole.join(top, "customer", "left").select("customer",
+        F.struct(*(F.col(c).alias(camel(c)) for c in whole.columns), F.coalesce("orders", F.array().cast(top.schema["orders"].dataType)).alias("orders"),
+        F.array(*map(F.lit, degraded)).cast("array<string>").alias("degradedFields")).alias("d"))
     return doc.select("customer", F.to_json("d").alias("document"))
 
 
 def branches(store: Store, parts: dict[str, Callable[[], DataFrame]], seconds: float = 600.0, needed: tuple[str, ...] = ()) -> tuple[dict[str, DataFrame | None], dict[str, str]]:
     """Tables of named reads, each planned, run and written on its own, all side by side; and why those that are None failed.
 
-    An error of one, when it is planned or while it runs, or a run of more than so many seconds leaves the others alone. An error of a needed read is raised. A read without rows is no failure. What is written belongs to a run of the store that is never published."""
+    An error of one, when it is planned or while it runs, or a run of more than so many seconds leaves the others alone. An error of a needed read is raised. A read
+    without rows is no failure. What is written belongs to a run of the store that is never published."""
     run = store.begin()
 
     def read(name: str, make: Callable[[], DataFrame]) -> DataFrame:
@@ -150,7 +156,8 @@ def nested(whole: DataFrame, orders: DataFrame | None, cases: DataFrame | None,
     """customer and a document (struct) of the full view in blocks, with the k latest orders (customer, order_date, order_id and more), the k latest cases (customer, opened_at, case_id and more),
     the score (customer, probability, band) with its drivers (customer, rank, driver, contribution) and the sources as an array.
 
-    A branch that is None couldn't be read (branches() tells): it gets its default (an empty array or null), and the document is partial and names it. A customer without rows in a branch has the default, too, but that is no outage."""
+    A branch that is None couldn't be read (branches() tells): it gets its default (an empty array or null), and the document is partial and names it. A customer without
+    rows in a branch has the default, too, but that is no outage."""
     fields = {"orders": orders, "cases": cases, "churn": churn}
     degraded = sorted(n for n, df in fields.items() if df is None)
     out = whole
@@ -176,7 +183,8 @@ def nested(whole: DataFrame, orders: DataFrame | None, cases: DataFrame | None,
     block = lambda names: F.struct(*(F.col(c).alias(camel(c)) for c in names if c in whole.columns))
     quality = F.struct(F.col("data_completeness_score").alias("completenessScore"), F.split("contributing_sources", ",").alias("contributingSources"))
     return out.select("customer", F.struct(
-        F.col("customer").alias("customerId"), *(block(names).alias(n) for n, names in BLOCKS.items()), F.col("_orders").alias("orders"), F.col("_cases").alias("support"), F.col("_churn").alias("churnRisk"), quality.alias("dataQuality"),
+        F.col("customer").alias("customerId"), *(block(names).alias(n) for n, names in BLOCKS.items()), F.col("_orders").alias("orders"),
+            F.col("_cases").alias("support"), F.col("_churn").alias("churnRisk"), quality.alias("dataQuality"),
         F.lit(bool(degraded)).alias("partial"), F.array(*map(F.lit, degraded)).cast("array<string>").alias("degradedFields"),
     ).alias("document"))
 
@@ -186,14 +194,16 @@ def store_view(whole: DataFrame, may_see: bool, premium: str = "PREMIUM") -> Dat
     c = F.col
     vip = F.coalesce(c("segment") == premium, F.lit(False)) | F.coalesce(c("value_tier") == "HIGH", F.lit(False))
     name = c("full_name") if may_see else policies.api_full_name(c("full_name"))
-    return whole.select("customer", name.alias("display_name"), "segment", c("customer_status").alias("status"), vip.alias("vip"), "loyalty_tier", "loyalty_points_balance", c("data_completeness_score").alias("completeness"), F.lit(not may_see).alias("masked"))
+    return whole.select("customer", name.alias("display_name"), "segment", c("customer_status").alias("status"), vip.alias("vip"), "loyalty_tier",
+        "loyalty_points_balance", c("data_completeness_score").alias("completeness"), F.lit(not may_see).alias("masked"))
 
 
 #: Personal fields that views for models and shops must not have.
 PERSONAL = ("full_name", "email", "phone", "birth_date", "city", "postal_code")
 #: What a model may see of a customer: behaviour only. Names, addresses, phones and birth dates are absent because nothing here names them.
 MODEL_CONTEXT = [
-    "customer", "segment", "value_tier", "tenure_days", "total_orders", "total_net_revenue", "avg_order_value", "order_frequency_per_year", "days_since_last_order", "total_cases", "open_cases", "cases_last_90d", "avg_csat", "top_case_type",
+    "customer", "segment", "value_tier", "tenure_days", "total_orders", "total_net_revenue", "avg_order_value", "order_frequency_per_year", "days_since_last_order",
+        "total_cases", "open_cases", "cases_last_90d", "avg_csat", "top_case_type",
     "loyalty_tier", "loyalty_status", "loyalty_points_balance", "interactions_last_90d", "negative_signals_90d", "engagement_score",
 ]
 

@@ -90,7 +90,8 @@ def products_spec() -> Spec:
     """Products; what isn't surely active isn't active."""
     c = F.col
     return Spec(
-        {"product": _id("product"), "sku": clean(c("sku")), "name": clean(c("name")), "category": clean(c("category")), "brand": clean(c("brand")), "unit_price": typed(c("unit_price"), "decimal(18,2)"), "is_active": lenient_bool(c("is_active"), False)},
+        {"product": _id("product"), "sku": clean(c("sku")), "name": clean(c("name")), "category": clean(c("category")), "brand": clean(c("brand")),
+            "unit_price": typed(c("unit_price"), "decimal(18,2)"), "is_active": lenient_bool(c("is_active"), False)},
         ["product"], [c("sku"), c("name")], {"DQ-P-001": c("unit_price").isNull()},
     )
 
@@ -99,7 +100,8 @@ def cases_spec() -> Spec:
     c = F.col
     return Spec(
         {
-            "case_id": _id("case_id"), "customer": clean(c("customer")), "case_type": _upper("case_type"), "priority": _upper("priority"), "status": _upper("status"), "opened_at": typed(c("opened_at"), "timestamp"),
+            "case_id": _id("case_id"), "customer": clean(c("customer")), "case_type": _upper("case_type"), "priority": _upper("priority"), "status": _upper("status"),
+                "opened_at": typed(c("opened_at"), "timestamp"),
             "resolved_at": typed(c("resolved_at"), "timestamp"), "csat": typed(c("csat"), "int"), "reopens": F.coalesce(typed(c("reopens"), "int"), F.lit(0)),
         },
         ["case_id"], [c("opened_at").desc_nulls_last(), c("resolved_at").desc_nulls_last()], {"DQ-S-002": c("resolved_at") < c("opened_at")}, {"DQ-S-003": ~c("csat").between(1, 5)},
@@ -110,7 +112,8 @@ def cases_spec() -> Spec:
 def interactions_spec() -> Spec:
     c = F.col
     return Spec(
-        {"interaction_id": _id("interaction_id"), "customer": clean(c("customer")), "interaction_type": _upper("interaction_type"), "channel": _upper("channel"), "ts": typed(c("ts"), "timestamp"), "campaign": clean(c("campaign"))},
+        {"interaction_id": _id("interaction_id"), "customer": clean(c("customer")), "interaction_type": _upper("interaction_type"), "channel": _upper("channel"),
+            "ts": typed(c("ts"), "timestamp"), "campaign": clean(c("campaign"))},
         ["interaction_id"], [c("ts").desc_nulls_last(), c("interaction_type")], {}, {"DQ-I-001": c("ts").isNull()},
     )
 
@@ -131,7 +134,8 @@ def addresses_spec() -> Spec:
     c = F.col
     return Spec(
         {
-            "address_id": _id("address_id"), "customer": clean(c("customer")), "address_type": _upper("address_type"), "city": clean(c("city")), "state": _upper("state"), "postal_code": clean(c("postal_code")),
+            "address_id": _id("address_id"), "customer": clean(c("customer")), "address_type": _upper("address_type"), "city": clean(c("city")), "state": _upper("state"),
+                "postal_code": clean(c("postal_code")),
             "country": F.upper(F.coalesce(c("country").cast("string"), F.lit("US"))), "is_primary": lenient_bool(c("is_primary"), False), "valid_from": typed(c("valid_from"), "date"),
         },
         ["address_id"], [c("valid_from").desc_nulls_last(), c("city")], {}, {"DQ-A-001": F.coalesce(c("postal_code"), F.lit("")) == ""},
@@ -142,7 +146,8 @@ def contacts_spec() -> Spec:
     """Contacts always pass."""
     c = F.col
     return Spec(
-        {"contact_id": _id("contact_id"), "customer": clean(c("customer")), "contact_type": _upper("contact_type"), "contact_value": clean(c("contact_value")), "is_verified": lenient_bool(c("is_verified"), False), "is_primary": lenient_bool(c("is_primary"), False)},
+        {"contact_id": _id("contact_id"), "customer": clean(c("customer")), "contact_type": _upper("contact_type"), "contact_value": clean(c("contact_value")),
+            "is_verified": lenient_bool(c("is_verified"), False), "is_primary": lenient_bool(c("is_primary"), False)},
         ["contact_id"], [c("contact_type"), c("contact_value")],
     )
 
@@ -157,8 +162,10 @@ def stage_customers(raw: DataFrame, as_of) -> DataFrame:
     valid = F.coalesce(c("email").rlike(EMAIL_VALID), F.lit(False))
     spec = Spec(
         {
-            "customer": _id("customer"), "first_name": clean(c("first_name")), "last_name": clean(c("last_name")), "email": F.lower(clean(c("email"))), "phone": F.regexp_replace(F.coalesce(c("phone").cast("string"), F.lit("")), "[^0-9+]", ""),
-            "birth_date": typed(c("birth_date"), "date"), "segment": _upper("segment"), "opt_in": lenient_bool(c("opt_in")), "channel": _upper("channel"), "status": _upper("status"), "created_at": typed(c("created_at"), "timestamp"), "updated_at": typed(c("updated_at"), "timestamp"),
+            "customer": _id("customer"), "first_name": clean(c("first_name")), "last_name": clean(c("last_name")), "email": F.lower(clean(c("email"))),
+                "phone": F.regexp_replace(F.coalesce(c("phone").cast("string"), F.lit("")), "[^0-9+]", ""),
+            "birth_date": typed(c("birth_date"), "date"), "segment": _upper("segment"), "opt_in": lenient_bool(c("opt_in")), "channel": _upper("channel"),
+                "status": _upper("status"), "created_at": typed(c("created_at"), "timestamp"), "updated_at": typed(c("updated_at"), "timestamp"),
         },
         ["customer"], [c("updated_at").desc_nulls_last(), c("created_at").desc_nulls_last(), c("email")], {},
         {"DQ-C-002": ~valid, "DQ-C-003": (c("birth_date") > F.lit(as_of)) | (c("birth_date") < F.lit("1900-01-01").cast("date")), "DQ-C-004": ~c("status").isin(*CUSTOMER_STATUS)},

@@ -24,22 +24,26 @@ def merge_upsert(s: SparkSession, d: str) -> DataFrame:
     return upsert(hashed(base.where(k % 3 != 0)), hashed(changes), "c_custkey", "h")
 
 
-@query(f"SELECT c_custkey, regexp_full_match(email, '{EMAIL_VALID}') AS valid FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN lower(replace(c_name, '#', '.')) || '@example.com' WHEN 1 THEN c_name WHEN 2 THEN 'a@b' END AS email FROM customer)")
+@query(f"SELECT c_custkey, regexp_full_match(email, '{EMAIL_VALID}') AS valid FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN lower(replace(c_name, '#', '.')) || "
+    f"'@example.com' WHEN 1 THEN c_name WHEN 2 THEN 'a@b' END AS email FROM customer)")
 def email_valid(s: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey") % 4
     email = F.when(k == 0, F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com"))).when(k == 1, F.col("c_name")).when(k == 2, "a@b")
     return load(s, d, "customer").select("c_custkey", email.rlike(EMAIL_VALID).alias("valid"))
 
 
-@query("SELECT o_custkey, o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_orderpriority, o_orderkey) = 1")
+@query("SELECT o_custkey, o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' "
+    "THEN 1 ELSE 2 END, o_orderpriority, o_orderkey) = 1")
 def first_by_case_order(s: SparkSession, d: str) -> DataFrame:
     rank = F.when(F.col("o_orderstatus") == "O", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
     return latest(load(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"), ["o_custkey"], rank, F.col("o_orderpriority"), F.col("o_orderkey")).drop("o_orderstatus")
 
 
-@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day, round(stddev_samp(value), 4) AS spread, max(props) AS any_props FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day, "
+    "round(stddev_samp(value), 4) AS spread, max(props) AS any_props FROM events GROUP BY event_type")
 def event_profile(s: SparkSession, d: str) -> DataFrame:
-    return load(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.to_date(F.min("ts")).alias("first_day"), F.to_date(F.max("ts")).alias("last_day"), F.round(F.stddev_samp("value"), 4).alias("spread"), F.max("props").alias("any_props"))
+    return load(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.to_date(F.min("ts")).alias("first_day"),
+        F.to_date(F.max("ts")).alias("last_day"), F.round(F.stddev_samp("value"), 4).alias("spread"), F.max("props").alias("any_props"))
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")

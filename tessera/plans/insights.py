@@ -15,16 +15,19 @@ def insight_summary(s: SparkSession, d: str) -> DataFrame:
     return insight.summary(C._whole(s, d))
 
 
-@query(C.WITH + C.SUPPORT + "SELECT customer, round((avg_csat - 3) / 2.0::DOUBLE, 4) AS score, CASE WHEN round((avg_csat - 3) / 2.0::DOUBLE, 4) > 0.2 THEN 'POSITIVE' WHEN round((avg_csat - 3) / 2.0::DOUBLE, 4) < -0.2 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label FROM ssum")
+@query(C.WITH + C.SUPPORT + "SELECT customer, round((avg_csat - 3) / 2.0::DOUBLE, 4) AS score, CASE WHEN round((avg_csat - 3) / 2.0::DOUBLE, 4) > 0.2 THEN 'POSITIVE' "
+    "WHEN round((avg_csat - 3) / 2.0::DOUBLE, 4) < -0.2 THEN 'NEGATIVE' ELSE 'NEUTRAL' END AS label FROM ssum")
 def sentiment_score(s: SparkSession, d: str) -> DataFrame:
     score, label = insight.sentiment(F.col("avg_csat"))
     return C._support(s, d).select("customer", score.alias("score"), label.alias("label"))
 
 
-@query("SELECT a.event_id AS request, b.event_id AS produced FROM (SELECT * FROM events WHERE user_id = 7 AND event_type = 'view') a LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id")
+@query("SELECT a.event_id AS request, b.event_id AS produced FROM (SELECT * FROM events WHERE user_id = 7 AND event_type = 'view') a LEFT JOIN (SELECT * FROM events "
+    "WHERE event_type = 'purchase') b ON a.user_id = b.user_id")
 def trace_lookup(s: SparkSession, d: str) -> DataFrame:
     e = load(s, d, "events").withColumn("correlation_id", F.col("user_id").cast("string"))
-    out = insight.trace(e.where("event_type = 'view'").select("correlation_id", F.col("event_id").alias("request")), e.where("event_type = 'purchase'").select("correlation_id", F.col("event_id").alias("produced")), "7")
+    out = insight.trace(e.where("event_type = 'view'").select("correlation_id", F.col("event_id").alias("request")),
+        e.where("event_type = 'purchase'").select("correlation_id", F.col("event_id").alias("produced")), "7")
     return out.select("request", "produced")
 
 

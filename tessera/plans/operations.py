@@ -23,14 +23,19 @@ _UNTIL = "2024-02-05"
 _QUEUED = "SELECT CASE event_id % 3 WHEN 0 THEN 'CLAIMS' WHEN 1 THEN 'OFFERS' ELSE 'SAFETY' END AS queue, ts AS opened_at, CASE WHEN event_id % 40 <> 0 THEN ts + INTERVAL 1 DAY * (event_id % 9) END AS closed_at FROM events WHERE event_type IN ('error', 'view')"
 
 
-@query(f"""WITH q AS ({_QUEUED}), span AS (SELECT queue, CAST(min(opened_at) AS DATE) AS a FROM q GROUP BY queue), days AS (SELECT queue, CAST(unnest(generate_series(a, DATE '{_UNTIL}', INTERVAL 1 DAY)) AS DATE) AS day FROM span)
-SELECT d.queue, d.day, count(*) FILTER (CAST(opened_at AS DATE) = d.day) AS opened, count(*) FILTER (CAST(closed_at AS DATE) = d.day) AS closed, count(*) FILTER (closed_at IS NULL OR CAST(closed_at AS DATE) > d.day) AS depth,
-strftime(min(opened_at) FILTER (closed_at IS NULL OR CAST(closed_at AS DATE) > d.day), '%Y-%m-%d %H:%M:%S.%f') AS oldest, CAST(date_diff('day', min(CAST(opened_at AS DATE)) FILTER (closed_at IS NULL OR CAST(closed_at AS DATE) > d.day), d.day) AS INT) AS age_days FROM days d JOIN q ON q.queue = d.queue AND CAST(opened_at AS DATE) <= d.day GROUP BY d.queue, d.day""")
+@query(f"""WITH q AS ({_QUEUED}), span AS (SELECT queue, CAST(min(opened_at) AS DATE) AS a FROM q GROUP BY queue), days AS (SELECT queue, CAST(unnest(generate_series(a,
+DATE '{_UNTIL}', INTERVAL 1 DAY)) AS DATE) AS day FROM span)
+SELECT d.queue, d.day, count(*) FILTER (CAST(opened_at AS DATE) = d.day) AS opened, count(*) FILTER (CAST(closed_at AS DATE) = d.day) AS closed, count(*) FILTER
+(closed_at IS NULL OR CAST(closed_at AS DATE) > d.day) AS depth,
+strftime(min(opened_at) FILTER (closed_at IS NULL OR CAST(closed_at AS DATE) > d.day), '%Y-%m-%d %H:%M:%S.%f') AS oldest, CAST(date_diff('day', min(CAST(opened_at AS
+DATE)) FILTER (closed_at IS NULL OR CAST(closed_at AS DATE) > d.day), d.day) AS INT) AS age_days FROM days d JOIN q ON q.queue = d.queue AND CAST(opened_at AS DATE) <=
+d.day GROUP BY d.queue, d.day""")
 def review_queue(s: SparkSession, d: str) -> DataFrame:
     """Depth of three queues by day, and how long the oldest open item has waited."""
     i = F.col("event_id")
     items = M.load(s, d, "events").where("event_type IN ('error', 'view')").select(
-        F.when(i % 3 == 0, "CLAIMS").when(i % 3 == 1, "OFFERS").otherwise("SAFETY").alias("queue"), F.col("ts").alias("opened_at"), F.when(i % 40 != 0, F.col("ts") + F.make_dt_interval((i % 9).cast("int"))).alias("closed_at")
+        F.when(i % 3 == 0, "CLAIMS").when(i % 3 == 1, "OFFERS").otherwise("SAFETY").alias("queue"), F.col("ts").alias("opened_at"),
+            F.when(i % 40 != 0, F.col("ts") + F.make_dt_interval((i % 9).cast("int"))).alias("closed_at")
     )
     out = operations.review_queue(items, F.lit(_UNTIL).cast("date"))
     return out.select("queue", "day", "opened", "closed", "depth", F.date_format("oldest", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("oldest"), F.datediff("day", F.to_date("oldest")).alias("age_days"))
@@ -38,10 +43,12 @@ def review_queue(s: SparkSession, d: str) -> DataFrame:
 
 def _results(s: SparkSession, d: str) -> DataFrame:
     n = F.count("*")
-    return M.load(s, d, "events").groupBy(F.col("event_type").alias("rule_id"), F.date_trunc("day", "ts").alias("at")).agg(F.when(n % 3 == 0, "FAIL").when(n % 3 == 1, "WARN").otherwise("PASS").alias("status"))
+    return M.load(s, d, "events").groupBy(F.col("event_type").alias("rule_id"),
+        F.date_trunc("day", "ts").alias("at")).agg(F.when(n % 3 == 0, "FAIL").when(n % 3 == 1, "WARN").otherwise("PASS").alias("status"))
 
 
-@query("""WITH r AS (SELECT event_type AS rule_id, date_trunc('day', ts) AS at_, CASE count(*) % 3 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS status FROM events GROUP BY ALL), b AS (SELECT *, lag(status) OVER (PARTITION BY rule_id ORDER BY at_) AS before FROM r)
+@query("""WITH r AS (SELECT event_type AS rule_id, date_trunc('day', ts) AS at_, CASE count(*) % 3 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'WARN' ELSE 'PASS' END AS status FROM
+events GROUP BY ALL), b AS (SELECT *, lag(status) OVER (PARTITION BY rule_id ORDER BY at_) AS before FROM r)
 SELECT rule_id, strftime(at_, '%Y-%m-%d') AS day, before FROM b WHERE status = 'FAIL' AND (before IS NULL OR before <> 'FAIL')""")
 def dq_alerts(s: SparkSession, d: str) -> DataFrame:
     """Alerts of rules whose results come in three batches, the second of them twice, and the first again at the end."""
@@ -63,25 +70,30 @@ def watermark_incremental(s: SparkSession, d: str) -> DataFrame:
     return store.appended("events").select("event_id", "user_id")
 
 
-@query(f"WITH {G.STAGED} SELECT channel AS batch, count(*) AS n_rows, count(*) FILTER (dq_status = 'FAIL') AS quarantined, round(count(*) FILTER (dq_status = 'FAIL') * 1.0::DOUBLE / count(*), 6) AS share, count(*) FILTER (dq_status = 'FAIL') > 0.005::DOUBLE * count(*) AS too_many FROM staged GROUP BY channel")
+@query(f"WITH {G.STAGED} SELECT channel AS batch, count(*) AS n_rows, count(*) FILTER (dq_status = 'FAIL') AS quarantined, round(count(*) FILTER (dq_status = 'FAIL') * "
+    f"1.0::DOUBLE / count(*), 6) AS share, count(*) FILTER (dq_status = 'FAIL') > 0.005::DOUBLE * count(*) AS too_many FROM staged GROUP BY channel")
 def quarantine_share(s: SparkSession, d: str) -> DataFrame:
     return operations.quarantine_share(G._staged(s, d).withColumnRenamed("channel", "batch"), "batch")
 
 
 @query("""WITH r AS (SELECT event_type AS step, CAST(ts AS DATE) AS day, CAST(floor(sum(CAST(value AS DECIMAL(18,4)))) AS DOUBLE) AS seconds FROM events GROUP BY ALL),
-m AS (SELECT *, round(avg(seconds) OVER (PARTITION BY step ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 6) AS mean_before, seconds > 2 * avg(seconds) OVER (PARTITION BY step ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS slow FROM r) SELECT step, day, seconds, mean_before, coalesce(slow, false) AS slow FROM m""")
+m AS (SELECT *, round(avg(seconds) OVER (PARTITION BY step ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 6) AS mean_before, seconds > 2 * avg(seconds) OVER
+(PARTITION BY step ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS slow FROM r) SELECT step, day, seconds, mean_before, coalesce(slow, false) AS slow FROM m""")
 def slow_runs(s: SparkSession, d: str) -> DataFrame:
     """Runs that took more than twice the mean of the seven before."""
     runs = M.load(s, d, "events").groupBy(F.col("event_type").alias("step"), F.to_date("ts").alias("day")).agg(F.floor(F.sum(F.col("value").cast("decimal(18,4)"))).cast("double").alias("seconds"))
     return operations.slow_runs(runs)
 
 
-@query("SELECT CAST(ts AS DATE) AS day, count(*) AS calls, count(DISTINCT user_id) AS clients, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS cost, round(count(*) FILTER (event_type = 'error') * 1.0::DOUBLE / count(*), 6) AS block_rate, "
-       "CAST((2 * sum(CASE WHEN event_id % 5 <> 0 THEN event_id % 100 * 100 END) + count(CASE WHEN event_id % 5 <> 0 THEN 1 END)) // (2 * count(CASE WHEN event_id % 5 <> 0 THEN 1 END)) AS DOUBLE) / 10000 AS groundedness FROM events GROUP BY 1")
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS calls, count(DISTINCT user_id) AS clients, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS cost, round(count(*) "
+    "FILTER (event_type = 'error') * 1.0::DOUBLE / count(*), 6) AS block_rate, "
+       "CAST((2 * sum(CASE WHEN event_id % 5 <> 0 THEN event_id % 100 * 100 END) + count(CASE WHEN event_id % 5 <> 0 THEN 1 END)) // (2 * count(CASE WHEN event_id % 5 <> "
+           "0 THEN 1 END)) AS DOUBLE) / 10000 AS groundedness FROM events GROUP BY 1")
 def ai_calls(s: SparkSession, d: str) -> DataFrame:
     """Calls of models by day, with the mean groundedness of what they wrote."""
     i = F.col("event_id")
-    audit = M.load(s, d, "events").select(F.col("ts").alias("at"), F.col("user_id").alias("client"), F.col("value").alias("cost"), (F.col("event_type") == "error").alias("blocked"), F.when(i % 5 != 0, (i % 100).cast("decimal(10,4)") / 100).alias("groundedness"))
+    audit = M.load(s, d, "events").select(F.col("ts").alias("at"), F.col("user_id").alias("client"), F.col("value").alias("cost"),
+        (F.col("event_type") == "error").alias("blocked"), F.when(i % 5 != 0, (i % 100).cast("decimal(10,4)") / 100).alias("groundedness"))
     return operations.calls(audit)
 
 
@@ -93,13 +105,16 @@ def action_distribution(s: SparkSession, d: str) -> DataFrame:
     return operations.actions(serving.next_best_action(A.customer_360(_combined(s, d), "days_since_last_order"), premium="BUILDING"))
 
 
-_EDGES = """e AS (SELECT DISTINCT 'customer.' || c_nationkey AS source, 'stage.' || c_mktsegment AS target FROM customer UNION SELECT DISTINCT 'stage.' || c_mktsegment, 'core.' || o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey
-  UNION SELECT DISTINCT 'core.' || o_orderpriority, 'mart.' || l_returnflag || l_linestatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION SELECT DISTINCT 'mart.' || l_returnflag || l_linestatus, 'core.' || o_orderpriority FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1
+_EDGES = """e AS (SELECT DISTINCT 'customer.' || c_nationkey AS source, 'stage.' || c_mktsegment AS target FROM customer UNION SELECT DISTINCT 'stage.' || c_mktsegment,
+'core.' || o_orderpriority FROM orders JOIN customer ON c_custkey = o_custkey
+  UNION SELECT DISTINCT 'core.' || o_orderpriority, 'mart.' || l_returnflag || l_linestatus FROM orders JOIN lineitem ON l_orderkey = o_orderkey UNION SELECT DISTINCT
+'mart.' || l_returnflag || l_linestatus, 'core.' || o_orderpriority FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1
   UNION SELECT DISTINCT 'mart.' || l_returnflag || l_linestatus, 'report.' || CAST(l_quantity AS INT) FROM lineitem WHERE l_quantity < 5)"""
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, seeds AS (SELECT DISTINCT source AS node FROM e WHERE source LIKE 'customer.%'),
-walk AS (SELECT node AS origin, node, 0 AS hops, [node] AS path FROM seeds UNION ALL SELECT w.origin, e.target, w.hops + 1, list_append(w.path, e.target) FROM walk w JOIN e ON e.source = w.node WHERE NOT list_contains(w.path, e.target) AND w.hops < 5)
+walk AS (SELECT node AS origin, node, 0 AS hops, [node] AS path FROM seeds UNION ALL SELECT w.origin, e.target, w.hops + 1, list_append(w.path, e.target) FROM walk w
+JOIN e ON e.source = w.node WHERE NOT list_contains(w.path, e.target) AND w.hops < 5)
 SELECT origin, node, CAST(min(hops) AS INT) AS hops, array_to_string(arg_min(path, (hops, path)), ' > ') AS path FROM walk WHERE hops > 0 GROUP BY origin, node""")
 def lineage_pii_path(s: SparkSession, d: str) -> DataFrame:
     """By which path what is personal (the customers of each nation) comes to which report; flows are observed in the tables, and some go in circles."""
@@ -118,7 +133,8 @@ def lineage_pii_path(s: SparkSession, d: str) -> DataFrame:
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "https://example.com/customers")
 
 
-@query("SELECT c_custkey, left(h, 8) || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || h[21:32] AS id FROM (SELECT c_custkey, " f"sha1(unhex('{SPACE.hex}') || encode('customer/' || c_custkey)) AS h FROM customer)")
+@query("SELECT c_custkey, left(h, 8) || '-' || h[9:12] || '-5' || h[14:16] || '-' || translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab') || h[18:20] || '-' || "
+    "h[21:32] AS id FROM (SELECT c_custkey, " f"sha1(unhex('{SPACE.hex}') || encode('customer/' || c_custkey)) AS h FROM customer)")
 def stable_ids(s: SparkSession, d: str) -> DataFrame:
     """Ids that a retry makes again."""
     return M.load(s, d, "customer").select("c_custkey", O.named_uuid(SPACE, F.concat(F.lit("customer/"), F.col("c_custkey").cast("string"))).alias("id"))
@@ -127,8 +143,10 @@ def stable_ids(s: SparkSession, d: str) -> DataFrame:
 _CODES = ["RESOLVE_OPEN_CASE", "RETENTION_OFFER_15_PCT", "PROACTIVE_SERVICE_CALL", "DOUBLE_POINTS_MONTH", "NO_ACTION"]
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CASE WHEN event_type IN ('click', 'purchase') THEN 'NO_ACTION' ELSE 'PROACTIVE_SERVICE_CALL' END END AS choice, CASE WHEN event_id % 7 <> 0 AND event_type IN ('click', 'purchase') THEN 'BUY_' || event_type END AS suppressed,
-CASE WHEN event_id % 7 <> 0 THEN '{"action": "' || CASE WHEN event_type IN ('click', 'purchase') THEN 'BUY_' || event_type ELSE 'PROACTIVE_SERVICE_CALL' END || '", "why": {"text": "a } b \\" {", "props": ' || props || '}}' END AS object FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CASE WHEN event_type IN ('click', 'purchase') THEN 'NO_ACTION' ELSE 'PROACTIVE_SERVICE_CALL' END END AS
+choice, CASE WHEN event_id % 7 <> 0 AND event_type IN ('click', 'purchase') THEN 'BUY_' || event_type END AS suppressed,
+CASE WHEN event_id % 7 <> 0 THEN '{"action": "' || CASE WHEN event_type IN ('click', 'purchase') THEN 'BUY_' || event_type ELSE 'PROACTIVE_SERVICE_CALL' END || '",
+"why": {"text": "a } b \\" {", "props": ' || props || '}}' END AS object FROM events""")
 def extracted_action(s: SparkSession, d: str) -> DataFrame:
     """The action that an answer in prose recommends, if it is on the list; every seventh answer breaks off."""
     i = F.col("event_id")
@@ -138,38 +156,52 @@ def extracted_action(s: SparkSession, d: str) -> DataFrame:
     return M.load(s, d, "events").select("event_id", O.closed_choice(answer, "action", _CODES, "NO_ACTION").alias("o")).select("event_id", "o.choice", "o.suppressed", "o.object")
 
 
-@query("SELECT o_orderkey, '{\"status\":\"' || CASE WHEN o_orderkey % 2 = 0 THEN 'late' ELSE o_orderstatus END || '\",\"priority\":\"' || o_orderpriority || '\"}' AS object, array_to_string(string_split(o_orderpriority || ' x y', ' ')[-2:], '|') AS last_two, array_to_string(string_split(o_orderpriority || ' x y', ' ')[2:-2], '|') AS inner_ones FROM orders")
+@query("SELECT o_orderkey, '{\"status\":\"' || CASE WHEN o_orderkey % 2 = 0 THEN 'late' ELSE o_orderstatus END || '\",\"priority\":\"' || o_orderpriority || '\"}' AS "
+    "object, array_to_string(string_split(o_orderpriority || ' x y', ' ')[-2:], '|') AS last_two, array_to_string(string_split(o_orderpriority || ' x y', ' ')[2:-2], "
+    "'|') AS inner_ones FROM orders")
 def objects_and_parts(s: SparkSession, d: str) -> DataFrame:
     """Pairs as an object, the last of a repeated key stays; parts of arrays from the end."""
     pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.alias("value"))
     k = F.col("o_orderkey")
     pairs = F.array(pair("status", F.col("o_orderstatus")), pair("priority", F.col("o_orderpriority")), pair("status", F.when(k % 2 == 0, "late").otherwise(F.col("o_orderstatus"))))
     words = F.split(F.concat("o_orderpriority", F.lit(" x y")), " ")
-    return M.load(s, d, "orders").select("o_orderkey", F.to_json(O.object_of(pairs)).alias("object"), F.array_join(O.part(words, -2), "|").alias("last_two"), F.array_join(O.part(words, 1, -1), "|").alias("inner_ones"))
+    return M.load(s, d, "orders").select("o_orderkey", F.to_json(O.object_of(pairs)).alias("object"), F.array_join(O.part(words, -2), "|").alias("last_two"),
+        F.array_join(O.part(words, 1, -1), "|").alias("inner_ones"))
 
 
 _SAID = {
-    "PURCHASE_RECENCY": "CASE WHEN days_since_last_order IS NULL THEN 'they have no recent purchase activity' ELSE 'they have not ordered for ' || days_since_last_order || ' days' END", "DECLINING_ORDER_TREND": "'their recent order rate has fallen (trend ratio ' || CAST(order_trend_ratio AS DECIMAL(18,4)) || ')'",
-    "SUPPORT_CASE_VOLUME": "'they have raised ' || coalesce(CAST(cases_last_90d AS VARCHAR), 'n/a') || ' support cases in the last 90 days'", "LOW_SATISFACTION": "'their average satisfaction score is ' || coalesce(CAST(CAST(ssum.avg_csat AS DECIMAL(10,2)) AS VARCHAR), 'n/a')",
-    "LOW_ENGAGEMENT": "'their engagement score is ' || CAST(esum.engagement_score AS DECIMAL(10,4)) || ' out of 100'", "LOYALTY_INACTIVITY": "'their loyalty account has been inactive'", "NEGATIVE_SIGNALS": "'they generated ' || esum.negative_signals_90d || ' negative engagement signals in the last 90 days'",
+    "PURCHASE_RECENCY": "CASE WHEN days_since_last_order IS NULL THEN 'they have no recent purchase activity' ELSE 'they have not ordered for ' || "
+        "days_since_last_order || ' days' END", "DECLINING_ORDER_TREND": "'their recent order rate has fallen (trend ratio ' || CAST(order_trend_ratio AS "
+        "DECIMAL(18,4)) || ')'",
+    "SUPPORT_CASE_VOLUME": "'they have raised ' || coalesce(CAST(cases_last_90d AS VARCHAR), 'n/a') || ' support cases in the last 90 days'",
+        "LOW_SATISFACTION": "'their average satisfaction score is ' || coalesce(CAST(CAST(ssum.avg_csat AS DECIMAL(10,2)) AS VARCHAR), 'n/a')",
+    "LOW_ENGAGEMENT": "'their engagement score is ' || CAST(esum.engagement_score AS DECIMAL(10,4)) || ' out of 100'",
+        "LOYALTY_INACTIVITY": "'their loyalty account has been inactive'",
+        "NEGATIVE_SIGNALS": "'they generated ' || esum.negative_signals_90d || ' negative engagement signals in the last 90 days'",
 }
 
 
-@query(f"{ALL}, said AS (SELECT customer, rank, CASE driver {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _SAID.items())} END AS reason FROM ranked JOIN feat USING (customer) LEFT JOIN osum USING (customer) LEFT JOIN ssum USING (customer) LEFT JOIN esum USING (customer) WHERE rank <= 3) "
-       "SELECT customer, 'Churn risk is ' || any_value(band) || ' with a probability of ' || CAST(any_value(probability) AS DECIMAL(6,4)) || '. The main reasons are that ' || string_agg(reason, '; ' ORDER BY rank) || '.' AS explanation FROM said JOIN score USING (customer) GROUP BY customer")
+@query(f"{ALL}, said AS (SELECT customer, rank, CASE driver {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _SAID.items())} END AS reason FROM ranked JOIN feat USING "
+    f"(customer) LEFT JOIN osum USING (customer) LEFT JOIN ssum USING (customer) LEFT JOIN esum USING (customer) WHERE rank <= 3) "
+       "SELECT customer, 'Churn risk is ' || any_value(band) || ' with a probability of ' || CAST(any_value(probability) AS DECIMAL(6,4)) || '. The main reasons are that "
+           "' || string_agg(reason, '; ' ORDER BY rank) || '.' AS explanation FROM said JOIN score USING (customer) GROUP BY customer")
 def churn_explanation(s: SparkSession, d: str) -> DataFrame:
     """Why each customer may leave, in words."""
     rows = _combined(s, d)
     pairs = F.array_sort(F.array(*(F.struct((-F.col(f"parts.{n}")).alias("minus"), F.lit(n).alias("driver")) for n in A.DRIVERS)))
     exact = lambda c, kind: F.col(c).cast(kind)
     said = rows.select(
-        "customer", "churn.band", exact("churn.probability", "decimal(6,4)").alias("probability"), F.transform(F.slice(pairs, 1, 3), lambda p: p["driver"]).alias("drivers"), "days_since_last_order", "cases_last_90d", "negative_signals_90d",
-        exact("features.order_trend_ratio", "decimal(18,4)").alias("order_trend_ratio"), exact("avg_csat", "decimal(10,2)").alias("avg_csat"), exact("engagement_score", "decimal(10,4)").alias("engagement_score"),
+        "customer", "churn.band", exact("churn.probability", "decimal(6,4)").alias("probability"),
+            F.transform(F.slice(pairs, 1, 3), lambda p: p["driver"]).alias("drivers"), "days_since_last_order", "cases_last_90d", "negative_signals_90d",
+        exact("features.order_trend_ratio", "decimal(18,4)").alias("order_trend_ratio"), exact("avg_csat", "decimal(10,2)").alias("avg_csat"),
+            exact("engagement_score", "decimal(10,4)").alias("engagement_score"),
     )
     return insight.churn_explanation(said)
 
 
-@query("SELECT c_custkey, '- segment: ' || c_mktsegment || chr(10) || '- balance: ' || CASE WHEN c_acctbal > 0 THEN CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) ELSE 'NOT AVAILABLE' END || chr(10) || '- note: NOT AVAILABLE' || chr(10) || CASE WHEN c_custkey % 3 = 0 THEN '- drivers: NOT AVAILABLE' ELSE '- drivers:' || chr(10) || '    * nation ' || c_nationkey || chr(10) || '    * two' END AS facts FROM customer")
+@query("SELECT c_custkey, '- segment: ' || c_mktsegment || chr(10) || '- balance: ' || CASE WHEN c_acctbal > 0 THEN CAST(CAST(c_acctbal AS DECIMAL(18,2)) AS VARCHAR) "
+    "ELSE 'NOT AVAILABLE' END || chr(10) || '- note: NOT AVAILABLE' || chr(10) || CASE WHEN c_custkey % 3 = 0 THEN '- drivers: NOT AVAILABLE' ELSE '- drivers:' || "
+    "chr(10) || '    * nation ' || c_nationkey || chr(10) || '    * two' END AS facts FROM customer")
 def rendered_facts(s: SparkSession, d: str) -> DataFrame:
     """Facts as a model gets them."""
     k = F.col("c_custkey")
@@ -195,17 +227,21 @@ def _kinds(table: str) -> str:
             content = f"CASE WHEN count({name}) = 0 THEN 'EMPTY' {looks} WHEN sum(length({name}) - length(replace({name}, ' ', ''))) >= {insight.WORDY} * count({name}) THEN 'FREE_TEXT' ELSE 'TEXT' END"
         else:
             content = f"'{kind}'"
-        parts.append(f"SELECT '{table}' AS table_name, '{name}' AS column_name, count(*) AS n_rows, round(1 - count({name}) * 1.0::DOUBLE / greatest(count(*), 1), 6) AS null_share, count(DISTINCT {name}) AS n_distinct, {content} AS content FROM {table}")
+        parts.append(f"SELECT '{table}' AS table_name, '{name}' AS column_name, count(*) AS n_rows, round(1 - count({name}) * 1.0::DOUBLE / greatest(count(*), 1), 6) AS "
+            f"null_share, count(DISTINCT {name}) AS n_distinct, {content} AS content FROM {table}")
     return " UNION ALL ".join(parts)
 
 
 _COLUMNS = {
     "region": {"r_regionkey": "NUMBER", "r_name": "text"}, "nation": {"n_nationkey": "NUMBER", "n_name": "text", "n_regionkey": "NUMBER"},
-    "customer": {"c_custkey": "NUMBER", "c_name": "text", "c_nationkey": "NUMBER", "c_acctbal": "NUMBER", "c_mktsegment": "text"}, "supplier": {"s_suppkey": "NUMBER", "s_name": "text", "s_nationkey": "NUMBER", "s_acctbal": "NUMBER"},
+    "customer": {"c_custkey": "NUMBER", "c_name": "text", "c_nationkey": "NUMBER", "c_acctbal": "NUMBER", "c_mktsegment": "text"},
+        "supplier": {"s_suppkey": "NUMBER", "s_name": "text", "s_nationkey": "NUMBER", "s_acctbal": "NUMBER"},
     "part": {"p_partkey": "NUMBER", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "NUMBER", "p_retailprice": "NUMBER"},
     "orders": {"o_orderkey": "NUMBER", "o_custkey": "NUMBER", "o_orderstatus": "text", "o_totalprice": "NUMBER", "o_orderdate": "TIME", "o_orderpriority": "text"},
-    "lineitem": {c: "NUMBER" for c in "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()} | {"l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "TIME"},
-    "events": {"event_id": "NUMBER", "ts": "TIME", "user_id": "NUMBER", "event_type": "text", "value": "NUMBER", "props": "text"}, "documents": {"doc_id": "NUMBER", "text": "text", "lang": "text", "source": "text", "n_chars": "NUMBER"},
+    "lineitem": {c: "NUMBER" for c in "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax".split()} | {"l_returnflag": "text",
+        "l_linestatus": "text", "l_shipdate": "TIME"},
+    "events": {"event_id": "NUMBER", "ts": "TIME", "user_id": "NUMBER", "event_type": "text", "value": "NUMBER", "props": "text"},
+        "documents": {"doc_id": "NUMBER", "text": "text", "lang": "text", "source": "text", "n_chars": "NUMBER"},
     "embeddings": {"vec_id": "NUMBER", "embedding": "VECTOR", "label": "NUMBER"}, "pages": {"page_id": "NUMBER", "url": "text", "html": "text"}, "benchmark": {"item_id": "NUMBER", "text": "text"},
     "labels": {"doc_id": "NUMBER", "quality": "NUMBER", "toxic": "NUMBER"}, "conversations": {"conv_id": "NUMBER", "turn": "NUMBER", "role": "text", "text": "text"},
 }
@@ -237,7 +273,9 @@ def data_dictionary(s: SparkSession, d: str) -> DataFrame:
     return insight.classified(_described(s, d)).select("table_name", "column_name", "n_rows", "content", "pii_class")
 
 
-@query(f"SELECT table_name, count(*) AS columns, count(w) AS described, round(100.0::DOUBLE * count(w) / count(*), 2) AS coverage_pct, CAST(sum(n_rows) AS BIGINT) AS n_values FROM ({_DESCRIBED}) LEFT JOIN (SELECT *, 1 AS w FROM (VALUES {', '.join(str(x) for x in _WORDS)}) v(table_name, column_name)) USING (table_name, column_name) GROUP BY table_name")
+@query(f"SELECT table_name, count(*) AS columns, count(w) AS described, round(100.0::DOUBLE * count(w) / count(*), 2) AS coverage_pct, CAST(sum(n_rows) AS BIGINT) AS "
+    f"n_values FROM ({_DESCRIBED}) LEFT JOIN (SELECT *, 1 AS w FROM (VALUES {', '.join(str(x) for x in _WORDS)}) v(table_name, column_name)) USING (table_name, "
+    f"column_name) GROUP BY table_name")
 def dictionary_coverage(s: SparkSession, d: str) -> DataFrame:
     """Share of each table's columns that the dictionary describes in words, with how many values they have."""
     columns = _described(s, d)

@@ -25,43 +25,63 @@ _S = "CAST({} AS STRING)".format
 RAW: dict[str, tuple[str, str, str, dict[str, str]]] = {
     "raw_customer": ("customer", "true", "c_custkey % 10 = 0", {
         "customer": f"CASE WHEN c_custkey % 97 <> 0 THEN ' ' || {_S('c_custkey')} END", "first_name": f"' Ann' || {_S('c_custkey % 50')}", "last_name": "c_name || ' '",
-        "email": f"CASE WHEN c_custkey % 31 = 0 THEN NULL WHEN c_custkey % 37 = 0 THEN 'bad#address' WHEN c_custkey % 53 = 0 THEN 'CUSTOMER' || {_S('c_custkey - 1')} || '@EXAMPLE.COM ' ELSE 'customer' || {_S('c_custkey')} || '@example.com' END",
+        "email": f"CASE WHEN c_custkey % 31 = 0 THEN NULL WHEN c_custkey % 37 = 0 THEN 'bad#address' WHEN c_custkey % 53 = 0 THEN "
+            f"'CUSTOMER' || {_S('c_custkey - 1')} || '@EXAMPLE.COM ' ELSE 'customer' || {_S('c_custkey')} || '@example.com' END",
         "phone": f"CASE WHEN c_custkey % 43 <> 0 THEN '+1 (402) ' || {_S('c_custkey')} END",
-        "birth_date": f"CASE WHEN c_custkey % 211 = 0 THEN '1899-12-31' WHEN c_custkey % 17 = 0 THEN 'unknown' WHEN c_custkey % 19 <> 0 THEN {_S("DATE '1950-01-01' + CAST(c_custkey % 15000 AS INT)")} END",
-        "segment": "lower(c_mktsegment)", "opt_in": "CASE c_custkey % 4 WHEN 0 THEN 'Y' WHEN 1 THEN 'no' WHEN 2 THEN 'maybe' END", "channel": "CASE c_custkey % 3 WHEN 0 THEN 'web' WHEN 1 THEN ' STORE ' END",
+        "birth_date": f"CASE WHEN c_custkey % 211 = 0 THEN '1899-12-31' WHEN c_custkey % 17 = 0 THEN 'unknown' WHEN c_custkey % 19 "
+            f"<> 0 THEN {_S("DATE '1950-01-01' + CAST(c_custkey % 15000 AS INT)")} END",
+        "segment": "lower(c_mktsegment)", "opt_in": "CASE c_custkey % 4 WHEN 0 THEN 'Y' WHEN 1 THEN 'no' WHEN 2 THEN 'maybe' END",
+            "channel": "CASE c_custkey % 3 WHEN 0 THEN 'web' WHEN 1 THEN ' STORE ' END",
         "status": "CASE WHEN c_custkey % 61 = 0 THEN 'lost' WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN 'inactive ' ELSE 'Active' END",
-        "created_at": _S("DATE '1994-01-01' + CAST(c_custkey % 900 AS INT)"), "updated_at": f"CASE WHEN c_custkey % 29 = 0 THEN 'never' ELSE {_S("DATE '1996-01-01' + CAST(c_custkey % 300 AS INT) + copy")} END",
+        "created_at": _S("DATE '1994-01-01' + CAST(c_custkey % 900 AS INT)"),
+            "updated_at": f"CASE WHEN c_custkey % 29 = 0 THEN 'never' ELSE {_S("DATE '1996-01-01' + CAST(c_custkey % 300 AS INT) + copy")} END",
     }),
     "raw_item": ("lineitem", "true", "l_suppkey % 20 = 0", {
-        "item_id": f"CASE WHEN l_partkey % 701 <> 0 THEN {_S('l_orderkey')} || '-' || {_S('l_linenumber')} END", "order_id": _S("l_orderkey"), "product": f"' ' || {_S('l_partkey')}", "sku": f"'sku-' || {_S('l_partkey')}",
+        "item_id": f"CASE WHEN l_partkey % 701 <> 0 THEN {_S('l_orderkey')} || '-' || {_S('l_linenumber')} END", "order_id": _S("l_orderkey"),
+            "product": f"' ' || {_S('l_partkey')}", "sku": f"'sku-' || {_S('l_partkey')}",
         "quantity": f"CASE WHEN l_partkey % 150 = 0 THEN '0' WHEN l_partkey % 151 = 0 THEN 'many' ELSE {_S('CAST(l_quantity AS INT)')} END", "unit_price": _S("CAST(l_extendedprice AS DECIMAL(18,2))"),
-        "line_amount": _S("CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_quantity AS INT) + CASE WHEN l_suppkey % 40 = 0 THEN 1 ELSE 0 END"), "currency": "CASE WHEN l_linenumber % 2 = 0 THEN 'eur' END",
+        "line_amount": _S("CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_quantity AS INT) + CASE WHEN l_suppkey % 40 = 0 THEN 1 ELSE 0 END"),
+            "currency": "CASE WHEN l_linenumber % 2 = 0 THEN 'eur' END",
     }),
     "raw_product": ("part", "true", "p_partkey % 25 = 0", {
         "product": _S("p_partkey"), "sku": f"'sku-' || {_S('p_partkey')} || CASE WHEN copy = 1 THEN 'z' ELSE '' END", "name": "' ' || p_name", "category": "p_type", "brand": "p_brand || ' '",
-        "unit_price": f"CASE WHEN p_partkey % 89 = 0 THEN 'tbd' ELSE {_S('CAST(p_retailprice AS DECIMAL(18,2))')} END", "is_active": "CASE p_partkey % 5 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'no' WHEN 2 THEN 'y' WHEN 3 THEN 'perhaps' END",
+        "unit_price": f"CASE WHEN p_partkey % 89 = 0 THEN 'tbd' ELSE {_S('CAST(p_retailprice AS DECIMAL(18,2))')} END",
+            "is_active": "CASE p_partkey % 5 WHEN 0 THEN 'TRUE' WHEN 1 THEN 'no' WHEN 2 THEN 'y' WHEN 3 THEN 'perhaps' END",
     }),
     "raw_case": ("events", "event_type = 'error'", "event_id % 12 = 0", {
         "case_id": _S("event_id"), "customer": f"{_S('user_id')} || ' '", "case_type": "CASE event_id % 4 WHEN 0 THEN 'billing' WHEN 1 THEN 'Delivery' WHEN 2 THEN 'PRODUCT' ELSE 'return' END",
-        "priority": "CASE event_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' END", "status": "CASE WHEN event_id % 3 = 0 THEN 'open' ELSE 'closed' END", "opened_at": _S("date_trunc('second', ts)"),
-        "resolved_at": f"CASE WHEN event_id % 90 = 0 THEN {_S("date_trunc('second', ts) - INTERVAL '1' HOUR")} WHEN event_id % 3 = 1 THEN {_S("date_trunc('second', ts) + INTERVAL '5' HOUR")} WHEN event_id % 7 = 0 THEN {_S("date_trunc('second', ts) + INTERVAL '100' HOUR")} END",
+        "priority": "CASE event_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'HIGH' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' END",
+            "status": "CASE WHEN event_id % 3 = 0 THEN 'open' ELSE 'closed' END", "opened_at": _S("date_trunc('second', ts)"),
+        "resolved_at": f"CASE WHEN event_id % 90 = 0 THEN {_S("date_trunc('second', ts) - INTERVAL '1' HOUR")} WHEN event_id % 3 "
+            f"= 1 THEN {_S("date_trunc('second', ts) + INTERVAL '5' HOUR")} WHEN event_id % 7 = 0 THEN {_S("date_trunc('second', ts) + INTERVAL '100' HOUR")} END",
         "csat": f"CASE WHEN event_id % 11 <> 0 THEN {_S('event_id % 7')} END", "reopens": f"CASE WHEN event_id % 2 = 0 THEN {_S('event_id % 3')} END",
     }),
     "raw_interaction": ("events", "event_type <> 'error'", "event_id % 8 = 0", {
-        "interaction_id": _S("event_id"), "customer": _S("user_id"), "interaction_type": "CASE event_id % 6 WHEN 0 THEN 'cart_abandoned' WHEN 1 THEN ' Newsletter_Unsubscribe' ELSE event_type END", "channel": "CASE WHEN event_id % 2 = 0 THEN 'web ' ELSE event_type END",
+        "interaction_id": _S("event_id"), "customer": _S("user_id"),
+            "interaction_type": "CASE event_id % 6 WHEN 0 THEN 'cart_abandoned' WHEN 1 THEN ' Newsletter_Unsubscribe' ELSE event_type END",
+            "channel": "CASE WHEN event_id % 2 = 0 THEN 'web ' ELSE event_type END",
         "ts": f"CASE WHEN event_id % 101 = 0 THEN 'soon' ELSE {_S("date_trunc('second', ts)")} END", "campaign": f"CASE WHEN event_id % 3 = 0 THEN 'camp' || {_S('event_id % 9')} END",
     }),
     "raw_loyalty": ("customer", "c_acctbal > 0", "c_custkey % 15 = 0", {
-        "account_id": f"'L' || {_S('c_custkey')}", "customer": _S("c_custkey"), "tier": "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'platinum' WHEN 'BUILDING' THEN 'Gold' WHEN 'FURNITURE' THEN 'SILVER' WHEN 'HOUSEHOLD' THEN 'bronze ' ELSE 'wood' END",
-        "balance": f"CASE WHEN c_custkey % 33 <> 0 THEN {_S('c_custkey * 10')} END", "earned": _S("c_custkey % 100 * 10"), "redeemed": f"CASE WHEN c_custkey % 45 = 0 THEN {_S('c_custkey % 100 * 10 + 5')} ELSE '0' END",
-        "enrolled_at": _S("DATE '1995-01-01' + CAST(c_custkey % 700 AS INT)"), "last_activity_at": f"CASE WHEN c_custkey % 21 <> 0 THEN {_S("DATE '2001-01-01' + CAST(c_custkey % 200 AS INT) + copy")} END", "status": "CASE WHEN c_custkey % 6 = 0 THEN 'lapsed' ELSE 'active' END",
+        "account_id": f"'L' || {_S('c_custkey')}", "customer": _S("c_custkey"),
+            "tier": "CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'platinum' WHEN 'BUILDING' THEN 'Gold' WHEN 'FURNITURE' THEN 'SILVER' WHEN 'HOUSEHOLD' THEN "
+            "'bronze ' ELSE 'wood' END",
+        "balance": f"CASE WHEN c_custkey % 33 <> 0 THEN {_S('c_custkey * 10')} END", "earned": _S("c_custkey % 100 * 10"),
+            "redeemed": f"CASE WHEN c_custkey % 45 = 0 THEN {_S('c_custkey % 100 * 10 + 5')} ELSE '0' END",
+        "enrolled_at": _S("DATE '1995-01-01' + CAST(c_custkey % 700 AS INT)"),
+            "last_activity_at": f"CASE WHEN c_custkey % 21 <> 0 THEN {_S("DATE '2001-01-01' + CAST(c_custkey % 200 AS INT) + copy")} END",
+            "status": "CASE WHEN c_custkey % 6 = 0 THEN 'lapsed' ELSE 'active' END",
     }),
     "raw_address": ("customer", "c_custkey % 5 <> 0", "true", {
-        "address_id": f"{_S('c_custkey')} || '-' || {_S('copy')}", "customer": _S("c_custkey"), "address_type": "CASE WHEN copy = 0 THEN 'home' ELSE 'work' END", "city": f"'City' || {_S('c_custkey % 100')} || {_S('copy')}", "state": f"'s' || {_S('c_custkey % 7')}",
-        "postal_code": f"CASE WHEN c_custkey % 13 = 0 THEN ' ' WHEN c_custkey % 14 <> 0 THEN {_S('10000 + c_custkey % 9000')} END", "country": "CASE WHEN c_custkey % 3 = 0 THEN 'ca' END", "is_primary": "CASE WHEN copy = 1 AND c_custkey % 2 = 0 THEN 'yes' ELSE 'maybe' END", "valid_from": _S("DATE '1995-01-01' + CAST(c_custkey % 900 AS INT)"),
+        "address_id": f"{_S('c_custkey')} || '-' || {_S('copy')}", "customer": _S("c_custkey"), "address_type": "CASE WHEN copy = 0 THEN 'home' ELSE 'work' END",
+            "city": f"'City' || {_S('c_custkey % 100')} || {_S('copy')}", "state": f"'s' || {_S('c_custkey % 7')}",
+        "postal_code": f"CASE WHEN c_custkey % 13 = 0 THEN ' ' WHEN c_custkey % 14 <> 0 THEN {_S('10000 + c_custkey % 9000')} END",
+            "country": "CASE WHEN c_custkey % 3 = 0 THEN 'ca' END", "is_primary": "CASE WHEN copy = 1 AND c_custkey % 2 = 0 THEN 'yes' ELSE 'maybe' END",
+            "valid_from": _S("DATE '1995-01-01' + CAST(c_custkey % 900 AS INT)"),
     }),
     "raw_contact": ("customer", "c_custkey % 4 <> 0", "true", {
-        "contact_id": f"CASE WHEN c_custkey % 66 <> 0 THEN {_S('c_custkey')} || '-' || {_S('copy')} END", "customer": _S("c_custkey"), "contact_type": "CASE WHEN copy = 0 THEN 'email' ELSE 'Phone' END", "contact_value": f"' value' || {_S('c_custkey')}",
+        "contact_id": f"CASE WHEN c_custkey % 66 <> 0 THEN {_S('c_custkey')} || '-' || {_S('copy')} END", "customer": _S("c_custkey"),
+            "contact_type": "CASE WHEN copy = 0 THEN 'email' ELSE 'Phone' END", "contact_value": f"' value' || {_S('c_custkey')}",
         "is_verified": "CASE c_custkey % 3 WHEN 0 THEN 'TRUE' WHEN 1 THEN '0' END", "is_primary": "CASE WHEN copy = 0 THEN '1' ELSE 'n' END",
     }),
 }
@@ -102,20 +122,33 @@ _NAME = "lower(coalesce(first_name, '') || '|' || coalesce(last_name, '') || '|'
 _HASHED = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in staging.TRACKED)
 
 STAGING = ",\n".join([*map(_raw_sql, RAW), G.STAGED,
-    _stamped("customer", ", ".join([_K("customer"), _T("first_name"), _T("last_name"), "lower(trim(email)) AS email", "regexp_replace(coalesce(phone, ''), '[^0-9+]', '', 'g') AS phone", _AS("birth_date", "DATE"), _U("segment"), _bool("opt_in", "NULL"), _U("channel"), _U("status"), _AS("created_at", "TIMESTAMP"), _AS("updated_at", "TIMESTAMP")]), {},
-        {"DQ-C-002": f"NOT {_VALID}", "DQ-C-003": f"birth_date > {DAY} OR birth_date < DATE '1900-01-01'", "DQ-C-004": "status NOT IN ('ACTIVE','INACTIVE','CLOSED')"}, "customer", "updated_at DESC NULLS LAST, created_at DESC NULLS LAST, email",
-        f", trim(coalesce(first_name, '') || ' ' || coalesce(last_name, '')) AS full_name, {_VALID} AS email_is_valid, md5(CASE WHEN {_VALID} THEN email ELSE {_NAME} END) AS match_key, md5({_HASHED}) AS row_hash").replace("stg_customer AS", "stg_customer0 AS", 1),
+    _stamped("customer", ", ".join([_K("customer"), _T("first_name"), _T("last_name"), "lower(trim(email)) AS email",
+        "regexp_replace(coalesce(phone, ''), '[^0-9+]', '', 'g') AS phone", _AS("birth_date", "DATE"), _U("segment"), _bool("opt_in", "NULL"), _U("channel"),
+        _U("status"), _AS("created_at", "TIMESTAMP"), _AS("updated_at", "TIMESTAMP")]), {},
+        {"DQ-C-002": f"NOT {_VALID}", "DQ-C-003": f"birth_date > {DAY} OR birth_date < DATE '1900-01-01'", "DQ-C-004": "status NOT IN ('ACTIVE','INACTIVE','CLOSED')"},
+            "customer", "updated_at DESC NULLS LAST, created_at DESC NULLS LAST, email",
+        f", trim(coalesce(first_name, '') || ' ' || coalesce(last_name, '')) AS full_name, {_VALID} AS email_is_valid, "
+            f"md5(CASE WHEN {_VALID} THEN email ELSE {_NAME} END) AS match_key, md5({_HASHED}) AS row_hash").replace("stg_customer AS", "stg_customer0 AS", 1),
     "stg_customer AS (SELECT * FROM stg_customer0 QUALIFY row_number() OVER (PARTITION BY match_key ORDER BY created_at NULLS LAST, customer) = 1)",
-    _stamped("item", ", ".join([_K("item_id"), _T("order_id"), _T("product"), _T("sku"), _AS("quantity", "DECIMAL(12,0)"), _AS("unit_price", _MONEY), _AS("line_amount", _MONEY), _CURRENCY]), {"DQ-OI-001": "quantity IS NULL OR quantity <= 0"},
+    _stamped("item", ", ".join([_K("item_id"), _T("order_id"), _T("product"), _T("sku"), _AS("quantity", "DECIMAL(12,0)"), _AS("unit_price", _MONEY),
+        _AS("line_amount", _MONEY), _CURRENCY]), {"DQ-OI-001": "quantity IS NULL OR quantity <= 0"},
         {"DQ-OI-002": "abs(coalesce(line_amount, 0) - coalesce(quantity, 0) * coalesce(unit_price, 0)) > 0.01"}, "item_id", "order_id, line_amount DESC NULLS LAST, product"),
-    _stamped("product", ", ".join([_K("product"), _T("sku"), _T("name"), _T("category"), _T("brand"), _AS("unit_price", _MONEY), _bool("is_active")]), {"DQ-P-001": "unit_price IS NULL"}, {}, "product", "sku, name"),
-    _stamped("case", ", ".join([_K("case_id"), _T("customer"), _U("case_type"), _U("priority"), _U("status"), _AS("opened_at", "TIMESTAMP"), _AS("resolved_at", "TIMESTAMP"), _AS("csat", "INT"), "coalesce(try_cast(reopens AS INT), 0) AS reopens"]), {"DQ-S-002": "resolved_at < opened_at"},
-        {"DQ-S-003": "csat NOT BETWEEN 1 AND 5"}, "case_id", "opened_at DESC NULLS LAST, resolved_at DESC NULLS LAST", ", round(CAST(date_diff('second', opened_at, resolved_at) AS DOUBLE) / 3600, 2) AS resolution_hours"),
-    _stamped("interaction", ", ".join([_K("interaction_id"), _T("customer"), _U("interaction_type"), _U("channel"), _AS("ts", "TIMESTAMP"), _T("campaign")]), {}, {"DQ-I-001": "ts IS NULL"}, "interaction_id", "ts DESC NULLS LAST, interaction_type"),
-    _stamped("loyalty", ", ".join([_K("account_id"), _T("customer"), _U("tier"), *(_AS(c, "DECIMAL(18,0)") for c in ("balance", "earned", "redeemed")), _AS("enrolled_at", "DATE"), _AS("last_activity_at", "DATE"), _U("status")]), {},
+    _stamped("product", ", ".join([_K("product"), _T("sku"), _T("name"), _T("category"), _T("brand"), _AS("unit_price", _MONEY), _bool("is_active")]),
+        {"DQ-P-001": "unit_price IS NULL"}, {}, "product", "sku, name"),
+    _stamped("case", ", ".join([_K("case_id"), _T("customer"), _U("case_type"), _U("priority"), _U("status"), _AS("opened_at", "TIMESTAMP"),
+        _AS("resolved_at", "TIMESTAMP"), _AS("csat", "INT"), "coalesce(try_cast(reopens AS INT), 0) AS reopens"]), {"DQ-S-002": "resolved_at < opened_at"},
+        {"DQ-S-003": "csat NOT BETWEEN 1 AND 5"}, "case_id", "opened_at DESC NULLS LAST, resolved_at DESC NULLS LAST",
+            ", round(CAST(date_diff('second', opened_at, resolved_at) AS DOUBLE) / 3600, 2) AS resolution_hours"),
+    _stamped("interaction", ", ".join([_K("interaction_id"), _T("customer"), _U("interaction_type"), _U("channel"), _AS("ts", "TIMESTAMP"), _T("campaign")]), {},
+        {"DQ-I-001": "ts IS NULL"}, "interaction_id", "ts DESC NULLS LAST, interaction_type"),
+    _stamped("loyalty", ", ".join([_K("account_id"), _T("customer"), _U("tier"), *(_AS(c, "DECIMAL(18,0)") for c in ("balance", "earned", "redeemed")),
+        _AS("enrolled_at", "DATE"), _AS("last_activity_at", "DATE"), _U("status")]), {},
         {"DQ-L-001": "tier NOT IN ('BRONZE','SILVER','GOLD','PLATINUM')", "DQ-L-003": "coalesce(redeemed, 0) > coalesce(earned, 0)"}, "account_id", "last_activity_at DESC NULLS LAST, customer"),
-    _stamped("address", ", ".join([_K("address_id"), _T("customer"), _U("address_type"), _T("city"), _U("state"), _T("postal_code"), "upper(coalesce(country, 'US')) AS country", _bool("is_primary"), _AS("valid_from", "DATE")]), {}, {"DQ-A-001": "coalesce(postal_code, '') = ''"}, "address_id", "valid_from DESC NULLS LAST, city"),
-    _stamped("contact", ", ".join([_K("contact_id"), _T("customer"), _U("contact_type"), _T("contact_value"), _bool("is_verified"), _bool("is_primary")]), {}, {}, "contact_id", "contact_type, contact_value"),
+    _stamped("address", ", ".join([_K("address_id"), _T("customer"), _U("address_type"), _T("city"), _U("state"), _T("postal_code"),
+        "upper(coalesce(country, 'US')) AS country", _bool("is_primary"), _AS("valid_from", "DATE")]), {}, {"DQ-A-001": "coalesce(postal_code, '') = ''"}, "address_id",
+        "valid_from DESC NULLS LAST, city"),
+    _stamped("contact", ", ".join([_K("contact_id"), _T("customer"), _U("contact_type"), _T("contact_value"), _bool("is_verified"), _bool("is_primary")]), {}, {},
+        "contact_id", "contact_type, contact_value"),
 ])
 
 
@@ -125,25 +158,38 @@ def _loaded(name: str, key: str, more: str = "", where: str = "true") -> str:
 
 _SLA = "CASE priority WHEN 'CRITICAL' THEN 2 WHEN 'HIGH' THEN 8 WHEN 'MEDIUM' THEN 24 ELSE 72 END"
 CORE = ",\n".join([
-    f"core_customer AS (SELECT *, md5(customer || '|' || CAST(valid_from AS VARCHAR)) AS customer_sk FROM (SELECT * EXCLUDE (updated_at, created_at, dq_status), coalesce(updated_at, created_at, TIMESTAMP '{AT}') AS valid_from, TIMESTAMP '9999-12-31 00:00:00' AS valid_to, true AS is_current, 1 AS version, 'INSERT' AS change_type FROM stg_customer WHERE dq_status <> 'FAIL'))",
-    "core_order AS (SELECT md5(order_id) AS sk, s.* EXCLUDE (dq_status, dq_failed_rules), customer_sk, status IN ('COMPLETED','SHIPPED') AS is_revenue_recognised FROM staged s LEFT JOIN (SELECT customer, customer_sk, valid_from, valid_to FROM core_customer) c ON c.customer = s.customer AND CAST(order_date AS TIMESTAMP) >= valid_from AND CAST(order_date AS TIMESTAMP) < valid_to WHERE dq_status <> 'FAIL')",
-    _loaded("item", "item_id", where="order_id IN (SELECT order_id FROM core_order)"), _loaded("product", "product"), _loaded("case", "case_id", f", coalesce(resolution_hours, 999) > {_SLA} AS is_sla_breached"),
+    f"core_customer AS (SELECT *, md5(customer || '|' || CAST(valid_from AS VARCHAR)) AS customer_sk FROM (SELECT * EXCLUDE (updated_at, created_at, dq_status), "
+        f"coalesce(updated_at, created_at, TIMESTAMP '{AT}') AS valid_from, TIMESTAMP '9999-12-31 00:00:00' AS valid_to, true AS is_current, 1 AS version, 'INSERT' AS "
+        f"change_type FROM stg_customer WHERE dq_status <> 'FAIL'))",
+    "core_order AS (SELECT md5(order_id) AS sk, s.* EXCLUDE (dq_status, dq_failed_rules), customer_sk, status IN ('COMPLETED','SHIPPED') AS is_revenue_recognised FROM "
+        "staged s LEFT JOIN (SELECT customer, customer_sk, valid_from, valid_to FROM core_customer) c ON c.customer = s.customer AND CAST(order_date AS TIMESTAMP) >= "
+        "valid_from AND CAST(order_date AS TIMESTAMP) < valid_to WHERE dq_status <> 'FAIL')",
+    _loaded("item", "item_id", where="order_id IN (SELECT order_id FROM core_order)"), _loaded("product", "product"),
+        _loaded("case", "case_id", f", coalesce(resolution_hours, 999) > {_SLA} AS is_sla_breached"),
     _loaded("interaction", "interaction_id", ", interaction_type IN ('CART_ABANDONED','NEWSLETTER_UNSUBSCRIBE') AS is_negative_signal"),
-    _loaded("loyalty", "account_id", ", CASE tier WHEN 'PLATINUM' THEN 4 WHEN 'GOLD' THEN 3 WHEN 'SILVER' THEN 2 WHEN 'BRONZE' THEN 1 ELSE 0 END AS tier_rank"), _loaded("address", "address_id"), _loaded("contact", "contact_id"),
+    _loaded("loyalty", "account_id", ", CASE tier WHEN 'PLATINUM' THEN 4 WHEN 'GOLD' THEN 3 WHEN 'SILVER' THEN 2 WHEN 'BRONZE' THEN 1 ELSE 0 END AS tier_rank"),
+        _loaded("address", "address_id"), _loaded("contact", "contact_id"),
 ])
 LAYERS = f"WITH {STAGING},\n{CORE}"
-ENTITIES = f""", profiles AS (SELECT c.customer, c.customer_sk, c.match_key AS master_customer_id, c.full_name, c.email, c.phone, c.birth_date, c.segment, c.channel AS preferred_channel, c.opt_in AS marketing_opt_in, c.status, CAST(s.created_at AS DATE) AS created_at FROM core_customer c JOIN stg_customer s USING (customer) WHERE is_current),
-customers AS (SELECT * FROM profiles), sales AS (SELECT order_id, customer, order_date, status, CAST(exact AS DECIMAL(18,2)) AS net, channel FROM core_order), items AS (SELECT order_id, product FROM core_item), products AS (SELECT product, category FROM core_product),
-touches AS (SELECT customer, channel, ts, is_negative_signal AS negative FROM core_interaction), cases AS (SELECT customer, case_type, status, opened_at, csat, CAST(resolution_hours AS DECIMAL(18,2)) AS hours, reopens, {_SLA} AS sla_hours FROM core_case),
-account AS (SELECT customer, account_id AS loyalty_account, tier, status AS loyalty_status, CAST(balance AS BIGINT) AS points_balance, enrolled_at AS loyalty_enrolled_at, last_activity_at, tier_rank, CAST(date_diff('day', last_activity_at, {DAY}) AS INT) AS inactive_days FROM core_loyalty),
-loyalty AS (SELECT customer, tier_rank, inactive_days FROM account), address AS (SELECT customer, city, state, country FROM core_address QUALIFY row_number() OVER (PARTITION BY customer ORDER BY CASE WHEN is_primary THEN 0 ELSE 1 END, address_type, city) = 1)
+ENTITIES = f""", profiles AS (SELECT c.customer, c.customer_sk, c.match_key AS master_customer_id, c.full_name, c.email, c.phone, c.birth_date, c.segment, c.channel AS
+preferred_channel, c.opt_in AS marketing_opt_in, c.status, CAST(s.created_at AS DATE) AS created_at FROM core_customer c JOIN stg_customer s USING (customer) WHERE
+is_current),
+customers AS (SELECT * FROM profiles), sales AS (SELECT order_id, customer, order_date, status, CAST(exact AS DECIMAL(18,2)) AS net, channel FROM core_order), items AS
+(SELECT order_id, product FROM core_item), products AS (SELECT product, category FROM core_product),
+touches AS (SELECT customer, channel, ts, is_negative_signal AS negative FROM core_interaction), cases AS (SELECT customer, case_type, status, opened_at, csat,
+CAST(resolution_hours AS DECIMAL(18,2)) AS hours, reopens, {_SLA} AS sla_hours FROM core_case),
+account AS (SELECT customer, account_id AS loyalty_account, tier, status AS loyalty_status, CAST(balance AS BIGINT) AS points_balance, enrolled_at AS
+loyalty_enrolled_at, last_activity_at, tier_rank, CAST(date_diff('day', last_activity_at, {DAY}) AS INT) AS inactive_days FROM core_loyalty),
+loyalty AS (SELECT customer, tier_rank, inactive_days FROM account), address AS (SELECT customer, city, state, country FROM core_address QUALIFY row_number() OVER
+(PARTITION BY customer ORDER BY CASE WHEN is_primary THEN 0 ELSE 1 END, address_type, city) = 1)
 """
 BUILT = f"{LAYERS}{ENTITIES}{ORDERS}{SUPPORT}{ENGAGEMENT}{FEATURES}{PARTS}"
 
 
 def steps(s: SparkSession, d: str) -> list[build.Step]:
     """Every table of the build, each from those before it."""
-    spec = {"item": staging.items_spec(), "product": staging.products_spec(), "case": staging.cases_spec(), "interaction": staging.interactions_spec(), "loyalty": staging.loyalty_spec(), "address": staging.addresses_spec(), "contact": staging.contacts_spec()}
+    spec = {"item": staging.items_spec(), "product": staging.products_spec(), "case": staging.cases_spec(), "interaction": staging.interactions_spec(),
+        "loyalty": staging.loyalty_spec(), "address": staging.addresses_spec(), "contact": staging.contacts_spec()}
     keys = {"product": "product", "address": "address_id", "contact": "contact_id"}
     load = {"case": core.cases, "interaction": core.interactions, "loyalty": core.loyalty} | {n: lambda t, k=k: core.type1(t, k) for n, k in keys.items()}
     hours = F.col("resolution_hours").cast("decimal(18,2)")
@@ -167,9 +213,12 @@ def steps(s: SparkSession, d: str) -> list[build.Step]:
 def _combined(customers: DataFrame, staged: DataFrame, orders: DataFrame, support: DataFrame, touches: DataFrame, accounts: DataFrame) -> DataFrame:
     c = F.col
     profiles = customers.where("is_current").join(staged.select("customer", "created_at"), "customer").select(
-        "customer", "customer_sk", c("match_key").alias("master_customer_id"), "full_name", "email", "phone", "birth_date", "segment", c("channel").alias("preferred_channel"), c("opt_in").alias("marketing_opt_in"), "status", "created_at"
+        "customer", "customer_sk", c("match_key").alias("master_customer_id"), "full_name", "email", "phone", "birth_date", "segment",
+            c("channel").alias("preferred_channel"), c("opt_in").alias("marketing_opt_in"), "status", "created_at"
     )
-    account = accounts.select("customer", c("account_id").alias("loyalty_account"), "tier", c("status").alias("loyalty_status"), c("balance").cast("long").alias("points_balance"), c("enrolled_at").alias("loyalty_enrolled_at"), "last_activity_at", "tier_rank", F.datediff(F.lit(M.AS_OF), "last_activity_at").alias("inactive_days"))
+    account = accounts.select("customer", c("account_id").alias("loyalty_account"), "tier", c("status").alias("loyalty_status"),
+        c("balance").cast("long").alias("points_balance"), c("enrolled_at").alias("loyalty_enrolled_at"), "last_activity_at", "tier_rank",
+        F.datediff(F.lit(M.AS_OF), "last_activity_at").alias("inactive_days"))
     return A.combined(profiles, orders, support, touches.withColumnRenamed("is_negative_signal", "negative"), account, M.EVENT_AS_OF)
 
 
@@ -234,9 +283,11 @@ def core_loyalty(s: SparkSession, d: str) -> DataFrame:
     return _numbers(_made(s, d, "core_loyalty"))
 
 
-@query(f"{LAYERS} SELECT address_id AS id, customer, address_type AS kind, city || '/' || state || '/' || country AS value, is_primary, dq_status FROM stg_address UNION ALL SELECT contact_id, customer, contact_type, contact_value, is_primary, dq_status FROM stg_contact")
+@query(f"{LAYERS} SELECT address_id AS id, customer, address_type AS kind, city || '/' || state || '/' || country AS value, is_primary, dq_status FROM stg_address UNION "
+    f"ALL SELECT contact_id, customer, contact_type, contact_value, is_primary, dq_status FROM stg_contact")
 def stage_addresses_contacts(s: SparkSession, d: str) -> DataFrame:
     """Staged addresses and contacts in one list."""
     a, c = _made(s, d, "stg_address"), _made(s, d, "stg_contact")
     place = F.concat_ws("/", "city", "state", "country")
-    return a.select(F.col("address_id").alias("id"), "customer", F.col("address_type").alias("kind"), place.alias("value"), "is_primary", "dq_status").union(c.select("contact_id", "customer", "contact_type", "contact_value", "is_primary", "dq_status"))
+    return a.select(F.col("address_id").alias("id"), "customer", F.col("address_type").alias("kind"), place.alias("value"), "is_primary",
+        "dq_status").union(c.select("contact_id", "customer", "contact_type", "contact_value", "is_primary", "dq_status"))

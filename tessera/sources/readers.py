@@ -11,7 +11,8 @@ def with_provenance(df: DataFrame, system: str, batch_id: str, correlation_id: s
     """Columns that say where a row came from: the payload as JSON with sorted keys, and its MD5."""
     keys = sorted(columns or df.columns)
     payload = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    return df.withColumn("src_payload", payload).withColumns({"_src_system": F.lit(system), "_batch_id": F.lit(batch_id), "_correlation_id": F.lit(correlation_id), "_ingested_at": ingested_at, "_row_hash": F.md5("src_payload")})
+    return df.withColumn("src_payload", payload).withColumns({"_src_system": F.lit(system), "_batch_id": F.lit(batch_id), "_correlation_id": F.lit(correlation_id),
+        "_ingested_at": ingested_at, "_row_hash": F.md5("src_payload")})
 
 
 def json_array(spark: SparkSession, path: str, mapping: dict[str, str]) -> DataFrame:
@@ -57,5 +58,6 @@ def since(df: DataFrame, column: str, mark: str | None) -> DataFrame:
 
 def catalogue(spark: SparkSession, database: str | None = None) -> DataFrame:
     """Tables and columns of a database."""
-    rows = [(t.name, c.name, c.dataType, c.nullable) for t in spark.catalog.listTables(database) for c in spark.catalog.listColumns(f"{database}.{t.name}" if database and not t.isTemporary else t.name)]
+    rows = [(t.name, c.name, c.dataType, c.nullable) for t in spark.catalog.listTables(database)
+        for c in spark.catalog.listColumns(f"{database}.{t.name}" if database and not t.isTemporary else t.name)]
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean")

@@ -1,11 +1,15 @@
 """Paged REST collections as tables and as streams: spark.dataSource.register(RestPages), then format("rest_pages").
 
-A collection answers GET url?offset=..&limit=.. with {"data": [...], "total": n}. A page is a partition, so pages are read side by side, each tried again on its own. Filters go to the server where it takes them: columns named in the
-option `equals` (column=parameter, comma-separated; parameter as the column if left out) as they are compared, and those in `since` (updatedAt=updatedSince, say) by their lower bound; Spark applies all of them again, so
+A collection answers GET url?offset=..&limit=.. with {"data": [...], "total": n}. A page is a partition, so pages are read side by side, each tried again on its own.
+Filters go to the server where it takes them: columns named in the
+option `equals` (column=parameter, comma-separated; parameter as the column if left out) as they are compared, and those in `since` (updatedAt=updatedSince, say) by
+their lower bound; Spark applies all of them again, so
 a server that ignores one changes no result. Filters need spark.sql.python.filterPushdown.enabled.
 
-Options: path (the URL), fields (names, comma-separated: every value is text, nested ones as JSON), limit (rows of a page, 100), equals, since, mark (the column of a stream's high-water mark), start (its first value), tries (3), seconds
-(of a request, 30). A stream reads what has a mark from its last one on, up to the largest that the server has when the batch begins; rows at the last mark come again, as the server may have got more of
+Options: path (the URL), fields (names, comma-separated: every value is text, nested ones as JSON), limit (rows of a page, 100), equals, since, mark (the column of a
+stream's high-water mark), start (its first value), tries (3), seconds
+(of a request, 30). A stream reads what has a mark from its last one on, up to the largest that the server has when the batch begins; rows at the last mark come again,
+as the server may have got more of
 them since, so drop repeats by key (unique_events, Store.advance).
 
 Rows that come or go between two pages of one read can shift others across a page's edge; read on from a mark to get those."""

@@ -45,8 +45,10 @@ def _frame(store: Store, manifest: Manifest, names: list[str]) -> DataFrame | No
 def load_dimension(stream: DataFrame, path: str, checkpoint: str, key: str, empty: DataFrame, prepare, now: Column | None = None, buckets: int = 64, keep: int = 3):
     """Apply each batch of a stream to the dimension under path. prepare(batch) gives staged rows, the latest of each key; now stands in for times that these lack (the clock if None).
 
-    Keys are dealt into buckets by hash, their number fixed for a path. A batch reads and writes only the buckets of its keys; the folders that it wrote and its number are committed together, so a batch that comes again changes nothing,
-    and readers see all of a batch or none. Batches are numbered by checkpoint: a stream that starts anew is applied anew, which leaves history that it repeats as it is. An empty batch does nothing. The newest `keep` versions stay."""
+    Keys are dealt into buckets by hash, their number fixed for a path. A batch reads and writes only the buckets of its keys; the folders that it wrote and its number
+    are committed together, so a batch that comes again changes nothing,
+    and readers see all of a batch or none. Batches are numbered by checkpoint: a stream that starts anew is applied anew, which leaves history that it repeats as it is.
+    An empty batch does nothing. The newest `keep` versions stay."""
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     mark = f"batch of {checkpoint}"
 

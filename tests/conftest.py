@@ -14,7 +14,9 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("spark"))
-    session = SparkSession.builder.master("local[4]").config("spark.checkpoint.dir", f"{folder}/shared").config("spark.sql.warehouse.dir", f"{folder}/warehouse").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "6g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
+    session = SparkSession.builder.master("local[4]").config("spark.checkpoint.dir", f"{folder}/shared").config("spark.sql.warehouse.dir",
+        f"{folder}/warehouse").config("spark.sql.shuffle.partitions", "4").config("spark.driver.memory", "6g").config("spark.sql.session.timeZone",
+        "UTC").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -131,7 +131,8 @@ def test_review_queue_by_brute_force(spark, seed):
         rows.append((rng.choice("qr"), a, rng.choice([None, a, a + dt.timedelta(hours=rng.randrange(200)), a - dt.timedelta(hours=1)] if seed > 1 else [a + dt.timedelta(hours=rng.randrange(90))])))
     rows.append(("q", None, zero))
     until = dt.date(2024, 1, 24)
-    got = {(r.queue, r.day): (r.opened, r.closed, r.depth, r.oldest) for r in operations.review_queue(spark.createDataFrame(rows, "queue string, opened_at timestamp, closed_at timestamp"), F.lit(until)).collect()}
+    got = {(r.queue, r.day): (r.opened, r.closed, r.depth, r.oldest)
+        for r in operations.review_queue(spark.createDataFrame(rows, "queue string, opened_at timestamp, closed_at timestamp"), F.lit(until)).collect()}
     want = {}
     for q in "qr":
         own = [(a, b) for x, a, b in rows if x == q and a and (b is None or b >= a)]
@@ -145,7 +146,8 @@ def test_review_queue_by_brute_force(spark, seed):
 
 def test_actions_and_calls(spark):
     at = dt.datetime(2024, 1, 1, 5)
-    audit = spark.createDataFrame([(at, "a", 1.25, False, 0.5, "X"), (at, "a", 2.0, True, None, "X"), (at + dt.timedelta(days=1), "b", 0.0, False, 1.0, None)], "at timestamp, client string, cost double, blocked boolean, groundedness double, action string")
+    audit = spark.createDataFrame([(at, "a", 1.25, False, 0.5, "X"), (at, "a", 2.0, True, None, "X"), (at + dt.timedelta(days=1), "b", 0.0, False, 1.0, None)],
+        "at timestamp, client string, cost double, blocked boolean, groundedness double, action string")
     assert sorted(tuple(r) for r in operations.calls(audit).collect()) == [(dt.date(2024, 1, 1), 2, 1, 3.25, 0.5, 0.5), (dt.date(2024, 1, 2), 1, 1, 0.0, 0.0, 1.0)]
     assert [tuple(r) for r in operations.actions(audit).collect()] == [("X", 2, 1.0)]
 
@@ -166,7 +168,8 @@ def test_alerts_once_although_batches_repeat(spark, tmp_path):
     ]
     added = [alerts.alert(store, batches[n], n) for n in (0, 0, 1, 1, 0, 2, 2, 3, 1)]
     assert added == [1, 0, 2, 0, 0, 1, 0, 1, 0]  # a result older than its rule's state (B, 1) raises nothing
-    assert sorted((r.rule_id, r.at, r.before) for r in store.read("alerts").collect()) == [("A", day(0), None), ("A", day(4), "PASS"), ("B", day(2), "WARN"), ("B", day(4), "PASS"), ("C", day(0), None)]
+    assert sorted((r.rule_id, r.at, r.before) for r in store.read("alerts").collect()) == [("A", day(0), None), ("A", day(4), "PASS"), ("B", day(2), "WARN"),
+        ("B", day(4), "PASS"), ("C", day(0), None)]
     assert {r.rule_id: r.status for r in store.read("states").collect()} == {"A": "FAIL", "B": "FAIL", "C": "FAIL"}
 
 
@@ -212,7 +215,8 @@ def test_branches_fail_alone(spark, tmp_path):
     began = time.time()
     read, failed = serving.branches(
         store,
-        {"good": lambda: good, "empty": lambda: good.where("false"), "corrupt": lambda: spark.read.schema(good.schema).parquet(str(broken)), "cast": lambda: good.withColumn("status", F.col("status").cast("int")), "unknown": lambda: good.select("nothing"), "slow": slow},
+        {"good": lambda: good, "empty": lambda: good.where("false"), "corrupt": lambda: spark.read.schema(good.schema).parquet(str(broken)),
+            "cast": lambda: good.withColumn("status", F.col("status").cast("int")), "unknown": lambda: good.select("nothing"), "slow": slow},
         seconds=12, needed=("good",),
     )
     assert set(failed) == {"corrupt", "cast", "unknown", "slow"} and all(read[n] is None for n in failed), failed
@@ -236,7 +240,9 @@ def test_documents_of_branches(spark):
 
 
 def test_views_without_personal_fields(spark):
-    row = {"customer": 1, "customer_sk": "s", "full_name": "Ann Lee", "email": "a@b.co", "phone": "1", "birth_date": None, "segment": "PREMIUM", "customer_status": "ACTIVE", "value_tier": "LOW", "loyalty_tier": "GOLD", "loyalty_points_balance": 5, "data_completeness_score": 50.0, "tenure_days": 4, "total_cases": 0, "band": "LOW", "city": "X", "postal_code": "1"}
+    row = {"customer": 1, "customer_sk": "s", "full_name": "Ann Lee", "email": "a@b.co", "phone": "1", "birth_date": None, "segment": "PREMIUM",
+        "customer_status": "ACTIVE", "value_tier": "LOW", "loyalty_tier": "GOLD", "loyalty_points_balance": 5, "data_completeness_score": 50.0, "tenure_days": 4,
+        "total_cases": 0, "band": "LOW", "city": "X", "postal_code": "1"}
     whole = spark.createDataFrame([row], ", ".join(f"{k} {'long' if isinstance(v, int) else 'double' if isinstance(v, float) else 'string'}" for k, v in row.items()))
     shop, model = serving.store_view(whole, False), serving.model_view(whole, ["customer", "segment", "band"])
     assert not set(shop.columns) & {"email", "phone", "birth_date"} and not set(serving.MODEL_CONTEXT) & set(serving.PERSONAL) and model.columns == ["customer", "segment", "band"]
@@ -251,7 +257,8 @@ def test_views_without_personal_fields(spark):
 
 def test_explanations_quote_what_is_there(spark):
     rows = spark.createDataFrame(
-        [(1, "HIGH", 0.55, ["PURCHASE_RECENCY", "LOW_SATISFACTION", "NEW_KIND"], 300, 2.5), (2, None, None, ["PURCHASE_RECENCY", "DECLINING_ORDER_TREND"], None, None), (3, "LOW", 0.1, [], 1, 5.0), (4, "LOW", 0.1, None, 1, 5.0)],
+        [(1, "HIGH", 0.55, ["PURCHASE_RECENCY", "LOW_SATISFACTION", "NEW_KIND"], 300, 2.5), (2, None, None, ["PURCHASE_RECENCY", "DECLINING_ORDER_TREND"], None, None),
+            (3, "LOW", 0.1, [], 1, 5.0), (4, "LOW", 0.1, None, 1, 5.0)],
         "customer int, band string, probability double, drivers array<string>, days_since_last_order int, avg_csat double",
     ).selectExpr("*", "cast(null as double) order_trend_ratio", "2 cases_last_90d", "7.5D engagement_score", "0 negative_signals_90d")
     out = {r.customer: r.explanation for r in insight.churn_explanation(rows).collect()}
@@ -261,7 +268,9 @@ def test_explanations_quote_what_is_there(spark):
 
 
 def test_what_columns_hold(spark):
-    rows = [(1, "a@b.co", "plain words in a long sentence, and more of them", True, None, "x"), (2, "c@d.org", "another one that is long as well and has blanks", False, None, "5"), (3, None, "and a third sentence of the same kind of text", None, None, "6")]
+    rows = [(1, "a@b.co", "plain words in a long sentence, and more of them", True, None, "x"),
+        (2, "c@d.org", "another one that is long as well and has blanks", False, None, "5"), (3, None, "and a third sentence of the same kind of text", None, None, "6")]
     df = spark.createDataFrame(rows, "id int, mail string, note string, flag boolean, nothing string, mixed string")
     out = {r.column_name: (r.n_rows, r.null_share, r.n_distinct, r.content) for r in insight.described(df, "t").collect()}
-    assert out == {"id": (3, 0.0, 3, "NUMBER"), "mail": (3, 0.333333, 2, "EMAIL"), "note": (3, 0.0, 3, "FREE_TEXT"), "flag": (3, 0.333333, 2, "FLAG"), "nothing": (3, 1.0, 0, "EMPTY"), "mixed": (3, 0.0, 3, "TEXT")}
+    assert out == {"id": (3, 0.0, 3, "NUMBER"), "mail": (3, 0.333333, 2, "EMAIL"), "note": (3, 0.0, 3, "FREE_TEXT"), "flag": (3, 0.333333, 2, "FLAG"),
+        "nothing": (3, 1.0, 0, "EMPTY"), "mixed": (3, 0.0, 3, "TEXT")}

@@ -34,10 +34,13 @@ def test_stamp_ignores_null_conditions(spark):
 
 def test_customers_two_stage(spark):
     rows = [
-        ("1", "Ann", "Lee", "ANN@x.org ", "+1-402", "1990-01-01", "y", "active", "2020-01-02", "2020-01-02"), ("1", "Ann", "Lee", "ann@x.org", "+1-402", "1990-01-01", "n", "active", "2020-01-02", "2021-01-02"),
-        ("9", "ann", "lee", " ann@X.org", None, "1990-01-01", "?", "active", "2022-01-02", "2022-01-02"), (" ", "No", "Key", "a@b.co", None, None, None, None, None, None), ("2", "Bo", "Ek", "bad", "1 2", "bad", "no", "odd", "2020-01-01", None),
+        ("1", "Ann", "Lee", "ANN@x.org ", "+1-402", "1990-01-01", "y", "active", "2020-01-02", "2020-01-02"),
+            ("1", "Ann", "Lee", "ann@x.org", "+1-402", "1990-01-01", "n", "active", "2020-01-02", "2021-01-02"),
+        ("9", "ann", "lee", " ann@X.org", None, "1990-01-01", "?", "active", "2022-01-02", "2022-01-02"),
+            (" ", "No", "Key", "a@b.co", None, None, None, None, None, None), ("2", "Bo", "Ek", "bad", "1 2", "bad", "no", "odd", "2020-01-01", None),
     ]
-    raw = spark.createDataFrame(rows, "customer string, first_name string, last_name string, email string, phone string, birth_date string, opt_in string, status string, created_at string, updated_at string").selectExpr("*", "null segment", "null channel")
+    raw = spark.createDataFrame(rows, "customer string, first_name string, last_name string, email string, phone string, birth_date string, opt_in string, status string, "
+        "created_at string, updated_at string").selectExpr("*", "null segment", "null channel")
     out = {r.customer: r for r in staging.stage_customers(raw, dt.date(2023, 1, 1)).collect()}
     assert set(out) == {"1", "2"}
     assert out["1"].opt_in is False and out["1"].phone == "+1402"
@@ -45,19 +48,24 @@ def test_customers_two_stage(spark):
 
 
 def test_item_product_case_and_loyalty_specs(spark):
-    items = spark.createDataFrame([("1", "o", "p", "2", "1.50", "3.00"), ("2", "o", "p", "0", "1", "0"), ("3", "o", "p", "1", "1", "2"), (None, "o", "p", "1", "1", "1")], "item_id string, order_id string, product string, quantity string, unit_price string, line_amount string").selectExpr("*", "null sku", "null currency")
+    items = spark.createDataFrame([("1", "o", "p", "2", "1.50", "3.00"), ("2", "o", "p", "0", "1", "0"), ("3", "o", "p", "1", "1", "2"), (None, "o", "p", "1", "1", "1")],
+        "item_id string, order_id string, product string, quantity string, unit_price string, line_amount string").selectExpr("*", "null sku", "null currency")
     assert {r.item_id: r.dq_status for r in staging.stage(items, staging.items_spec()).collect()} == {"1": "PASS", "2": "FAIL", "3": "WARN"}
     products = spark.createDataFrame([("1", "a", "c", "1", "maybe")], "product string, name string, category string, unit_price string, is_active string").selectExpr("*", "null sku", "null brand")
     assert staging.stage(products, staging.products_spec()).first().is_active is False
-    cases = spark.createDataFrame([("1", "c", "2024-01-02 00:00:00", "2024-01-01 00:00:00", "3"), ("2", "c", "2024-01-01 00:00:00", "2024-01-01 01:30:00", "9")], "case_id string, customer string, opened_at string, resolved_at string, csat string").selectExpr("*", "null case_type", "null priority", "null status", "null reopens")
+    cases = spark.createDataFrame([("1", "c", "2024-01-02 00:00:00", "2024-01-01 00:00:00", "3"), ("2", "c", "2024-01-01 00:00:00", "2024-01-01 01:30:00", "9")],
+        "case_id string, customer string, opened_at string, resolved_at string, csat string").selectExpr("*", "null case_type", "null priority", "null status",
+        "null reopens")
     out = {r.case_id: r for r in staging.stage(cases, staging.cases_spec()).collect()}
     assert (out["1"].dq_status, out["2"].dq_status, out["2"].resolution_hours) == ("FAIL", "WARN", 1.5)
-    loyalty = spark.createDataFrame([("1", "c", "gold", "5", "9")], "account_id string, customer string, tier string, earned string, redeemed string").selectExpr("*", "null balance", "null enrolled_at", "null last_activity_at", "null status")
+    loyalty = spark.createDataFrame([("1", "c", "gold", "5", "9")], "account_id string, customer string, tier string, earned string, redeemed string").selectExpr("*",
+        "null balance", "null enrolled_at", "null last_activity_at", "null status")
     assert staging.stage(loyalty, staging.loyalty_spec()).first().dq_failed_rules == "DQ-L-003"
 
 
 def dimension(spark):
-    log = spark.createDataFrame([("a", "x", t("2024-01-01"), 1), ("a", "x", t("2024-01-02"), 2), ("a", "y", t("2024-01-03"), 3), ("b", "x", t("2024-01-01"), 4)], "k string, v string, at timestamp, n int")
+    log = spark.createDataFrame([("a", "x", t("2024-01-01"), 1), ("a", "x", t("2024-01-02"), 2), ("a", "y", t("2024-01-03"), 3), ("b", "x", t("2024-01-01"), 4)],
+        "k string, v string, at timestamp, n int")
     return scd2.history(log, "k", "at", ["v"], "n")
 
 
@@ -72,7 +80,8 @@ def test_history_and_invariants(spark):
 def test_apply_closes_adds_and_is_idempotent(spark):
     now = F.lit(t("2024-02-01"))
     md5 = lambda v: F.md5(F.lit(v))
-    staged = spark.createDataFrame([("a", "z", t("2024-01-10"), "PASS"), ("b", "x", None, "PASS"), ("c", "n", None, "WARN"), ("d", "n", None, "FAIL")], "k string, v string, updated_at timestamp, dq_status string")
+    staged = spark.createDataFrame([("a", "z", t("2024-01-10"), "PASS"), ("b", "x", None, "PASS"), ("c", "n", None, "WARN"), ("d", "n", None, "FAIL")],
+        "k string, v string, updated_at timestamp, dq_status string")
     staged = staged.withColumn("row_hash", F.md5("v")).withColumn("created_at", F.lit(None).cast("timestamp"))
     once = scd2.apply(dimension(spark), staged, "k", now)
     rows = sorted((r.k, r.version, r.v, r.is_current, r.valid_to.year) for r in once.collect())
@@ -90,7 +99,8 @@ def test_as_of_join_at_bounds(spark):
 
 def test_rules_runner_isolates_errors(spark):
     df = spark.range(10)
-    rules = [Q.Rule("OK", "BLOCKING", 0, "nums", "SELECT 0"), Q.Rule("BAD", "BLOCKING", 0, "nums", "SELECT count(*) FROM missing_table"), Q.Rule("W", "WARNING", 5, "nums", "SELECT count(*) FROM nums WHERE id = 1"), Q.Rule("P", "WARNING", 10, "nums", "SELECT count(*) FROM nums WHERE id = 1")]
+    rules = [Q.Rule("OK", "BLOCKING", 0, "nums", "SELECT 0"), Q.Rule("BAD", "BLOCKING", 0, "nums", "SELECT count(*) FROM missing_table"),
+        Q.Rule("W", "WARNING", 5, "nums", "SELECT count(*) FROM nums WHERE id = 1"), Q.Rule("P", "WARNING", 10, "nums", "SELECT count(*) FROM nums WHERE id = 1")]
     assert {r.rule_id: (r.rows_failed, r.status) for r in Q.run(spark, rules, {"nums": df}).collect()} == {"OK": (0, "PASS"), "BAD": (-1, "FAIL"), "W": (1, "WARN"), "P": (1, "PASS")}
 
 
@@ -149,7 +159,8 @@ def test_claims_and_findings_by_brute_force(spark, small):
         if r.k != 2:  # digits of other scripts are no numbers to a cast
             assert set(got) == numbers(t), t
         large = {x for x in got if abs(float(x)) > 10}
-        want = [n for n, x in (("email", re.search(email, t or "")), ("phone", re.search(phone, t or "")), ("promise", any(re.search(p, t or "", re.I) for p in T.PROMISES)), ("numbers", large - set(known))) if x]
+        want = [n for n, x in (("email", re.search(email, t or "")), ("phone", re.search(phone, t or "")),
+            ("promise", any(re.search(p, t or "", re.I) for p in T.PROMISES)), ("numbers", large - set(known))) if x]
         assert r.f == (want if (t or "").strip(" ") else ["empty"])
 
 
@@ -211,7 +222,8 @@ def test_sla_by_priority(spark):
 
 
 def test_an_update_that_came_too_late_changes_nothing(spark):
-    dim = spark.createDataFrame([("a", "x", "hx", t("2020-01-05"), t("9999-12-31"), True, 1, "INSERT")], "k string, v string, row_hash string, valid_from timestamp, valid_to timestamp, is_current boolean, version int, change_type string")
+    dim = spark.createDataFrame([("a", "x", "hx", t("2020-01-05"), t("9999-12-31"), True, 1, "INSERT")],
+        "k string, v string, row_hash string, valid_from timestamp, valid_to timestamp, is_current boolean, version int, change_type string")
     late = spark.createDataFrame([("a", "w", "hw", t("2020-01-01"), None, "PASS")], "k string, v string, row_hash string, updated_at timestamp, created_at timestamp, dq_status string")
     out = scd2.apply(dim, late, "k", F.lit("2020-02-01").cast("timestamp")).collect()
     assert [(r.v, r.is_current, r.valid_to) for r in out] == [("x", True, t("9999-12-31"))]

@@ -43,7 +43,8 @@ def server(spark):
     httpd = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=httpd.serve_forever, daemon=True).start()
     stub.url = f"http://127.0.0.1:{httpd.server_port}/api/v1/orders"
-    stub.rows = [{"orderId": f"o{k}", "status": "OPEN" if k % 3 else "DONE", "customerId": f"c{k % 5}", "updatedAt": f"2024-01-{1 + k % 28:02d}", "lines": [{"sku": k}], "note": None} for k in range(57)]
+    stub.rows = [{"orderId": f"o{k}", "status": "OPEN" if k % 3 else "DONE", "customerId": f"c{k % 5}", "updatedAt": f"2024-01-{1 + k % 28:02d}", "lines": [{"sku": k}],
+        "note": None} for k in range(57)]
     spark.dataSource.register(RestPages)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     yield stub
@@ -52,7 +53,8 @@ def server(spark):
 
 
 def pages(spark, stub, limit=10):
-    return spark.read.format("rest_pages").options(path=stub.url, fields="orderId,status,customerId,updatedAt,lines,note", limit=limit, equals="status,customerId", since="updatedAt=updatedSince").load()
+    return spark.read.format("rest_pages").options(path=stub.url, fields="orderId,status,customerId,updatedAt,lines,note", limit=limit, equals="status,customerId",
+        since="updatedAt=updatedSince").load()
 
 
 def test_a_partition_for_each_page(spark, server):

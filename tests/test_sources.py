@@ -73,7 +73,8 @@ def test_stream_into_dimension(spark, tmp_path):
     rows(("a", "x", at), ("b", "x", at))
     schema = spark.read.parquet(source).schema
     empty = spark.createDataFrame([], "k string, v string, row_hash string, valid_from timestamp, valid_to timestamp, is_current boolean, version int, change_type string")
-    prepare = lambda b: b.groupBy("k").agg(F.max_by("v", "at").alias("v"), F.max("at").alias("updated_at")).select("k", "v", F.md5("v").alias("row_hash"), "updated_at", F.lit(None).cast("timestamp").alias("created_at"), F.lit("PASS").alias("dq_status"))
+    prepare = lambda b: b.groupBy("k").agg(F.max_by("v", "at").alias("v"), F.max("at").alias("updated_at")).select("k", "v", F.md5("v").alias("row_hash"), "updated_at",
+        F.lit(None).cast("timestamp").alias("created_at"), F.lit("PASS").alias("dq_status"))
     run = lambda: I.load_dimension(I.arrivals(spark, source, schema), dim, state, "k", empty, prepare).awaitTermination()
     run()
     run()
