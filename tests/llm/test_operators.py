@@ -683,3 +683,27 @@ def test_pipeline_loses_no_text(spark, small):
             by[g].add(k)
     pairs = Counter(p for ks in by.values() for p in itertools.combinations(sorted(ks), 2))
     assert not [p for p, n in pairs.items() if 100 * n >= 75 * len(sets[p[0]] | sets[p[1]])]
+
+
+def test_packing_beats_best_fit(spark):
+    """Triplets that fill sequences exactly, through pack(): fewer sequences than best fit decreasing needs, whole and within size."""
+    rng, sizes = random.Random(17), []
+    for _ in range(60):
+        a = rng.randrange(260, 500)
+        b = rng.randrange(260, min(500, 1024 - a - 200))
+        sizes += [a, b, 1024 - a - b]
+    rng.shuffle(sizes)
+    packing.best_fit(bins := [], [], sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True), sizes, 1024)
+    cut = common.table(spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long"), "cut")
+    rows_ = packing.pack(cut).collect()
+    assert sorted((r.doc_id, r.length) for r in rows_) == list(enumerate(sizes))
+    by = defaultdict(list)
+    for r in rows_:
+        by[r.sequence_id].append((r.offset, r.length))
+    for spans in by.values():
+        at = 0
+        for o, n in sorted(spans):
+            assert o == at
+            at += n
+        assert at <= 1024
+    assert len(by) < len(bins) and len(by) <= 62
