@@ -175,7 +175,7 @@ _SAID = {
         "DECIMAL(18,4)) || ')'",
     "SUPPORT_CASE_VOLUME": "'they have raised ' || coalesce(CAST(cases_last_90d AS VARCHAR), 'n/a') || ' support cases in the last 90 days'",
         "LOW_SATISFACTION": "'their average satisfaction score is ' || coalesce(CAST(CAST(ssum.avg_csat AS DECIMAL(10,2)) AS VARCHAR), 'n/a')",
-    "LOW_ENGAGEMENT": "'their engagement score is ' || CAST(esum.engagement_score AS DECIMAL(10,4)) || ' out of 100'",
+    "LOW_ENGAGEMENT": "'their engagement score is ' || CAST(esum.engagement_score AS DECIMAL(10,6)) || ' out of 100'",
         "LOYALTY_INACTIVITY": "'their loyalty account has been inactive'",
         "NEGATIVE_SIGNALS": "'they generated ' || esum.negative_signals_90d || ' negative engagement signals in the last 90 days'",
 }
@@ -194,7 +194,7 @@ def churn_explanation(s: SparkSession, d: str) -> DataFrame:
         "customer", "churn.band", exact("churn.probability", "decimal(6,4)").alias("probability"),
             F.transform(F.slice(pairs, 1, 3), lambda p: p["driver"]).alias("drivers"), "days_since_last_order", "cases_last_90d", "negative_signals_90d",
         exact("features.order_trend_ratio", "decimal(18,4)").alias("order_trend_ratio"), exact("avg_csat", "decimal(10,2)").alias("avg_csat"),
-            exact("engagement_score", "decimal(10,4)").alias("engagement_score"),
+            exact("engagement_score", "decimal(10,6)").alias("engagement_score"),
     )
     return insight.churn_explanation(said)
 
