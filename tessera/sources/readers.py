@@ -57,7 +57,7 @@ def since(df: DataFrame, column: str, mark: str | None) -> DataFrame:
 
 
 def catalogue(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Tables and columns of a database."""
-    rows = [(t.name, c.name, c.dataType, c.nullable) for t in spark.catalog.listTables(database)
-        for c in spark.catalog.listColumns(f"{database}.{t.name}" if database and not t.isTemporary else t.name)]
+    """Tables and columns of a database (without a session's views), or of the current one and the session's views."""
+    tables = [t for t in spark.catalog.listTables(database) if not (database and t.isTemporary)]
+    rows = [(t.name, c.name, c.dataType, c.nullable) for t in tables for c in spark.catalog.listColumns(f"{database}.{t.name}" if database else t.name)]
     return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, nullable boolean")
