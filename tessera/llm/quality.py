@@ -3,7 +3,7 @@
 A document's features are hashed words, hashed pairs of successive words and hashed character (byte) 3- and 4-grams. Each feature has a learned vector; a document is the average of
 the vectors of all its features, and a softmax layer gives the classes. All is trained by plain stochastic gradient descent in numpy on a bounded sample of labelled documents: the first `rows`
 by a hash of doc_id, and of these as many as have at most `size` bytes of features. As the layer is linear, vectors and softmax weights fold into one table of class scores for each
-feature, which is what executors get (its size is fixed). A pair's hash is that of the difference of its words' hashes.
+feature, which is all that the driver and the scoring tasks get (its size is fixed): one task trains on the sample. A pair's hash is that of the difference of its words' hashes.
 
 Cases: null and empty texts, which have no features, get the score of the bias alone; labels that are null are left out; a doc_id with several labels or texts is
 taken with each; ties in the hash go by doc_id, label and text; without any label of a class the score is that of the prior; repeated rows are scored each and count once in the sample; an
@@ -89,8 +89,9 @@ def train(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int =
     return vectors @ out, bias
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, size: int = SAMPLE_BYTES) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Features and labels of the sample: labelled documents outside the held-out fold in the order of a hash of doc_id, at most `rows` of them and `size` bytes of their features."""
+def _sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """The sample's rows (doc_id, label, hash, ids, w) in no order, and the table that they are read from: labelled documents outside the held-out fold in the order of a hash of doc_id,
+    at most `rows` of them and `size` bytes of their features."""
     wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"),
         F.col(label).cast("int").alias("label")).distinct()
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)  # no more labels can be used
@@ -109,10 +110,44 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, siz
     keys = made.groupBy("doc_id", "label", "hash").agg(F.first("size").alias("size")).orderBy(*order).limit(rows)
     keys = keys.withColumn("total", F.sum("size").over(Window.orderBy(*order)))  # over at most `rows` small rows
     chosen = keys.where(F.col("total") <= size).select("doc_id", "label", "hash")
-    got = made.join(F.broadcast(chosen), ["doc_id", "label", "hash"]).dropDuplicates(["doc_id", "label", "hash"]).collect()
+    got = made.join(F.broadcast(chosen), ["doc_id", "label", "hash"]).dropDuplicates(["doc_id", "label", "hash"]).select("doc_id", "label", "hash", "ids", "w")
+    return got, made
+
+
+def _examples(rows: Iterable[tuple]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Features and labels of the sample's rows, in the order of doc_id, label and hash."""
+    rows = sorted(rows, key=lambda r: r[:3])
+    return [(np.frombuffer(r[3], np.int32), np.frombuffer(r[4], np.float32)) for r in rows], np.array([r[1] for r in rows], np.int64)
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, size: int = SAMPLE_BYTES) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Features and labels of the sample."""
+    got, made = _sampled(docs, labels, label, rows, size)
+    out = _examples(got.collect())
+    discard(made)
+    return out
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS, size: int = SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """train() on the sample, in a task: the driver gets the model, whose size is fixed, and none of the sample's features."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = _examples(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        try:
+            (table_, bias), wrong = train(x, y), None
+        except ValueError as e:  # for the caller
+            table_, bias, wrong = np.zeros(0, np.float32), np.zeros(0, np.float32), str(e)
+        yield pa.RecordBatch.from_arrays([pa.array([table_.astype(np.float32).tobytes()]), pa.array([bias.astype(np.float32).tobytes()]), pa.array([wrong], pa.string())], ["scores", "bias", "wrong"])
+
+    got, made = _sampled(docs, labels, label, rows, size)
+    model = got.coalesce(1).mapInArrow(lean(run), "scores binary, bias binary, wrong string").first()  # of at most `size` bytes
     discard(made)
-    got.sort(key=lambda r: (r.doc_id, r.label, r.hash))
-    return [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.w, np.float32)) for r in got], np.array([r.label for r in got], np.int64)
+    if model is None:  # no row, no task
+        return train([], np.zeros(0, np.int64))
+    if model.wrong:
+        raise ValueError(model.wrong)
+    bias = np.frombuffer(model.bias, np.float32)
+    return np.frombuffer(model.scores, np.float32).reshape(SIZE, len(bias)), bias
 
 
 def held_out(key):
@@ -155,8 +190,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], positive: int
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted (1 from the threshold up)."""
-    x, y = sample(docs, labels, label, rows)
-    return scored(docs, train(x, y)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return scored(docs, fitted(docs, labels, label, rows)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

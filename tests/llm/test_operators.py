@@ -660,6 +660,20 @@ def test_sample_is_bounded_and_alike(spark):
     assert 0 < len(some) < 25
 
 
+def test_no_features_reach_the_driver(spark, monkeypatch):
+    """The classifier is trained on its sample in a task: the only bytes that the driver gets are the model's, which is that of the sample."""
+    docs = spark.createDataFrame([(k, f"text {k % 30} of words " * 20) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    want, bias = quality.train(*quality.sample(docs, labels, "quality"))
+    frame, got = type(docs), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: got.append(collect(self)) or got[-1])
+    quality.classify(docs, labels)
+    assert sum(len(v) for rows in got for r in rows for v in r if isinstance(v, bytes | bytearray)) == want.nbytes + bias.nbytes
+    table, found = quality.fitted(docs, labels, "quality")
+    assert np.allclose(table, want, atol=1e-3) and np.allclose(found, bias, atol=1e-4)
+
+
 def test_pipeline_loses_no_text(spark, small):
     """Line dedup cuts only what stands at its first place in what it returns, also where most of a document is repeated; no near copies are left in the end."""
     import corpus_pipeline as P
