@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import money, ratio
+from tessera.functions.exprs import money, ratio, rounded
 
 REVENUE = ("COMPLETED", "SHIPPED")
 
@@ -56,7 +56,7 @@ def order_summary(sales: DataFrame, items: DataFrame, products: DataFrame, as_of
     days = F.greatest(F.datediff(day, F.col("first_order_date")), F.lit(30))
     facts = facts.withColumns({
         "days_since_last_order": F.datediff(day, F.col("last_order_date")), "avg_order_value": zero(_mean(F.col("total_net_revenue"), F.col("_rev"))),
-        "order_frequency_per_year": F.round(F.col("total_orders") * 365.0 / days, 4), "return_rate": ratio(F.col("returned_orders"), F.col("total_orders")), "as_of_date": day,
+        "order_frequency_per_year": rounded(F.col("total_orders") * 365.0 / days, 4), "return_rate": ratio(F.col("returned_orders"), F.col("total_orders")), "as_of_date": day,
     })
     out = facts.join(categories(sales, items, products), "customer", "left")
     amounts = {c: money(F.col(c)).cast("double") for c in ("total_net_revenue", "max_order_value", "revenue_last_90d", "revenue_last_365d", "revenue_prior", "avg_order_value")}
@@ -107,7 +107,7 @@ def _engagement_score() -> Column:
         30 * F.greatest(F.lit(0.0), 1 - F.coalesce("days_since_last_order", F.lit(999)) / 365.0) + 25 * cap(zero("order_frequency_per_year") / 12) + 15 * cap(zero("interactions_last_90d") / 10)
         + 15 * zero("tier_rank") / 4 + 15 * (F.coalesce("avg_csat", F.lit(3.5)).cast("double") - 1) / 4 - 10 * cap(zero("negative_signals_90d") / 3)
     )
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 6)
+    return rounded(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), 6)
 
 
 ENGAGEMENT = ["interactions_last_90d", "interactions_last_365d", "negative_signals_90d", "distinct_channels", "last_interaction_date", "days_since_interaction", "engagement_score"]
@@ -121,7 +121,7 @@ def engagement_summary(all_of: DataFrame) -> DataFrame:
 def _features() -> list[Column]:
     """Features of a combined row, with defaults for customers without activity."""
     or_ = lambda c, x: F.coalesce(F.col(c), F.lit(x)).alias
-    trend = F.coalesce(F.round((F.col("orders_last_90d") / 90.0).cast("double") / F.nullif((F.col("orders_prior") / 275.0).cast("double"), F.lit(0.0)), 4), F.lit(0.0))
+    trend = F.coalesce(rounded((F.col("orders_last_90d") / 90.0).cast("double") / F.nullif((F.col("orders_prior") / 275.0).cast("double"), F.lit(0.0)), 4), F.lit(0.0))
     return [
         or_("days_since_last_order", 9999)("recency_days"), or_("orders_last_365d", 0)("frequency_365d"), or_("revenue_last_365d", 0.0)("monetary_365d"),
             or_("avg_order_value", 0.0)("avg_order_value"),
@@ -151,7 +151,7 @@ def _contributions(f: Column) -> list[Column]:
         "LOW_SATISFACTION": F.greatest(zero, (4 - low(F.lit(5.0), d("avg_csat"))) / 3), "LOW_ENGAGEMENT": F.greatest(zero, 1 - d("engagement_score") / 100),
             "LOYALTY_INACTIVITY": low(one, d("loyalty_inactive_days") / 365), "NEGATIVE_SIGNALS": low(one, d("negative_signals_90d") / 2),
     }
-    return [F.round(w * part[n], 6).alias(n) for n, w in DRIVERS.items()]
+    return [rounded(w * part[n], 6).alias(n) for n, w in DRIVERS.items()]
 
 
 def contributions(f: DataFrame) -> DataFrame:
@@ -167,12 +167,12 @@ def drivers(parts: DataFrame, k: int = 3) -> DataFrame:
 
 
 def _score(p: Column) -> list[Column]:
-    total = sum((p[n] for n in list(DRIVERS)[1:]), p[next(iter(DRIVERS))])
+    score = rounded(sum((p[n] for n in list(DRIVERS)[1:]), p[next(iter(DRIVERS))]), 4)
     band = F.lit("LOW")
     for name, least in sorted(BANDS.items(), key=lambda x: x[1]):
-        band = F.when(F.round(total, 4) >= least, name).otherwise(band)
+        band = F.when(score >= least, name).otherwise(band)
     first = F.element_at(F.array_sort(F.array(*(F.struct((-p[n]).alias("minus"), F.lit(n).alias("driver")) for n in DRIVERS))), 1)
-    return [F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.round(total, 4))).alias("probability"), band.alias("band"), first["driver"].alias("top_driver")]
+    return [F.greatest(F.lit(0.01), F.least(F.lit(0.99), score)).alias("probability"), band.alias("band"), first["driver"].alias("top_driver")]
 
 
 def churn_score(parts: DataFrame) -> DataFrame:

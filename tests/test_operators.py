@@ -1,6 +1,7 @@
 import datetime as dt
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from tessera.functions import text as T
 from tessera.functions import vector as V
 from tessera.operators import policies as P
 from tessera.operators import quality as Q
-from tessera.operators import core, scd2, serving, staging
+from tessera.operators import analytics, core, scd2, serving, staging
 
 
 def one(spark, c):
@@ -245,3 +246,15 @@ def test_overlapping_keys(spark):
     dim = spark.createDataFrame(rows, "k string, version int, valid_from int, valid_to int")
     assert sorted(r.k for r in scd2.overlapping(dim, "k").collect()) == ["a", "c"]
     assert sorted(tuple(r) for r in scd2.overlaps(dim, "k").collect()) == [("a", 1, 2), ("a", 2, 1), ("c", 1, 2), ("c", 2, 1)]
+
+
+def test_scores_that_lie_on_a_tie_are_rounded_like_sql(spark, tmp_path):
+    """Contributions have six digits, so a hundredth of the sums end in 50; as doubles many lie a little below their tie."""
+    parts = spark.range(50, 900_000, 100).select(F.col("id").alias("customer"), (F.col("id") / 1_000_000).alias("PURCHASE_RECENCY"), *(F.lit(0.0).alias(n) for n in list(analytics.DRIVERS)[1:]))
+    parts.write.parquet(f"{tmp_path}/parts")
+    said = analytics.churn_score(spark.read.parquet(f"{tmp_path}/parts")).select("customer", "probability", "band")
+    rows = duckdb.sql(f"""SELECT customer, greatest(0.01, least(0.99, s)), CASE WHEN s >= 0.7 THEN 'CRITICAL' WHEN s >= 0.5 THEN 'HIGH' WHEN s >= 0.3 THEN 'MEDIUM' ELSE 'LOW' END
+        FROM (SELECT customer, round(PURCHASE_RECENCY, 4) AS s FROM '{tmp_path}/parts/*.parquet')""").fetchall()
+    assert sorted(map(tuple, said.collect())) == sorted(rows)
+    for x in (0.52065, -0.52065, 2.5, None):
+        assert one(spark, X.rounded(F.lit(x).cast("double"), 4)) == (None if x is None else duckdb.sql(f"SELECT round({x}::DOUBLE, 4)").fetchall()[0][0])
