@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import re
 
 import duckdb
@@ -11,6 +12,7 @@ from tessera.functions import vector as V
 from tessera.operators import policies as P
 from tessera.operators import quality as Q
 from tessera.operators import analytics, core, scd2, serving, staging
+from tessera.plans import QUERIES
 
 
 def one(spark, c):
@@ -258,3 +260,25 @@ def test_scores_that_lie_on_a_tie_are_rounded_like_sql(spark, tmp_path):
     assert sorted(map(tuple, said.collect())) == sorted(rows)
     for x in (0.52065, -0.52065, 2.5, None):
         assert one(spark, X.rounded(F.lit(x).cast("double"), 4)) == (None if x is None else duckdb.sql(f"SELECT round({x}::DOUBLE, 4)").fetchall()[0][0])
+
+
+def test_numbers_in_six_digits(spark):
+    rng = random.Random(5)
+    values = [0.0, -0.0, 7.0, 100.0, 999999.0, 1e6, 1234567.0, 0.001, 0.00099, 0.0001, 1e-5, 1234.5, 12345.6, 123456.7, -20.5, 1e300] + [round(rng.uniform(-1, 1) * 10 ** rng.randint(-6, 9), 7) for _ in range(500)]
+    got = spark.createDataFrame([(x,) for x in values], "x double").select("x", T.general(F.col("x")).alias("g")).collect()
+    assert [r.g for r in got] == [f"{r.x:g}" for r in got]
+
+
+def test_metrics_read_the_claims_of_a_text_once(spark, small):
+    plan = lambda n: QUERIES[n](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    found = {n: (plan(n).count("regexp_extract_all"), "RepartitionByExpression" in plan(n)) for n in ("groundedness", "safety", "metric_relevance")}
+    assert found == {"groundedness": (2, True), "safety": (2, True), "metric_relevance": (0, True)}
+
+
+def test_a_metric_alone_is_as_among_all(spark):
+    texts = ["worth 1,500.00 and 900, says jo@x.org", "3 orders, one open case, GOLD tier, low churn risk", "We will refund 1500", "call +1 402 555 0101", " ", None]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    args = F.col("t"), F.lit("revenue 1500"), "summary", F.array(F.lit("Jo@X.org"))
+    r = df.select(T.metrics(*args).alias("all"), *(T.metrics(*args, (n,)).alias(n) for n in T.METRICS)).collect()
+    assert all([m for n in T.METRICS for m in x[n]] == x["all"] and len(x["all"]) == 4 for x in r)
+    assert [m.passed for x in r for m in x["all"] if m.metric == "SAFETY"] == [False, True, False, False, False, False]
