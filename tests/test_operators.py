@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 import re
 
@@ -282,3 +283,32 @@ def test_a_metric_alone_is_as_among_all(spark):
     r = df.select(T.metrics(*args).alias("all"), *(T.metrics(*args, (n,)).alias(n) for n in T.METRICS)).collect()
     assert all([m for n in T.METRICS for m in x[n]] == x["all"] and len(x["all"]) == 4 for x in r)
     assert [m.passed for x in r for m in x["all"] if m.metric == "SAFETY"] == [False, True, False, False, False, False]
+
+
+def test_vector_search_by_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    vectors = [(i, [float(rng.randint(-2, 2)) for _ in range(rng.choice((3, 3, 3, 5)))]) for i in range(300)] + [(300, None), (301, []), (302, [1.0, None, 2.0]), (303, [0.0, 0.0, 0.0])]
+    asked = vectors[::25] + [(7, [1.0, 1.0, 1.0]), (303, [0.0, 0.0, 0.0]), (999, [1.0])]
+    want = []
+    for q in {q for q, _ in asked}:
+        found = []
+        for _, a in (x for x in asked if x[0] == q):
+            for i, b in vectors:
+                if a and b and len(a) == len(b) and None not in b and any(a) and any(b):
+                    s = round(sum(x * y for x, y in zip(a, b)) / (math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))), 6)
+                    found += [(-s, i)] if s >= 0.15 else []
+        want += [(q, i, -s, n) for n, (s, i) in enumerate(sorted(found)[:3], 1)]
+    v, q = spark.createDataFrame(vectors, "id int, e array<float>"), spark.createDataFrame(asked, "q int, e array<float>")
+    got = lambda: sorted(map(tuple, V.search(v, q, "id", "e", "q").collect()))
+    assert got() == sorted(want)
+    monkeypatch.setattr(V, "FIRST", 2)
+    assert got() == sorted(want)
+    monkeypatch.setattr(V, "WIDEST", 4)
+    assert got() == sorted(want)
+    assert V.search(v, q.where("false"), "id", "e", "q").count() == 0
+
+
+def test_vector_search_meets_columns_in_many_tasks(spark, small):
+    plan = QUERIES["vector_topk_floor"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join Inner" in x]
+    assert joins and not any("zip_with" in x or "round(" in x for x in joins) and "RepartitionByExpression" in plan
