@@ -312,3 +312,15 @@ def test_vector_search_meets_columns_in_many_tasks(spark, small):
     plan = QUERIES["vector_topk_floor"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     joins = [x for x in plan.splitlines() if "Join Inner" in x]
     assert joins and not any("zip_with" in x or "round(" in x for x in joins) and "RepartitionByExpression" in plan
+
+
+def test_classes_of_patterns_are_unicode_in_any_text(spark):
+    """What stands before or within a number, an address or a phone number may be a letter, digit or space of any script; ASCII texts take another branch."""
+    texts = ["é12 13 ٣٣", "x12 13 -14.50", "café@shop.example", "cafe@shop.example", "+1 402 555 0101", "+1 402 555 0101", "١٢٣٤٥٦٧٨٩", ""]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    old = df.select(F.transform(F.regexp_extract_all("t", F.lit(f"(?U){T.CLAIM}"), 0), lambda x: F.regexp_replace(x, ",", "").try_cast("double")).alias("n"),
+        *(F.col("t").rlike(f"(?U){p}").alias(n.lower()) for n, p in T.REDACT if n != "CARD")).collect()
+    new = df.select(T.claims(F.col("t")).alias("n"), T.findings(F.col("t"), F.array().cast("array<string>")).alias("f")).collect()
+    assert [r.n for r in new] == [[f"{x:g}" for x in dict.fromkeys(r.n) if x is not None] for r in old]
+    assert [("email" in r.f, "phone" in r.f) for r in new] == [(r.email, r.phone) for r in old]
+    assert any(r.email for r in old[2:3]) and all(old[i].phone for i in (4, 5, 6))
