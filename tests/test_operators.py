@@ -324,3 +324,10 @@ def test_classes_of_patterns_are_unicode_in_any_text(spark):
     assert [r.n for r in new] == [[f"{x:g}" for x in dict.fromkeys(r.n) if x is not None] for r in old]
     assert [("email" in r.f, "phone" in r.f) for r in new] == [(r.email, r.phone) for r in old]
     assert any(r.email for r in old[2:3]) and all(old[i].phone for i in (4, 5, 6))
+
+
+def test_relevance_alone_is_one_pass_over_dealt_texts(spark, small):
+    plan = QUERIES["metric_relevance"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and not any(x in plan for x in ("Generate", "regexp", "RLIKE", "size(")) and "RepartitionByExpression" in plan
+    below = plan.partition("RepartitionByExpression")[2]
+    assert "transform(" not in below and "concat(" not in below  # nothing of the texts in the scan's tasks
